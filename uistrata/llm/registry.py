@@ -6,6 +6,11 @@ import importlib
 
 #: query name: module; a module's ORACLE_SQL is given where SQL expresses the query.
 MODULES = {
+    "op1_substring_dedup": "substring_dedup",
+    "op3_license_scan": "license_scan",
+    "op4_language_id": "language_id",
+    "op5_secret_scan": "secret_scan",
+    "op6_spotsigs": "spotsigs",
     "op9_minhash": "minhash",
     "op10_exact_dedup": "exact_dedup",
 }
