@@ -188,11 +188,13 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     m = F.col("m")
     probe, index = (m - F.ceil(m * 3 / 4) + 1).cast("int"), m - F.ceil(m * 6 / 7) + 1
     shown = ranked.select(F.posexplode(F.slice("o", 1, probe)).alias("at", "k"), *_ROW, "comp", index.alias("short"))
-    shown = common.stored(shown.select(F.col("k.key").alias("key"), (F.col("at") < F.col("short")).alias("short"), *_ROW, "comp"), "prefixes")
-    one = shown.where("short").select("key", F.struct("comp", *_ROW).alias("a"))
-    two = shown.select("key", F.struct("comp", *_ROW).alias("b"))
+    shown = common.stored(shown.select(F.col("k.key").alias("key"), (F.col("at") < F.col("short")).alias("short"), (F.col("m") - F.col("at")).alias("rest"), *_ROW, "comp"), "prefixes")
+    one = shown.where("short").select("key", F.struct("comp", "rest", *_ROW).alias("a"))
+    two = shown.select("key", F.struct("comp", "rest", *_ROW).alias("b"))
+    # Shingles from a shared one on: alike sets have 3/7 of both sizes in common, so each has as many left.
+    room = 7 * F.least("a.rest", "b.rest") >= 3 * (F.col("a.m") + F.col("b.m"))
     smaller = F.struct("a.m", "a.cid") < F.struct("b.m", "b.cid")
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a.comp") != F.col("b.comp")) & smaller & _likely("a.", "b."))
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a.comp") != F.col("b.comp")) & smaller & room & _likely("a.", "b."))
     return pairs.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))
 
 
