@@ -7,10 +7,13 @@ import importlib
 #: query name: module; a module's ORACLE_SQL is given where SQL expresses the query.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op2_source_mix": "source_mix",
     "op3_license_scan": "license_scan",
     "op4_language_id": "language_id",
     "op5_secret_scan": "secret_scan",
     "op6_spotsigs": "spotsigs",
+    "op7_packing": "packing",
+    "op8_gru_lm": "gru_lm",
     "op9_minhash": "minhash",
     "op10_exact_dedup": "exact_dedup",
 }

@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,7 +195,7 @@ def _range_of(cuts: list[int]):
 
     @F.pandas_udf("int")
     def place(at):
-        return (len(table) - np.searchsorted(table, at.to_numpy(), side="left")).astype("int32")
+        return pd.Series((len(table) - np.searchsorted(table, at.to_numpy(), side="left")).astype("int32"))
 
     return place(F.col("at"))
 
