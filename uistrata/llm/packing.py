@@ -21,6 +21,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -38,7 +39,14 @@ SHARD_TOKENS = 1 << 20
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Entries of the chunk cache of a worker; when full, it keeps those seen often.
-CACHE = 300_000
+CACHE = 600_000
+
+
+#: Letters whose lower case and composed form are single characters.
+_LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A byte-level vocabulary writes the bytes that do not print as the characters from 256 on, in order.
+_PRINT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 
 
 class _Index(dict):
@@ -87,6 +95,22 @@ class Chunks:
         self.index, self.ids, self.first = _Index(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.hits = np.zeros(0, np.int64)
 
+    def _fresh(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks.  Words of Latin-1 letters are one piece to the tokenizer, so its model takes them directly."""
+        tokenize, table = self.tokenizer.model.tokenize, _BYTE_LETTERS
+        got, other = [], []
+        for i, c in enumerate(chunks):
+            if _LETTERS.fullmatch(c):
+                if not c.isascii():
+                    c = c.lower().encode().decode("latin-1").translate(table)
+                got.append([t.id for t in tokenize(c)])
+            else:
+                other.append(i)
+                got.append([])
+        for i, x in zip(other, self.tokenizer.encode_batch([chunks[i] for i in other], add_special_tokens=False)):
+            got[i] = x.ids
+        return got
+
     def _shrink(self) -> None:
         """Keep chunks seen three times or more, then the counts anew."""
         kept = np.flatnonzero(self.hits > 2)
@@ -108,7 +132,7 @@ class Chunks:
         chunks = raw.split()
         number = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
         if self.index.new:
-            got = [x.ids for x in self.tokenizer.encode_batch([c.decode() for c in self.index.new], add_special_tokens=False)]
+            got = self._fresh([c.decode() for c in self.index.new])
             self.index.new.clear()
             more = np.cumsum([len(x) for x in got]) + self.first[-1]
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32)])
