@@ -1,11 +1,552 @@
-"""All registered queries and the SQL that checks them."""
+"""All registered queries and the SQL that checks them.
+
+A query takes (spark, sf_dir) and runs over whole tables.  Arrays and structs
+are shown as text or single columns so that results compare by value.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import pixels, redact, text
+from ..operators import events, index, sequence
+from ..streaming import windows
+from . import adapters as A
+from . import evalqa, sql, views
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(check: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if check:
+            _SQL[f.__name__] = check
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def shown(c) -> F.Column:
+    return F.array_join(c, "|")
+
+
+# ---- text scalars
+
+
+@query(f"SELECT conv_id, turn, i - 1 AS n, {sql.norm('x')} AS norm FROM (SELECT conv_id, turn, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split(text, chr(10)) AS l FROM conversations))")
+def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "x")).select("conv_id", "turn", "n", text.normalize_line(F.col("x")).alias("norm"))
+
+
+@query(sql.frames(f", p AS (SELECT *, lag(lines) OVER (PARTITION BY rec ORDER BY pos) AS before FROM frames) SELECT rec, pos, array_to_string({sql.surplus('lines', 'before')}, '|') AS added, array_to_string({sql.surplus('before', 'lines')}, '|') AS removed FROM p WHERE before IS NOT NULL"))
+def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = A.frames(spark, sf_dir).withColumn("before", F.lag("lines").over(W.partitionBy("rec").orderBy("pos"))).where("before is not null")
+    return f.select("rec", "pos", shown(text.surplus(F.col("lines"), F.col("before"))).alias("added"), shown(text.surplus(F.col("before"), F.col("lines"))).alias("removed"))
+
+
+@query(sql.frames(f", p AS (SELECT *, lag(lines) OVER (PARTITION BY rec ORDER BY pos) AS before FROM frames) SELECT rec, pos, round({sql.sim('before', 'lines')}, 6) AS similarity FROM p WHERE before IS NOT NULL"))
+def text_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = A.frames(spark, sf_dir).withColumn("before", F.lag("lines").over(W.partitionBy("rec").orderBy("pos"))).where("before is not null")
+    return f.select("rec", "pos", F.round(text.text_similarity(F.col("before"), F.col("lines")), 6).alias("similarity"))
+
+
+@query("SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), '|') AS tokens FROM benchmark")
+def token_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "benchmark").select("item_id", shown(F.array_sort(text.token_set(F.col("text")))).alias("tokens"))
+
+
+@query("SELECT doc_id, round_even(length(text) / 4.0, 0)::BIGINT AS cost_tokens, length(text) // 4 AS report_tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("cost_tokens"), text.token_estimate(F.col("text"), False).alias("report_tokens"))
+
+
+@query(r"SELECT item_id, regexp_replace(' ' || chr(65 + item_id % 4) || ') ' || text, '^\s*[A-Za-z][).:]\s*', '') AS plain FROM (SELECT item_id::INTEGER AS item_id, text FROM benchmark)")
+def strip_choice_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("item_id"), "text")
+    labelled = F.concat(F.lit(" "), F.char(65 + F.col("item_id") % 4), F.lit(") "), "text")
+    return b.select("item_id", text.strip_choice_label(labelled).alias("plain"))
+
+
+@query(f"SELECT page_id, nullif(regexp_extract(url, '{sql.URL}', 1, 'i'), '') AS found FROM pages")
+def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "pages").select("page_id", text.first_url(F.array("url")).alias("found"))
+
+
+@query(
+    "SELECT item_id, CASE WHEN "
+    + " OR ".join(f"contains(lower(text), '{w}')" for w in text.COUNT_WORDS)
+    + " THEN 'count' WHEN "
+    + " OR ".join(f"contains(lower(text), '{w}')" for w in text.ACTION_WORDS)
+    + " THEN 'action' WHEN "
+    + " OR ".join(f"contains(lower(text), '{w}')" for w in text.VISUAL_WORDS)
+    + " THEN 'visual' ELSE 'state' END AS bucket FROM benchmark"
+)
+def classify_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "benchmark").select("item_id", text.classify_bucket(F.col("text")).alias("bucket"))
+
+
+@query(f"SELECT event_id, event_type AS line FROM events WHERE regexp_matches(event_type, '{sql.ERROR}', 'i')")
+def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.table(spark, sf_dir, "events").select("event_id", text.first_error(F.array("event_type")).alias("line"))
+    return e.where("line is not null")
+
+
+@query("SELECT doc_id, CASE WHEN lower(trim(coalesce(CASE doc_id % 3 WHEN 0 THEN ' iOS' WHEN 1 THEN 'Android' ELSE source END, ''))) IN ('ios', 'android') THEN 'mobile' ELSE 'desktop' END AS domain FROM documents")
+def domain_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    system = F.when(F.col("doc_id") % 3 == 0, " iOS").when(F.col("doc_id") % 3 == 1, "Android").otherwise(F.col("source"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", text.domain_of(system).alias("domain"))
+
+
+# ---- sources and sequences
+
+
+@query(sql.frames("SELECT rec, pos // 3 AS out_idx, pos, round(t, 3) AS t FROM frames WHERE pos % 3 = 0"))
+def frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.sampled(A.frames(spark, sf_dir), 15.0, 5.0).select("rec", "out_idx", "pos", F.round("t", 3).alias("t"))
+
+
+@query(sql.frames("SELECT rec, count(*) AS frames, round(max(t), 3) AS duration, round(CASE WHEN max(t) > 0 THEN (count(*) - 1) / max(t) ELSE 0 END, 6) AS fps FROM frames GROUP BY rec"))
+def recording_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = F.when(F.max("t") > 0, (F.count(F.lit(1)) - 1) / F.max("t")).otherwise(0.0)
+    return A.frames(spark, sf_dir).groupBy("rec").agg(F.count(F.lit(1)).alias("frames"), F.round(F.max("t"), 3).alias("duration"), F.round(fps, 6).alias("fps"))
+
+
+_FLAGS = ", flagged AS (SELECT *, pos - row_number() OVER (PARTITION BY rec ORDER BY pos) AS run FROM frames WHERE value >= 100), runs AS (SELECT rec, run, min(t) AS t_start, max(t) AS t_end, max(value) AS peak_score FROM flagged GROUP BY rec, run), isl AS (SELECT r.rec, t_start, t_end, min(f.pos) AS peak_frame, peak_score FROM runs r JOIN flagged f ON f.rec = r.rec AND f.run = r.run AND f.value = r.peak_score GROUP BY ALL)"
+
+
+@query(sql.frames("SELECT rec, pos, value >= 100 AS flag FROM frames"))
+def flag_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.frames(spark, sf_dir).select("rec", "pos", (F.col("value") >= 100).alias("flag"))
+
+
+def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.islands(A.frames(spark, sf_dir).withColumn("score", F.col("value")), 100)
+
+
+@query(sql.frames(f"{_FLAGS} SELECT rec, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, peak_frame, peak_score FROM isl"))
+def group_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _islands(spark, sf_dir).withColumns({"t_start": F.round("t_start", 3), "t_end": F.round("t_end", 3)})
+
+
+@query(sql.frames(f"{_FLAGS}, s AS (SELECT i.*, least(f.moved, 1.0) AS sim FROM isl i JOIN frames f ON f.rec = i.rec AND f.pos = i.peak_frame WHERE f.moved IS NOT NULL) SELECT rec, peak_frame, CASE WHEN sim < 0.5 THEN 'cut' ELSE 'motion' END AS type, round(CASE WHEN sim < 0.5 THEN (0.5 - sim) / 0.5 ELSE (sim - 0.5) / (1 - 0.5) END, 3) AS confidence FROM s"))
+def classify_cut_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = A.frames(spark, sf_dir).select("rec", F.col("pos").alias("peak_frame"), F.when(F.col("moved").isNotNull(), F.least("moved", F.lit(1.0))).alias("sim")).where("sim is not null")
+    kind = sequence.cut_or_motion(F.col("sim"))
+    return _islands(spark, sf_dir).join(f, ["rec", "peak_frame"]).select("rec", "peak_frame", kind["type"].alias("type"), kind["confidence"].alias("confidence"))
+
+
+@query(sql.segments("SELECT rec, seg, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines, keyframe FROM segments"))
+def segment_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.segments(spark, sf_dir).select("rec", "seg", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"), "keyframe")
+
+
+@query(
+    "WITH RECURSIVE "
+    + sql.FRAMES
+    + """, walk AS (
+  SELECT rec, pos, value AS prev, value AS anchor, 0::BIGINT AS seg FROM frames WHERE pos = 0
+  UNION ALL
+  SELECT f.rec, f.pos, f.value, CASE WHEN abs(f.value - w.prev) >= 120 OR abs(f.value - w.anchor) >= 120 THEN f.value ELSE w.anchor END,
+         w.seg + CASE WHEN abs(f.value - w.prev) >= 120 OR abs(f.value - w.anchor) >= 120 THEN 1 ELSE 0 END
+  FROM walk w JOIN frames f ON f.rec = w.rec AND f.pos = w.pos + 1)
+SELECT rec, pos, seg FROM walk"""
+)
+def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.segment_by_motion(A.frames(spark, sf_dir).withColumn("x", F.col("value")), 120.0)
+
+
+@query(sql.states("SELECT rec, pos, idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines FROM merged"))
+def dedupe_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sequence.merge_near(A.segments(spark, sf_dir), A.MERGE)
+    return s.select("rec", "pos", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"))
+
+
+@query(sql.states("SELECT rec, idx, array_to_string(added, '|') AS added, array_to_string(removed, '|') AS removed FROM states"))
+def state_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.states(spark, sf_dir).select("rec", "idx", shown("added").alias("added"), shown("removed").alias("removed"))
+
+
+@query(sql.states("SELECT rec, idx, event_type, event_label FROM states WHERE event_type IS NOT NULL"))
+def classify_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.states(spark, sf_dir).where("event is not null").select("rec", "idx", F.col("event.type").alias("event_type"), F.col("event.label").alias("event_label"))
+
+
+@query(sql.states("SELECT rec, pos, idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines, array_to_string(added, '|') AS added, array_to_string(removed, '|') AS removed, event_type, salience FROM states"))
+def ui_state_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.states(spark, sf_dir)
+    return s.select("rec", "pos", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"), shown("added").alias("added"), shown("removed").alias("removed"), F.col("event.type").alias("event_type"), "salience")
+
+
+# ---- queries on the index
+
+_FOUND = "SELECT rec, idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, event_type, "
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("rec", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), "event_type", shown("matches").alias("matches"))
+
+
+@query(sql.states(f"{_FOUND} array_to_string(list_filter(lines, lambda l: contains(lower(l), 'sign')), '|') AS matches FROM states WHERE len(list_filter(lines, lambda l: contains(lower(l), 'sign'))) > 0"))
+def search_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(index.search_index(A.states(spark, sf_dir), pattern="SIGN"))
+
+
+@query(sql.states(f"{_FOUND} '' AS matches FROM states WHERE t_end >= 100000 AND t_start <= 900000"))
+def search_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(index.search_index(A.states(spark, sf_dir), since=100000.0, until=900000.0))
+
+
+@query(sql.states(f"{_FOUND} '' AS matches FROM states WHERE event_type = 'error'"))
+def search_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(index.search_index(A.states(spark, sf_dir), event_type="error"))
+
+
+@query(
+    sql.states(
+        "SELECT s.rec, count(*) AS states, round(min(t_start), 3) AS t_start, round(max(t_end), 3) AS t_end, sum(len(lines))::BIGINT AS text_lines, count(event_type) AS events, "
+        "max(CASE WHEN len(lines) > 0 THEN 1 ELSE 0 END) AS has_text, max(CASE WHEN salience <> 0 THEN 1 ELSE 0 END) AS has_curated, any_value(len(persistent)) AS n_persistent FROM states s JOIN persistent p ON p.rec = s.rec GROUP BY s.rec"
+    )
+)
+def summarize_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.summarize(A.states(spark, sf_dir)).withColumns({"t_start": F.round("t_start", 3), "t_end": F.round("t_end", 3)})
+
+
+@query(sql.states("SELECT rec, event_type, count(*) AS n FROM states WHERE event_type IS NOT NULL GROUP BY 1, 2"))
+def event_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.event_histogram(A.states(spark, sf_dir))
+
+
+@query(sql.states("SELECT rec, array_to_string(persistent, '|') AS persistent FROM persistent"))
+def persistent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.persistent_lines(A.states(spark, sf_dir)).select("rec", shown("persistent").alias("persistent"))
+
+
+@query(sql.states("SELECT s.rec, idx, array_to_string(list_filter(lines, lambda l: NOT list_contains(persistent, l)), '|') AS own_lines, array_to_string(persistent, '|') AS persistent FROM states s JOIN persistent p ON p.rec = s.rec"))
+def compact_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.compact_view(A.states(spark, sf_dir)).select("rec", "idx", shown("own_lines").alias("own_lines"), shown("persistent").alias("persistent"))
+
+
+@query(sql.states("SELECT rec, bool_or(len(lines) > 0) AS has_text FROM states GROUP BY rec"))
+def index_has_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.states(spark, sf_dir).groupBy("rec").agg(F.bool_or(F.size("lines") > 0).alias("has_text"))
+
+
+@query(sql.states("SELECT rec, idx, salience FROM states"))
+def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.states(spark, sf_dir).select("rec", "idx", "salience")
+
+
+@query(
+    sql.states(
+        """, picks AS (
+  SELECT rec, [arg_max(pos, (salience, -pos))] AS chosen, 1 AS k FROM states GROUP BY rec
+  UNION ALL
+  SELECT rec, list_append(chosen, best), k + 1 FROM (
+    SELECT c.rec, c.chosen, c.k, arg_max(s.pos, (s.salience + 0.15 * (1 - 1 / (1 + list_min(list_transform(c.chosen, lambda x: abs(s.pos - x)))::DOUBLE)), -s.pos)) AS best
+    FROM picks c JOIN states s ON s.rec = c.rec AND NOT list_contains(c.chosen, s.pos) WHERE c.k < 5 GROUP BY c.rec, c.chosen, c.k))
+SELECT s.rec, s.pos, s.idx, round(s.t_start, 3) AS t_start, s.salience FROM states s JOIN (SELECT rec, arg_max(chosen, k) AS chosen FROM picks GROUP BY rec) c ON c.rec = s.rec AND list_contains(c.chosen, s.pos)"""
+    )
+)
+def curated_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.curated(A.states(spark, sf_dir), 5).withColumn("t_start", F.round("t_start", 3))
+
+
+_NARRATION = ", narration AS (SELECT rec, pos AS n, t AS start_t, t + 60 AS end_t, props AS text FROM frames WHERE event_type = 'error')"
+_SAID = f"{_NARRATION}, said AS (SELECT s.rec, s.idx, string_agg(n.text, ' ' ORDER BY n.n) AS said FROM states s JOIN narration n ON n.rec = s.rec AND n.start_t < s.t_end AND n.end_t > s.t_start GROUP BY 1, 2)"
+
+
+@query(sql.states(f"{_SAID} SELECT rec, idx, said FROM said"))
+def narration_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.narration_of(A.states(spark, sf_dir), A.narration(spark, sf_dir))
+
+
+def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = A.frames(spark, sf_dir)
+    return f.select("rec", "t", F.floor(F.col("value") % 97).cast("int").alias("x"), F.floor(F.col("value") % 61).cast("int").alias("y"))
+
+
+_CURSOR = ", cursor AS (SELECT rec, t, floor(value % 97)::INTEGER AS x, floor(value % 61)::INTEGER AS y FROM frames), inside AS (SELECT s.rec, s.idx, c.t, c.x, c.y FROM states s JOIN cursor c ON c.rec = s.rec AND c.t >= s.t_start AND c.t <= s.t_end)"
+
+
+@query(sql.states(f"{_CURSOR} SELECT rec, idx, count(*) AS n FROM inside GROUP BY 1, 2"))
+def cursor_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.cursor_of(A.states(spark, sf_dir), _cursor(spark, sf_dir)).select("rec", "idx", F.size("xs").cast("bigint").alias("n"))
+
+
+@query(sql.states(f"{_CURSOR}, last AS (SELECT rec, idx, list(x ORDER BY t DESC, x DESC, y DESC)[1:5] AS xs, list(y ORDER BY t DESC, x DESC, y DESC)[1:5] AS ys FROM inside GROUP BY 1, 2) SELECT rec, idx, list_sort(xs)[len(xs) // 2 + 1] AS x, list_sort(ys)[len(ys) // 2 + 1] AS y FROM last"))
+def hotspot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = events.hotspot(F.col("xs"), F.col("ys"))
+    return index.cursor_of(A.states(spark, sf_dir), _cursor(spark, sf_dir)).select("rec", "idx", at["x"].alias("x"), at["y"].alias("y"))
+
+
+# ---- pixels
+
+
+@query(sql.gray("SELECT rec, vec_id, round(list_sum(list_transform(list_zip(prev, gray), lambda z: abs(z[1] - z[2])))::DOUBLE / len(gray) / 255, 6) AS score FROM gray WHERE prev IS NOT NULL"))
+def motion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gray(spark, sf_dir).where("prev is not null").select("rec", "vec_id", F.round(pixels.motion_score(F.col("prev"), F.col("gray")), 6).alias("score"))
+
+
+@query(
+    sql.gray(
+        """, h AS (SELECT rec, vec_id, list_transform(range(0, 64), lambda b: len(list_filter(prev, lambda v: v // 4 = b))::DOUBLE) AS a, list_transform(range(0, 64), lambda b: len(list_filter(gray, lambda v: v // 4 = b))::DOUBLE) AS b FROM gray WHERE prev IS NOT NULL),
+m AS (SELECT *, list_sum(list_transform(a, lambda x: x * x)) - 64.0 * 64 / 64 AS va, list_sum(list_transform(b, lambda x: x * x)) - 64.0 * 64 / 64 AS vb, list_dot_product(a, b) - 64.0 * 64 / 64 AS cov FROM h)
+SELECT rec, vec_id, round(CASE WHEN a = b THEN 1.0 WHEN va <= 0 OR vb <= 0 THEN 0.0 ELSE greatest(0.0, cov / sqrt(va * vb)) END, 6) AS similarity FROM m"""
+    )
+)
+def histogram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.gray(spark, sf_dir).where("prev is not null").select("rec", "vec_id", pixels.histogram(F.col("prev")).alias("a"), pixels.histogram(F.col("gray")).alias("b"))
+    return g.select("rec", "vec_id", F.round(pixels.histogram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query(
+    sql.gray(
+        """, c AS (SELECT rec, vec_id, list_filter(range(0, 64), lambda i: abs(gray[i + 1] - prev[i + 1]) > 80) AS hit FROM gray WHERE prev IS NOT NULL),
+b AS (SELECT *, len(hit) / 64.0 AS cov, list_min(list_transform(hit, lambda i: i % 8)) AS x0, list_max(list_transform(hit, lambda i: i % 8)) AS x1, list_min(list_transform(hit, lambda i: i // 8)) AS y0, list_max(list_transform(hit, lambda i: i // 8)) AS y1 FROM c WHERE len(hit) > 0)
+SELECT rec, vec_id, x0 || ',' || y0 || ',' || (x1 - x0 + 1) || ',' || (y1 - y0 + 1) AS box, round(cov, 4) AS coverage,
+ CASE WHEN cov >= 0.45 THEN 'full' WHEN (y1 - y0 + 1) / 8.0 >= 0.5 AND (x1 - x0 + 1) / 8.0 >= 0.5 THEN 'band' WHEN cov <= 0.08 THEN 'local' ELSE 'overlay' END AS shape FROM b"""
+    )
+)
+def changed_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pixels.changed_region(F.col("prev"), F.col("gray"), F.lit(A.WIDTH), F.lit(A.HEIGHT), A.PIXELS_DELTA)
+    g = A.gray(spark, sf_dir).where("prev is not null").select("rec", "vec_id", r.alias("r")).where("r is not null")
+    return g.select("rec", "vec_id", F.array_join(F.col("r.box").cast("array<string>"), ",").alias("box"), F.col("r.coverage").alias("coverage"), F.col("r.shape").alias("shape"))
+
+
+@query(sql.gray(", l AS (SELECT rec, vec_id, array_to_string(list_transform(gray, lambda v: substr(' .:-=+*#%@', (1 + v * 9 // 255)::BIGINT, 1)), '') AS s FROM gray) SELECT rec, vec_id, array_to_string(list_transform(range(0, 8), lambda y: s[y * 8 + 1:y * 8 + 8]), chr(10)) AS picture FROM l"))
+def ascii_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gray(spark, sf_dir).select("rec", "vec_id", pixels.ascii_frame(F.col("gray"), A.WIDTH, A.HEIGHT).alias("picture"))
+
+
+_BOXES = "list_transform(range(0, 4), lambda i: {'x': (vec_id * (i + 3)) % 50, 'y': (vec_id * (i + 7)) % 50, 'i': i})"
+
+
+@query(
+    f"""WITH b AS (SELECT vec_id, (vec_id % 50)::DOUBLE AS x, (vec_id % 37)::DOUBLE AS y, {_BOXES} AS boxes FROM embeddings),
+d AS (SELECT vec_id, list_min(list_transform(boxes, lambda z: {{'d': (z['x'] + 5 - x) * (z['x'] + 5 - x) + (z['y'] + 4 - y) * (z['y'] + 4 - y), 'i': z['i']}})) AS m FROM b)
+SELECT vec_id, CASE WHEN sqrt(m['d']) <= 0.15 * sqrt(60.0 * 60 + 60 * 60) THEN 'box' || m['i'] END AS label FROM d"""
+)
+def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    boxes = F.array(*[F.struct(F.lit(f"box{i}").alias("text"), F.array((v * (i + 3)) % 50, (v * (i + 7)) % 50, F.lit(10).cast("bigint"), F.lit(8).cast("bigint")).alias("box")) for i in range(4)])
+    return e.select("vec_id", events.nearest_label((v % 50).cast("double"), (v % 37).cast("double"), boxes, F.lit(60), F.lit(60)).alias("label"))
+
+
+@query("SELECT vec_id, greatest(1, round_even(40 * ((vec_id % 9 + 1)::DOUBLE / (vec_id % 5 + 1)) / 2.0, 0)::INTEGER) AS n_rows FROM embeddings")
+def auto_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    return A.table(spark, sf_dir, "embeddings").select("vec_id", pixels.auto_rows(v % 5 + 1, v % 9 + 1, 40).alias("n_rows"))
+
+
+@query()
+def edge_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gray(spark, sf_dir).select("rec", "vec_id", F.array_join(pixels.edge_magnitude(F.col("gray"), F.lit(A.WIDTH)).cast("array<string>"), ",").alias("edges"))
+
+
+@query(
+    sql.gray(
+        """, n AS (SELECT rec, vec_id, gray, list_transform(range(0, 64), lambda i: (CASE WHEN i // 8 = 0 THEN gray[i + 9] ELSE gray[i - 7] END) + (CASE WHEN i // 8 = 7 THEN gray[i - 7] ELSE gray[i + 9] END)
+ + (CASE WHEN i % 8 = 0 THEN gray[i + 2] ELSE gray[i] END) + (CASE WHEN i % 8 = 7 THEN gray[i] ELSE gray[i + 2] END) - 4 * gray[i + 1]) AS l FROM gray)
+SELECT rec, vec_id, round(list_var_pop(list_transform(l, lambda x: x::DOUBLE)), 2) AS sharpness FROM n"""
+    )
+)
+def sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gray(spark, sf_dir).select("rec", "vec_id", F.round(pixels.sharpness(F.col("gray"), F.lit(A.WIDTH)), 2).alias("sharpness"))
+
+
+@query()
+def cursor_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = pixels.estimate_cursor(F.col("prev"), F.col("gray"), F.lit(A.WIDTH))
+    return A.gray(spark, sf_dir).where("prev is not null").select("rec", "vec_id", at.alias("at")).select("rec", "vec_id", "at.x", "at.y")
+
+
+# ---- secrets
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+
+
+@query()
+def find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _lines(spark, sf_dir).select("doc_id", "n", F.explode(redact.find_secrets(F.col("line"))).alias("s"))
+    return found.select("doc_id", "n", "s.start", "s.end", "s.kind")
+
+
+@query()
+def redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _lines(spark, sf_dir).withColumn("spans", redact.find_secrets(F.col("line"))).where(redact.has_secret(F.col("spans")))
+    return found.select("doc_id", "n", redact.redact_line(F.col("line"), F.col("spans")).alias("line"), shown(F.transform("spans", lambda s: s["kind"])).alias("kinds"))
+
+
+@query()
+def redaction_kinds_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RUN = r"\b(?:\d[ -]?){13,16}\b"
+
+
+@query(
+    rf"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_RUN}')) AS run FROM documents),
+d AS (SELECT doc_id, run, list_reverse(regexp_extract_all(run, '\d')) AS g FROM c),
+l AS (SELECT doc_id, run, len(g) AS n, list_sum(list_transform(g, lambda x, i: CASE WHEN i % 2 = 1 THEN x::INTEGER WHEN x::INTEGER < 5 THEN x::INTEGER * 2 ELSE x::INTEGER * 2 - 9 END)) AS s FROM d)
+SELECT doc_id, rtrim(run) AS run, n BETWEEN 13 AND 19 AND s % 10 = 0 AS ok FROM l"""
+)
+def luhn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_RUN), F.lit(0))).alias("run"))
+    return d.select("doc_id", F.rtrim("run").alias("run"), redact.luhn_ok(F.col("run")).alias("ok"))
+
+
+@query(
+    r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '\S+')) AS w FROM benchmark),
+c AS (SELECT DISTINCT item_id, w, string_split(w, '') AS g FROM w),
+p AS (SELECT item_id, w, list_transform(list_distinct(g), lambda x: len(list_filter(g, lambda z: z = x))::DOUBLE / len(g)) AS p FROM c)
+SELECT item_id, w AS token, abs(round(list_sum(list_transform(p, lambda x: x * log2(x))), 6)) AS entropy FROM p"""
+)
+def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = A.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("token")).distinct()
+    return b.select("item_id", "token", F.round(redact.shannon_entropy(F.col("token")), 6).alias("entropy"))
+
+
+# ---- views and evaluation
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.states(spark, sf_dir)
+    return s.join(index.narration_of(s, A.narration(spark, sf_dir)), ["rec", "idx"], "left")
+
+
+_MD = f"""{_SAID}, b AS (
+  SELECT s.rec, s.pos, concat_ws(chr(10), '## ' || {sql.clock('t_start')} || '–' || {sql.clock('t_end')} || '  ·  State ' || (pos + 1), nullif({sql.CAPTION}, ''), nullif(array_to_string(lines, ' · '), ''),
+    CASE WHEN len(added) > 0 THEN '**Appeared:** ' || array_to_string(added, ', ') END, CASE WHEN len(removed) > 0 THEN '**Gone:** ' || array_to_string(removed, ', ') END,
+    CASE WHEN said IS NOT NULL THEN '🗣 said: ' || said END, '') AS block, t_end
+  FROM states s LEFT JOIN said USING (rec, idx))
+SELECT rec, '# Transcript — ' || rec || '  (' || {sql.clock('max(t_end)')} || ')' || chr(10) || chr(10) || rtrim(string_agg(block, chr(10) ORDER BY pos), chr(10)) || chr(10) AS doc FROM b GROUP BY rec"""
+
+
+@query(sql.states(_MD))
+def transcript_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.render(_told(spark, sf_dir), "md")
+
+
+@query(sql.states(f", b AS (SELECT rec, pos, (pos + 1) || chr(10) || {sql.stamp('t_start', ',')} || ' --> ' || {sql.stamp('t_end', ',')} || chr(10) || {sql.BODY} || chr(10) AS block FROM states) SELECT rec, string_agg(block, chr(10) ORDER BY pos) AS doc FROM b GROUP BY rec"))
+def transcript_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.render(A.states(spark, sf_dir), "srt")
+
+
+@query(sql.states(f", b AS (SELECT rec, pos, {sql.stamp('t_start', '.')} || ' --> ' || {sql.stamp('t_end', '.')} || chr(10) || {sql.BODY} || chr(10) AS block FROM states) SELECT rec, 'WEBVTT' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY pos) AS doc FROM b GROUP BY rec"))
+def transcript_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.render(A.states(spark, sf_dir), "vtt")
+
+
+@query()
+def transcript_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.render(A.states(spark, sf_dir), "json")
+
+
+@query(
+    sql.states(
+        """, c AS (SELECT rec, count(*) AS states, sum(length(array_to_string(lines, chr(10))))::BIGINT AS text_chars, max(t_end) AS duration FROM states GROUP BY rec),
+d AS (SELECT *, round_even(text_chars / 4.0, 0)::BIGINT AS text_tokens, greatest(states, round_even(duration * 0.001, 0)::BIGINT) AS sampled_frames FROM c)
+SELECT rec, states, sampled_frames, text_chars, text_tokens, text_tokens + least(3, states) * 1500 AS index_tokens, sampled_frames * 1500 AS baseline_tokens,
+ round((text_tokens + least(3, states) * 1500)::DOUBLE / (sampled_frames * 1500), 4) AS cost_ratio FROM d"""
+    )
+)
+def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalqa.cost_estimate(A.states(spark, sf_dir), fps=0.001)
+
+
+_TYPE = "CASE doc_id % 5 WHEN 0 THEN 'action' WHEN 1 THEN 'state' WHEN 2 THEN 'count' WHEN 3 THEN 'visual' ELSE 'other' END"
+
+
+@query(
+    f"""WITH r AS (SELECT {_TYPE} AS type, CASE WHEN l.quality = l.toxic THEN 0 ELSE 1 END AS ok, length(d.text) // 4 AS tokens FROM labels l JOIN documents d USING (doc_id)),
+g AS (SELECT type, count(*) AS n, sum(ok)::BIGINT AS hits, sum(tokens)::BIGINT AS tokens, grouping(type) AS total FROM r GROUP BY ROLLUP (type))
+SELECT CASE WHEN total = 1 THEN '**TOTAL**' ELSE type END AS bucket, n, hits, round_even(100.0 * hits / n, 0)::INTEGER || '%' AS accuracy, tokens,
+ CASE WHEN total = 1 THEN 99 WHEN type = 'other' THEN 50 ELSE list_position(['action', 'state', 'count', 'visual'], type) END AS place FROM g"""
+)
+def accuracy_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "labels").join(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return evalqa.accuracy(rows.select(F.expr(_TYPE).alias("type"), (F.col("quality") != F.col("toxic")).alias("ok"), text.token_estimate(F.col("text"), False).alias("tokens")))
+
+
+_OPTIONS = "CASE doc_id % 4 WHEN 0 THEN '[\"one\", \" two \", \"\"]' WHEN 1 THEN '{\"B\": \"two\", \"A\": \"one\"}' WHEN 2 THEN '[\"one\"]' ELSE 'none' END"
+
+
+@query(
+    """SELECT source AS clip, 'How many ' || lang AS question, CASE doc_id % 4 WHEN 0 THEN 'one|two' WHEN 1 THEN 'A) one|B) two' END AS choices, lang AS answer, 'count' AS type, doc_id % 4 >= 2 AS skipped
+FROM documents WHERE doc_id % 5 <> 0"""
+)
+def mcq_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents")
+    system = F.when(F.col("doc_id") % 5 == 0, "iOS").otherwise("Windows")
+    rows = d.select(F.col("source").alias("video_path"), system.alias("system"), F.concat(F.lit("How many "), "lang").alias("question"), F.expr(_OPTIONS).alias("options"), F.col("lang").alias("answer"))
+    return evalqa.convert(rows).withColumn("choices", shown("choices"))
+
+
+_CHOICES = ["A) the of and to", "B) der die und das", "C) le la les des", "D) el los que una"]
+
+
+@query(
+    """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS s FROM documents),
+n AS (SELECT doc_id, [len(list_intersect(['the', 'of', 'and', 'to'], s)), len(list_intersect(['der', 'die', 'und', 'das'], s)), len(list_intersect(['le', 'la', 'les', 'des'], s)), len(list_intersect(['el', 'los', 'que', 'una'], s))] AS n FROM t)
+SELECT doc_id, (list_position(n, list_max(n)) - 1)::INTEGER AS pick FROM n"""
+)
+def mock_answerer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents")
+    answer = evalqa.get_answerer("mock")(F.lit("Which language?"), F.array(*map(F.lit, _CHOICES)), F.col("text"))
+    return d.select("doc_id", answer.cast("int").alias("pick"))
+
+
+# ---- streams, run to the end of what is there
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, sum(round(value * 100))::BIGINT AS cents FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.finished(windows.tumbling(windows.read_events(spark, sf_dir)), "complete")
+
+
+@query("WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sessions(windows.batch_events(spark, sf_dir))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.finished(windows.first_seen(windows.read_events(spark, sf_dir)), "append")
+
+
+@query(_SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, max(seg) + 1 AS segments, count(*) AS frames FROM walk GROUP BY rec"))
+def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.finished(windows.motion_segments(windows.read_events(spark, sf_dir), 120.0), "update").groupBy("rec").agg(F.max("segments").alias("segments"), F.max("frames").alias("frames"))
+
+
+# ---- extras on the generic tables, beyond the UI-state engine
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity)::BIGINT AS sum_qty, sum(round(l_extendedprice * 100))::BIGINT AS cents, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+def extra_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = A.table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("bigint").alias("sum_qty"), F.sum(F.round(F.col("l_extendedprice") * 100)).cast("bigint").alias("cents"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name, o_orderpriority, count(*) AS n, grouping(o_orderpriority) AS g FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY CUBE (n_name, o_orderpriority)")
+def extra_order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (A.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), n.n_nationkey == c.c_nationkey)  # nation is a fixed list
+    return j.cube("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping("o_orderpriority").cast("bigint").alias("g"))
