@@ -12,12 +12,24 @@ word boundary, so temporaries are bounded however long a document is.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 19
+# Workers live on between tasks: what a batch took goes back to the system, not to a pool.
+pa.set_memory_pool(pa.system_memory_pool())
+_libc = ctypes.CDLL(None)
+
+
+def tidy() -> None:
+    """Give free heap pages back, where the C library can."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -108,6 +120,7 @@ def slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         yield lo, min(hi, len(column))
         lo = hi
+    tidy()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:

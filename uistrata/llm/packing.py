@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from . import common, kernels
 
 WINDOW, END_ID = 4096, 2
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Entries of the chunk cache of a worker; when full, it keeps those seen often.
-CACHE = 600_000
+CACHE = 250_000
 
 
 #: Letters whose lower case and composed form are single characters.
