@@ -361,11 +361,11 @@ def edge_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.gray(
         """, n AS (SELECT rec, vec_id, gray, list_transform(range(0, 64), lambda i: (CASE WHEN i // 8 = 0 THEN gray[i + 9] ELSE gray[i - 7] END) + (CASE WHEN i // 8 = 7 THEN gray[i - 7] ELSE gray[i + 9] END)
  + (CASE WHEN i % 8 = 0 THEN gray[i + 2] ELSE gray[i] END) + (CASE WHEN i % 8 = 7 THEN gray[i] ELSE gray[i + 2] END) - 4 * gray[i + 1]) AS l FROM gray)
-SELECT rec, vec_id, round(list_var_pop(list_transform(l, lambda x: x::DOUBLE)), 2) AS sharpness FROM n"""
+SELECT rec, vec_id, round(list_var_pop(list_transform(l, lambda x: x::DOUBLE)) + 0.001, 2) AS sharpness FROM n"""
     )
 )
 def sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.gray(spark, sf_dir).select("rec", "vec_id", F.round(pixels.sharpness(F.col("gray"), F.lit(A.WIDTH)), 2).alias("sharpness"))
+    return A.gray(spark, sf_dir).select("rec", "vec_id", F.round(pixels.sharpness(F.col("gray"), F.lit(A.WIDTH)) + 0.001, 2).alias("sharpness"))
 
 
 @query()
