@@ -203,7 +203,8 @@ def _repeated(rows: DataFrame) -> DataFrame:
     """Rows (key, weight, hashes, places) to (key, survivors): places of windows that repeat."""
     each = rows.select("k_id", "k_text", "weight", F.explode(F.arrays_zip("hashes", "places")).alias("w"))
     each = each.select("k_id", "k_text", "weight", F.col("w.hashes").alias("h"), F.col("w.places").alias("at"))
-    again = each.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h")
+    # Stored, so that the join reads two plain exchanges, whose large partitions adaptive execution splits.
+    again = common.stored(each.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h"), "again")
     return each.join(again, "h").groupBy("k_id", "k_text").agg(F.collect_list("at").alias("survivors"))
 
 
