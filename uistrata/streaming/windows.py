@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 
@@ -56,14 +55,20 @@ def motion_segments(events: DataFrame, threshold: float) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now, into a table of the session."""
+    """Run a stream over what is there now and read its result.
+
+    Complete results are windows and go to a table of the session.  Others grow
+    with the stream: each batch is written once, under its number, as Parquet, so
+    a repeated batch replaces itself and nothing passes through the driver.
+    """
     spark = stream.sparkSession
     name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    local = None if folder else tempfile.mkdtemp(prefix="uistrata-stream-")
-    at = f"{folder or local}/{name}"
-    done = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
-    done.awaitTermination()
-    if local:
-        shutil.rmtree(local, ignore_errors=True)
-    return spark.table(name)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='uistrata-stream-')}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}/state").trigger(availableNow=True)
+    if mode == "complete":
+        writer.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    path = f"{folder}/{name}/rows"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
