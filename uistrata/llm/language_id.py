@@ -164,7 +164,8 @@ def fit(docs: DataFrame, learn: Column) -> ByteNet | None:
     # A hash threshold for each language lets in about twice as many as are used; the least hashes are.
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2.0 * PER_LANG / n))])
     part = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
-    near = rows.where(part < F.element_at(share, F.col("lang")))
+    # Copies of one text count once, dropped map-side first: however many there are, no more rows than that reach the driver.
+    near = rows.where(part < F.element_at(share, F.col("lang"))).dropDuplicates(["h", "lang"])
     found = near.mapInArrow(_samples, "h bigint, lang string, x binary").collect()
     langs = sorted(sizes)
     xs, ys = [], []
