@@ -153,6 +153,16 @@ def test_targets_and_tree():
         assert sorted(source_mix.permuted(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))) == list(range(n))
 
 
+def test_shards_grow_with_the_mix():
+    small, large = source_mix.Plan(["a", "b", None], [900, 0, 70]), source_mix.Plan(["a", "b"], [10**9, 10**8])
+    assert len(small.ends) == source_mix.SHARDS and len(large.ends) == sum(large.quotas) * source_mix.BLOCK // source_mix.SHARD_WORDS > 1000
+    many = source_mix.Plan([str(i) for i in range(5000)], [10**9] * 5000)._shards()
+    assert many == source_mix.MAX_CELLS // 5000
+    source, number = np.array([2, 0, 0, 2, 0]), np.array([0, 0, 15, 1, 7])
+    assert small.shard(source, number).tolist() == [int((small.ends[:, s] <= n).sum()) for s, n in zip(source, number)]
+    assert small.shard(source[:0], number[:0]).tolist() == []
+
+
 # ---- 3 licenses
 
 
@@ -175,6 +185,14 @@ def test_licenses(docs, rows, none):
 # ---- 4 language ID
 
 
+def test_sample_counts_copies_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(language_id.ByteNet, "train", lambda self, x, y: kept.append(len(x)) or self)
+    rows = [(i, "die eine und die andere seite", "de") for i in range(500)] + [(500 + i, f"word number {i}", "en") for i in range(3)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert kept == [4]
+
+
 def test_language(docs, rows, none, small):
     net = language_id.fit(small, ~language_id.held_out())
     truth = {r["doc_id"]: r["lang"] for r in small.collect()}
