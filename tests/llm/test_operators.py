@@ -195,6 +195,17 @@ def test_sample_counts_copies_once(spark, monkeypatch):
     assert kept == [4]
 
 
+def test_sample_of_few_texts_with_many_copies(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(language_id.ByteNet, "train", lambda self, x, y: kept.update(zip(self.langs, np.bincount(y, minlength=len(self.langs)).tolist())) or self)
+    # Texts of one window: 100 of 50 copies each, one of 5,000 copies, more distinct ones than are used, and 300 more labels.
+    rows = [(f"satz nummer {i % 100}", "de") for i in range(5000)] + [("toujours la meme", "fr")] * 5000
+    rows += [(f"word number {i}", "en") for i in range(2000)] + [("text", f"x{i}") for i in range(300)]
+    language_id.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string"), language_id.F.lit(True))
+    assert (kept["de"], kept["fr"], kept["en"]) == (100, 1, language_id.PER_LANG)
+    assert len(kept) == 303 and min(kept.values()) == 1
+
+
 def test_language(docs, rows, none, small):
     net = language_id.fit(small, ~language_id.held_out())
     truth = {r["doc_id"]: r["lang"] for r in small.collect()}

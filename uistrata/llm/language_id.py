@@ -20,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, kernels
@@ -158,7 +159,8 @@ def fit(docs: DataFrame, learn: Column) -> ByteNet | None:
     """Train on a bounded sample of the labelled rows that ``learn`` lets in."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select(F.xxhash64("text").alias("h"), "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "lang").limit(256).collect()}
+    # Distinct texts are counted, as only they are let in below; their hashes alone are shuffled.
+    sizes = {r["lang"]: r["count"] for r in rows.select("h", "lang").distinct().groupBy("lang").count().collect()}
     if not sizes:
         return None
     # A hash threshold for each language lets in about twice as many as are used; the least hashes are.
@@ -166,17 +168,13 @@ def fit(docs: DataFrame, learn: Column) -> ByteNet | None:
     part = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
     # Copies of one text count once, dropped map-side first: however many there are, no more rows than that reach the driver.
     near = rows.where(part < F.element_at(share, F.col("lang"))).dropDuplicates(["h", "lang"])
-    found = near.mapInArrow(_samples, "h bigint, lang string, x binary").collect()
+    least = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    found = near.mapInArrow(_samples, "h bigint, lang string, x binary").withColumn("least", least).where(F.col("least") <= PER_LANG)
     langs = sorted(sizes)
-    xs, ys = [], []
-    for i, lang in enumerate(langs):
-        own = sorted({(r["h"], bytes(r["x"])) for r in found if r["lang"] == lang})
-        keep = set(sorted({h for h, _ in own})[:PER_LANG])
-        own = [x for h, x in own if h in keep]
-        xs += own
-        ys += [i] * len(own)
-    x = np.frombuffer(b"".join(xs), np.uint8).reshape(-1, WINDOW)
-    return ByteNet(langs).train(x, np.array(ys))
+    sample = found.select("lang", "h", "x").toArrow().group_by(["lang", "h", "x"]).aggregate([])
+    sample = sample.sort_by([(name, "ascending") for name in ("lang", "h", "x")])
+    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.uint8).reshape(-1, WINDOW)
+    return ByteNet(langs).train(x, pc.index_in(sample["lang"], pa.array(langs)).to_numpy())
 
 
 def _predict(net):
