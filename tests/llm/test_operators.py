@@ -348,6 +348,16 @@ def test_gru(spark, docs, rows, none, small):
     assert gru_lm.score_documents(none).count() == 0
 
 
+def test_gru_learns_from_every_training_document(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1][:8]
+    table = lambda ids: spark.createDataFrame([(i, f"one two three {i}") for i in ids], "doc_id bigint, text string")
+    lexicon = spark.sparkContext.broadcast(gru_lm.lexicon_of(table(ids))[0])
+    fresh = gru_lm.Gru(lexicon.value).pack()
+    assert all(gru_lm.fit(table([i]), lexicon).pack() != fresh for i in [*ids, None])
+    held = [i for i in range(20) if i not in ids and zlib.crc32(str(i).encode()) % 5 == 1]
+    assert gru_lm.fit(table(held), lexicon).pack() == fresh
+
+
 def test_gru_is_a_distribution_and_its_gradient():
     rng = np.random.default_rng(0)
     counts = np.sort(rng.integers(1, 99, 3000))[::-1].copy()

@@ -11,10 +11,11 @@ tail, words follow their smoothed counts over the whole corpus, so the model is
 a distribution over the same events as the base.  Output biases begin at the
 corpus counts.
 
-Training.  In each of ``ROUNDS`` rounds every task trains a replica on its own
-part of a fixed share of the training documents (so the text learnt from grows
-with the corpus) by truncated backpropagation, state carried from window to
-window and reset at documents; replicas are averaged by their tokens.
+Training.  Every training document is learnt from once: a hash of its id gives
+it one of ``ROUNDS`` rounds, in each of which every task trains a replica on its
+own part of the round's documents by truncated backpropagation, state carried
+from window to window and reset at documents; replicas are averaged by their
+tokens.
 
 Scoring.  Whole documents run through parallel streams in windows; the state is
 carried across windows to the document's end.
@@ -43,8 +44,8 @@ TAIL_CLASS, END_CLASS = CLASSES, CLASSES + 1
 TAIL, END = SHORT, SHORT + 1
 #: Most words broadcast with their counts (16 bytes each).
 HEAD = 1 << 18
-#: One training document in so many is learnt from in each round.
-EVERY, ROUNDS = 16, 2
+#: Each training document is learnt from in one of so many rounds.
+ROUNDS = 16
 STREAMS, STEPS, TRAIN_STREAMS, TRAIN_STEPS = 256, 64, 32, 32
 RATE, CLIP, SEED = 0.1, 5.0, 11
 SLICE = 6 << 20
@@ -210,32 +211,50 @@ class Gru:
             d_out = np.zeros_like(s)
             d_out[some] = ds
             grads |= self._back(inputs, trace, live, d_out)
+            # Each token weighs alike: a window with few streams left, the end of a long text, moves the model less.
+            # Rows of ``wx`` whose gradient is 0 stay as they are, and so does their memory.
+            used = {"wx": np.flatnonzero(np.bincount(inputs.reshape(-1), minlength=SHORT + 2))}
             for k, g in grads.items():
-                g = g / n
+                g = g[used.get(k, slice(None))] / (TRAIN_STREAMS * TRAIN_STEPS)
                 norm = float(np.sqrt((g * g).sum()))
                 if norm > CLIP:
                     g *= CLIP / norm
-                memory[k] = memory.get(k, 1e-6) + g * g
-                getattr(self, k)[...] -= (RATE * g / np.sqrt(memory[k])).astype(np.float32)
+                if k not in memory:
+                    memory[k] = np.full(grads[k].shape, 1e-6, np.float32)
+                square = g * g
+                square += memory[k][used.get(k, slice(None))]
+                memory[k][used.get(k, slice(None))] = square
+                np.sqrt(square, out=square)
+                g *= RATE
+                g /= square
+                getattr(self, k)[used.get(k, slice(None))] -= g
         return seen
 
     def _back(self, inputs, trace, live, d_out) -> dict:
-        dxp = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-        du = np.zeros_like(self.u)
+        h, z, r, c, hun = (np.stack(x) for x in zip(*trace))
+        by_z = (h - c) * z * (1 - z)
+        by_c = (1 - z) * (1 - c * c)
+        by_r = by_c * hun * r * (1 - r)
+        by_h = by_c * r
+        g = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+        d = np.empty_like(d_out)
         dh = np.zeros_like(d_out[0])
+        back = np.ascontiguousarray(self.u.T)
         for t in range(len(trace) - 1, -1, -1):
-            h, z, r, c, hun = trace[t]
-            dh = dh + d_out[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            dr = dc * hun * r * (1 - r)
-            g = np.concatenate([dz, dr, dc * r], axis=1)
-            du += h.T @ g
-            dxp[t] = np.concatenate([dz, dr, dc], axis=1)
-            dh = (dh * z + g @ self.u.T) * live[t]
+            dh = np.add(dh, d_out[t], out=d[t])
+            np.multiply(dh, by_z[t], out=g[t, :, :HIDDEN])
+            np.multiply(dh, by_r[t], out=g[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dh, by_h[t], out=g[t, :, 2 * HIDDEN :])
+            dh = (dh * z[t] + g[t] @ back) * live[t]
+        du = h.reshape(-1, HIDDEN).T @ g.reshape(-1, 3 * HIDDEN)
+        # From here on ``g`` holds the gradients of the inputs' share: the candidate's without the reset gate.
+        np.multiply(d, by_c, out=g[:, :, 2 * HIDDEN :])
         dwx = np.zeros_like(self.wx)
-        np.add.at(dwx, inputs.reshape(-1), dxp.reshape(-1, 3 * HIDDEN))
-        return {"wx": dwx, "u": du, "b": dxp.sum(axis=(0, 1))}
+        ids = inputs.reshape(-1)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        dwx[ids[order[first]]] = np.add.reduceat(g.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        return {"wx": dwx, "u": du, "b": g.sum(axis=(0, 1))}
 
 
 def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]:
@@ -326,7 +345,7 @@ def fit(docs: DataFrame, lexicon) -> Gru:
     """Rounds of replica training and averaging."""
     spark = docs.sparkSession
     model = Gru(lexicon.value)
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(EVERY))
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(ROUNDS))
     for i in range(ROUNDS):
         weights = spark.sparkContext.broadcast(model.pack())
         part = docs.where(~held_out() & (turn == i)).select("text")
