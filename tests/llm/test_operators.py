@@ -184,6 +184,17 @@ def test_licenses(docs, rows, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_notices_side_by_side():
+    scanner = license_scan.Scanner()
+    for first, one in license_scan.NOTICES:
+        for second, two in license_scan.NOTICES:
+            for gap in (" ", ". ", " and "):
+                found = scanner.fuzzy(first + gap + second)
+                assert (0, len(first), one, 1.0) in found
+                assert (len(first + gap), len(first + gap + second), two, 1.0) in found
+    assert [f[2] for f in scanner.fuzzy("licensed under cc by-nc 4.0 licensed under cc by-sa 4.0")] == ["cc-by-nc-4.0", "cc-by-sa-4.0"]
+
+
 # ---- 4 language ID
 
 

@@ -15,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -90,14 +91,17 @@ class Scanner:
                 while at >= 0:
                     spots.add(at - offset)
                     at = text.find(piece, at + 1)
-            done = -1
-            for spot in sorted(spots):
-                lo, hi = max(0, spot - edits), spot + len(notice) + edits
-                if lo < done:
-                    continue
-                if m := pattern.search(text, lo, hi):
-                    found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(notice)))
-                    done = m.end()
+            spans = set()
+            for spot in spots:
+                if m := pattern.search(text, max(0, spot - edits), spot + len(notice) + edits):
+                    spans.add((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(notice)))
+            # Every seed is searched; of spans of one notice that overlap, the best stays.
+            kept = []
+            for span in sorted(spans, key=lambda f: (-f[3], f[0], f[1])):
+                at = bisect.bisect(kept, span)
+                if (not at or kept[at - 1][1] <= span[0]) and (at == len(kept) or span[1] <= kept[at][0]):
+                    kept.insert(at, span)
+            found += kept
         # A notice gives way to a better one that it overlaps (by-nc to by-sa, say).
         better = [f for f in found if not any(g[3] > f[3] and g[0] < f[1] and f[0] < g[1] for g in found)]
         return sorted(better)
