@@ -9,17 +9,22 @@ window is full; what is left of it seeds the next window.  The rest of a shard
 that fills no window is cut into powers of two, which need no padding: nothing
 is padded at all.
 
-Tokens are looked up by white-space separated chunk: the tokenizer never joins
-across white space, so a chunk has the same ids anywhere, and a bounded cache
-holds the chunks seen.
+Tokens are looked up by white-space separated chunk: a tokenizer that lower-cases
+and splits at white space never joins across it, so a chunk has the same ids
+anywhere, and a bounded cache holds the chunks seen.  A text that holds an added
+token of the file, in whatever case, is encoded whole; with a tokenizer of
+another kind (``chunked`` reads its file) every text is.
 
 Defined results: null and empty texts are the end id alone; rows are documents,
-repeated or not; special-token strings are read as the tokenizer file has it;
-an empty table gives an empty result; other columns are ignored.
+repeated or not; special-token strings are read as the tokenizer file has it; a
+text longer than a window is cut, a text longer than a shard is a shard of its
+own; equal scores go by place in the shard; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -82,6 +87,19 @@ def plain(data: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), np.diff(np.searchsorted(start, ends), prepend=0)
 
 
+#: The split of a tokenizer whose chunks ``plain`` may prepare.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def chunked(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases and splits as ``plain`` and ``Chunks`` take for granted."""
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    plain_bytes = len(parts) == 2 and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    split = plain_bytes and parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": _SPLIT} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    return bool(split and (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and spec["model"].get("type") == "BPE")
+
+
 class Chunks:
     """Token ids of texts by chunk, with a bounded cache."""
 
@@ -89,6 +107,11 @@ class Chunks:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.chunked = chunked(spec)
+        #: Added tokens are found before the text is lower-cased, so their texts must not be.
+        self.added = [kernels.LOWER[np.frombuffer(t["content"].encode(), np.uint8)].tobytes() for t in spec.get("added_tokens", [])]
         self.tokenizer, self.size = Tokenizer.from_file(path), size
         self.index, self.ids, self.first = _Index(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.hits = np.zeros(0, np.int64)
@@ -122,8 +145,28 @@ class Chunks:
         self.index.update((names[k], i) for i, k in enumerate(kept.tolist()))
         self.hits = np.zeros(len(kept), np.int64)
 
+    def whole(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that go to the tokenizer as they are."""
+        if not self.chunked:
+            return np.arange(len(off) - 1)
+        low, spots = kernels.LOWER[data].tobytes() if self.added else b"", []
+        for token in self.added:
+            at = low.find(token)
+            while at >= 0:
+                spots.append(at)
+                at = low.find(token, at + 1)
+        # A spot that runs from one text into the next does no harm: both ways give the same ids.
+        return np.unique(np.searchsorted(off, spots, side="right") - 1) if spots else np.zeros(0, np.int64)
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, END_ID last."""
+        out = self._by_chunk(data, off) if self.chunked else [None] * (len(off) - 1)
+        for i in self.whole(data, off).tolist():
+            ids = self.tokenizer.encode(data[off[i] : off[i + 1]].tobytes().decode(), add_special_tokens=False).ids
+            out[i] = np.array([*ids, END_ID], np.uint32)
+        return out
+
+    def _by_chunk(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         if len(self.index) > self.size:
             self._shrink()
         raw, counts = plain(data, off)
