@@ -18,10 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only in a local session that names none."""
     context = spark.sparkContext
     known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='uistrata-')}"
         context.setCheckpointDir(known)
         known = context.getCheckpointDir()
@@ -54,6 +56,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def unpacked(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
+    return df.select([F.col(f"{struct}.{quoted(c)}").alias(c) for c in columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

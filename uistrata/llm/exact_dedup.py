@@ -84,17 +84,25 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_exact(docs: DataFrame, *, heavy: int = HEAVY) -> DataFrame:
     """``docs`` without exact copies: the rows that stay, all columns.
 
-    Rows of one id whose texts differ in blanks only are copies as well: the longest stays.
+    Rows of one id and one normalised text are one document: the longest text
+    stays, of texts that tie in length the one of the largest hash, and of rows
+    whose other columns alone differ the last by those columns as JSON.  Null
+    texts count as empty and a null id as an id; columns of any type and name are
+    kept; long texts move once; an empty table gives an empty one.
     """
-    def key(doc_id, sha):
-        return [F.coalesce(F.col(doc_id), F.lit(common.NO_ID)).alias("_id"), sha.alias("_sha")]
-
-    kept = exact_groups(docs, heavy=heavy).where("kept").select(key("doc_id", F.col("text_sha256")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("*", *key("doc_id", F.sha2(F.translate(text, BLANKS, ""), 256)), F.length(text).alias("_n"))
-    # Joined and grouped by the same key: one exchange of the texts.
-    best = own.join(kept, ["_id", "_sha"]).groupBy("_id", "_sha").agg(F.max(F.struct("_n", *docs.columns)).alias("w"))
-    return best.select([F.col(f"w.`{c}`").alias(c) for c in docs.columns])
+    others = [F.col(common.quoted(c)) for c in docs.columns if c != "text"]
+    rest = F.to_json(F.struct(*others)) if others else F.lit("")
+    own = docs.select(
+        F.coalesce("doc_id", F.lit(common.NO_ID)).alias("id"),
+        F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256)).alias("sha"),
+        F.struct(F.length(text).alias("n"), F.xxhash64(text).alias("h"), rest.alias("rest")).alias("rank"),
+        common.packed(docs).alias("doc"),
+    )
+    # Copies of one row meet map-side first; grouped and joined by the same key, so the texts move once.
+    best = own.groupBy("id", "sha").agg(F.max_by("doc", "rank").alias("doc"))
+    kept = exact_groups(docs, heavy=heavy).where("kept").select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("id"), F.unhex("text_sha256").alias("sha")).distinct()
+    return common.unpacked(best.join(kept, ["id", "sha"], "left_semi"), "doc", docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
