@@ -17,10 +17,18 @@ out early by size and by a 128-bit sketch (a bit of each coordinate; a pair at
 the threshold fails it about once in a million).  All links are confirmed on
 whole sets.
 
+Odd sketch.  A third sketch is a row of ``ODD`` bits of which every shingle flips
+one.  Where two of them differ, so many shingles at least are in one set only, so
+more than a seventh of both sizes rules a pair out without a loss.  It tells
+families just under the threshold, whose texts share all their frequent shingles,
+from links before any set is read; texts of some thousands of words fill it, and
+for those the bits of the coordinates decide alone.
+
 Defined results: null and empty texts, and texts of blanks only, have an empty
 set and link with nothing; a document of fewer than five words has one shingle,
 its whole sequence; rows with the same id and text are copies; a null id sorts
-last; other columns are ignored.
+last; a text of any length is one set; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +48,10 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 #: Of 128 sketch bits: 16 differ on average at the threshold, standard deviation 3.7.
 MOST_BITS = 34
-_SIGN = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, s1 bigint, s2 bigint, bands array<bigint>"
+#: Bits of the odd sketch, a multiple of 64.
+ODD = 1024
+ODD_COLS = [f"o{i}" for i in range(ODD // 64)]
+_SIGN = "doc_id bigint, k_text bigint, n_shingles bigint, f1 bigint, f2 bigint, s1 bigint, s2 bigint, bands array<bigint>"
 _ROW = ["cid", "m", "s1", "s2"]
 
 
@@ -104,15 +115,28 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T), bands],
-                ["doc_id", "n_shingles", "f1", "f2", "s1", "s2", "bands"],
+                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("k_text").slice(lo, hi - lo), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T), bands],
+                ["doc_id", "k_text", "n_shingles", "f1", "f2", "s1", "s2", "bands"],
             )
 
 
+def odd_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(sets x words) bits: each value of a set flips one.  Some sets at a time: a set takes a counter for each bit."""
+    n = len(first) - 1
+    out = np.zeros((n, ODD // 64), np.int64)
+    for lo in range(0, n, 2048):
+        part = first[lo : lo + 2049]
+        row = np.repeat(np.arange(len(part) - 1), np.diff(part)) * ODD
+        cell = row + (kernels.mix(values[part[0] : part[-1]] ^ np.uint64(0x5EED)) % np.uint64(ODD)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=(len(part) - 1) * ODD) & 1).astype(np.uint8)
+        out[lo : lo + len(part) - 1] = np.packbits(odd.reshape(-1, ODD), axis=1, bitorder="little").view(np.int64)
+    return out
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, f1, f2, text) to (cid, shingles), where the set is the class's."""
+    """(cid, f1, text) to (cid, shingles, odd sketch), where the set is the class's."""
     for batch in batches:
-        for lo, hi in kernels.slices(batch.column("text")):
+        for lo, hi in kernels.slices(batch.column("text"), 1 << 20):
             part = batch.slice(lo, hi - lo)
             values, first = shingle_sets(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
@@ -121,29 +145,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (some := np.flatnonzero(size)).size:
                 f1[some] = np.add.reduceat(kernels.mix(values), first[:-1][some])
             same = pa.array(f1.view(np.int64) == part.column("f1").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([part.column("cid"), lists], ["cid", "shingles"]).filter(same)
+            bits = [pa.array(np.ascontiguousarray(x)) for x in odd_sketches(values, first).T]
+            yield pa.RecordBatch.from_arrays([part.column("cid"), lists, *bits], ["cid", "shingles", *ODD_COLS]).filter(same)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, k_text, n_shingles, component_id and ``label`` (of the component, null for an empty set) for every row."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_text"), "text")
     signed = common.stored(docs.mapInArrow(_sign, _SIGN), "signatures")
     key = ["n_shingles", "f1", "f2"]
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("s1", "s2", "bands")])
     classes = common.stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     rows = classes.select(F.explode("bands").alias("key"), "cid", F.col("n_shingles").alias("m"), "s1", "s2")
     members = common.stored(_met(rows), "buckets")
-    common.release(spark)
+    common.release(docs.sparkSession)
     labels = _linked(docs, classes, members)
     # Class labels to the smallest document id of their component.
     named = classes.select(*key, "cid", "rep").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    final = named.join(least, "label").select(*[F.col(c).alias(f"c_{c}") for c in key], "component_id")
+    final = named.join(least, "label").select(*[F.col(c).alias(f"c_{c}") for c in key], "component_id", "label")
     same = [signed[c] == final[f"c_{c}"] for c in key]
     out = signed.drop("bands", "s1", "s2").join(final, same, "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "k_text", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    out = _grouped(docs)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -157,7 +186,8 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFram
     spark = docs.sparkSession
     involved = members.select("cid").distinct().join(classes.select("cid", "rep", "f1"), "cid")
     texts = docs.join(involved, F.coalesce("doc_id", F.lit(common.NO_ID)) == F.coalesce("rep", F.lit(common.NO_ID)))
-    sets = common.stored(texts.select("cid", "f1", "text").mapInArrow(_sets, "cid bigint, shingles array<bigint>").dropDuplicates(["cid"]), "sets")
+    schema = f"cid bigint, shingles array<bigint>, {', '.join(f'{c} bigint' for c in ODD_COLS)}"
+    sets = common.stored(texts.select("cid", "f1", "text").mapInArrow(_sets, schema).dropDuplicates(["cid"]), "sets")
     common.release(spark)
     edges = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "v bigint, label bigint")
@@ -180,24 +210,33 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     Shingles are put in order of their frequency in these sets, rarest first.  Of
     m shingles the larger set shows m - ceil(3m/4) + 1 and the smaller one
-    m - ceil(6m/7) + 1; alike sets have one of those in common.
+    m - ceil(6m/7) + 1; alike sets have one of those in common.  Shingles of one
+    set alone take their places and are then left out.
     """
-    each = rows.join(sets, "cid").select(*_ROW, "comp", F.explode("shingles").alias("key"))
+    each = rows.join(sets.select("cid", "shingles"), "cid").select("cid", "m", "comp", F.explode("shingles").alias("key"))
     ranked = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key")
-    ranked = ranked.groupBy(*_ROW, "comp").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("o"))
+    ranked = ranked.groupBy("cid", "m", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("o"))
     m = F.col("m")
     probe, index = (m - F.ceil(m * 3 / 4) + 1).cast("int"), m - F.ceil(m * 6 / 7) + 1
-    shown = ranked.select(F.posexplode(F.slice("o", 1, probe)).alias("at", "k"), *_ROW, "comp", index.alias("short"))
-    shown = common.stored(shown.select(F.col("k.key").alias("key"), (F.col("at") < F.col("short")).alias("short"), (F.col("m") - F.col("at")).alias("rest"), *_ROW, "comp"), "prefixes")
-    one = shown.where("short").select("key", F.struct("comp", "rest", *_ROW).alias("a"))
-    two = shown.select("key", F.struct("comp", "rest", *_ROW).alias("b"))
+    shown = ranked.select(F.posexplode(F.slice("o", 1, probe)).alias("at", "k"), "cid", "m", "comp", index.alias("short")).where("k.df > 1")
+    shown = shown.select(F.col("k.key").alias("key"), (F.col("at") < F.col("short")).alias("short"), (F.col("m") - F.col("at")).alias("rest"), "cid", "comp")
+    marks = rows.select(*_ROW).join(sets.select("cid", *ODD_COLS), "cid")
+    shown = common.stored(shown.join(marks, "cid"), "prefixes")
+    one = shown.where("short").select("key", F.struct("comp", "rest", *_ROW, *ODD_COLS).alias("a"))
+    two = shown.select("key", F.struct("comp", "rest", *_ROW, *ODD_COLS).alias("b"))
     # Shingles from a shared one on: alike sets have 3/7 of both sizes in common, so each has as many left.
     room = 7 * F.least("a.rest", "b.rest") >= 3 * (F.col("a.m") + F.col("b.m"))
     smaller = F.struct("a.m", "a.cid") < F.struct("b.m", "b.cid")
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a.comp") != F.col("b.comp")) & smaller & room & _likely("a.", "b."))
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a.comp") != F.col("b.comp")) & smaller & room & _likely("a.", "b.") & _apart("a.", "b."))
     return pairs.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))
 
 
+def _apart(a: str, b: str):
+    """Whether the odd sketches leave room for a link: alike sets differ in a seventh of both sizes at most."""
+    bits = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ODD_COLS)
+    return 7 * bits <= F.col(f"{a}m") + F.col(f"{b}m")
+
+
 def _likely(a: str, b: str):
     """Whether two rows (structs with m, s1, s2) can be alike enough."""
     m_a, m_b = F.col(f"{a}m"), F.col(f"{b}m")
@@ -231,9 +270,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, all columns."""
-    keep = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("_keep")).distinct()
-    return docs.join(keep, F.coalesce("doc_id", F.lit(common.NO_ID)) == F.col("_keep"), "left_semi")
+    """``docs`` with one document of each near-duplicate group, all columns.
+
+    A document is an id with a text: of rows that agree in both one stays (the
+    last by the other columns as JSON).  Of a group the smallest id stays, of its
+    texts the one of the smallest hash; a null id comes last.  Null, empty and
+    blank texts link with nothing, so each of their ids stays.  Columns of any
+    type and name are kept, and an empty table gives an empty one.
+    """
+    rows = _grouped(docs).select(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(common.NO_ID)).alias("id"), "k_text", "label")
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("last", "id", "k_text")).alias("w")).select("w.id", "w.k_text")
+    keep = first.unionByName(rows.where("label is null").select("id", "k_text").distinct())
+    others = [F.col(common.quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(common.NO_ID)).alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_text"),
+        (F.to_json(F.struct(*others)) if others else F.lit("")).alias("rank"),
+        common.packed(docs).alias("doc"),
+    )
+    best = own.groupBy("id", "k_text").agg(F.max_by("doc", "rank").alias("doc"))
+    return common.unpacked(best.join(keep, ["id", "k_text"], "left_semi"), "doc", docs.columns)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
