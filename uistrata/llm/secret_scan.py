@@ -4,13 +4,18 @@ Every historical version of a path is content-addressed.  The ledger, a folder
 of Parquet files, holds what was found in a blob by a version of the rules;
 only blobs without an entry for the current rule version are scanned, each once
 however many paths and versions hold it, and findings are joined back to all.
+The rule version is a hash of the rules, so changed rules never meet old findings.
 
-Plan: one exchange moves each distinct unseen text once (copies are dropped
-map-side first), findings are small rows joined back by blob id.
+Plan: one exchange moves each distinct text once (copies are dropped map-side
+first) to where the ledger's blobs are looked up; findings are small rows joined
+back by blob id.  A blob that two scans append at once counts once.
 
 Defined results: null text counts as empty; offsets in code points, end
-exclusive; rows with the same path are separate versions; an empty table gives
-an empty result; other columns are ignored.
+exclusive; rows with the same path are separate versions, repeated rows too;
+spans of one kind never overlap, those of different kinds may, and go by start,
+then kind; every pattern reads a text in time in proportion to its length; an
+empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,30 +26,49 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, kernels
 
-#: Raise when rules change: blobs are then scanned again.
-RULES = "1"
 #: Base kinds, in the order that breaks ties; the method's own kinds follow.
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
+LEAST = {"assign": 12, "access": 18}
 _NAMES = ("passw", "secret", "token", "api")
 #: The method's own kinds: literal that must be in the text, pattern.
 OWN = {
     "private_key": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
-    "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    # Starts where a run of its characters starts, so no run is read twice.
+    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "forge_token": ("gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     "chat_token": ("xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     "map_key": ("AIza", re.compile(r"AIza[0-9A-Za-z_-]{35}")),
-    "url_login": ("://", re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@[^\s/]+")),
+    # From the colon on; the scheme, of SCHEME characters at most, is looked for before it.
+    "url_login": ("://", re.compile(r"://[^\s/:@]+:[^\s/:@]+@[^\s/]+")),
 }
+_SCHEME, SCHEME = re.compile(r"[a-z][a-z0-9+.-]*\Z"), 32
 KINDS = (*BASE, *OWN)
 _RANK = {k: i for i, k in enumerate(KINDS)}
+def version(own: dict) -> str:
+    """A hash of all rules: other rules, another version."""
+    base = [_ASSIGN.pattern, _ACCESS.pattern, _HEX_RUN.pattern, LEAST, _SCHEME.pattern, SCHEME]
+    return hashlib.sha256(repr([*base, [(k, x, p.pattern) for k, (x, p) in own.items()]]).encode()).hexdigest()[:16]
+
+
+RULES = version(OWN)
+
+
+def _logins(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """URLs with a name and a password: scheme found backwards from the colon."""
+    done = 0
+    for m in pattern.finditer(text):
+        low = max(done, m.start() - SCHEME)
+        if scheme := _SCHEME.search(text[low : m.start()]):
+            done = m.end()
+            yield low + scheme.start(), done, "url_login"
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -52,14 +76,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
     spans = []
     low = text.lower()
     if any(x in low for x in _NAMES):
-        spans += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
+        spans += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
-        spans += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
+        spans += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     # The long matches of [0-9a-f]+ are its maximal runs, so they can be asked for directly.
     spans += [(m.start(), m.end(), "hex") for m in _HEX_RUN.finditer(text)]
     for kind, (literal, pattern) in OWN.items():
         if literal in text:
-            spans += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+            spans += _logins(text, pattern) if kind == "url_login" else [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return sorted(spans, key=lambda s: (s[0], _RANK[s[2]]))
 
 
@@ -88,29 +112,44 @@ class Ledger:
         self.files = f"{self.path}/rules={rules}"
 
     def findings(self) -> DataFrame:
-        """What is known under this rule version."""
+        """What is known under this rule version, a row per blob."""
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.files)
         if target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            return self.spark.read.schema(_FOUND).parquet(self.files)
+            return self.spark.read.schema(_FOUND).parquet(self.files).dropDuplicates(["blob"])
         return self.spark.createDataFrame([], _FOUND)
 
-    def scan(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", fresh: bool = False) -> DataFrame:
-        """Add unseen blobs of ``versions`` to the ledger, then give each version its findings.
-
-        ``fresh``: the ledger is known to be empty, so nothing is looked up.
-        """
+    def add(self, versions: DataFrame, text_col: str = "text") -> None:
+        """Scan the blobs of ``versions`` that the ledger has not, and append what is found."""
         text = F.coalesce(F.col(text_col), F.lit(""))
-        rows = versions.select(F.col(id_col), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
-        unseen = rows.select("blob", "text")
-        if not fresh:
-            unseen = unseen.join(self.findings().select("blob"), "blob", "left_anti")
-        unseen.dropDuplicates(["blob"]).mapInArrow(_scan, _FOUND).write.mode("append").option("compression", "zstd").parquet(self.files)
-        return rows.select(id_col, "blob").join(self.findings(), "blob")
+        blobs = versions.select(_blob(text_col), text.alias("text")).dropDuplicates(["blob"])
+        unseen = blobs.join(self.findings().select("blob"), "blob", "left_anti")
+        unseen.mapInArrow(_scan, _FOUND).write.mode("append").option("compression", "zstd").parquet(self.files)
+
+    def report(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Findings of every version whose blob is known."""
+        return versions.select(F.col(id_col), _blob(text_col)).join(self.findings(), "blob")
+
+    def scan(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Add the unseen blobs of ``versions``, then give each version its findings."""
+        self.add(versions, text_col)
+        return self.report(versions, id_col, text_col)
+
+
+def _blob(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob")
+
+
+def history(docs: DataFrame, id_col: str = "doc_id") -> list[DataFrame]:
+    """A table as two pushes, one after the other, that together are all of it: rows of odd and of even hash."""
+    push = F.pmod(F.xxhash64(id_col), F.lit(2))
+    return [docs.where(push == i) for i in (0, 1)]
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first scan: the ledger is new, so every distinct blob is unseen."""
+    """Two pushes to one ledger, the second of which scans only what the first had not; findings of all rows."""
+    docs = common.documents(spark, sf_dir)
     ledger = Ledger(spark, f"{common.shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-    found = ledger.scan(common.documents(spark, sf_dir), fresh=True)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    for push in history(docs):
+        ledger.add(push)
+    return ledger.report(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
