@@ -8,9 +8,11 @@ with bounded errors, verify the edits and give the span.
 
 Work is map-side only: no shuffle, memory of a slice of a batch.
 
-Defined results: null text counts as empty; places in characters of the
-lower-cased text; a text without findings has score 0 and empty labels; other
-columns are ignored.
+Defined results: null text counts as empty; spans in code points of the text as
+it is; a text without findings has score 0 and empty labels; of notices that
+overlap the likelier stay, equally likely ones all do; repeated rows are rows;
+time grows with the length of a text and the number of its findings; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +84,8 @@ class Scanner:
                 found += [(m.start(), label) for m in pattern.finditer(low)]
         return found
 
-    def fuzzy(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, label, likeness) of notices within their edits, in the folded text."""
-        found = []
+    def matches(self, text: str) -> Iterator[list[tuple[int, int, str, float]]]:
+        """Per notice, the (start, end, label, likeness) found in the folded text; those that overlap are one."""
         for notice, label, edits, parts, pattern in self.notices:
             spots = set()
             for offset, piece in parts:
@@ -101,10 +103,45 @@ class Scanner:
                 at = bisect.bisect(kept, span)
                 if (not at or kept[at - 1][1] <= span[0]) and (at == len(kept) or span[1] <= kept[at][0]):
                     kept.insert(at, span)
-            found += kept
-        # A notice gives way to a better one that it overlaps (by-nc to by-sa, say).
-        better = [f for f in found if not any(g[3] > f[3] and g[0] < f[1] and f[0] < g[1] for g in found)]
-        return sorted(better)
+            yield kept
+
+    def fuzzy(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, likeness) of notices within their edits, in the folded text.
+
+        A notice gives way to a likelier one that it overlaps (by-nc to by-sa, say).
+        """
+        found = sorted((f for kept in self.matches(text) for f in kept), key=lambda f: (-f[3], f[0], f[1], f[2]))
+        starts, ends, out = [], [], []  # what likelier notices cover, as ranges apart from one another
+        for _, equal in groupby(found, key=lambda f: f[3]):
+            equal = list(equal)
+            for f in equal:
+                at = bisect.bisect_left(starts, f[1])
+                if not at or ends[at - 1] <= f[0]:
+                    out.append(f)
+            for a, b, *_ in equal:
+                lo, hi = bisect.bisect_left(ends, a), bisect.bisect_right(starts, b)
+                if lo < hi:
+                    a, b = min(a, starts[lo]), max(b, ends[hi - 1])
+                starts[lo:hi], ends[lo:hi] = [a], [b]
+        return sorted(out)
+
+
+_BLANK = re.compile(r"[\x00-\x20]+")
+
+
+def unfolded(text: str, spans: list[tuple]) -> list[tuple]:
+    """Spans of a text with its runs of blanks folded, in places of the text itself."""
+    folded, more, gone = [], [], 0
+    for m in _BLANK.finditer(text):
+        folded.append(m.start() - gone)
+        gone += m.end() - m.start() - 1
+        more.append(gone)
+
+    def place(at: int) -> int:
+        i = bisect.bisect_left(folded, at)
+        return at + (more[i - 1] if i else 0)
+
+    return [(place(s), place(e - 1) + 1, *rest) for s, e, *rest in spans]
 
 
 _scanner: Scanner | None = None
@@ -113,7 +150,6 @@ _scanner: Scanner | None = None
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     global _scanner
     _scanner = _scanner or Scanner()
-    blank = re.compile(r"[\x00-\x20]+")
     for batch in batches:
         for lo, hi in kernels.slices(batch.column("text")):
             data, off = kernels.column_bytes(batch.column("text").slice(lo, hi - lo))
@@ -125,7 +161,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (a, b) in enumerate(zip(off.tolist(), off[1:].tolist())):
                 text = raw[a:b]
                 base = _scanner.base(text)
-                found = _scanner.fuzzy(blank.sub(" ", text.decode()))
+                whole = text.decode()
+                found = _scanner.fuzzy(_BLANK.sub(" ", whole))
+                found = unfolded(whole, found) if found else found
                 at = np.searchsorted(start, a + np.array([x for x, _ in base], np.int64)) - first[i]
                 names = {label for _, label in base}
                 n_base.append(len(base))
@@ -155,10 +193,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """A row per document: base places, labels, and ``notices``, the fuzzy spans found.
-
-    Spans count characters of the text with runs of blanks and controls folded to one space.
-    """
+    """A row per document: base places, labels, and ``notices``, the fuzzy spans found, in code points of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices array<struct<start:bigint,end:bigint,label:string,likeness:double>>"
     return docs.select("doc_id", "text").mapInArrow(_scan, schema)
