@@ -8,18 +8,23 @@ parts: of the short windows inside a full one only the least by hash stands for
 it (a minimiser), and equal full windows have the same one, so a level ships
 one row in a dozen words and loses nothing.
 
-1. Exact copies are set aside by a hash of their words: all windows of such a
-   document repeat, and one copy stands in for the rest with weight two.
+1. Exact copies are set aside by 128 bits of their words: all windows of such a
+   document repeat, and one copy stands in for the rest with weight two.  Groups
+   that hold a ``HEAVY``-th of the rows are few, so they go to the rows.
 2. Level 1: (hash) is counted map-side and shuffled; repeated hashes are joined
    back to (hash, document, place).  Both exchanges are plain join inputs, which
    adaptive execution may split, so one hot passage is no single task.
 3. Later levels read the text of documents with candidates only.
-4. Repeated full windows are merged to word ranges per document, and the kept
+4. Full windows are equal if 128 bits of their words are: the 64 that named the
+   candidates and 64 of a second chain over the words, so that 10^13 windows
+   hold no false pair (one in 10^12 such tables would).
+5. Repeated full windows are merged to word ranges per document, and the kept
    words are written out.
 
 Defined results: null, empty and blank texts have no words; a document of fewer
-than 35 words keeps all; two rows with the same id and text are two documents;
-other columns are ignored.
+than 35 words keeps all; two rows with the same id and text are two documents,
+whose windows repeat; a text of any length is read whole; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ from . import common, kernels
 FULL = 35
 #: Window lengths of the levels; the last is the full length.
 LEVELS = (9, 18, FULL)
+#: A group of copies is heavy if it holds one in so many rows: there are no more of them than that.
+HEAVY = 4096
 _KEY = "k_id bigint, k_text bigint"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -66,26 +73,38 @@ def chosen(h: np.ndarray, size: int, starts: np.ndarray | None = None, full: int
     return parts, at if starts is None else at[starts]
 
 
+def second(h: np.ndarray) -> np.ndarray:
+    """Word hashes of the second chain."""
+    return kernels.mix(h ^ np.uint64(0x3C79AC492BA7B653))
+
+
+def whole_hash(h: np.ndarray) -> np.uint64:
+    """One number for a sequence of word hashes."""
+    return np.bitwise_xor.reduce(kernels.mix(h + kernels.mix(np.arange(len(h), dtype=np.uint64)))) if len(h) else np.uint64(0)
+
+
 def _words(column: pa.Array):
     w = kernels.words(*kernels.column_bytes(column))
     return w, w.first.tolist()
 
 
 def _first_level(size: int, full: int):
-    """Documents to (key, n_words, whole hash, hashes and places of the windows that stand for full ones)."""
+    """Documents to (key, n_words, two whole hashes, hashes, checks and places of the windows that stand for full ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in kernels.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 w, first = _words(part.column("text"))
-                whole, hashes, places = [], [], []
+                whole, again, hashes, checks, places = [], [], [], [], []
                 for a, b in zip(first, first[1:]):
                     h = w.hash[a:b]
-                    whole.append(np.bitwise_xor.reduce(kernels.mix(h + kernels.mix(np.arange(b - a, dtype=np.uint64)))) if b > a else np.uint64(0))
+                    whole.append(whole_hash(h))
+                    again.append(whole_hash(second(h)))
                     parts, at = chosen(h, size, None, full)
                     at = np.unique(at)
                     hashes.append(parts[at])
+                    checks.append(_checks(h, at, size, full))
                     places.append(at)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -94,15 +113,28 @@ def _first_level(size: int, full: int):
                         part.column("k_text"),
                         pa.array(np.diff(w.first)),
                         pa.array(np.array(whole, np.uint64).view(np.int64)),
+                        pa.array(np.array(again, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes).view(np.int64))),
+                        _check_lists(checks, ends, size, full),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype(np.int32))),
                     ],
-                    ["k_id", "k_text", "n_words", "whole", "hashes", "places"],
+                    ["k_id", "k_text", "n_words", "whole", "again", "hashes", "checks", "places"],
                 )
 
     return run
 
 
+def _checks(h: np.ndarray, at: np.ndarray, size: int, full: int) -> np.ndarray:
+    """Hashes of the second chain of full windows; short ones need none."""
+    return kernels.window_hashes(second(h), full)[at] if size == full and len(at) else np.zeros(0, np.uint64)
+
+
+def _check_lists(checks: list[np.ndarray], ends: np.ndarray, size: int, full: int) -> pa.Array:
+    if size == full:
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(checks).view(np.int64)))
+    return pa.nulls(len(ends) - 1, pa.list_(pa.int64()))
+
+
 def _flat(runs: np.ndarray) -> np.ndarray:
     """[first, last, first, last ...] to all numbers in those ranges."""
     return kernels.ranges(runs[0::2], runs[1::2] - runs[0::2] + 1)
@@ -130,7 +162,7 @@ def _next_level(before: int, size: int, full: int):
                 part = batch.slice(lo, hi - lo)
                 w, first = _words(part.column("text"))
                 survivors, ranges, ids = [part.column(c) for c in ("survivors", "starts", "weight")]
-                rows, hashes, places, spans = [], [], [], []
+                hashes, checks, places, spans = [], [], [], []
                 for i, (a, b) in enumerate(zip(first, first[1:])):
                     h = w.hash[a:b]
                     starts = np.arange(len(h) - full + 1) if not ranges[i].is_valid else _flat(np.array(ranges[i].as_py(), np.int64))
@@ -138,8 +170,8 @@ def _next_level(before: int, size: int, full: int):
                     starts = starts[np.isin(at, np.array(survivors[i].as_py(), np.int64))]
                     parts, at = chosen(h, size, starts, full)
                     at = np.unique(at)
-                    rows.append(np.full(len(at), i))
                     hashes.append(parts[at])
+                    checks.append(_checks(h, at, size, full))
                     places.append(at)
                     spans.append(to_ranges(starts).astype(np.int32))
                 take = pa.array(np.arange(len(spans)))
@@ -152,9 +184,10 @@ def _next_level(before: int, size: int, full: int):
                         ids.take(take),
                         pa.ListArray.from_arrays(pa.array(runs), pa.array(np.concatenate(spans).astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes).view(np.int64))),
+                        _check_lists(checks, ends, size, full),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype(np.int32))),
                     ],
-                    ["k_id", "k_text", "weight", "starts", "hashes", "places"],
+                    ["k_id", "k_text", "weight", "starts", "hashes", "checks", "places"],
                 )
 
     return run
@@ -199,36 +232,52 @@ def _cut(full: int):
     return run
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows (key, weight, hashes, places) to (key, survivors): places of windows that repeat."""
-    each = rows.select("k_id", "k_text", "weight", F.explode(F.arrays_zip("hashes", "places")).alias("w"))
-    each = each.select("k_id", "k_text", "weight", F.col("w.hashes").alias("h"), F.col("w.places").alias("at"))
+def _repeated(rows: DataFrame, exact: bool) -> DataFrame:
+    """Rows (key, weight, hashes, checks, places) to (key, survivors): places of windows that repeat, in both hashes if ``exact``."""
+    lists, by = (["hashes", "checks", "places"], ["h", "check"]) if exact else (["hashes", "places"], ["h"])
+    each = rows.select("k_id", "k_text", "weight", F.explode(F.arrays_zip(*lists)).alias("w"))
+    each = each.select("k_id", "k_text", "weight", F.col("w.hashes").alias("h"), *([F.col("w.checks").alias("check")] if exact else []), F.col("w.places").alias("at"))
     # Stored, so that the join reads two plain exchanges, whose large partitions adaptive execution splits.
-    again = common.stored(each.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h"), "again")
-    return each.join(again, "h").groupBy("k_id", "k_text").agg(F.collect_list("at").alias("survivors"))
+    again = common.stored(each.groupBy(*by).agg(F.sum("weight").alias("n")).where("n > 1").select(*by), "again")
+    return each.join(again, by).groupBy("k_id", "k_text").agg(F.collect_list("at").alias("survivors"))
+
+
+def _copies(rows: DataFrame, full: int) -> DataFrame:
+    """(key, stands): documents with a whole copy, and whether a row stands for its group.
+
+    Groups are counted map-side first.  Heavy ones, ``HEAVY`` at most by their
+    definition, are broadcast to the rows; the others take an ordinary join.
+    """
+    key = ["whole", "again", "n_words"]
+    long = rows.where(F.col("n_words") >= full).select("k_id", "k_text", *key)
+    counted = long.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k_id", "k_text")).alias("one")).where("n > 1")
+    groups = common.stored(counted, "groups")
+    least = max(64, -(-rows.count() // HEAVY))
+    heavy, light = groups.where(F.col("n") >= least), groups.where(F.col("n") < least)
+    marks = F.broadcast(heavy)
+    met = long.join(marks, key).unionByName(long.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key))
+    return met.select("k_id", "k_text", F.struct("k_id", "k_text").eqNullSafe(F.col("one")).alias("stands")).distinct()
 
 
 def repeated_windows(docs: DataFrame, *, full: int = FULL, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(key, all_gone: whole copies) and (key, survivors: starts of repeated full windows)."""
     spark = docs.sparkSession
     keyed = docs.select(*common.row_key(), F.coalesce("text", F.lit("")).alias("text"))
-    schema = f"{_KEY}, n_words bigint, whole bigint, hashes array<bigint>, places array<int>"
-    rows = common.stored(keyed.mapInArrow(_first_level(levels[0], full), schema), "level")
+    lists = "hashes array<bigint>, checks array<bigint>, places array<int>"
+    rows = common.stored(keyed.mapInArrow(_first_level(levels[0], full), f"{_KEY}, n_words bigint, whole bigint, again bigint, {lists}"), "level")
     # Copies: one stands in for all, with weight two.
-    groups = rows.where(F.col("n_words") >= full).groupBy("whole", "n_words").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k_id", "k_text")).alias("one")).where("n > 1")
-    copies = common.stored(rows.select("k_id", "k_text", "whole", "n_words").join(groups, ["whole", "n_words"]).select("k_id", "k_text", F.struct("k_id", "k_text").eqNullSafe(F.col("one")).alias("stands")).distinct(), "copies")
+    copies = common.stored(_copies(rows, full), "copies")
     joined = rows.join(copies, ["k_id", "k_text"], "left").where("stands is null or stands")
     joined = joined.withColumn("weight", F.when(F.col("stands"), 2).otherwise(1))
-    level = joined.select("k_id", "k_text", "weight", "hashes", "places", F.lit(None).cast("array<int>").alias("starts"))
+    level = joined.select("k_id", "k_text", "weight", "hashes", "checks", "places", F.lit(None).cast("array<int>").alias("starts"))
     for size, longer in zip(levels, (*levels[1:], None)):
-        alive = common.stored(_repeated(level), "alive")
+        alive = common.stored(_repeated(level, size == full), "alive")
         common.release(spark)
         if longer is None or not alive.limit(1).count():
             break
         info = alive.join(level.select("k_id", "k_text", "weight", "starts").distinct(), ["k_id", "k_text"])
         with_text = keyed.join(info, ["k_id", "k_text"])
-        out = f"{_KEY}, weight int, starts array<int>, hashes array<bigint>, places array<int>"
-        level = common.stored(with_text.mapInArrow(_next_level(size, longer, full), out), "level")
+        level = common.stored(with_text.mapInArrow(_next_level(size, longer, full), f"{_KEY}, weight int, starts array<int>, {lists}"), "level")
         common.release(spark)
     return copies.select("k_id", "k_text").distinct().withColumn("all_gone", F.lit(True)), alive
 
