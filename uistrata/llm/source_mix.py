@@ -1,25 +1,31 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree.
 
-The words of a source, document after document, are cut into blocks of
-``BLOCK`` words.  A source's target becomes a quota of block draws: whole passes
-over all blocks first, the rest drawn without replacement.  The quotas of all
-sources are split exactly among output shards by a binary tree: each node
-divides its draws between its two sides by a multivariate hypergeometric draw.
-A leaf so gets a run of each source's draws; draws are blocks in permuted order
-(a keyed Feistel permutation, computed per block and stored nowhere), hence
-disjoint between shards, and every shard is shuffled locally.  The number of
+Every document is cut into blocks of its source's block size (``BLOCK`` words, or
+fewer in a source so small that a block would be more than a 1,024th of it).  A
+pass over a source draws its blocks in the order of a keyed hash; a second pass
+has another key.  A source's quota is the number of draws, first pass then
+second, that reaches its target; the last block drawn is cut, so the target is
+met to a word.  The quotas of all sources are split exactly among output shards
+by a binary tree: each node divides its draws between its two sides by a
+multivariate hypergeometric draw.  A leaf so gets a run of each source's draws:
+disjoint, permuted blocks.  Every shard is shuffled locally.  The number of
 shards grows with the mix, so that a shard stays small enough to sort in a task.
 
-Only numbers move: sizes are laid out by (source, doc_id) in one range exchange,
-a running total within a task plus the totals of the tasks before it gives each
-document its place, and the rest is arithmetic per document.  A hot source is
-spread over many tasks.  To the driver come sums per (task, source): their
-number is at most tasks + sources, and sources are held to ``MAX_SOURCES``.
-
-Defined results: null text has size 0; a null source is a source and comes last;
-a source without words has target 0; the result depends on the rows only, not on
-their order; rows with the same id and text are two documents; other columns
-are ignored.
+Plan.  Texts are read to count words; then only numbers move: (source, hash) of
+all blocks in one range exchange, running totals within a task plus the totals of
+the tasks before it, and the hashes that stand at the tree's bounds, a table of
+shards and sources that goes to the tasks.  With it, each task of a second scan
+knows the shard of each of its blocks and cuts the texts; they move once, to
+their shards.  A hot source is spread over many tasks.  To the driver come sums
+per (task, source): at most tasks + sources, and sources are held to
+``MAX_SOURCES``.
+
+Defined results: null text has size 0 and is not drawn; a null source is a source
+and comes last; a source without words has target 0; the result depends on the
+rows only, not on their order; rows that agree in id, source and text have the
+same hashes, so they are taken alike (a block that their target cuts is cut in
+each); a document of any length is cut into blocks; an empty table gives an
+empty mix; other columns are carried, whatever their types and names.
 """
 
 from __future__ import annotations
@@ -36,13 +42,18 @@ from . import common, kernels
 
 #: Weights repeat in this order; the mix is this share of all words; a target stops at so many times its source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-BLOCK, SEED = 64, 77
+#: Words of a block, and how many blocks a source has at least before it gets blocks of that size.
+BLOCK, LEAST_BLOCKS, SEED = 256, 1024, 77
 #: Least number of shards; words that a shard holds beyond it; most cells of the table of shards and sources (32 MB).
 SHARDS, SHARD_WORDS, MAX_CELLS = 64, 1 << 20, 1 << 22
 MAX_SOURCES = 100_000
 #: Populations from this size on are beyond numpy's own multivariate draw.
 NUMPY_TOTAL = 10**9
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most blocks of a batch of numbers.
+BATCH = 1 << 18
+#: Stands after all hashes of blocks.
+NEVER = np.uint64(2**64 - 1)
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -108,191 +119,344 @@ def split(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Place of x in a keyed permutation of [0, n): Feistel rounds on the next even power of two, walked until inside."""
-    half = (np.ceil(np.log2(np.maximum(n, 2).astype(np.float64)) / 2) + 1e-9).astype(np.int64)
-    half = np.where((np.int64(1) << (2 * half)) < n, half + 1, half).astype(np.uint64)
-    mask = (np.uint64(1) << half) - np.uint64(1)
-    x, n, key = x.astype(np.uint64), n.astype(np.uint64), key.astype(np.uint64)
-    todo = np.arange(len(x))
-    while len(todo):
-        left, right = x[todo] >> half[todo], x[todo] & mask[todo]
-        for turn in range(4):
-            left, right = right, left ^ (kernels.mix(right + key[todo] + np.uint64(turn << 56)) & mask[todo])
-        x[todo] = (left << half[todo]) | right
-        todo = todo[x[todo] >= n[todo]]
-    return x.astype(np.int64)
+def block_size(words: int) -> int:
+    return max(1, min(BLOCK, words // LEAST_BLOCKS))
+
+
+def block_keys(document: np.ndarray, block: np.ndarray, turn: int) -> np.ndarray:
+    """Place of blocks in a pass, as numbers that sort: the pass, then a hash of the document and the block."""
+    h = kernels.mix(document + kernels.mix(block.astype(np.uint64) * np.uint64(MOST) + np.uint64(turn + SEED)))
+    return (h >> np.uint64(1)) | (np.uint64(turn) << np.uint64(63))
+
+
+def document_keys(source: np.ndarray, k_id: np.ndarray, k_text: np.ndarray) -> np.ndarray:
+    """A number for (source, id, text)."""
+    return kernels.join(kernels.join(source.astype(np.uint64), k_id.view(np.uint64)), k_text.view(np.uint64))
+
+
+class Sources:
+    """Names in code-point order, null last, with sizes, targets and block sizes; ``turns``: passes that draw from a source."""
+
+    def __init__(self, names: list, sizes: list[int]):
+        order = sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] or ""))
+        self.names = [names[i] for i in order]
+        self.sizes = np.array([sizes[i] for i in order], np.int64)
+        self.targets = np.array(targets(self.sizes.tolist()), np.float64)
+        self.block = np.array([block_size(n) for n in self.sizes.tolist()], np.int64)
+        self.turns = np.where(self.targets > self.sizes, MOST, 1)
+        self.index = {name: i for i, name in enumerate(self.names)}
+
+    def numbers(self, column: pa.Array) -> np.ndarray:
+        return np.array([self.index[x] for x in column.to_pylist()], np.int64)
 
 
 class Plan:
-    """What the driver knows of the sources: names, sizes, targets, quotas and shard bounds."""
-
-    def __init__(self, names: list, sizes: list[int], shards: int | None = None, block: int = BLOCK):
-        self.names, self.sizes, self.block = names, sizes, block
-        self.targets = targets(sizes)
-        self.blocks = [-(-x // block) for x in sizes]
-        self.quotas = []
-        for size, target, blocks in zip(sizes, self.targets, self.blocks):
-            passes = int(target // size) if size else 0
-            self.quotas.append(min(2 * blocks, passes * blocks + round((target - passes * size) / block)) if size else 0)
-        self.ends = np.cumsum(split(self.quotas, shards or self._shards()), axis=0)
-        self.index = {name: i for i, name in enumerate(names)}
-
-    def _shards(self) -> int:
-        wanted = sum(self.quotas) * self.block // SHARD_WORDS
-        return max(SHARDS, min(wanted, MAX_CELLS // max(len(self.sizes), 1)))
-
-    def draws(self, source: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(pass, which blocks are drawn, their draw number) for blocks of sources."""
-        n, q = np.array(self.blocks, np.int64)[source], np.array(self.quotas, np.int64)[source]
-        for turn in range(MOST):
-            number = turn * n + permuted(block, n, kernels.mix(source.astype(np.uint64) * np.uint64(2) + np.uint64(turn + SEED)))
-            yield turn, number < q, number
+    """Where the tree's bounds lie: ``bounds[i, s]`` is the hash from which on draws of source s are past shard i.
+
+    ``cut_key`` and ``cut`` give the block of a source that its target cuts, and the words that are taken of it.
+    """
 
-    def shard(self, source: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Leaf of a draw: the first whose run ends after it."""
+    def __init__(self, sources: Sources, bounds: np.ndarray, cut_key: np.ndarray, cut: np.ndarray):
+        self.sources, self.bounds, self.cut_key, self.cut = sources, bounds, cut_key, cut
+
+    def shard(self, source: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Leaf of blocks: the first one whose bound is after the hash; ``len(bounds)`` if none is, so not drawn."""
         out = np.zeros(len(source), np.int64)
         order = np.argsort(source, kind="stable")
-        cuts = np.flatnonzero(np.diff(source[order])) + 1
-        for at in np.split(order, cuts):
+        for at in np.split(order, np.flatnonzero(np.diff(source[order])) + 1):
             if len(at):
-                out[at] = np.searchsorted(self.ends[:, source[at[0]]], number[at], side="right")
+                out[at] = np.searchsorted(self.bounds[:, source[at[0]]], key[at], side="right")
         return out
 
+    def pieces(self, source: np.ndarray, document: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, turn, shard, first word, word after the last) of what is drawn: runs of neighbouring blocks that go to one shard."""
+        width = self.sources.block[source]
+        count = -(-size // width)
+        row = np.repeat(np.arange(len(size)), count)
+        block = kernels.ranges(np.zeros(len(size), np.int64), count)
+        parts = []
+        for turn in range(MOST):
+            some = self.sources.turns[source[row]] > turn
+            r, k = row[some], block[some]
+            key = block_keys(document[r], k, turn)
+            shard = self.shard(source[r], key)
+            lo, hi = k * width[r], np.minimum((k + 1) * width[r], size[r])
+            hi = np.where(key == self.cut_key[source[r]], lo + self.cut[source[r]], hi)
+            drawn = (shard < len(self.bounds)) & (hi > lo)
+            r, shard, lo, hi = r[drawn], shard[drawn], lo[drawn], hi[drawn]
+            if len(r):
+                new = np.concatenate([[True], (r[1:] != r[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] != hi[:-1])])
+                head = np.flatnonzero(new)
+                tail = np.append(head[1:], len(r)) - 1
+                parts.append((r[head], np.full(len(head), turn), shard[head], lo[head], hi[tail]))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+
+
+def shards_of(quotas: np.ndarray, words: int) -> int:
+    return max(SHARDS, min(words // SHARD_WORDS, MAX_CELLS // max(len(quotas), 1)))
+
+
+def _blocks(sources):
+    """(source, k_id, k_text, size) to (s, key, words) of the blocks of every pass that draws."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = sources.value
+        for batch in batches:
+            source, size = plan.numbers(batch.column("source")), batch.column("size").to_numpy()
+            document = document_keys(source, batch.column("k_id").to_numpy(), batch.column("k_text").to_numpy())
+            width = plan.block[source]
+            count = -(-size // width)
+            total = np.concatenate([[0], np.cumsum(count)])
+            for lo in range(0, int(total[-1]), BATCH):
+                n = np.arange(lo, min(lo + BATCH, int(total[-1])))
+                row = np.searchsorted(total, n, side="right") - 1
+                block = n - total[row]
+                words = np.minimum(width[row], size[row] - block * width[row])
+                for turn in range(MOST):
+                    some = plan.turns[source[row]] > turn
+                    key = block_keys(document[row[some]], block[some], turn)
+                    yield pa.RecordBatch.from_arrays([pa.array(source[row[some]]), pa.array(_ordered(key)), pa.array(words[some])], ["s", "key", "words"])
+
+    return run
+
+
+def _ordered(key: np.ndarray) -> np.ndarray:
+    """Unsigned numbers as signed ones in the same order."""
+    return (key ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _unsigned(key: np.ndarray) -> np.ndarray:
+    return key.view(np.uint64) ^ np.uint64(1 << 63)
+
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (source, ..., size) to the same rows with the words before them in task and source."""
-    last, total = (), 0
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (s, key, words, task) to the same rows with the draws and words before them in task and source."""
+    last, draws, words = -1, 0, 0
     for batch in batches:
-        source, size = batch.column("source").to_pylist(), batch.column("size").to_pylist()
-        before = []
-        for s, n in zip(source, size):
-            if (s,) != last:
-                last, total = (s,), 0
-            before.append(total)
-            total += n
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*batch.schema.names, "before"])
-
-
-def laid_out(docs: DataFrame) -> tuple[DataFrame, Plan, dict]:
-    """Rows (keys, doc_id, source, size, task, before), the plan, and words before each (source, task)."""
+        s, n = batch.column("s").to_numpy(), batch.column("words").to_numpy()
+        if not len(s):
+            continue
+        total = np.cumsum(n)
+        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(s))))
+        before = total - n - (total - n)[head][run]
+        place = np.arange(len(s)) - head[run]
+        if s[0] == last:
+            before[run == 0] += words
+            place[run == 0] += draws
+        last, draws, words = s[-1], place[-1] + 1, before[-1] + n[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), pa.array(before)], [*batch.schema.names, "place", "before"])
+
+
+def _at(base, wanted, column: str):
+    """Laid rows to those (s, key, words, draws, words before) whose place among a source's draws is asked for.
+
+    ``wanted[s]``: sorted places; a row holds those from its own to the next row's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, draws, words = base.value
+        asked = wanted.value
+        for batch in batches:
+            s, n = batch.column("s").to_numpy(), batch.column("words").to_numpy()
+            at = np.searchsorted(keys, s * (1 << 32) + batch.column("task").to_numpy())
+            place, before = batch.column("place").to_numpy() + draws[at], batch.column("before").to_numpy() + words[at]
+            lo, step = (place, 1) if column == "place" else (before, n)
+            hit = np.zeros(len(s), bool)
+            cuts = np.flatnonzero(np.diff(s)) + 1
+            for part in np.split(np.arange(len(s)), cuts):
+                if len(part):
+                    w = asked[s[part[0]]]
+                    a, b = lo[part], lo[part] + (step if column == "place" else step[part])
+                    hit[part] = np.searchsorted(w, b, side="left") > np.searchsorted(w, a, side="left")
+            hit = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(s[hit]), batch.column("key").take(pa.array(hit)), pa.array(n[hit]), pa.array(place[hit]), pa.array(before[hit])], ["s", "key", "words", "place", "before"])
+
+    return run
+
+
+_LAID = "s bigint, key bigint, words bigint, task int, place bigint, before bigint"
+_FOUND = "s bigint, key bigint, words bigint, place bigint, before bigint"
+
+
+def planned(docs: DataFrame) -> tuple[DataFrame, Plan]:
+    """Stored sizes (k_id, k_text, doc_id, source, size) of all documents, and the plan of the mix."""
     spark = docs.sparkSession
+    broadcast = spark.sparkContext.broadcast
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     sizes = common.stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), *common.row_key(), size.alias("size")), "sizes")
-    order = [F.asc_nulls_last("source"), "k_id", "k_text"]
-    dealt = sizes.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id())
-    names = "doc_id bigint, source string, k_id bigint, k_text bigint, size bigint, task int, before bigint"
-    rows = common.stored(dealt.mapInArrow(_place, names), "laid")
-    sums = rows.groupBy("source", "task").agg(F.sum("size").alias("n"))
-    tasks = common.partitions(spark)
-    found = sums.limit(MAX_SOURCES + tasks + 1).collect()
-    if len(found) > MAX_SOURCES + tasks:
+    found = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or "", r["task"]))
-    bases, totals = {}, {}
-    for r in found:
-        bases[r["source"], r["task"]] = totals.get(r["source"], 0)
-        totals[r["source"]] = bases[r["source"], r["task"]] + r["n"]
-    return rows, Plan(list(totals), list(totals.values())), bases
-
-
-def _draw(plan: Plan, bases: dict):
-    """Laid rows to (pass, shard, first word, words) runs per document, flattened by batch."""
-
-    def run(batch: pa.RecordBatch):
-        source = [(s, t) for s, t in zip(batch.column("source").to_pylist(), batch.column("task").to_pylist())]
-        index = np.array([plan.index[s] for s, _ in source], np.int64)
-        start = np.array([bases[x] for x in source], np.int64) + batch.column("before").to_numpy()
-        size = batch.column("size").to_numpy()
-        end = start + size
-        b = plan.block
-        count = np.where(size > 0, (end - 1) // b - start // b + 1, 0)
-        row = np.repeat(np.arange(len(size)), count)
-        block = kernels.ranges(start // b, count)
-        lo = np.maximum(start[row], block * b) - start[row]
-        hi = np.minimum(end[row], (block + 1) * b) - start[row]
-        return index, size, row, block, lo, hi
-
-    return run
+    sources = Sources([r["source"] for r in found], [r["n"] for r in found])
+    n = len(sources.names)
+    blocks = sizes.where("size > 0").mapInArrow(_blocks(broadcast(sources)), "s bigint, key bigint, words bigint")
+    dealt = blocks.repartitionByRange(common.partitions(spark), "s", "key").sortWithinPartitions("s", "key").withColumn("task", F.spark_partition_id())
+    laid = common.stored(dealt.mapInArrow(_running, _LAID), "laid")
+    sums = sorted(tuple(r) for r in laid.groupBy("s", "task").agg(F.count(F.lit(1)), F.sum("words")).collect())  # tasks + sources rows at most
+    keys, draws, words, total = [], [], [], {}
+    for s, task, k, w in sums:
+        keys.append(s * (1 << 32) + task)
+        a, b = total.get(s, (0, 0))
+        draws.append(a)
+        words.append(b)
+        total[s] = (a + k, b + w)
+    base = broadcast(tuple(np.array(x, np.int64) for x in (keys, draws, words)))
+
+    def asked(wanted: list, column: str) -> DataFrame:
+        return laid.mapInArrow(_at(base, broadcast([np.asarray(w, np.int64) for w in wanted]), column), _FOUND)
+
+    # The block that a target cuts, and rows of that hash, which repeated rows share.
+    goal = np.rint(sources.targets).astype(np.int64)
+    cuts = {r["s"]: r["key"] for r in asked([[g] for g in goal], "before").select("s", "key").collect()}
+    cut_key, cut, quotas = np.full(n, NEVER), np.zeros(n, np.int64), np.array([total.get(s, (0, 0))[0] for s in range(n)], np.int64)
+    if cuts:
+        same = spark.createDataFrame(sorted(cuts.items()), "s bigint, key bigint")
+        rows = laid.join(F.broadcast(same), ["s", "key"])  # a row per source, or as many as there are repeated rows
+        alike = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("key"), F.min(F.struct("task", "place", "before")).alias("w"))
+        index = {k: i for i, k in enumerate(keys)}
+        for r in alike.collect():
+            s, i = r["s"], index[r["s"] * (1 << 32) + r["w"]["task"]]
+            first, before = r["w"]["place"] + draws[i], r["w"]["before"] + words[i]
+            each = int(goal[s] - before) // r["m"]
+            quotas[s] = first + (r["m"] if each else 0)
+            if each:
+                cut_key[s], cut[s] = _unsigned(np.array([r["key"]], np.int64))[0], each
+    shards = shards_of(quotas, int(goal.sum()))
+    ends = np.cumsum(split(quotas.tolist(), shards), axis=0)
+    bounds = np.full((shards, n), NEVER)
+    places = [np.unique(ends[:, s]) for s in range(n)]
+    got = asked(places, "place").select("s", "place", "key").toArrow()
+    s, place, key = (got.column(c).to_numpy() for c in ("s", "place", "key"))
+    order = np.lexsort((place, s))
+    s, place, key = s[order], place[order], _unsigned(key[order])
+    for i in range(n):
+        lo, hi = np.searchsorted(s, [i, i + 1])
+        at = np.searchsorted(place[lo:hi], ends[:, i])
+        there = at < hi - lo
+        bounds[there, i] = key[lo:hi][at[there]]
+    return sizes, Plan(sources, bounds, cut_key, cut)
+
+
+def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, Sources]:
+    """(mix, sizes, sources).  A row of the mix: ``doc`` (the columns of ``docs``, ``text`` the part drawn), keys, s, shard, place and words of the part.
+
+    Rows of a shard lie together, in shuffled order; ``place`` counts them.
+    """
+    sizes, plan = planned(docs)
+    spark = docs.sparkSession
+    plan_b = spark.sparkContext.broadcast(plan)
+    packed = docs.select(common.packed(docs).alias("doc"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"), *common.row_key())
+    # The text goes beside the other columns, not twice.
+    other = [c for c in docs.columns if c != "text"]
+    packed = packed.select(F.struct(*[F.col(f"doc.{common.quoted(c)}") for c in other]).alias("doc"), "source", "text", "k_id", "k_text")
+    names = ["doc", "text", "k_id", "k_text", "s", "shard", "turn", "a"]
+    kinds = [packed.schema["doc"].dataType, T.StringType(), *[T.LongType()] * 6]
+    cut = packed.mapInArrow(_cut(plan_b), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    # Shards are dealt to tasks in turn, not by hash, so that tasks get as many each.
+    dealt = cut.repartitionById(common.partitions(spark), F.col("shard").cast("int"))
+    order = F.xxhash64("k_id", "k_text", "turn", "a", F.lit(SEED))
+    rows = dealt.withColumn("order", order).sortWithinPartitions("shard", "order", "k_id", "a").drop("order")
+    schema = T.StructType([*(f for f in rows.schema if f.name not in ("turn", "a")), T.StructField("place", T.LongType()), T.StructField("words", T.LongType())])
+    return rows.mapInArrow(_counted, schema), sizes, plan.sources
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row."""
-    rows, plan, bases = laid_out(docs)
-    read = _draw(plan, bases)
+def _cut(plan):
+    """Documents to the parts drawn of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mix = plan.value
         for batch in batches:
-            index, size, row, block, lo, hi = read(batch)
-            taken = np.zeros(len(size), np.int64)
-            for _, drawn, _ in plan.draws(index[row], block):
-                taken += np.bincount(row[drawn], weights=(hi - lo)[drawn], minlength=len(size)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(np.array(plan.sizes, np.int64)[index]), pa.array(np.array(plan.targets, np.float64)[index]), pa.array(taken)],
-                ["doc_id", "size", "source_size", "target", "taken"],
-            )
+            for lo, hi in kernels.slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                data, off = kernels.column_bytes(part.column("text"))
+                start, end = kernels.word_spans(data, off)
+                first = np.searchsorted(start, off)
+                size = np.diff(first)
+                source = mix.sources.numbers(part.column("source"))
+                document = document_keys(source, part.column("k_id").to_numpy(), part.column("k_text").to_numpy())
+                row, turn, shard, a, b = mix.pieces(source, document, size)
+                whole = (a == 0) & (b == size[row])
+                left = np.where(whole, off[:-1][row], start[np.minimum(first[row] + a, len(start) - 1)] if len(row) else 0)
+                right = np.where(whole, off[1:][row], end[first[row] + b - 1] if len(row) else 0)
+                length = right - left
+                ends = np.concatenate([[0], np.cumsum(length)])
+                raw = data[kernels.ranges(left, length)]
+                text = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(take), text, part.column("k_id").take(take), part.column("k_text").take(take), *map(pa.array, (source[row], shard, turn.astype(np.int64), a))],
+                    ["doc", "text", "k_id", "k_text", "s", "shard", "turn", "a"],
+                )
 
-    return rows.mapInArrow(run, "doc_id bigint, size bigint, source_size bigint, target double, taken bigint")
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shards in their order, with their place in the shard and the words of their texts."""
+    last, place = -1, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard = batch.column("shard").to_numpy()
+        data, off = kernels.column_bytes(batch.column("text"))
+        words = np.diff(np.searchsorted(kernels.word_spans(data, off)[0], off))
+        head = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(shard))))
+        at = np.arange(len(shard)) - head[run]
+        if shard[0] == last:
+            at[run == 0] += place
+        last, place = shard[-1], at[-1] + 1
+        kept = [i for i, n in enumerate(batch.schema.names) if n not in ("turn", "a")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(at), pa.array(words)], [*(batch.schema.names[i] for i in kept), "place", "words"])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, columns of ``docs``: a row per run of neighbouring blocks that one pass puts in one shard.
+    """The mix itself, columns of ``docs``: a row per part of a document that one pass puts in one shard.
 
-    ``text`` is the part of the document from the run's first word to its last;
-    a document that is taken whole keeps its text.  ``n_chars`` follows the text.
+    ``text`` is the part of the document from its first word to its last; a
+    document that is taken whole keeps its text.  ``n_chars`` follows the text.
     Rows of a shard lie together, in shuffled order.
     """
-    rows, plan, bases = laid_out(docs)
-    read = _draw(plan, bases)
+    rows, _, _ = mixed(docs)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, size, row, block, lo, hi = read(batch)
-            parts = []
-            for turn, drawn, number in plan.draws(index[row], block):
-                r, a, b = row[drawn], lo[drawn], hi[drawn]
-                if len(r):
-                    # Neighbouring blocks of a document go together, to the shard of the first one.
-                    new = np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != b[:-1])])
-                    head = np.flatnonzero(new)
-                    tail = np.append(head[1:], len(r)) - 1
-                    parts.append((r[head], np.full(len(head), turn), plan.shard(index[r[head]], number[drawn][head]), a[head], b[tail]))
-            if parts:
-                r, turn, shard, a, b = (np.concatenate(x) for x in zip(*parts))
-                keys = [batch.column(c).take(pa.array(r)) for c in ("k_id", "k_text")]
-                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x.astype(np.int64)) for x in (turn, shard, a, b, size[r]))], ["k_id", "k_text", "turn", "shard", "a", "b", "size"])
-
-    pieces = rows.mapInArrow(runs, "k_id bigint, k_text bigint, turn bigint, shard bigint, a bigint, b bigint, size bigint")
-    # Repeated rows have their own runs; a document's runs are few, so they go to its text as one list.
-    lists = pieces.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_list(F.struct("turn", "shard", "a", "b", "size"))).alias("runs"))
-    once = docs.select(F.struct(*docs.columns).alias("doc"), *common.row_key()).dropDuplicates(["k_id", "k_text"])
-    joined = once.join(lists, ["k_id", "k_text"]).select("doc", F.explode("runs").alias("run"))
-    part = [F.col("run.shard").alias("_shard"), F.xxhash64("doc.doc_id", "run.turn", "run.a", F.lit(SEED)).alias("_order")]
-    last = F.when(F.col("run.b") - F.col("run.a") == F.col("run.size"), -1).otherwise(F.col("run.b"))
-    out = joined.select("doc.*", *part, F.col("run.a").alias("_a"), last.alias("_b"))
-    schema = T.StructType([*(f for f in out.schema if f.name not in ("_a", "_b"))])
-    out = out.mapInArrow(_cut, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    # Shards are dealt to tasks in turn, not by hash, so that tasks get as many each.
-    out = out.repartitionById(common.partitions(docs.sparkSession), F.col("_shard").cast("int")).sortWithinPartitions("_shard", "_order")
-    return out.select(*docs.columns)
+    def column(c: str):
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.length("text").cast(docs.schema["n_chars"].dataType).alias(c)
+        return F.col(f"doc.{common.quoted(c)}").alias(c)
 
+    return rows.select([column(c) for c in docs.columns])
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text from its word _a to its word _b - 1; all of it where _b is negative."""
-    for batch in batches:
-        for lo, hi in kernels.slices(batch.column("text")):
-            part = batch.slice(lo, hi - lo)
-            data, off = kernels.column_bytes(part.column("text"))
-            start, end = kernels.word_spans(data, off)
-            first = np.searchsorted(start, off[:-1])
-            a, b = part.column("_a").to_numpy(), part.column("_b").to_numpy()
-            raw, texts = data.tobytes(), part.column("text").to_pylist()
-            for i in np.flatnonzero(b >= 0).tolist():
-                texts[i] = raw[start[first[i] + a[i]] : end[first[i] + b[i] - 1]].decode()
-            names = [n for n in part.schema.names if n not in ("_a", "_b")]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names], names)
+
+def mix_report(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row, and where the mix has it: n_parts, first_shard, first_place.
+
+    What is taken is counted in the texts of the mix.  Rows that agree in id,
+    source and text are taken alike, so each has its share of what they take.
+    """
+    rows, sizes, sources = mixed(docs.select("doc_id", "source", "text"))
+    spark = docs.sparkSession
+    key = ["k_id", "k_text", "s"]
+    first = F.min(F.struct("shard", "place")).alias("first")
+    drawn = rows.groupBy(*key).agg(F.sum("words").alias("drawn"), F.count(F.lit(1)).alias("n_parts"), first)
+    table = [(i, name, int(n), float(t)) for i, (name, n, t) in enumerate(zip(sources.names, sources.sizes, sources.targets))]
+    named = F.broadcast(spark.createDataFrame(table, "s bigint, name string, source_size bigint, target double"))  # MAX_SOURCES rows at most
+    own = sizes.join(named, F.col("source").eqNullSafe(F.col("name")))
+    alike = own.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    shares = alike.join(drawn, key).withColumn("taken", F.floor(F.col("drawn") / F.col("m")).cast("bigint"))
+    out = own.join(shares, key, "left")
+    return out.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        F.coalesce("n_parts", F.lit(0)).cast("bigint").alias("n_parts"),
+        F.col("first.shard").alias("first_shard"),
+        F.col("first.place").alias("first_place"),
+    )
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
