@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -120,30 +121,94 @@ def test_least_of_runs():
 # ---- 2 source mix
 
 
-def test_mix(docs, rows, none, small):
-    table = source_mix.mix_report(docs).collect()
-    sizes = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
-    assert len(table) == len(rows) and all(r["size"] == sizes[r["doc_id"]] and r["taken"] <= 2 * r["size"] for r in table)
-    again = source_mix.mix_report(docs.repartition(5))
-    assert got(again, "doc_id", "taken") == sorted(((r["doc_id"], r["taken"]) for r in table), key=repr)
-    assert source_mix.mix_report(none).count() == 0
-    total = {}
-    source = {r["doc_id"]: r["source"] for r in small.collect()}
-    for r in source_mix.mix_report(small).collect():
-        t = total.setdefault(source[r["doc_id"]], [r["target"], 0])
-        t[1] += r["taken"]
-    assert all(abs(taken - target) <= source_mix.BLOCK for target, taken in total.values())
+def brute_targets(sizes):
+    """Water level: shares by weight of what is left, once those that would pass twice their size stop there."""
+    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    full = set()
+    while True:
+        left = 1.5 * sum(sizes) - sum(2 * sizes[i] for i in full)
+        total = sum(w for i, w in enumerate(weight) if i not in full)
+        over = {i for i in range(len(sizes)) if i not in full and left * weight[i] > 2 * sizes[i] * total}
+        if not over:
+            return [2 * sizes[i] if i in full else left * weight[i] / total for i in range(len(sizes))]
+        full |= over
+
+
+def brute_mix(rows):
+    """{doc_id: (size, source size, target, taken)}: a source's blocks in hash order, pass after pass, until its target."""
+    words = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    source = {r[0]: r[3] for r in rows}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    sizes = [sum(words[d] for d in words if source[d] == s) for s in names]
+    goal = brute_targets(sizes)
     taken = Counter()
+    for i, (s, size) in enumerate(zip(names, sizes)):
+        width, left, draws = source_mix.block_size(size), round(goal[i]), []
+        for r in rows:
+            if r[3] != s:
+                continue
+            for turn in (0, 1):
+                at = np.arange(-(-words[r[0]] // width))
+                key = source_mix.block_keys(source_mix.document_keys(np.array([i]), np.array([r[0]]), np.array([r[-1]])), at, turn)
+                draws += [(k, r[0], min(width, words[r[0]] - j * width)) for j, k in enumerate(key.tolist())]
+        for _, d, n in sorted(draws):
+            n = min(n, left)
+            taken[d], left = taken[d] + n, left - n
+    return {d: (words[d], sizes[names.index(source[d])], pytest.approx(goal[names.index(source[d])]), taken[d]) for d in words}
+
+
+def hashed(df):
+    """Rows without repeats, the hash of the text last."""
+    return [tuple(r) for r in df.dropDuplicates(["doc_id"]).selectExpr("doc_id", "text", "lang", "source", "xxhash64(coalesce(text, '')) h").collect()]
+
+
+def test_mix(spark, docs, none, small):
+    for df in (docs.dropDuplicates(["doc_id"]), small):
+        table = source_mix.mix_report(df).collect()
+        assert {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for r in table} == brute_mix(hashed(df))
+        again = source_mix.mix_report(df.repartition(5))
+        assert got(again, "doc_id", "taken", "first_shard") == sorted(((r["doc_id"], r["taken"], r["first_shard"]) for r in table), key=repr)
+    assert source_mix.mix_report(none).count() == 0
+    # Repeated rows are taken alike.
+    total, report = Counter(), Counter()
     for r in source_mix.mixed_documents(docs).collect():
-        taken[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
-    report = Counter()
-    for r in table:
+        total[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
+    for r in source_mix.mix_report(docs).collect():
         report[r["doc_id"]] += r["taken"]
-    assert +taken == +report
+        assert r["taken"] <= 2 * r["size"]
+    assert +total == +report
+
+
+def test_mix_of_small_sources(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(20)), f"s{i:02}") for i in range(50)]
+    for r in source_mix.mix_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect():
+        assert r["source_size"] == 20 and abs(r["taken"] - r["target"]) <= 1
+
+
+def test_mix_comes_through_the_tree(small, monkeypatch):
+    before = got(source_mix.mix_report(small), "doc_id", "taken")
+    monkeypatch.setattr(source_mix, "split", lambda quotas, shards, seed=0: np.zeros((shards, len(quotas)), np.int64))
+    after = got(source_mix.mix_report(small), "doc_id", "taken")
+    assert {n for _, n in after} == {0} and after != before
+
+
+def test_mix_shards_hold_their_quotas(small, monkeypatch):
+    kept = {}
+    split = source_mix.split
+    monkeypatch.setattr(source_mix, "split", lambda q, n, seed=source_mix.SEED: kept.setdefault("leaves", split(q, n, seed)))
+    monkeypatch.setattr(source_mix, "LEAST_BLOCKS", 1 << 40)  # blocks of one word: words are draws
+    rows, _, sources = source_mix.mixed(small.select("doc_id", "source", "text"))
+    words = np.zeros_like(kept["leaves"])
+    places = {}
+    for r in rows.select("shard", "s", "words", "place").collect():
+        words[r["shard"], r["s"]] += r["words"]
+        places.setdefault(r["shard"], []).append(r["place"])
+    assert (words == kept["leaves"]).all() and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert np.abs(words.sum(axis=0) - sources.targets).max() <= 0.5
 
 
 def test_targets_and_tree():
-    assert source_mix.targets([100, 100, 100]) == [200, 450 / 1 * 0 + 250 * 2 / 3, 250 / 3]
+    assert source_mix.targets([100, 100, 100]) == [200, 250 * 2 / 3, 250 / 3]
     assert source_mix.targets([]) == [] and source_mix.targets([0, 0]) == [0, 0]
     for quotas in ([100, 50, 0, 7], [3 * 10**9, 0, 5 * 10**8 + 1]):
         parts = source_mix.split(quotas, 8)
@@ -151,18 +216,14 @@ def test_targets_and_tree():
     rng = np.random.default_rng(3)
     draws = [source_mix.hypergeometric(rng, 300, 700, 100) for _ in range(2000)]
     assert abs(np.mean(draws) - 30) < 0.5 and abs(np.var(draws) - 100 * 0.3 * 0.7 * 900 / 999) < 2
-    for n in (1, 2, 5, 64, 65, 4097):
-        assert sorted(source_mix.permuted(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))) == list(range(n))
 
 
-def test_shards_grow_with_the_mix(monkeypatch):
-    small, large = source_mix.Plan(["a", "b", None], [900, 0, 70]), source_mix.Plan(["a", "b"], [10**9, 10**8])
-    assert len(small.ends) == source_mix.SHARDS and len(large.ends) == sum(large.quotas) * source_mix.BLOCK // source_mix.SHARD_WORDS > 1000
-    monkeypatch.setattr(source_mix, "MAX_CELLS", 400)
-    assert len(source_mix.Plan(["a", "b"], [10**9, 10**8]).ends) == 200
-    source, number = np.array([2, 0, 0, 2, 0]), np.array([0, 0, 15, 1, 7])
-    assert small.shard(source, number).tolist() == [int((small.ends[:, s] <= n).sum()) for s, n in zip(source, number)]
-    assert small.shard(source[:0], number[:0]).tolist() == []
+def test_shards_grow_with_the_mix():
+    quotas = np.array([10, 0, 7])
+    assert source_mix.shards_of(quotas, 5000) == source_mix.SHARDS
+    assert source_mix.shards_of(quotas, 10**10) == 10**10 // source_mix.SHARD_WORDS
+    assert source_mix.shards_of(np.zeros(65536), 10**14) == source_mix.MAX_CELLS // 65536
+    assert source_mix.block_size(20) == 1 and source_mix.block_size(10**9) == source_mix.BLOCK
 
 
 # ---- 3 licenses
@@ -195,6 +256,57 @@ def test_notices_side_by_side():
     assert [f[2] for f in scanner.fuzzy("licensed under cc by-nc 4.0 licensed under cc by-sa 4.0")] == ["cc-by-nc-4.0", "cc-by-sa-4.0"]
 
 
+def edit_distance_within(pattern, text):
+    """Least edits between the pattern and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        above, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(above[j - 1] + (c != d), above[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def test_fuzzy_notices_against_edit_distance():
+    scanner, rng = license_scan.Scanner(), random.Random(7)
+    letters, seen = "abcdeilnrst 4.-", Counter()
+    for _ in range(400):
+        notice, _ = rng.choice(license_scan.NOTICES)
+        text = list(notice)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = rng.choice(letters) * rng.randrange(2)
+        text = "".join(rng.choices(letters, k=rng.randrange(30))) + "".join(text) + "".join(rng.choices(letters, k=rng.randrange(30)))
+        text = license_scan._BLANK.sub(" ", text)
+        for (notice, label), found in zip(license_scan.NOTICES, scanner.matches(text)):
+            edits = license_scan.pieces(notice)[0]
+            least = edit_distance_within(notice, text)
+            assert bool(found) == (least <= edits), (notice, text)
+            if found:
+                seen[least] += 1
+                best = max(found, key=lambda f: f[3])
+                assert best[3] == pytest.approx(1 - least / len(notice))
+                assert all(edit_distance_within(notice, text[a:b]) <= edits for a, b, *_ in found)
+    assert len(seen) > 3
+
+
+def test_likelier_notices_win_and_time_grows_with_findings():
+    scanner = license_scan.Scanner()
+    spread = [f for f in scanner.fuzzy("licensed undr cc by-nc 4.0 " * 3000)]
+    assert len(spread) == 3000
+    rng = random.Random(1)
+    found = [(a, a + rng.randint(1, 9), f"x{i}", rng.choice([0.5, 0.7, 0.9, 1.0])) for i, a in enumerate(rng.choices(range(300), k=200))]
+    want = sorted(f for f in found if not any(g[3] > f[3] and g[0] < f[1] and f[0] < g[1] for g in found))
+    scanner.matches = lambda text: [found]
+    assert scanner.fuzzy("") == want
+
+
+def test_spans_are_places_of_the_text(spark):
+    text = "Été:\n\n Released   under\tthe \r\n MIT License, and  all rights  reserved."
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    spans = license_scan.scan_licenses(df).first()["notices"]
+    assert [text[s["start"] : s["end"]].split() for s in spans] == [["Released", "under", "the", "MIT", "License"], ["all", "rights", "reserved"]]
+
+
 # ---- 4 language ID
 
 
@@ -245,7 +357,7 @@ def brute_secrets(text):
 
 def test_secrets(spark, docs, rows, none, tmp_path):
     ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
-    found = {r["doc_id"]: r for r in ledger.scan(docs, fresh=True).collect()}
+    found = {r["doc_id"]: r for r in ledger.scan(docs).collect()}
     for doc_id, text, *_ in rows:
         base = brute_secrets(text or "")
         joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base)
@@ -257,6 +369,53 @@ def test_secrets(spark, docs, rows, none, tmp_path):
     more = spark.createDataFrame([(1, rows[8][1]), (2, "password: hunter2hunter2")], "doc_id bigint, text string")
     assert {r["n_assign"] for r in ledger.scan(more).collect()} == {0, 1} and ledger.findings().count() == known + 1
     assert secret_scan.Ledger(spark, f"file://{tmp_path}/other").scan(none).count() == 0
+    # Two scans that append the same blobs at once: findings and rows stay single.
+    other = secret_scan.Ledger(spark, f"file://{tmp_path}/other")
+    other.add(docs)
+    spark.read.parquet(other.files).write.mode("append").parquet(other.files)
+    assert other.report(docs).count() == len(rows) and other.findings().count() == known
+
+
+def test_pushes_scan_each_blob_once(spark, docs, rows, tmp_path):
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
+    pushes = secret_scan.history(docs)
+    assert sum(p.count() for p in pushes) == len(rows) and all(p.count() for p in pushes)
+    for push in pushes:
+        ledger.add(push)
+    # Copies lie in both pushes, and yet the files hold each blob once.
+    assert spark.read.parquet(ledger.files).count() == len({r[1] or "" for r in rows}) == ledger.findings().count()
+    assert got(ledger.report(docs)) == got(secret_scan.Ledger(spark, f"file://{tmp_path}/new").scan(docs))
+
+
+def test_secret_kinds_of_the_method():
+    key = "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8"
+    cases = {
+        "private_key": ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"],
+        "jwt": [f"eyJ{key[:8]}.{key[:8]}.{key[:9]}"],
+        "forge_token": [f"ghp_{key}", f"gho_{key}x"],
+        "chat_token": ["xoxb-1234567890", "xoxp-12-34-abcdef"],
+        "map_key": [f"AIza{key[:35]}"],
+        "url_login": ["https://bob:pw@host", "git+ssh://a:b@c.d"],
+    }
+    for kind, texts in cases.items():
+        for t in texts:
+            assert (4, 4 + len(t), kind) in secret_scan.find(f"x = {t} .") or (4, 4 + len(t), kind) in secret_scan.find(f"see {t} ."), t
+            assert kind not in {s[2] for s in secret_scan.find(t[: len(t) // 2])}
+    # A key is read from the start of its run only; a scheme is not looked for without end.
+    assert "jwt" not in {s[2] for s in secret_scan.find(f"-eyJ{key[:8]}.{key[:8]}.{key[:9]}")}
+    assert secret_scan.find("://a:b@c") == [] and secret_scan.find("a://b:c@d://e:f@g")[0] == (0, 10, "url_login")
+
+
+@pytest.mark.parametrize("text", ["x://" + "a" * 1_000_000, "eyJ" * 300_000, "a" * 1_000_000 + "://b:c@d", "-----BEGIN " * 100_000, "ghp_" * 250_000, "secret " * 150_000, "://a" * 250_000, "token" + " " * 1_000_000])
+def test_secret_patterns_are_linear(text):
+    start = time.process_time()
+    secret_scan.find(text)
+    assert time.process_time() - start < 2
+
+
+def test_rule_version_follows_the_rules():
+    changed = secret_scan.OWN | {"map_key": ("AIza", re.compile(r"AIza[0-9A-Za-z_-]{36}"))}
+    assert secret_scan.version(changed) != secret_scan.RULES == secret_scan.version(secret_scan.OWN)
 
 
 # ---- 6 SpotSigs
@@ -327,7 +486,7 @@ def test_chunks_equal_whole_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     whole, chunks, rng = Tokenizer.from_file(path), packing.Chunks(path, size=50), random.Random(3)
-    marks = list("ab É é ß ẞ İ ı ... ,,. .'s it's don't 12,3.4 x. é. ñ, ́ é. \xa0 \x1f \x0b \t\n 中文. ŉ Ǆ ς Σ ª º µ ÿ Ÿ × ÷. ")
+    marks = ["<|endoftext|>", "<|ENDOFTEXT|>", " <|StartOfText|> ", "<|startoftext|>", "<|", "|>", *"ab É é ß ẞ İ ı ... ,,. .'s it's don't 12,3.4 x. é. ñ, ́ é. \xa0 \x1f \x0b \t\n 中文. ŉ Ǆ ς Σ ª º µ ÿ Ÿ × ÷. "]
     texts = ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(600)]
     for lo in range(0, len(texts), 100):
         part = texts[lo : lo + 100]
@@ -335,6 +494,40 @@ def test_chunks_equal_whole_texts():
             assert whole.encode(text, add_special_tokens=False).ids + [2] == ids.tolist()
 
 
+def test_other_tokenizers_encode_whole_texts():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    chunks = packing.Chunks(path)
+    texts = ["Hello, World.  A  b", "", "x\n\ny.", "<|endoftext|> it's"]
+    want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert not chunks.chunked and [x.tolist() for x in chunks.encode(*kernels.column_bytes(pa.array(texts)))] == want
+
+
+def test_neighbours_are_the_best_by_bm25():
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(3, 40, rng.integers(1, 60)), 2).astype(np.uint32) for _ in range(40)]
+    index = packing.Bm25(docs)
+    size = np.array([len(d) for d in docs])
+    df = Counter(int(t) for d in docs for t in set(d.tolist()))
+
+    def weight(t, d):
+        tf = int((docs[d] == t).sum())
+        return math.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[d] / size.mean()))
+
+    free = rng.random(40) < 0.7
+    for seed in range(40):
+        terms = sorted((t for t in set(docs[seed].tolist()) if df[t] > 1), key=lambda t: (-weight(t, seed), t))
+        cut = sorted((weight(t, seed) for t in terms), reverse=True)
+        if len(cut) > packing.QUERY_TERMS and math.isclose(cut[packing.QUERY_TERMS - 1], cut[packing.QUERY_TERMS]):
+            continue  # a tie decides which terms are asked for
+        score = {d: sum(weight(t, d) for t in terms[: packing.QUERY_TERMS]) for d in range(40) if free[d]}
+        want = sorted((s for s in score.values() if s > 0), reverse=True)
+        found = index.neighbours(seed, free).tolist()
+        assert [score[d] for d in found] == pytest.approx(want)
+
+
 # ---- 8 language model
 
 
