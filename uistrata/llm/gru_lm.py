@@ -1,8 +1,8 @@
 """LM scoring: a gated recurrent language model in numpy, class-factored output.
 
 Counts.  Every training token of the corpus is counted: hashes are summed
-map-side and shuffled.  The most frequent words (``HEAD`` at most, cut at a
-count) are broadcast; the counts of all others are joined by hash.
+map-side and shuffled.  The most frequent words (``HEAD`` in all) are broadcast;
+the counts of all others are joined by hash.
 
 Model.  The ``SHORT`` most frequent words form classes of ``CLASS`` words by
 rank; the end token and the tail (all other words, unknown ones too) are classes
@@ -11,18 +11,23 @@ tail, words follow their smoothed counts over the whole corpus, so the model is
 a distribution over the same events as the base.  Output biases begin at the
 corpus counts.
 
-Training.  Every training document is learnt from once: a hash of its id gives
-it one of ``ROUNDS`` rounds, in each of which every task trains a replica on its
-own part of the round's documents by truncated backpropagation, state carried
-from window to window and reset at documents; replicas are averaged by their
-tokens.
+Training.  Every training document is learnt from once.  Documents are written
+as token numbers, two bytes each; a hash of id and text gives each its round, one
+of ``ROUNDS``, and its replica.  In a round each replica trains on its documents
+in the order of that hash, by truncated backpropagation with the state carried
+from window to window and reset at documents.  Replicas, their sums of squared
+gradients too, are averaged by their tokens, in order, over a tree of ``FAN`` to one.  Their number follows from the
+number of training tokens alone, so the model is a function of the rows, however
+they are laid out.
 
 Scoring.  Whole documents run through parallel streams in windows; the state is
 carried across windows to the document's end.
 
 Defined results: null and blank texts are the end token alone; a null id is a
 training document; without training documents every token is unknown and the
-score is the base score; other columns are ignored.
+score is the base score; repeated rows are documents; a text of any length is one
+document, and memory grows with its length, not with the streams beside it; words
+of equal count rank by hash; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,9 +51,13 @@ TAIL, END = SHORT, SHORT + 1
 HEAD = 1 << 18
 #: Each training document is learnt from in one of so many rounds.
 ROUNDS = 16
+#: Tokens that a replica learns from in a round, before there are ``MOST_REPLICAS`` of them; replicas that one average takes.
+REPLICA_TOKENS, MOST_REPLICAS, FAN = 1 << 17, 8192, 16
 STREAMS, STEPS, TRAIN_STREAMS, TRAIN_STEPS = 256, 64, 32, 32
-RATE, CLIP, SEED = 0.1, 5.0, 11
+RATE, CLIP, SEED = 0.2, 5.0, 11
 SLICE = 6 << 20
+#: Tokens that a replica deals to its streams at once, beyond the last document.
+SLICE_TOKENS = 1 << 20
 LN10 = math.log(10)
 
 
@@ -116,9 +125,12 @@ class Gru:
         short = lexicon.short + 0.5
         self.bc = np.log(np.concatenate([short.reshape(CLASSES, CLASS).sum(axis=1), [lexicon.tail], [lexicon.docs + 0.5]])).astype(f)
         self.bo = np.log(short.reshape(CLASSES, CLASS)).astype(f)
+        #: Sums of squared gradients, by which steps shrink.
+        self.memory = {k: np.full(getattr(self, k).shape, 1e-6, f) for k in self.NAMES}
 
     def pack(self) -> bytes:
-        return b"".join(getattr(self, k).tobytes() for k in self.NAMES)
+        """Weights, then the squared gradients of their steps."""
+        return b"".join(x.tobytes() for x in (*(getattr(self, k) for k in self.NAMES), *(self.memory[k] for k in self.NAMES)))
 
     def unpack(self, raw: bytes | np.ndarray) -> Gru:
         flat = np.frombuffer(raw, np.float32) if isinstance(raw, bytes) else raw
@@ -127,6 +139,10 @@ class Gru:
             old = getattr(self, k)
             setattr(self, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
+        for k in self.NAMES:
+            old = self.memory[k]
+            self.memory[k] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
         return self
 
     def states(self, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -198,9 +214,9 @@ class Gru:
             total += np.bincount(owner[some], weights=self.log_p(s[some], target[some]), minlength=len(docs))
         return total
 
-    def train(self, docs: list[np.ndarray], memory: dict) -> int:
-        """Adagrad over the documents once; ``memory`` keeps the squared gradients of a replica."""
-        seen = 0
+    def train(self, docs: list[np.ndarray]) -> int:
+        """Adagrad over the documents once."""
+        seen, memory = 0, self.memory
         for inputs, target, owner, h in windows(docs, TRAIN_STREAMS, TRAIN_STEPS):
             s, last, trace, live = self.states(inputs, h["h"], keep=True)
             h["h"] = last
@@ -219,8 +235,6 @@ class Gru:
                 norm = float(np.sqrt((g * g).sum()))
                 if norm > CLIP:
                     g *= CLIP / norm
-                if k not in memory:
-                    memory[k] = np.full(grads[k].shape, 1e-6, np.float32)
                 square = g * g
                 square += memory[k][used.get(k, slice(None))]
                 memory[k][used.get(k, slice(None))] = square
@@ -262,7 +276,7 @@ def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]
 
     Yields (inputs, targets, owner, state): inputs are the tokens before, END at a
     document's start; owner is -1 where a stream has ended; ``state["h"]`` is
-    carried by the caller.
+    carried by the caller.  Takes the tokens once, and a window at a time.
     """
     if not docs:
         return
@@ -273,19 +287,23 @@ def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]
         lanes[i].append(d)
         heapq.heappush(heap, (n + len(docs[d]), i))
     lanes.sort(key=lambda lane: -sum(len(docs[d]) for d in lane))
-    flat = [np.concatenate([docs[d] for d in lane]) for lane in lanes]
-    size = np.array([len(x) for x in flat])
-    target = np.full((size[0], len(lanes)), END, np.int64)
-    owner = np.full((size[0], len(lanes)), -1, np.int64)
-    for i, lane in enumerate(lanes):
-        target[: size[i], i] = flat[i]
-        owner[: size[i], i] = np.repeat(lane, [len(docs[d]) for d in lane])
-    inputs = np.concatenate([np.full((1, len(lanes)), END), target[:-1]])
+    size = np.array([sum(len(docs[d]) for d in lane) for lane in lanes])
+    begin = np.cumsum(size) - size
+    order = [d for lane in lanes for d in lane]
+    flat = np.concatenate([docs[d] for d in order])
+    whose = np.repeat(np.array(order, np.int32), [len(docs[d]) for d in order])
     state = {"h": np.zeros((len(lanes), HIDDEN), np.float32)}
-    for a in range(0, size[0], steps):
+    before = np.full(len(lanes), END, np.int64)
+    for a in range(0, int(size[0]), steps):
         n = int((size > a).sum())
+        at = np.arange(a, min(a + steps, int(size[0])))[:, None]
+        live = at < size[:n]
+        at = np.minimum(begin[:n] + at, len(flat) - 1)
+        target, owner = np.where(live, flat[at], END).astype(np.int64), np.where(live, whose[at], -1)
+        inputs = np.concatenate([before[None, :n], target[:-1]])
+        before = target[-1]
         state["h"] = state["h"][:n]
-        yield inputs[a : a + steps, :n], target[a : a + steps, :n], owner[a : a + steps, :n], state
+        yield inputs, target, owner, state
 
 
 def _ids(w: kernels.Words, lexicon: Lexicon):
@@ -296,28 +314,67 @@ def _ids(w: kernels.Words, lexicon: Lexicon):
     return [np.append(ids[a:b], END) for a, b in zip(first, first[1:])], count
 
 
-def _train(lexicon, weights):
+def _encode(lexicon):
+    """(key, text) to (key, ids): token numbers, END last, two bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
-        model, memory, seen = Gru(lex).unpack(weights.value), {}, 0
         for batch in batches:
             for lo, hi in kernels.slices(batch.column("text"), SLICE):
                 docs, _ = _ids(_words(batch.column("text").slice(lo, hi - lo)), lex)
-                seen += model.train(docs, memory)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary()), pa.array([seen], pa.int64())], ["w", "n"])
+                raw = [d.astype("<u2").tobytes() for d in docs]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(raw, pa.binary())], ["key", "ids"])
+
+    return run
+
+
+def _train(lexicon, weights):
+    """(replica, ids), sorted, to a row (replica, weights, tokens) for each replica."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, now, docs, held = lexicon.value, None, [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([model.pack()], pa.binary()), pa.array([seen], pa.int64())], ["replica", "w", "n"])
+
+        for batch in batches:
+            for replica, ids in zip(batch.column("replica").to_pylist(), batch.column("ids")):
+                if replica != now or held >= SLICE_TOKENS:
+                    if docs:
+                        seen += model.train(docs)
+                    docs, held = [], 0
+                if replica != now:
+                    if now is not None:
+                        yield row()
+                    now, model, seen = replica, Gru(lex).unpack(weights.value), 0
+                docs.append(np.frombuffer(ids.as_buffer(), "<u2"))
+                held += len(docs[-1])
+        if now is not None:
+            seen += model.train(docs) if docs else 0
+            yield row()
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
+    """(group, replica, w, n), sorted, to a row for each group: replicas weighed by their tokens."""
+    now, total, n = None, None, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["replica", "w", "n"])
+
     for batch in batches:
-        for w, k in zip(batch.column("w"), batch.column("n").to_pylist()):
-            x = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * k
-            total, n = x if total is None else total + x, n + k
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
+        for group, w, k in zip(batch.column("group").to_pylist(), batch.column("w"), batch.column("n").to_pylist()):
+            if group != now:
+                if now is not None:
+                    yield row()
+                now, total, n = group, 0.0, 0
+            total, n = total + np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * k, n + k
+    if now is not None:
+        yield row()
+
+
+_REPLICA = "replica bigint, w binary, n bigint"
 
 
 def lexicon_of(docs: DataFrame) -> tuple[Lexicon, DataFrame]:
@@ -327,34 +384,51 @@ def lexicon_of(docs: DataFrame) -> tuple[Lexicon, DataFrame]:
     counts = common.stored(counts, "counts")
     common.release(docs.sparkSession)
     n_docs = learn.select("doc_id").count()
-    # Frequent words: all from the lowest count on that keeps them within HEAD.
-    zone = F.floor(F.log2("c") * 16).cast("int").alias("zone")
-    zones = sorted((tuple(r) for r in counts.groupBy(zone).agg(F.count(F.lit(1)), F.sum("c"), F.min("c")).collect()), reverse=True)
-    least, n = None, 0
-    for _, words, _, low in zones:
-        n += words
-        if n > HEAD:
+    # Frequent words: whole zones of counts, and of the zone that is too large its words of the least hashes.
+    zone = F.floor(F.log2("c") * 16).cast("int")
+    zones = sorted((tuple(r) for r in counts.groupBy(zone.alias("zone")).agg(F.count(F.lit(1)), F.sum("c")).collect()), reverse=True)
+    last, share, room = None, 1.0, HEAD
+    for z, words, _ in zones:
+        last, share = z, min(1.0, 0.98 * room / words)
+        room -= words
+        if room <= 0:
             break
-        least = low
-    head = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
+    spot = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    head = counts.where((zone > last) | ((zone == last) & (spot < share)) if zones else F.lit(False)).toArrow()
     h, c = (head.column(i).to_numpy() for i in range(2))
     return Lexicon(h.astype(np.int64).view(np.uint64), c, sum(z[2] for z in zones), sum(z[1] for z in zones), n_docs), counts
 
 
+def replicas_of(tokens: int) -> int:
+    return max(1, min(MOST_REPLICAS, -(-tokens // (ROUNDS * REPLICA_TOKENS))))
+
+
 def fit(docs: DataFrame, lexicon) -> Gru:
-    """Rounds of replica training and averaging."""
+    """Rounds of replica training and averaging over all training documents."""
     spark = docs.sparkSession
     model = Gru(lexicon.value)
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(ROUNDS))
+    replicas = replicas_of(lexicon.value.n)
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(common.NO_ID)), F.coalesce("text", F.lit("")), F.lit(SEED))
+    ids = docs.where(~held_out()).select(key.alias("key"), "text").mapInArrow(_encode(lexicon), "key bigint, ids binary")
+    place = F.pmod("key", F.lit(ROUNDS * replicas))
+    ids = ids.select((place % ROUNDS).cast("int").alias("turn"), F.floor(place / ROUNDS).cast("bigint").alias("replica"), "key", "ids")
+    ids = common.stored(ids.sortWithinPartitions("turn"), "tokens")  # in runs of a round, which its scan finds by their statistics
+    common.release(spark)
     for i in range(ROUNDS):
         weights = spark.sparkContext.broadcast(model.pack())
-        part = docs.where(~held_out() & (turn == i)).select("text")
-        replicas = part.mapInArrow(_train(lexicon, weights), "w binary, n bigint")
-        # Eight rows at most come to the driver.
-        parts = [(r["w"], r["n"]) for r in replicas.repartition(8).mapInArrow(_average, "w binary, n bigint").collect()]
+        part = ids.where(F.col("turn") == i).select("replica", "key", "ids").repartitionById(replicas, F.col("replica").cast("int"))
+        rows = part.sortWithinPartitions("replica", "key").select("replica", "ids").mapInArrow(_train(lexicon, weights), _REPLICA)
+        n = replicas
+        while n > FAN // 2:
+            n = -(-n // FAN)
+            rows = rows.withColumn("group", F.floor(F.col("replica") / FAN).cast("bigint")).repartitionById(n, F.col("group").cast("int"))
+            rows = rows.sortWithinPartitions("group", "replica").select("group", "w", "n").mapInArrow(_average, _REPLICA)
+        parts = sorted((r["replica"], bytes(r["w"]), r["n"]) for r in rows.collect())  # FAN / 2 rows at most
         if parts:
-            total = sum(n for _, n in parts)
-            model.unpack(sum(np.frombuffer(bytes(w), np.float32).astype(np.float64) * (n / total) for w, n in parts))
+            total = sum(n for _, _, n in parts)
+            model.unpack(sum(np.frombuffer(w, np.float32).astype(np.float64) * (n / total) for _, w, n in parts))
+        weights.unpersist()
+    common.discard(ids)
     return model
 
 
