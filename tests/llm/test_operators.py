@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -547,8 +548,9 @@ def test_gru(spark, docs, rows, none, small):
         assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in scored) == want
         base = {r["doc_id"]: sum(p(c[x]) for x in w) + p(ends) for r, w in zip(out, words)}
         assert all(r["base_score"] == pytest.approx(base[r["doc_id"]], rel=1e-9) and r["score"] < 0 for r in scored)
-    fresh = [r for r in gru_lm.score_documents(spark.read.parquet(SMALL.replace("sf0.001", "sf0.01"))).collect() if r["held_out"]]
-    assert sum(r["score"] for r in fresh) > sum(r["base_score"] for r in fresh)
+    for sf in ("sf0.001", "sf0.01"):
+        fresh = [r for r in gru_lm.score_documents(spark.read.parquet(SMALL.replace("sf0.001", sf))).collect() if r["held_out"]]
+        assert sum(r["score"] for r in fresh) > sum(r["base_score"] for r in fresh)
     assert gru_lm.score_documents(none).count() == 0
 
 
@@ -562,6 +564,59 @@ def test_gru_learns_from_every_training_document(spark):
     assert gru_lm.fit(table(held), lexicon).pack() == fresh
 
 
+def test_gru_is_a_function_of_its_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(gru_lm, "REPLICA_TOKENS", 300)  # a dozen replicas, two levels of averages
+    layouts = [small.select("doc_id", "text").coalesce(1), small.select("doc_id", "text").repartition(7)]
+    lexicon = spark.sparkContext.broadcast(gru_lm.lexicon_of(layouts[0])[0])
+    assert gru_lm.replicas_of(lexicon.value.n) > 8
+    one, two = (gru_lm.fit(df, lexicon).pack() for df in layouts)
+    assert one == two
+    scores = [{r["doc_id"]: r["score"] for r in gru_lm.score_documents(df).collect()} for df in layouts]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-5)
+
+
+def test_replicas_are_averaged_by_tokens():
+    rng = np.random.default_rng(4)
+    w, n = rng.normal(size=(5, 7)).astype(np.float32), [3, 1, 9, 2, 2]
+    table = pa.record_batch([pa.array([0, 0, 0, 4, 4]), pa.array([x.tobytes() for x in w], pa.binary()), pa.array(n)], names=["group", "w", "n"])
+    out = list(gru_lm._average(iter([table.slice(0, 2), table.slice(2, 0), table.slice(2)])))
+    assert [(b["replica"][0].as_py(), b["n"][0].as_py()) for b in out] == [(0, 13), (4, 4)]
+    for b, lo, hi in zip(out, (0, 3), (3, 5)):
+        assert np.frombuffer(b["w"][0].as_py(), np.float32) == pytest.approx(np.average(w[lo:hi], axis=0, weights=n[lo:hi]), rel=1e-5)
+
+
+def test_windows_take_a_long_text_beside_short_ones():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, gru_lm.SHORT, n).astype("<u2") for n in (900_000, *[5] * 255)]
+    seen = np.zeros(len(docs), np.int64)
+    tracemalloc.start()
+    for inputs, target, owner, _ in gru_lm.windows(docs, gru_lm.STREAMS, gru_lm.STEPS):
+        assert inputs.shape == target.shape == owner.shape
+        seen += np.bincount(owner[owner >= 0], minlength=len(docs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.tolist() == [len(d) for d in docs] and peak < 30 << 20
+
+
+def test_windows_hold_each_document_in_order():
+    rng = np.random.default_rng(6)
+    docs = [np.append(rng.integers(0, 50, n), gru_lm.END) for n in (0, 1, 70, 3, 200, 64, 63, 5)]
+    read = {d: [] for d in range(len(docs))}
+    for inputs, target, owner, _ in gru_lm.windows(docs, 3, 8):
+        for i, t, d in zip(inputs.T.reshape(-1), target.T.reshape(-1), owner.T.reshape(-1)):
+            if d >= 0:
+                assert i == (read[d][-1] if read[d] else gru_lm.END)
+                read[d].append(t)
+    assert all(read[d] == x.tolist() for d, x in enumerate(docs))
+
+
+def test_head_of_words_of_one_count(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "HEAD", 200)
+    rows = [(0, " ".join(f"w{i}" for i in range(1000)))]
+    lexicon, counts = gru_lm.lexicon_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert 100 < len(lexicon.hash) <= 240 and counts.count() == 1000 and lexicon.n == 1001
+
+
 def test_gru_is_a_distribution_and_its_gradient():
     rng = np.random.default_rng(0)
     counts = np.sort(rng.integers(1, 99, 3000))[::-1].copy()
@@ -637,6 +692,48 @@ def test_near_family_without_a_centre(spark):
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), *names) == brute_near(rows)
 
 
+def test_family_under_the_threshold(spark, monkeypatch):
+    """Texts that differ in some words each, so that no two are alike: pairs whose sets are read grow like the texts, not like pairs."""
+    read = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, sets: read.append(pairs.count()) or verified(pairs, sets))
+    for n in (50, 100, 200):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(400)]
+        rows = []
+        for i in range(n):
+            words = base[:]
+            for at in rng.sample(range(400), 9):
+                words[at] = f"x{i}.{at}"
+            rows.append((i, " ".join(words)))
+        read.clear()
+        out = got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "component_id")
+        assert out == sorted(((i, label) for i, _, label, _ in brute_near(rows)), key=repr)
+        assert sum(read) <= 12 * n, read
+
+
+def test_odd_sketches_never_say_more_than_sets_differ_in():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 40, rng.integers(1, 900)).astype(np.uint64)) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], s[:3] + np.uint64(1)])) for s in sets]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = minhash.odd_sketches(np.concatenate(sets), first).view(np.uint64)
+    for i in range(len(sets)):
+        for j in (i, (i + 60) % 120, (i + 1) % 120):
+            seen = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            differ = len(np.setxor1d(sets[i], sets[j]))
+            assert seen <= differ and (differ > 200 or seen >= 0.7 * differ)
+
+
+def test_near_stage_keeps_rows_not_ids(spark):
+    rng = random.Random(2)
+    a, other = (" ".join(f"{c}{rng.randrange(999)}" for _ in range(60)) for c in "ao")
+    near = a.replace(a.split()[30], "changed")
+    rows = [(0, a), (1, other), (1, near), (1, other), (2, None), (3, ""), (None, near), (None, "alone here")]
+    out = minhash.drop_near(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(0, a), (1, other), (2, None), (3, ""), (None, "alone here")], key=repr)
+
+
 # ---- 10 exact duplicates
 
 
