@@ -11,7 +11,11 @@ table is then predicted, whole.  Only the text is an input of a prediction.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0;
 if there is nothing to learn from, every text is ``und``; rows without a
-language are predicted but not learnt from; other columns are ignored.
+language are predicted but not learnt from; of equal probabilities the first
+language by name is predicted; repeated rows are predicted alike and learnt from
+once; a text of any length is read whole, a slice of its windows at a time; an
+empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ PER_LANG, PER_DOC = 400, 4
 WINDOW, DEPTH, WIDTHS, FILTERS = 192, 6, (2, 3, 4), 8
 SPAN = max(WIDTHS)
 EPOCHS, STEP, BATCH, SEED = 12, 0.01, 64, 20240
-#: The pipeline lets a document go if it has no letter or no language gets this probability.
-LEAST_SCORE = 0.3
+#: The pipeline keeps a document if one language is likelier than all others together, and
+#: no more than this share of its bytes beyond ASCII are of values that no training window has: another script.
+LEAST_SCORE, MOST_STRANGE = 0.5, 0.5
 UND = "und"
 
 
@@ -54,6 +59,8 @@ class ByteNet:
         self.bias = np.zeros(n, np.float32)
         self.out = np.zeros((n, len(langs)), np.float32)
         self.out_bias = np.zeros(len(langs), np.float32)
+        #: Byte values of the training windows.
+        self.known = np.zeros(256, bool)
 
     def _columns(self, x: np.ndarray) -> np.ndarray:
         """Embedded windows (n, WINDOW) as rows of SPAN neighbouring bytes."""
@@ -74,6 +81,7 @@ class ByteNet:
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> ByteNet:
         """Adam on cross-entropy."""
+        self.known[np.unique(x)] = True
         rng = np.random.default_rng(SEED + 1)
         names = ["embed", "kernel", "bias", "out", "out_bias"]
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
@@ -136,6 +144,14 @@ def means(net: ByteNet, column: pa.Array) -> np.ndarray:
     return total / np.maximum(np.bincount(owner, minlength=len(column)), 1)[:, None]
 
 
+def strange(net: ByteNet, column: pa.Array) -> np.ndarray:
+    """Share of a text's bytes beyond ASCII whose values the network has not seen; 0 without such bytes."""
+    data, off = kernels.column_bytes(column)
+    beyond = np.concatenate([[0], np.cumsum(data >= 128)])
+    new = np.concatenate([[0], np.cumsum((data >= 128) & ~net.known[data])])
+    return (new[off[1:]] - new[off[:-1]]) / np.maximum(beyond[off[1:]] - beyond[off[:-1]], 1)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4, is 2; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -210,14 +226,20 @@ def _accept(net: ByteNet):
         for batch in batches:
             for lo, hi in kernels.slices(batch.column("text"), 1 << 20):
                 part = batch.slice(lo, hi - lo)
-                keep = means(net, part.column("text")).max(axis=1) >= LEAST_SCORE
+                keep = (means(net, part.column("text")).max(axis=1) >= LEAST_SCORE) & (strange(net, part.column("text")) <= MOST_STRANGE)
                 yield part.filter(pa.array(keep))
 
     return run
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without documents of no recognised language, all columns.  Narrow: no shuffle."""
+    """``docs`` without documents of no recognised language, all columns.  Narrow: no shuffle.
+
+    A null text and one without a letter go, and so do texts in which no language
+    outweighs the others and texts in a script that no training text has.  If
+    there is nothing to learn from, all go.  Repeated rows are judged alike;
+    columns of any type and name are kept.
+    """
     net = fit(docs, ~held_out())
     if net is None:
         return docs.limit(0)
