@@ -346,6 +346,47 @@ def test_language(docs, rows, none, small):
     assert len(kept) >= 0.99 * len(truth)
 
 
+def test_language_gradient():
+    rng = np.random.default_rng(5)
+    net = language_id.ByteNet(["a", "b", "c"])
+    for k in ("embed", "kernel", "out", "bias"):  # in double, so that differences can be small
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    net.out = rng.normal(0, 0.5, net.out.shape)
+    x, y = rng.integers(97, 110, (7, language_id.WINDOW)).astype(np.uint8), rng.integers(0, 3, 7)
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(7), y]).mean()
+    for name, g in net._gradient(x, y).items():
+        value = getattr(net, name)
+        for at in np.argsort(-np.abs(g).reshape(-1))[:3]:
+            at = np.unravel_index(at, g.shape)
+            old, side = value[at], []
+            for e in (1e-4, -1e-4):
+                value[at] = old + e
+                side.append(loss())
+            value[at] = old
+            assert (side[0] - side[1]) / 2e-4 == pytest.approx(g[at], rel=2e-2, abs=1e-5), name
+
+
+def test_language_of_long_texts_is_the_mean_of_all_windows(spark, small):
+    net = language_id.fit(small, ~language_id.held_out())
+    parts = [r["text"] for r in small.where("lang = 'de' and n_chars > 1000").limit(3).collect()]
+    long = "".join(parts * 400)
+    data = long.encode()
+    cut = [data[i : i + language_id.WINDOW] for i in range(0, len(data), language_id.WINDOW)]
+    cut[-1] = data[-language_id.WINDOW :]
+    want = net.probabilities(np.array([list(c) for c in cut], np.uint8)).mean(axis=0)
+    row = language_id.identify(spark.createDataFrame([(1, long)], "doc_id bigint, text string"), net).first()
+    assert row["lang_pred"] == net.langs[int(want.argmax())] == "de" and row["score"] == pytest.approx(want.max(), rel=1e-4)
+
+
+def test_language_stage_lets_go_what_is_no_language(spark, small):
+    texts = {r["lang"]: r["text"] for r in small.where("n_chars > 1500").collect()}
+    mixed = "".join(t[:700] for _, t in sorted(texts.items()))
+    rows = [(100000 + i, t, None, "s") for i, t in enumerate([None, "", "12 34", "日本語の文章です。" * 30, mixed, texts["de"]])]
+    df = small.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    kept = {r["doc_id"] for r in language_id.keep_identified(df).collect()}
+    assert 100005 in kept and not kept & set(range(100000, 100005))
+
+
 # ---- 5 secrets
 
 
