@@ -233,13 +233,24 @@ def _cut(full: int):
 
 
 def _repeated(rows: DataFrame, exact: bool) -> DataFrame:
-    """Rows (key, weight, hashes, checks, places) to (key, survivors): places of windows that repeat, in both hashes if ``exact``."""
-    lists, by = (["hashes", "checks", "places"], ["h", "check"]) if exact else (["hashes", "places"], ["h"])
+    """Rows (key, weight, hashes, checks, places) to (key, survivors): places of windows that repeat, in both hashes if ``exact``.
+
+    A hash whose windows all have one check stands for it, so checks are only
+    counted with the hashes and not joined; windows whose hash has several checks,
+    if there are any, are counted anew by both.
+    """
+    lists = ["hashes", "checks", "places"] if exact else ["hashes", "places"]
     each = rows.select("k_id", "k_text", "weight", F.explode(F.arrays_zip(*lists)).alias("w"))
     each = each.select("k_id", "k_text", "weight", F.col("w.hashes").alias("h"), *([F.col("w.checks").alias("check")] if exact else []), F.col("w.places").alias("at"))
+    one = (F.min("check") == F.max("check")) if exact else F.lit(True)
     # Stored, so that the join reads two plain exchanges, whose large partitions adaptive execution splits.
-    again = common.stored(each.groupBy(*by).agg(F.sum("weight").alias("n")).where("n > 1").select(*by), "again")
-    return each.join(again, by).groupBy("k_id", "k_text").agg(F.collect_list("at").alias("survivors"))
+    again = common.stored(each.groupBy("h").agg(F.sum("weight").alias("n"), one.alias("one")).where("n > 1").select("h", "one"), "again")
+    met = each.drop("check").join(again.where("one").select("h"), "h").select("k_id", "k_text", "at")
+    if exact and again.where("not one").limit(1).count():
+        apart = each.join(again.where("not one").select("h"), "h")
+        both = apart.groupBy("h", "check").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "check")
+        met = met.unionByName(apart.join(both, ["h", "check"]).select("k_id", "k_text", "at"))
+    return met.groupBy("k_id", "k_text").agg(F.collect_list("at").alias("survivors"))
 
 
 def _copies(rows: DataFrame, full: int) -> DataFrame:
