@@ -113,6 +113,14 @@ def test_substring(docs, rows, none):
     assert got(substring_dedup.remove_repeats(none), *names) == []
 
 
+def test_windows_of_one_hash_and_other_words_are_told_apart(docs, rows, monkeypatch):
+    """Full windows whose first hash has four values only: the second one settles which are equal."""
+    hashes = kernels.window_hashes
+    monkeypatch.setattr(substring_dedup, "chosen", lambda h, size, starts=None, full=35: (hashes(h, size) % np.uint64(4), np.arange(max(len(h) - 34, 0)) if starts is None else starts))
+    names = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got(substring_dedup.remove_repeats(docs, levels=(35,)), *names) == brute_repeats(rows)
+
+
 def test_least_of_runs():
     x = np.random.default_rng(1).integers(0, 9, 200).astype(np.uint64)
     for run in (1, 2, 5, 18, 27):
