@@ -38,7 +38,7 @@ def test_query(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_rows(spark, name):
-    assert catalog.queries()[name](spark, SF).columns
+    assert catalog.queries()[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ten characters from dark to light.
@@ -12,6 +12,8 @@ RAMP = " .:-=+*#%@"
 #: Change of a pixel, and shares that name a region's shape.
 PIXEL_DELTA, FULL, BAND, LOCAL = 25, 0.45, 0.5, 0.08
 BINS = 64
+#: Pixels of a cursor at least, and at most as a share of the frame.
+LEAST_AREA, MOST_AREA = 4, 0.01
 
 
 def motion_score(prev: Column, cur: Column) -> Column:
@@ -81,7 +83,7 @@ def _edge(gray: pd.Series, width: pd.Series) -> pd.Series:
     out = []
     for f in _frames(gray, width):
         dy, dx = (np.gradient(f, axis=k) if f.shape[k] > 1 else np.zeros_like(f) for k in (0, 1))
-        m = np.hypot(dx, dy)
+        m = np.sqrt(dx * dx + dy * dy)
         out.append((m * (255.0 / m.max()) if m.max() > 0 else m).astype(np.uint8).reshape(-1).astype(np.int32))
     return pd.Series(out)
 
@@ -105,28 +107,38 @@ def _shrunk(gray: pd.Series, width: pd.Series, cols: pd.Series, rows: pd.Series)
     return pd.Series([np.rint(weights(f.shape[0], int(r)) @ f @ weights(f.shape[1], int(c)).T).astype(np.int32).reshape(-1) for f, c, r in zip(_frames(gray, width), cols, rows)])
 
 
+def _labels(mask: np.ndarray) -> np.ndarray:
+    """8-connected parts of a mask: the least place (row by row) of each pixel's part; -1 outside.
+
+    All pixels take the least label around them, then the label of that label, so
+    a part of any shape is done in about as many rounds as its extent has bits.
+    """
+    far = mask.size
+    label = np.where(mask, np.arange(far).reshape(mask.shape), far)
+    while True:
+        wide = np.pad(label, 1, constant_values=far)
+        near = np.min([wide[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)], axis=0)
+        step = np.append(np.where(mask, near, far).reshape(-1), far)
+        # Hooks: the root that a pixel had takes the least label that any pixel of it met.
+        np.minimum.at(step, np.append(label.reshape(-1), far), step)
+        step = step[step][:-1].reshape(mask.shape)
+        if (step == label).all():
+            return np.where(mask, label, -1)
+        label = step
+
+
 def _cursor(prev: pd.Series, cur: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Centre of the largest small 8-connected blob of changed pixels."""
+    """Centre of the largest small 8-connected part of changed pixels, the first of equals."""
     out = []
     for a, b in zip(_frames(prev, width), _frames(cur, width)):
-        mask = np.abs(b - a) > PIXEL_DELTA
-        label, best, area = np.zeros(mask.shape, np.int32), None, 0
-        for n, (y, x) in enumerate(np.argwhere(mask), start=1):
-            if label[y, x]:
-                continue
-            blob, todo = [], [(y, x)]
-            label[y, x] = n
-            while todo:
-                i, j = todo.pop()
-                blob.append((i, j))
-                for p in range(max(0, i - 1), min(mask.shape[0], i + 2)):
-                    for q in range(max(0, j - 1), min(mask.shape[1], j + 2)):
-                        if mask[p, q] and not label[p, q]:
-                            label[p, q] = n
-                            todo.append((p, q))
-            if 4 <= len(blob) <= 0.01 * mask.size and len(blob) > area:
-                area, best = len(blob), np.mean(blob, axis=0)
-        out.append((None, None) if best is None else (int(best[1]), int(best[0])))
+        label = _labels(np.abs(b - a) > PIXEL_DELTA)
+        names, area = np.unique(label[label >= 0], return_counts=True)
+        fits = np.flatnonzero((area >= LEAST_AREA) & (area <= MOST_AREA * label.size))
+        if len(fits):
+            y, x = np.nonzero(label == names[fits[np.argmax(area[fits])]])
+            out.append((int(x.mean()), int(y.mean())))
+        else:
+            out.append((None, None))
     return pd.DataFrame(out, columns=["x", "y"]).astype("Int32")
 
 
@@ -143,5 +155,21 @@ def shrunk(gray: Column, width: Column, cols: Column, rows: Column) -> Column:
     return F.pandas_udf(_shrunk, "array<int>")(gray, width, cols, rows)
 
 
+def with_ascii(frames: DataFrame, width: int, height: int, cols: int, edge: bool = False, ramp: str = RAMP) -> DataFrame:
+    """``frames`` (gray) with ``ascii``: shrunk to ``cols`` by the rule of ``auto_rows``, edges if asked for, then a mark for each cell."""
+    rows = max(1, round(cols * (height / width) / 2.0))
+    small = shrunk(F.col("gray"), F.lit(width), F.lit(cols), F.lit(rows))
+    out = frames.withColumn("small", small)
+    if edge:
+        out = out.withColumn("small", edge_magnitude(F.col("small"), F.lit(cols)))
+    return out.withColumn("ascii", ascii_frame(F.col("small"), cols, rows, ramp)).drop("small")
+
+
+def blur_kernel(box: Column) -> Column:
+    """Side of the kernel that blurs a clamped box [x0, y0, x1, y1]: odd, three at least."""
+    side = F.least(box[2] - box[0], box[3] - box[1])
+    return F.greatest(F.lit(3), (F.floor(side / 2) * 2 + 1).cast("int"))
+
+
 def estimate_cursor(prev: Column, cur: Column, width: Column) -> Column:
     return F.pandas_udf(_cursor, "x int, y int")(prev, cur, width)

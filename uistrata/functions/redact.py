@@ -1,12 +1,7 @@
-"""Secrets in lines: kinds, spans, masks."""
+"""Secrets in lines: kinds, spans, masks.  All on the JVM: offsets follow from the pieces between matches."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +15,15 @@ PATTERNS = (
     ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("credit_card", r"\b(?:\d[ -]?){13,16}\b"),
 )
+#: Marks around a token, its least length and least entropy.
 EDGE_MARKS = ".,;:!?()[]{}'\""
 LEAST_LENGTH, LEAST_ENTROPY = 20, 3.5
+#: What a line must have for any kind: one scan instead of eight.  A digit of any script counts.
+_MAYBE = r"(?U)-----BEGIN|eyJ|AKIA|ASIA|@|\d{3}-\d{2}-|(?:\d[ -]?){13}|(?:sk|pk|rk|gh[pous]|xox[baprs]|AIza)[-_]|\S{20}"
 _SPAN = "array<struct<start:int,end:int,kind:string>>"
+#: Decimal digits of all scripts, and what they count.
+_DIGITS = "".join(c for c in map(chr, range(0x1FC00)) if c.isdecimal())
+_VALUES = "".join(str(int(c)) for c in _DIGITS)
 
 
 def shannon_entropy(s: Column) -> Column:
@@ -35,7 +36,7 @@ def shannon_entropy(s: Column) -> Column:
 
 def luhn_ok(s: Column) -> Column:
     """13 to 19 digits whose Luhn sum ends in 0; other characters are passed over."""
-    digits = F.reverse(F.regexp_extract_all(s, F.lit(r"\d"), F.lit(0)))
+    digits = F.reverse(F.regexp_extract_all(F.translate(s, _DIGITS, _VALUES), F.lit(r"\d"), F.lit(0)))
 
     def part(d: Column, i: Column) -> Column:
         v = d.cast("int")
@@ -45,47 +46,47 @@ def luhn_ok(s: Column) -> Column:
     return F.size(digits).between(13, 19) & (total % 10 == 0)
 
 
-def secret_tokens(line: Column) -> Column:
-    """White-space separated tokens that look like credentials."""
-    core = lambda t: F.btrim(t, F.lit(EDGE_MARKS))
-    looks = lambda t: (F.length(core(t)) >= LEAST_LENGTH) & core(t).rlike(r"\p{L}") & core(t).rlike(r"\p{Nd}") & (shannon_entropy(core(t)) >= LEAST_ENTROPY)
-    return F.filter(F.regexp_extract_all(line, F.lit(r"(?U)\S+"), F.lit(0)), looks)
-
+def _looks_secret(token: Column) -> Column:
+    core = F.btrim(token, F.lit(EDGE_MARKS))
+    return (F.length(core) >= LEAST_LENGTH) & core.rlike(r"\p{L}") & core.rlike(r"\p{Nd}") & (shannon_entropy(core) >= LEAST_ENTROPY)
 
-_compiled = [(k, re.compile(p)) for k, p in PATTERNS]
 
-
-def _entropy(s: str) -> float:
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
+def secret_tokens(line: Column) -> Column:
+    """White-space separated tokens that look like credentials."""
+    return F.filter(F.regexp_extract_all(line, F.lit(r"(?U)\S+"), F.lit(0)), _looks_secret)
 
 
-def _luhn(s: str) -> bool:
-    digits = [int(c) for c in s if c.isdigit()][::-1]
-    doubled = [sum(divmod(2 * d, 10)) for d in digits[1::2]]
-    return 13 <= len(digits) <= 19 and (sum(digits[::2]) + sum(doubled)) % 10 == 0
+def _matches(line: Column, pattern: str, rank: int, kind: str) -> Column:
+    """Matches of a pattern as struct(start, back, rank, kind, end, text): places add up from the pieces between them."""
+    found, between = F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.split(line, pattern, -1)
+    none = F.array().cast("array<struct<start:int,back:int,rank:int,kind:string,end:int,text:string>>")
 
+    def step(a: Column, z: Column) -> Column:
+        start = a["at"] + F.length(z["between"])
+        end = start + F.length(z["found"])
+        row = F.struct(start.alias("start"), (-end).alias("back"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), z["found"].alias("text"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
 
-def spans_of(text: str) -> list[tuple[int, int, str]]:
-    """Spans that do not overlap: the earliest, then the longest, then the kind of higher priority stays."""
-    every = [(m.start(), m.end(), rank, kind) for rank, (kind, p) in enumerate(_compiled) for m in p.finditer(text) if kind != "credit_card" or _luhn(m[0])]
-    for m in re.finditer(r"\S+", text):
-        core = m[0].strip(EDGE_MARKS)
-        if len(core) >= LEAST_LENGTH and any(map(str.isalpha, core)) and any(map(str.isdigit, core)) and _entropy(core) >= LEAST_ENTROPY:
-            every.append((m.start(), m.end(), len(PATTERNS), "secret"))
-    kept: list[tuple[int, int, str]] = []
-    for start, end, _, kind in sorted(every, key=lambda s: (s[0], -s[1], s[2])):
-        if not kept or start >= kept[-1][1]:
-            kept.append((start, end, kind))
-    return kept
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(b.alias("between"), f.alias("found")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
 
 
-def _find(lines: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(x or "")] for x in lines])
+def find_secrets(line: Column) -> Column:
+    """Spans in code points that do not overlap: the earliest, then the longest, then the kind of higher priority stays."""
+    every = []
+    for rank, (kind, pattern) in enumerate(PATTERNS):
+        found = _matches(line, f"(?U){pattern}", rank, kind)
+        every.append(F.filter(found, lambda m: luhn_ok(m["text"])) if kind == "credit_card" else found)
+    every.append(F.filter(_matches(line, r"(?U)\S+", len(PATTERNS), "secret"), lambda m: _looks_secret(m["text"])))
+    start = F.struct(F.lit(0).alias("last"), F.array().cast(_SPAN).alias("out"))
 
+    def step(a: Column, m: Column) -> Column:
+        span = F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))
+        longer = F.struct(m["end"].alias("last"), F.concat(a["out"], F.array(span)).alias("out"))
+        return F.when(m["start"] >= a["last"], longer).otherwise(a)
 
-def find_secrets(line: Column) -> Column:
-    """Spans in code points.  Offsets need a regex engine that gives them, so batches go through Arrow."""
-    return F.pandas_udf(_find, _SPAN)(line)
+    spans = F.aggregate(F.array_sort(F.concat(*every)), start, step, lambda a: a["out"])
+    return F.when(line.rlike(_MAYBE), spans).otherwise(F.array().cast(_SPAN))
 
 
 def redact_line(line: Column, spans: Column, mask: str = "[REDACTED:{kind}]") -> Column:
@@ -97,5 +98,14 @@ def redact_line(line: Column, spans: Column, mask: str = "[REDACTED:{kind}]") ->
     return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(line, a["at"] + 1, F.length(line))))
 
 
+def masked(line: Column, mask: str = "[REDACTED:{kind}]") -> Column:
+    """The line with its secrets masked; lines without any are passed on as they are."""
+    return F.when(line.rlike(_MAYBE), redact_line(line, find_secrets(line), mask)).otherwise(line)
+
+
+def masked_lines(lines: Column) -> Column:
+    return F.transform(lines, lambda x: masked(x))
+
+
 def has_secret(spans: Column) -> Column:
     return F.size(spans) > 0

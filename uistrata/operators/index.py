@@ -1,4 +1,4 @@
-"""Queries on an index of states: search, summary, compact view, salience, curated states."""
+"""Queries on rows of states: search, salience, curated states, narration and cursors."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def search_index(states: DataFrame, pattern: str | None = None, since: float | N
         out = out.where(F.col("t_end") >= since)
     if until is not None:
         out = out.where(F.col("t_start") <= until)
-    if event_type:
+    if event_type is not None:
         out = out.where(F.col("event.type") == event_type)
     matches = F.array().cast("array<string>")
     if pattern:
@@ -27,39 +27,10 @@ def search_index(states: DataFrame, pattern: str | None = None, since: float | N
     return out.select("rec", "idx", "t_start", "t_end", F.col("event.type").alias("event_type"), matches.alias("matches"))
 
 
-def persistent_lines(states: DataFrame) -> DataFrame:
-    """(rec, persistent): lines in every state of a recording of two states or more, in code-point order."""
-    total = states.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
-    each = states.select("rec", F.explode(F.array_distinct("lines")).alias("line")).groupBy("rec", "line").agg(F.count(F.lit(1)).alias("k"))
-    kept = each.join(total, "rec").where("k = n and n > 1").groupBy("rec").agg(F.array_sort(F.collect_list("line")).alias("persistent"))
-    return total.select("rec").join(kept, "rec", "left").withColumn("persistent", F.coalesce("persistent", F.array().cast("array<string>")))
-
-
-def summarize(states: DataFrame) -> DataFrame:
-    """One row per recording."""
-    s = states.groupBy("rec").agg(
-        F.count(F.lit(1)).alias("states"),
-        F.min("t_start").alias("t_start"),
-        F.max("t_end").alias("t_end"),
-        F.sum(F.size("lines")).alias("text_lines"),
-        F.count("event").alias("events"),
-        F.max((F.size("lines") > 0).cast("int")).alias("has_text"),
-        F.max((F.coalesce("salience", F.lit(0.0)) != 0).cast("int")).alias("has_curated"),
-    )
-    return s.join(persistent_lines(states), "rec").withColumn("n_persistent", F.size("persistent")).drop("persistent")
-
-
 def event_histogram(states: DataFrame) -> DataFrame:
     return states.where(F.col("event").isNotNull()).groupBy("rec", F.col("event.type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def compact_view(states: DataFrame) -> DataFrame:
-    """States without lines that all states share; order and duplicates of the others stay."""
-    out = states.join(persistent_lines(states), "rec")
-    own = F.filter("lines", lambda x: ~F.array_contains(F.col("persistent"), x))
-    return out.select("rec", "idx", "t_start", "t_end", own.alias("own_lines"), "persistent")
-
-
 def with_salience(states: DataFrame, sharpness: Column | None = None) -> DataFrame:
     by = W.partitionBy("rec")
     change = (F.size("added") + F.size("removed")).cast("double")
@@ -68,25 +39,32 @@ def with_salience(states: DataFrame, sharpness: Column | None = None) -> DataFra
     return states.withColumn("salience", F.round(score, 4))
 
 
-def curated(states: DataFrame, budget: int) -> DataFrame:
-    """Up to ``budget`` states a recording, greedily by salience and distance to those chosen; ties to the earliest.
+def greedy(saliences: Column, budget: int) -> Column:
+    """Places (from 0) of up to ``budget`` values, greedily by value and distance to those chosen; ties to the earliest.
 
-    A fold on the JVM: ``budget`` steps over the recording's array of saliences.
+    A fold on the JVM: ``budget`` steps over the values.
     """
-    rows = states.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("pos", "salience", "idx", "t_start"))).alias("all"))
     if budget <= 0:
-        return rows.select("rec", F.explode("all").alias("s")).select("rec", "s.pos", "s.idx", "s.t_start", "s.salience").limit(0)
+        return F.array().cast("array<int>")
 
     def step(chosen: Column, _: Column) -> Column:
         def value(s: Column, i: Column) -> Column:
             d = F.array_min(F.transform(chosen, lambda c: F.abs(i - c))).cast("double")
             bonus = F.when(F.size(chosen) > 0, SPREAD * (1 - 1 / (1 + d))).otherwise(0.0)
-            return F.struct((s["salience"] + bonus).alias("v"), (-i).alias("back"), F.array_contains(chosen, i).alias("used"))
+            return F.struct((s + bonus).alias("v"), (-i).alias("back"), F.array_contains(chosen, i).alias("used"))
 
-        best = F.array_max(F.filter(F.transform(F.col("all"), value), lambda z: ~z["used"]))
+        best = F.array_max(F.filter(F.transform(saliences, value), lambda z: ~z["used"]))
         return F.when(best.isNull(), chosen).otherwise(F.concat(chosen, F.array(-best["back"])))
 
-    picks = F.when(F.size("all") <= budget, F.sequence(F.lit(0), F.size("all") - 1)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(budget)), F.array().cast("array<int>"), step))
+    n = F.size(saliences)
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(n <= budget, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(budget)), F.array().cast("array<int>"), step))
+
+
+def curated(states: DataFrame, budget: int) -> DataFrame:
+    """Up to ``budget`` states a recording, as ``greedy`` has it."""
+    rows = states.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("pos", "salience", "idx", "t_start"))).alias("all"))
+    picks = greedy(F.transform("all", lambda s: s["salience"]), budget)
     return rows.select("rec", F.explode(F.transform(picks, lambda i: F.get(F.col("all"), i))).alias("s")).select("rec", "s.pos", "s.idx", "s.t_start", "s.salience")
 
 
@@ -96,8 +74,24 @@ def narration_of(states: DataFrame, narration: DataFrame) -> DataFrame:
     return met.groupBy("rec", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("said"))
 
 
+def with_cursor(states: DataFrame, cursor: DataFrame) -> DataFrame:
+    """``states`` with xs and ys, the cursor positions inside each (both ends closed) in time order; NULL where there are none.
+
+    The states of a recording do not overlap, so a position belongs to the last
+    state that begins before it, if to any: states and positions share one window
+    and one aggregate, without a join of ranges.
+    """
+    state = F.struct(*states.columns)
+    spot = F.struct("t", "x", "y")
+    s = states.select("rec", F.col("t_start").alias("t"), F.lit(0).alias("kind"), F.struct("idx", "t_end").alias("s"), state.alias("state"), F.lit(None).cast(cursor.select(spot.alias("p")).schema["p"].dataType).alias("p"))
+    c = cursor.select("rec", F.col("t").cast("double").alias("t"), F.lit(1).alias("kind"), *[F.lit(None).cast(s.schema[n].dataType).alias(n) for n in ("s", "state")], spot.alias("p"))
+    by = W.partitionBy("rec").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
+    met = s.unionByName(c).withColumn("in", F.last("s", ignorenulls=True).over(by)).where("kind = 0 or t <= in.t_end")
+    got = met.groupBy("rec", F.col("in.idx").alias("idx")).agg(F.first("state", ignorenulls=True).alias("state"), F.array_sort(F.collect_list("p")).alias("p"))
+    axis = lambda a: F.when(F.size("p") > 0, F.transform("p", lambda z: z[a]))
+    return got.select(*[F.col(f"state.{n}").alias(n) for n in states.columns], axis("x").alias("xs"), axis("y").alias("ys"))
+
+
 def cursor_of(states: DataFrame, cursor: DataFrame) -> DataFrame:
-    """(rec, idx, xs, ys) of cursor positions inside a state (both ends closed), in time order."""
-    met = states.select("rec", "idx", "t_start", "t_end").join(cursor, "rec").where("t >= t_start and t <= t_end")
-    got = met.groupBy("rec", "idx").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("p"))
-    return got.select("rec", "idx", F.transform("p", lambda z: z["x"]).alias("xs"), F.transform("p", lambda z: z["y"]).alias("ys"))
+    """(rec, idx, xs, ys) of the states with cursor positions inside."""
+    return with_cursor(states.select("rec", "idx", "t_start", "t_end"), cursor).where("xs is not null").select("rec", "idx", "xs", "ys")

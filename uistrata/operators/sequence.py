@@ -1,10 +1,15 @@
-"""Sequence operators: segmentation, merging, islands.  One exchange on ``rec`` serves all of them."""
+"""Sequence operators: segmentation, merging, islands.  All are partitioned by ``rec``, so one exchange serves those that follow one another."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -16,51 +21,95 @@ def sampled(frames: DataFrame, native_fps: float, sample_fps: float, limit: int
     return out.where(F.col("out_idx") < limit) if limit else out
 
 
-def segment_by_text(frames: DataFrame, threshold: float = 0.8, motion: float = 0.003) -> DataFrame:
-    """(rec, seg, t_start, t_end, lines): a segment ends where the text of a moved frame is unlike the last moved one's.
+def segment_by_text(frames: DataFrame, threshold: float = 0.8, motion: float = 0.003, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rec, seg, t_start, t_end, lines, keyframe, *keep): a segment ends where the text of a moved frame is unlike the last moved one's.
 
-    ``frames``: rec, pos, t, lines, moved (change against the frame before).
-    Frames that did not move keep the segment, so one pass of windows suffices.
+    ``frames``: rec, pos, t, lines, moved (change against the frame before), and
+    columns to ``keep`` of each segment's last frame, its keyframe.  Frames that
+    did not move keep the segment, so windows of one partition and order suffice.
     """
+    by = W.partitionBy("rec").orderBy("pos")
     seen = (F.col("pos") == 0) | (F.col("moved") >= motion)
-    f = frames.withColumn("seen", seen)
-    before = F.lag("lines").over(W.partitionBy("rec", "seen").orderBy("pos"))
-    split = F.when(F.col("seen") & before.isNotNull() & (text.text_similarity(before, F.col("lines")) < threshold), 1).otherwise(0)
-    f = f.withColumn("split", split).withColumn("seg", F.sum("split").over(W.partitionBy("rec").orderBy("pos")))
+    text_seen = F.when(seen, F.col("lines"))
+    before = F.last(text_seen, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    split = F.when(seen & before.isNotNull() & (text.text_similarity(before, F.col("lines")) < threshold), 1).otherwise(0)
+    f = frames.withColumn("seen", seen).withColumn("split", split).withColumn("seg", F.sum("split").over(by))
     last = F.max(F.when(F.col("seen"), F.struct("pos", "lines")))
-    return f.groupBy("rec", "seg").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), last.alias("last"), F.max("pos").alias("keyframe")).select("rec", "seg", "t_start", "t_end", F.col("last.lines").alias("lines"), "keyframe")
-
-
-def merge_near(segments: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Segments like the last *kept* one extend it; a fold, since what is kept depends on what was kept."""
-    item = F.struct("seg", "t_start", "t_end", "lines", "keyframe")
-    rows = segments.groupBy("rec").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    end = F.max_by(F.struct("pos", *keep), "pos")
+    out = f.groupBy("rec", "seg").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), last.alias("last"), end.alias("end"))
+    return out.select("rec", "seg", "t_start", "t_end", F.col("last.lines").alias("lines"), F.col("end.pos").alias("keyframe"), *[F.col(f"end.{c}").alias(c) for c in keep])
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.element_at(kept, -1)
-        longer = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(last.withField("t_end", s["t_end"])))
-        return F.when((F.size(kept) > 0) & (text.text_similarity(last["lines"], s["lines"]) >= threshold), longer).otherwise(F.concat(kept, F.array(s)))
 
-    kept = F.aggregate("all", F.slice("all", 1, 1), lambda k, s: F.when(s["seg"] == F.get("all", 0)["seg"], k).otherwise(step(k, s)))
-    return rows.select("rec", F.posexplode(kept).alias("pos", "s")).select("rec", "pos", F.col("s.seg").alias("idx"), "s.t_start", "s.t_end", "s.lines", "s.keyframe")
+def _jaccard(a: frozenset, b: frozenset) -> float:
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def segment_by_motion(frames: DataFrame, threshold: float = 0.04) -> DataFrame:
-    """(rec, seg, pos) with splits by motion against the frame before or drift against the segment's first frame.
+def merge_near(segments: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Segments like the last *kept* one extend it: what is kept depends on what was kept.
 
-    ``frames``: rec, pos, x (a number that stands for the picture; distance is the absolute difference).
+    A step over the segments of a recording in their order; takes time in
+    proportion to them.  Returns the columns of ``segments``, with ``seg`` as
+    ``idx`` and ``pos``, the number of a kept one.
     """
-    rows = frames.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("all"))
-    zero = F.struct(F.get("all", 0)["x"].alias("prev"), F.get("all", 0)["x"].alias("anchor"), F.lit(0).alias("seg"), F.array().cast("array<struct<pos:bigint,seg:int>>").alias("out"))
-
-    def step(a: Column, f: Column) -> Column:
-        split = (F.abs(f["x"] - a["prev"]) >= threshold) | (F.abs(f["x"] - a["anchor"]) >= threshold)
-        seg = a["seg"] + F.when(split, 1).otherwise(0)
-        row = F.array(F.struct(f["pos"].cast("bigint").alias("pos"), seg.alias("seg")))
-        return F.struct(f["x"].alias("prev"), F.when(split, f["x"]).otherwise(a["anchor"]).alias("anchor"), seg.alias("seg"), F.concat(a["out"], row).alias("out"))
 
-    out = F.aggregate("all", zero, step, lambda a: a["out"])
-    return rows.select("rec", F.explode(out).alias("o")).select("rec", "o.pos", "o.seg")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seg")
+        kept, ends, last = [], [], None
+        for i, (own, end) in enumerate(zip(table.column("line_set").to_pylist(), table.column("t_end").to_pylist())):
+            own = frozenset(own)
+            if last is not None and _jaccard(last, own) >= threshold:
+                ends[-1] = end
+            else:
+                kept.append(i)
+                ends.append(end)
+                last = own
+        out = table.take(pa.array(kept, pa.int64())).drop_columns(["line_set"])
+        out = out.set_column(out.schema.get_field_index("t_end"), "t_end", pa.array(ends, pa.float64()))
+        return out.append_column("pos", pa.array(range(len(kept)), pa.int64()))
+
+    schema = T.StructType([*segments.schema, T.StructField("pos", T.LongType())])
+    out = segments.withColumn("line_set", text.line_set(F.col("lines"))).groupBy("rec").applyInArrow(run, schema)
+    return out.withColumnRenamed("seg", "idx")
+
+
+def segment_by_motion(frames: DataFrame, threshold: float = 0.04, column: str = "x") -> DataFrame:
+    """``frames`` with ``seg``: splits by motion against the frame before or drift against the segment's first frame.
+
+    ``frames``: rec, pos and a picture in ``column``: a gray array, of which the
+    mean absolute difference over 255 is taken, or a number that stands for it,
+    whose difference is taken as it is.  Frames stream through a partition sorted
+    by recording, so a recording of any length takes the memory of a batch.
+    """
+    numbers = not isinstance(frames.schema[column].dataType, T.ArrayType)
+
+    def change(a, b) -> float:
+        if numbers:
+            return abs(a - b)
+        return float(np.abs(a - b).mean()) / 255.0 if a.shape == b.shape else 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, seg, prev, anchor = None, 0, None, None
+        for batch in batches:
+            segs = []
+            for own, x in zip(batch.column("rec").to_pylist(), batch.column(column)):
+                x = x.as_py() if numbers else np.asarray(x.values, np.int16)
+                if prev is None or own != rec:
+                    rec, seg, anchor = own, 0, x
+                elif change(prev, x) >= threshold or change(anchor, x) >= threshold:
+                    seg, anchor = seg + 1, x
+                prev = x
+                segs.append(seg)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segs, pa.int32())], [*batch.schema.names, "seg"])
+
+    schema = T.StructType([*frames.schema, T.StructField("seg", T.IntegerType())])
+    return frames.repartition("rec").sortWithinPartitions("rec", "pos").mapInArrow(run, schema)
+
+
+def settled(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rec, seg, t_start, t_end, lines, keyframe, *keep) of frames with ``seg``; text and ``keep`` are the last frame's."""
+    end = F.max_by(F.struct("pos", "lines", *keep), "pos")
+    out = frames.groupBy("rec", "seg").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), end.alias("end"))
+    return out.select("rec", "seg", "t_start", "t_end", F.col("end.lines").alias("lines"), F.col("end.pos").alias("keyframe"), *[F.col(f"end.{c}").alias(c) for c in keep])
 
 
 def with_diffs(states: DataFrame) -> DataFrame:

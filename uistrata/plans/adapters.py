@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import events, index, sequence
+from ..functions import pixels, redact
+from ..operators import document, events, index, recording, sequence
 
 WIDTH = HEIGHT = 8
 PIXELS_DELTA = 80
@@ -19,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, pos, t (seconds), lines: distinct event types of the last five rows; moved: change of value over 500."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), "event_id", "ts", "event_type", "value")
+    by = W.partitionBy("rec").orderBy("ts", "event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(
-        F.col("user_id").alias("rec"),
+        "rec",
         (F.row_number().over(by) - 1).cast("bigint").alias("pos"),
-        ((us - F.min(us).over(W.partitionBy("user_id"))) / 1e6).alias("t"),
+        ((us - F.min(us).over(W.partitionBy("rec"))) / 1e6).alias("t"),
         F.array_sort(F.collect_set("event_type").over(by.rowsBetween(-4, 0))).alias("lines"),
         F.col("value"),
         (F.abs(F.col("value") - F.lag("value").over(by)) / 500).alias("moved"),
@@ -60,6 +61,101 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("prev", F.lag("gray").over(W.partitionBy("rec").orderBy("vec_id")))
 
 
+# ---- whole recordings: boxes, pictures, cursors, speech and secrets, made of the events
+
+#: What the full index is built with.
+FULL = recording.Options(fps=0.001, text_threshold=0.8, motion_epsilon=0.05, dedupe_threshold=0.95, boxes=True, redact=True, interactions=True, events=True, keyframe_budget=3)
+_CARD = "4111 1111 1111 1111"
+
+
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, pos, t, moved, boxes, kind, k, value: six boxes of text a frame, in reading order, of the last six rows."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), "event_id", "ts", F.col("event_type").alias("kind"), "value", (F.col("event_id") % 97).alias("k"))
+    by = W.partitionBy("rec").orderBy("ts", "event_id")
+    us, k = F.unix_micros(F.col("ts").cast("timestamp")), F.col("k")
+
+    def joined(*parts) -> F.Column:
+        return F.concat(*[p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts])
+
+    said = (
+        F.when(F.col("kind") == "view", joined("www.ex.com/", k % 9))
+        .when(F.col("kind") == "click", joined("Open item ", k % 4))
+        .when(F.col("kind") == "signup", joined("Mail u", k % 5, "@ex.com"))
+        .when((F.col("kind") == "purchase") & (k % 3 == 0), joined("Card ", _CARD))
+        .when(F.col("kind") == "purchase", joined("Buy ", k % 5))
+        .when(k % 4 == 0, joined("Error ", k % 6, " denied"))
+        .otherwise(joined("Note ", k % 3))
+    )
+    box = F.struct(said.alias("text"), F.array(k * 3 % 8, k * 5 % 8, 1 + k % 3, 1 + k % 2).cast("array<int>").alias("box"))
+    return e.select(
+        "rec",
+        (F.row_number().over(by) - 1).cast("bigint").alias("pos"),
+        ((us - F.min(us).over(W.partitionBy("rec"))) / 1e6).alias("t"),
+        (F.abs(F.col("value") - F.lag("value").over(by)) / 500).alias("moved"),
+        recording.reading_order(F.collect_list(box).over(by.rowsBetween(-5, 0)), F.lit(HEIGHT)).alias("boxes"),
+        "kind",
+        "k",
+        "value",
+    )
+
+
+def picture(rec: F.Column, kind: F.Column, k: F.Column) -> F.Column:
+    """Gray array of a frame: the recording's ground, and a bright patch whose place and size tell the event."""
+    wide = F.when(kind == "view", 8).when(kind == "purchase", 5).when(kind == "signup", 4).when(kind == "error", 2).otherwise(1)
+    high = F.when(kind == "view", 8).when(kind == "purchase", 5).when(kind == "signup", 3).otherwise(2)
+    x0, y0 = F.when(kind == "view", 0).otherwise(k % 8), F.when(kind == "view", 0).otherwise(F.floor(k / 8) % 8)
+
+    def pixel(i: F.Column) -> F.Column:
+        x, y = i % WIDTH, F.floor(i / WIDTH)
+        inside = (x >= x0) & (x < x0 + wide) & (y >= y0) & (y < y0 + high)
+        return F.when(inside, 200).otherwise((i * 37 + rec * 11) % 120).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1)), pixel)
+
+
+def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, t, x, y: a position at each click and purchase."""
+    s = shots(spark, sf_dir).where("kind in ('click', 'purchase')")
+    return s.select("rec", "t", (F.col("k") % 8).cast("int").alias("x"), (F.floor(F.col("k") / 3) % 8).cast("int").alias("y"))
+
+
+def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, n, start, end, text: a minute after each error, with an address that must not be kept."""
+    s = shots(spark, sf_dir).where("kind = 'error'")
+    said = F.concat(F.lit("step "), F.col("k").cast("string"), F.lit(" of u1@ex.com"))
+    return s.select("rec", F.col("pos").alias("n"), F.round("t", 3).alias("start"), F.round(F.col("t") + 60, 3).alias("end"), redact.masked(said).alias("text"))
+
+
+def full_states(spark: SparkSession, sf_dir: str, options: recording.Options = FULL) -> DataFrame:
+    shown = shots(spark, sf_dir).withColumn("owner", F.col("rec"))
+    return recording.build(shown, options, cursor(spark, sf_dir), WIDTH, HEIGHT, lambda s: picture(s["owner"], s["kind"], s["k"]))
+
+
+def full_index(spark: SparkSession, sf_dir: str, options: recording.Options = FULL) -> DataFrame:
+    """A document per recording."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lasts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec")).agg(((F.max(us) - F.min(us)) / 1e6).alias("duration"))
+    lasts = lasts.withColumn("video", F.concat(F.lit("rec"), F.col("rec").cast("string"), F.lit(".mp4")))
+    return document.documents(full_states(spark, sf_dir, options), lasts, speech(spark, sf_dir), options.fps)
+
+
+def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, vec_id, gray and the gray before, 24 x 24: three bright patches, of which small ones may be a cursor."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("rec"), "vec_id")
+    v = F.col("vec_id")
+
+    def pixel(i: F.Column) -> F.Column:
+        x, y = i % 24, F.floor(i / 24)
+        lit = F.lit(False)
+        for a, b, w, h in ((7, 11, 2, 2 + v % 2), (13, 5, 1, 4), (3, 17, 5, 3)):
+            x0, y0 = v * a % 24, v * b % 24
+            lit = lit | ((x >= x0) & (x < x0 + w) & (y >= y0) & (y < y0 + h))
+        return F.when(lit, 255).otherwise(10).cast("int")
+
+    rows = e.withColumn("gray", F.transform(F.sequence(F.lit(0), F.lit(24 * 24 - 1)), pixel))
+    return rows.withColumn("prev", F.lag("gray").over(W.partitionBy("rec").orderBy("vec_id")))
+
+
 def conversation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("rec"), F.col("turn").alias("pos"), F.split("text", "\n").alias("lines"), "role")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pixels, redact, text
-from ..operators import events, index, sequence
+from ..operators import document, events, index, manifest, recording, sequence
 from ..streaming import windows
 from . import adapters as A
 from . import evalqa, sql, views
@@ -165,7 +165,7 @@ def segment_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT rec, pos, seg FROM walk"""
 )
 def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.segment_by_motion(A.frames(spark, sf_dir).withColumn("x", F.col("value")), 120.0)
+    return sequence.segment_by_motion(A.frames(spark, sf_dir).select("rec", "pos", F.col("value").alias("x")), 120.0).select("rec", "pos", F.col("seg").cast("bigint").alias("seg"))
 
 
 @query(sql.states("SELECT rec, pos, idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines FROM merged"))
@@ -184,10 +184,57 @@ def classify_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.states(spark, sf_dir).where("event is not null").select("rec", "idx", F.col("event.type").alias("event_type"), F.col("event.label").alias("event_label"))
 
 
-@query(sql.states("SELECT rec, pos, idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines, array_to_string(added, '|') AS added, array_to_string(removed, '|') AS removed, event_type, salience FROM states"))
+_STATE = (
+    "SELECT rec, pos, idx, t_start, t_end, keyframe, thumbnail, array_to_string(lines, '|') AS lines, array_to_string(added, '|') AS added, array_to_string(removed, '|') AS removed, px AS x, py AS y, label, "
+    "event_type, CASE WHEN event_type IS NOT NULL THEN region END AS region, event_label, event_field, event_value, confidence, salience FROM states"
+)
+
+
+@query(sql.full(_STATE))
 def ui_state_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.states(spark, sf_dir)
-    return s.select("rec", "pos", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"), shown("added").alias("added"), shown("removed").alias("removed"), F.col("event.type").alias("event_type"), "salience")
+    """The whole build: text masked, states merged, interactions, typed events, sharpness and salience."""
+    s = A.full_states(spark, sf_dir)
+    return s.select(
+        "rec",
+        "pos",
+        "idx",
+        "t_start",
+        "t_end",
+        "keyframe",
+        "thumbnail",
+        shown("lines").alias("lines"),
+        shown("added").alias("added"),
+        shown("removed").alias("removed"),
+        F.col("interaction.x").cast("bigint").alias("x"),
+        F.col("interaction.y").cast("bigint").alias("y"),
+        F.col("interaction.label").alias("label"),
+        F.col("event.type").alias("event_type"),
+        F.array_join(F.col("event.region").cast("array<string>"), ",").alias("region"),
+        F.col("event.label").alias("event_label"),
+        F.col("event.field").alias("event_field"),
+        F.col("event.value").alias("event_value"),
+        F.col("event.confidence").alias("confidence"),
+        "salience",
+    )
+
+
+@query(sql.full("SELECT rec, idx, b.i - 1 AS n, b.box['text'] AS text, b.box['x'] || ',' || b.box['y'] || ',' || b.box['w'] || ',' || b.box['h'] AS box FROM (SELECT rec, idx, unnest(list_transform(boxes, lambda b, i: {'i': i, 'box': b})) AS b FROM states)"))
+def state_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of masked text in reading order."""
+    each = A.full_states(spark, sf_dir).select("rec", "idx", F.posexplode("boxes").alias("n", "b"))
+    return each.select("rec", "idx", F.col("n").cast("bigint").alias("n"), F.col("b.text").alias("text"), F.array_join(F.col("b.box").cast("array<string>"), ",").alias("box"))
+
+
+@query(sql.full("SELECT rec, idx, round(sharp + 0.0001, 3) AS sharpness, change FROM states"))
+def state_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpness of each state's keyframe beside its change of text."""
+    f = A.shots(spark, sf_dir).withColumn("owner", F.col("rec"))
+    plain = A.full_states(spark, sf_dir).select("rec", "idx", "keyframe", (F.size("added") + F.size("removed")).cast("double").alias("change"))
+    lines = F.transform("boxes", lambda b: b["text"])
+    segs = sequence.segment_by_text(f.withColumn("lines", lines), A.FULL.text_threshold, A.FULL.motion_epsilon, ("owner", "kind", "k"))
+    sharp = pixels.sharpness(A.picture(F.col("owner"), F.col("kind"), F.col("k")), F.lit(A.WIDTH))
+    sharp = segs.select("rec", F.col("seg").alias("idx"), F.round(sharp + 0.0001, 3).alias("sharpness"))
+    return plain.join(sharp, ["rec", "idx"]).select("rec", "idx", "sharpness", "change")
 
 
 # ---- queries on the index
@@ -214,14 +261,26 @@ def search_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(index.search_index(A.states(spark, sf_dir), event_type="error"))
 
 
+_EVENTS = "(SELECT string_agg(event_type || ':' || c, ',' ORDER BY event_type) FROM (SELECT event_type, count(*) AS c FROM states e WHERE e.rec = r.rec AND event_type IS NOT NULL GROUP BY 1))"
+
+
 @query(
-    sql.states(
-        "SELECT s.rec, count(*) AS states, round(min(t_start), 3) AS t_start, round(max(t_end), 3) AS t_end, sum(len(lines))::BIGINT AS text_lines, count(event_type) AS events, "
-        "max(CASE WHEN len(lines) > 0 THEN 1 ELSE 0 END) AS has_text, max(CASE WHEN salience <> 0 THEN 1 ELSE 0 END) AS has_curated, any_value(len(persistent)) AS n_persistent FROM states s JOIN persistent p ON p.rec = s.rec GROUP BY s.rec"
+    sql.full(
+        f"SELECT video, round(duration, 2) AS duration_s, 0.001::DOUBLE AS sampled_fps, (SELECT count(*) FROM states s WHERE s.rec = r.rec) AS states, (SELECT sum(len(lines))::BIGINT FROM states s WHERE s.rec = r.rec) AS ocr_lines, "
+        f"coalesce({_EVENTS}, '') AS events, (SELECT count(*) FROM speech n WHERE n.rec = r.rec) AS narration_segments, 0::BIGINT AS warnings, coalesce((SELECT len(persistent) FROM shared p WHERE p.rec = r.rec), 0) AS persistent_ui_lines, "
+        "(SELECT bool_or(salience <> 0) FROM states s WHERE s.rec = r.rec) AS has_curated_keyframes FROM recordings r"
     )
 )
 def summarize_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.summarize(A.states(spark, sf_dir)).withColumns({"t_start": F.round("t_start", 3), "t_end": F.round("t_end", 3)})
+    out = document.summarize(A.full_index(spark, sf_dir))
+    counts = F.array_join(F.transform(F.map_entries("events"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.withColumns({"events": counts, **{c: F.col(c).cast("bigint") for c in ("states", "ocr_lines", "narration_segments", "warnings", "persistent_ui_lines")}})
+
+
+@query(sql.full("SELECT video, idx, t_start, t_end, event_type AS event, array_to_string(list_filter(lines, lambda l: contains(lower(l), 'open')), '|') AS matches FROM states JOIN recordings USING (rec) WHERE len(list_filter(lines, lambda l: contains(lower(l), 'open'))) > 0 AND t_end >= 1000 AND t_start <= 1500000 AND event_type = 'edit'"))
+def search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All filters at once, on documents."""
+    return document.search(A.full_index(spark, sf_dir), "OPEN", 1000.0, 1500000.0, "edit").withColumn("matches", shown("matches"))
 
 
 @query(sql.states("SELECT rec, event_type, count(*) AS n FROM states WHERE event_type IS NOT NULL GROUP BY 1, 2"))
@@ -229,14 +288,16 @@ def event_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.event_histogram(A.states(spark, sf_dir))
 
 
-@query(sql.states("SELECT rec, array_to_string(persistent, '|') AS persistent FROM persistent"))
+@query(sql.full("SELECT video, array_to_string(coalesce(persistent, []), '|') AS persistent FROM recordings LEFT JOIN shared USING (rec)"))
 def persistent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.persistent_lines(A.states(spark, sf_dir)).select("rec", shown("persistent").alias("persistent"))
+    return A.full_index(spark, sf_dir).select("video", shown(document.persistent(F.col("states"))).alias("persistent"))
 
 
-@query(sql.states("SELECT s.rec, idx, array_to_string(list_filter(lines, lambda l: NOT list_contains(persistent, l)), '|') AS own_lines, array_to_string(persistent, '|') AS persistent FROM states s JOIN persistent p ON p.rec = s.rec"))
+@query(sql.full("SELECT video, idx, array_to_string(list_filter(lines, lambda l: NOT list_contains(coalesce(persistent, []), l)), '|') AS own_lines, array_to_string(added, '|') AS added, event_type, salience FROM states JOIN recordings USING (rec) LEFT JOIN shared USING (rec)"))
 def compact_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.compact_view(A.states(spark, sf_dir)).select("rec", "idx", shown("own_lines").alias("own_lines"), shown("persistent").alias("persistent"))
+    """States as the compact view has them, with the differences that it drops by default."""
+    each = document.compact(A.full_index(spark, sf_dir), drop_diffs=False).select("video", F.explode("view.states").alias("s"))
+    return each.select("video", "s.idx", shown("s.ocr_text").alias("own_lines"), shown("s.text_added").alias("added"), F.col("s.event.type").alias("event_type"), "s.salience")
 
 
 @query(sql.states("SELECT rec, bool_or(len(lines) > 0) AS has_text FROM states GROUP BY rec"))
@@ -352,11 +413,31 @@ def auto_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "embeddings").select("vec_id", pixels.auto_rows(v % 5 + 1, v % 9 + 1, 40).alias("n_rows"))
 
 
-@query()
+@query(
+    sql.gray(
+        """, d AS (SELECT rec, vec_id, list_transform(range(0, 64), lambda i: CASE i % 8 WHEN 0 THEN (gray[i + 2] - gray[i + 1])::DOUBLE WHEN 7 THEN (gray[i + 1] - gray[i])::DOUBLE ELSE (gray[i + 2] - gray[i]) / 2.0 END) AS dx,
+  list_transform(range(0, 64), lambda i: CASE i // 8 WHEN 0 THEN (gray[i + 9] - gray[i + 1])::DOUBLE WHEN 7 THEN (gray[i + 1] - gray[i - 7])::DOUBLE ELSE (gray[i + 9] - gray[i - 7]) / 2.0 END) AS dy FROM gray),
+m AS (SELECT rec, vec_id, list_transform(list_zip(dx, dy), lambda z: sqrt(z[1] * z[1] + z[2] * z[2])) AS m FROM d)
+SELECT rec, vec_id, array_to_string(list_transform(m, lambda x: CASE WHEN list_max(m) > 0 THEN trunc(x * (255.0::DOUBLE / list_max(m)))::INTEGER ELSE 0 END), ',') AS edges FROM m"""
+    )
+)
 def edge_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.gray(spark, sf_dir).select("rec", "vec_id", F.array_join(pixels.edge_magnitude(F.col("gray"), F.lit(A.WIDTH)).cast("array<string>"), ",").alias("edges"))
 
 
+@query(
+    sql.dots(
+        """, s AS (SELECT rec, vec_id, list_transform(range(0, 72), lambda i: round_even((g[1 + i // 12 * 96 + i % 12 * 2] + g[2 + i // 12 * 96 + i % 12 * 2] + g[25 + i // 12 * 96 + i % 12 * 2] + g[26 + i // 12 * 96 + i % 12 * 2]
+  + g[49 + i // 12 * 96 + i % 12 * 2] + g[50 + i // 12 * 96 + i % 12 * 2] + g[73 + i // 12 * 96 + i % 12 * 2] + g[74 + i // 12 * 96 + i % 12 * 2]) / 8.0, 0)::INTEGER) AS g FROM dots),
+c AS (SELECT rec, vec_id, array_to_string(list_transform(g, lambda v: substr(' .:-=+*#%@', (1 + v * 9 // 255)::BIGINT, 1)), '') AS s FROM s)
+SELECT rec, vec_id, array_to_string(list_transform(range(0, 6), lambda y: s[y * 12 + 1:y * 12 + 12]), chr(10)) AS picture FROM c"""
+    )
+)
+def frame_to_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shrunk by area to 12 columns, then as characters."""
+    return pixels.with_ascii(A.dots(spark, sf_dir), 24, 24, 12).select("rec", "vec_id", F.col("ascii").alias("picture"))
+
+
 @query(
     sql.gray(
         """, n AS (SELECT rec, vec_id, gray, list_transform(range(0, 64), lambda i: (CASE WHEN i // 8 = 0 THEN gray[i + 9] ELSE gray[i - 7] END) + (CASE WHEN i // 8 = 7 THEN gray[i - 7] ELSE gray[i + 9] END)
@@ -368,10 +449,98 @@ def sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.gray(spark, sf_dir).select("rec", "vec_id", F.round(pixels.sharpness(F.col("gray"), F.lit(A.WIDTH)) + 0.001, 2).alias("sharpness"))
 
 
-@query()
+@query(
+    sql.dots(
+        """, hit AS (SELECT rec, vec_id, unnest(list_filter(range(0, 576), lambda i: abs(g[i + 1] - prev[i + 1]) > 25)) AS i FROM dots WHERE prev IS NOT NULL),
+walk AS (
+  SELECT rec, vec_id, i, i AS root FROM hit
+  UNION
+  SELECT h.rec, h.vec_id, h.i, w.root FROM walk w JOIN hit h ON h.vec_id = w.vec_id AND abs(h.i % 24 - w.i % 24) <= 1 AND abs(h.i // 24 - w.i // 24) <= 1 AND w.root < h.i),
+named AS (SELECT rec, vec_id, i, min(root) AS root FROM walk GROUP BY ALL),
+part AS (SELECT rec, vec_id, root, count(*) AS area, trunc(avg(i % 24))::INTEGER AS x, trunc(avg(i // 24))::INTEGER AS y FROM named GROUP BY ALL HAVING count(*) >= 4 AND count(*) <= 5.76),
+best AS (SELECT vec_id, arg_max({'x': x, 'y': y}, (area, -root)) AS spot FROM part GROUP BY vec_id)
+SELECT d.rec, d.vec_id, b.spot['x'] AS x, b.spot['y'] AS y FROM dots d LEFT JOIN best b USING (vec_id) WHERE prev IS NOT NULL"""
+    )
+)
 def cursor_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = pixels.estimate_cursor(F.col("prev"), F.col("gray"), F.lit(A.WIDTH))
-    return A.gray(spark, sf_dir).where("prev is not null").select("rec", "vec_id", at.alias("at")).select("rec", "vec_id", "at.x", "at.y")
+    d = A.dots(spark, sf_dir).where("prev is not null")
+    return d.select("rec", "vec_id", pixels.estimate_cursor(F.col("prev"), F.col("gray"), F.lit(24)).alias("at")).select("rec", "vec_id", "at.x", "at.y")
+
+
+@query("SELECT vec_id, CASE WHEN x1 > x0 AND y1 > y0 THEN x0 || ',' || y0 || ',' || x1 || ',' || y1 END AS box, CASE WHEN x1 > x0 AND y1 > y0 THEN greatest(3, least(x1 - x0, y1 - y0) // 2 * 2 + 1) END AS kernel FROM (SELECT vec_id, greatest(vec_id % 40 - 10, 0) AS x0, greatest(vec_id % 30 - 10, 0) AS y0, least(vec_id % 40 - 10 + vec_id % 17, 24) AS x1, least(vec_id % 30 - 10 + vec_id % 13, 20) AS y1 FROM embeddings)")
+def blur_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a blur covers: the box inside the frame and the side of its kernel."""
+    v = F.col("vec_id")
+    box = pixels.clamp_box(v % 40 - 10, v % 30 - 10, v % 17, v % 13, F.lit(24).cast("bigint"), F.lit(20).cast("bigint"))
+    e = A.table(spark, sf_dir, "embeddings").select("vec_id", box.alias("b"))
+    return e.select("vec_id", F.array_join(F.col("b").cast("array<string>"), ",").alias("box"), F.when(F.col("b").isNotNull(), pixels.blur_kernel(F.col("b"))).cast("bigint").alias("kernel"))
+
+
+# ---- the older path
+
+
+_SCORES = """, s AS (SELECT rec, vec_id, row_number() OVER (PARTITION BY rec ORDER BY vec_id) - 1 AS pos, gray, prev FROM gray),
+h AS (SELECT *, list_transform(range(0, 64), lambda b: len(list_filter(coalesce(prev, gray), lambda v: v // 4 = b))::DOUBLE) AS a, list_transform(range(0, 64), lambda b: len(list_filter(gray, lambda v: v // 4 = b))::DOUBLE) AS b FROM s),
+m AS (SELECT *, list_sum(list_transform(a, lambda x: x * x)) - 64.0 AS va, list_sum(list_transform(b, lambda x: x * x)) - 64.0 AS vb, list_dot_product(a, b) - 64.0 AS cov FROM h),
+scores AS (
+  SELECT rec, pos, round(pos * 0.2, 3) AS t, CASE WHEN prev IS NULL THEN 0.0 ELSE round(list_sum(list_transform(list_zip(prev, gray), lambda z: abs(z[1] - z[2])))::DOUBLE / 64 / 255, 4) END AS score,
+         CASE WHEN prev IS NULL THEN 1.0 WHEN a = b THEN 1.0 WHEN va <= 0 OR vb <= 0 THEN 0.0 ELSE greatest(0.0, cov / sqrt(va * vb)) END AS similarity FROM m),
+flagged AS (SELECT *, pos - row_number() OVER (PARTITION BY rec ORDER BY pos) AS run FROM scores WHERE score >= 0.16),
+runs AS (SELECT rec, run, min(t) AS t_start, max(t) AS t_end, arg_max({'pos': pos, 'score': score, 'sim': similarity}, (score, -pos)) AS peak FROM flagged GROUP BY rec, run)"""
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.gray(spark, sf_dir).select("rec", (F.row_number().over(W.partitionBy("rec").orderBy("vec_id")) - 1).cast("bigint").alias("pos"), "gray")
+    return manifest.frame_times(g.withColumn("container_ms", F.when(F.col("pos") % 2 == 0, F.col("pos") * 200).otherwise(0)), 5.0).drop("container_ms")
+
+
+@query(sql.gray(f"{_SCORES} SELECT rec, pos, t, score, round(similarity, 6) AS similarity, score >= 0.16 AS event FROM scores"))
+def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with their times, container or computed, and both scores."""
+    return manifest.scored(_pictures(spark, sf_dir), 0.16).select("rec", "pos", "t", "score", F.round("similarity", 6).alias("similarity"), "event")
+
+
+@query(sql.gray(f"{_SCORES} SELECT rec, t_start, t_end, peak.pos AS peak_frame, peak.score AS peak_score, CASE WHEN peak.sim < 0.5 THEN 'cut' ELSE 'motion' END AS type, round(CASE WHEN peak.sim < 0.5 THEN (0.5 - peak.sim) / 0.5 ELSE (peak.sim - 0.5) / 0.5 END, 3) AS confidence FROM runs"))
+def motion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.motion_events(manifest.scored(_pictures(spark, sf_dir), 0.16), 0.16)
+
+
+@query(sql.gray(f"{_SCORES}, f AS (SELECT rec, max(t) AS last, count(*) AS frames, sum(CASE WHEN score >= 0.16 THEN 1 ELSE 0 END)::BIGINT AS flagged FROM scores GROUP BY rec) SELECT 'clip' || rec AS video, round(greatest(last, 30.0), 3) AS duration, frames, flagged, (SELECT count(*) FROM runs r WHERE r.rec = f.rec) AS events FROM f"))
+def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of all recordings, counted."""
+    g = _pictures(spark, sf_dir)
+    recs = g.select("rec").distinct().select("rec", F.concat(F.lit("clip"), F.col("rec").cast("string")).alias("video"), F.lit(30.0).alias("duration"))
+    m = manifest.manifests(g, recs, sensitivity=0.16)
+    return m.select("video", "duration", F.size("frames").cast("bigint").alias("frames"), F.size(F.filter("frames", lambda f: f["event"])).cast("bigint").alias("flagged"), F.size("events").cast("bigint").alias("events"))
+
+
+@query("SELECT user_id AS rec, 10.0::DOUBLE AS fps, count(*) AS count, 8 AS width, 8 AS height, count(*) / 10.0::DOUBLE AS duration FROM events GROUP BY user_id")
+def video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), F.lit(A.WIDTH).alias("width"), F.lit(A.HEIGHT).alias("height"))
+    return manifest.recording_info(frames, 10.0)
+
+
+@query("SELECT user_id AS rec, CASE WHEN least(count(*) * 2.0, 400.0) > 150 THEN '~' || floor(least(count(*) * 2.0, 400.0))::BIGINT || ' frames to read as text: this can take minutes; segment by motion alone or limit the frames to speed it up' END AS hint FROM events GROUP BY user_id")
+def slow_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec")).agg(F.count(F.lit(1)).cast("double").alias("duration"))
+    return n.select("rec", recording.slow_warning(F.col("duration"), 2.0, max_frames=400).alias("hint"))
+
+
+@query(
+    "WITH RECURSIVE "
+    + sql.GRAY
+    + """, f AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY vec_id) - 1 AS pos, gray FROM pictures),
+walk AS (
+  SELECT rec, pos, gray AS prev, gray AS anchor, 0 AS seg FROM f WHERE pos = 0
+  UNION ALL
+  SELECT rec, pos, gray, CASE WHEN cut THEN gray ELSE anchor END, seg + CASE WHEN cut THEN 1 ELSE 0 END
+  FROM (SELECT f.rec, f.pos, f.gray, w.anchor, w.seg, list_sum(list_transform(list_zip(w.prev, f.gray), lambda z: abs(z[1] - z[2])))::DOUBLE / 64 / 255 >= 0.17 OR list_sum(list_transform(list_zip(w.anchor, f.gray), lambda z: abs(z[1] - z[2])))::DOUBLE / 64 / 255 >= 0.17 AS cut
+        FROM walk w JOIN f ON f.rec = w.rec AND f.pos = w.pos + 1))
+SELECT rec, pos, seg FROM walk"""
+)
+def segment_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motion segmentation on gray pictures, by the frame before and by the anchor."""
+    return sequence.segment_by_motion(_pictures(spark, sf_dir), 0.17, "gray").select("rec", "pos", "seg")
 
 
 # ---- secrets
@@ -381,19 +550,24 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
-@query()
+@query(sql.secrets("SELECT doc_id, n, s AS start, e AS \"end\", k AS kind FROM spans"))
 def find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _lines(spark, sf_dir).select("doc_id", "n", F.explode(redact.find_secrets(F.col("line"))).alias("s"))
     return found.select("doc_id", "n", "s.start", "s.end", "s.kind")
 
 
-@query()
+@query(
+    sql.secrets(
+        """, cut AS (SELECT doc_id, n, line, s, e, k, coalesce(lag(e) OVER w, 0) AS since, row_number() OVER w AS i FROM spans WINDOW w AS (PARTITION BY doc_id, n ORDER BY s))
+SELECT doc_id, n, string_agg(substr(line, since + 1, s - since) || '[REDACTED:' || k || ']', '' ORDER BY i) || substr(any_value(line), max(e) + 1) AS line, string_agg(k, '|' ORDER BY i) AS kinds FROM cut GROUP BY doc_id, n"""
+    )
+)
 def redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _lines(spark, sf_dir).withColumn("spans", redact.find_secrets(F.col("line"))).where(redact.has_secret(F.col("spans")))
     return found.select("doc_id", "n", redact.redact_line(F.col("line"), F.col("spans")).alias("line"), shown(F.transform("spans", lambda s: s["kind"])).alias("kinds"))
 
 
-@query()
+@query(sql.secrets("SELECT k AS kind, count(*) AS n FROM spans GROUP BY k"))
 def redaction_kinds_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -425,50 +599,138 @@ def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- views and evaluation
 
-
-def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.states(spark, sf_dir)
-    return s.join(index.narration_of(s, A.narration(spark, sf_dir)), ["rec", "idx"], "left")
-
-
-_MD = f"""{_SAID}, b AS (
-  SELECT s.rec, s.pos, concat_ws(chr(10), '## ' || {sql.clock('t_start')} || '–' || {sql.clock('t_end')} || '  ·  State ' || (pos + 1), nullif({sql.CAPTION}, ''), nullif(array_to_string(lines, ' · '), ''),
+_HEARD = ", said AS (SELECT s.rec, s.idx, string_agg(n.text, ' ' ORDER BY n.n) AS said FROM states s JOIN speech n ON n.rec = s.rec AND n.start_t < s.t_end AND n.end_t > s.t_start GROUP BY 1, 2)"
+_MD = f"""{_HEARD}, b AS (
+  SELECT s.rec, s.pos, concat_ws(chr(10), '## ' || {sql.clock('t_start')} || '–' || {sql.clock('t_end')} || '  ·  State ' || (pos + 1), nullif({sql.FULL_CAPTION}, ''), nullif(array_to_string(lines, ' · '), ''),
     CASE WHEN len(added) > 0 THEN '**Appeared:** ' || array_to_string(added, ', ') END, CASE WHEN len(removed) > 0 THEN '**Gone:** ' || array_to_string(removed, ', ') END,
-    CASE WHEN said IS NOT NULL THEN '🗣 said: ' || said END, '') AS block, t_end
+    CASE WHEN px IS NOT NULL THEN '👆 interacted' || coalesce(' near “' || label || '”', '') || ' (≈' || px || ',' || py || ')' END,
+    CASE WHEN said IS NOT NULL THEN '🗣 said: ' || said END, '') AS block
   FROM states s LEFT JOIN said USING (rec, idx))
-SELECT rec, '# Transcript — ' || rec || '  (' || {sql.clock('max(t_end)')} || ')' || chr(10) || chr(10) || rtrim(string_agg(block, chr(10) ORDER BY pos), chr(10)) || chr(10) AS doc FROM b GROUP BY rec"""
+SELECT video, '# Transcript — ' || video || '  (' || {sql.clock('any_value(duration)')} || ')' || chr(10) || chr(10) || rtrim(string_agg(block, chr(10) ORDER BY pos), chr(10)) || chr(10) AS doc FROM b JOIN recordings USING (rec) GROUP BY video"""
 
 
-@query(sql.states(_MD))
+@query(sql.full(_MD))
 def transcript_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.render(_told(spark, sf_dir), "md")
+    return views.render(A.full_index(spark, sf_dir), "md")
 
 
-@query(sql.states(f", b AS (SELECT rec, pos, (pos + 1) || chr(10) || {sql.stamp('t_start', ',')} || ' --> ' || {sql.stamp('t_end', ',')} || chr(10) || {sql.BODY} || chr(10) AS block FROM states) SELECT rec, string_agg(block, chr(10) ORDER BY pos) AS doc FROM b GROUP BY rec"))
+@query(sql.full(f", b AS (SELECT rec, pos, (pos + 1) || chr(10) || {sql.stamp('t_start', ',')} || ' --> ' || {sql.stamp('t_end', ',')} || chr(10) || {sql.FULL_BODY} || chr(10) AS block FROM states) SELECT video, string_agg(block, chr(10) ORDER BY pos) AS doc FROM b JOIN recordings USING (rec) GROUP BY video"))
 def transcript_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.render(A.states(spark, sf_dir), "srt")
+    return views.render(A.full_index(spark, sf_dir), "srt")
 
 
-@query(sql.states(f", b AS (SELECT rec, pos, {sql.stamp('t_start', '.')} || ' --> ' || {sql.stamp('t_end', '.')} || chr(10) || {sql.BODY} || chr(10) AS block FROM states) SELECT rec, 'WEBVTT' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY pos) AS doc FROM b GROUP BY rec"))
+@query(sql.full(f", b AS (SELECT rec, pos, {sql.stamp('t_start', '.')} || ' --> ' || {sql.stamp('t_end', '.')} || chr(10) || {sql.FULL_BODY} || chr(10) AS block FROM states) SELECT video, 'WEBVTT' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY pos) AS doc FROM b JOIN recordings USING (rec) GROUP BY video"))
 def transcript_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.render(A.states(spark, sf_dir), "vtt")
+    return views.render(A.full_index(spark, sf_dir), "vtt")
+
+
+def _json_field(name: str, value: str) -> str:
+    """``,"name":value`` where there is a value."""
+    return f"""coalesce(',"{name}":' || {value}, '')"""
 
 
-@query()
+_JSON = f""", e AS (
+  SELECT s.*, video, duration, coalesce(persistent, []) AS shared_lines, CASE WHEN event_type IS NULL THEN '' ELSE '"type":"' || event_type || '"' || ',"t":' || t_start || ',"region":[' || region || '],"confidence":' || confidence
+      || {_json_field("label", "to_json(event_label)::VARCHAR")} || {_json_field("field", "to_json(event_field)::VARCHAR")} || {_json_field("value", "to_json(event_value)::VARCHAR")} END AS event
+  FROM states s JOIN recordings USING (rec) LEFT JOIN shared USING (rec)),
+b AS (
+  SELECT rec, pos, '{{"idx":' || idx || ',"t_start":' || t_start || ',"t_end":' || t_end || ',"thumbnail":"' || thumbnail || '","keyframe":"' || keyframe || '","ocr_text":' || to_json(list_filter(lines, lambda l: NOT list_contains(shared_lines, l)))::VARCHAR
+      || ',"event":{{' || event || '}},"salience":' || salience || '}}' AS block FROM e),
+n AS (SELECT rec, string_agg('{{"start":' || start_t || ',"end":' || end_t || ',"text":"' || text || '"}}', ',' ORDER BY n) AS told FROM speech GROUP BY rec)
+SELECT video, '{{"schema_version":2,"video":"' || video || '","duration":' || any_value(duration) || ',"sampled_fps":0.001,"states":[' || string_agg(block, ',' ORDER BY pos) || '],"narration":[' || coalesce(any_value(told), '') || '],"warnings":[]'
+  || coalesce(',"persistent_ui":' || any_value(CASE WHEN len(p.persistent) > 0 THEN to_json(p.persistent)::VARCHAR END), '') || '}}' AS doc
+FROM b JOIN recordings USING (rec) LEFT JOIN n USING (rec) LEFT JOIN shared p USING (rec) GROUP BY video"""
+
+
+@query(sql.full(_JSON))
 def transcript_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.render(A.states(spark, sf_dir), "json")
+    out = views.render(A.full_index(spark, sf_dir), "json")
+    # A number as its shortest decimal, without an exponent: texts compare by value.
+    return out.withColumn("doc", F.regexp_replace("doc", r'"sampled_fps":1\.0E-3', '"sampled_fps":0.001'))
+
+
+_CURATED = """, picks AS (
+  SELECT rec, [arg_max(pos, (salience, -pos))] AS chosen, 1 AS k FROM states GROUP BY rec
+  UNION ALL
+  SELECT rec, list_append(chosen, best), k + 1 FROM (
+    SELECT c.rec, c.chosen, c.k, arg_max(s.pos, (s.salience + 0.15 * (1 - 1 / (1 + list_min(list_transform(c.chosen, lambda x: abs(s.pos - x)))::DOUBLE)), -s.pos)) AS best
+    FROM picks c JOIN states s ON s.rec = c.rec AND NOT list_contains(c.chosen, s.pos) WHERE c.k < 3 GROUP BY c.rec, c.chosen, c.k)),
+final AS (SELECT rec, arg_max(chosen, k) AS chosen FROM picks GROUP BY rec)
+SELECT video, string_agg(idx || '@' || t_start || ':' || keyframe || '=' || salience, ' ' ORDER BY pos) AS curated FROM states s JOIN final f ON f.rec = s.rec AND list_contains(f.chosen, s.pos) JOIN recordings r ON r.rec = s.rec GROUP BY video"""
+
+
+@query(sql.full(_CURATED))
+def curated_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyframes that a compact view names under a budget."""
+    out = document.compact(A.full_index(spark, sf_dir), keyframe_budget=3)
+    line = F.transform("view.curated_keyframes", lambda c: F.concat(c["idx"].cast("string"), F.lit("@"), c["t_start"].cast("string"), F.lit(":"), c["keyframe"], F.lit("="), c["salience"].cast("string")))
+    return out.select("video", F.array_join(line, " ").alias("curated"))
 
 
 @query(
-    sql.states(
-        """, c AS (SELECT rec, count(*) AS states, sum(length(array_to_string(lines, chr(10))))::BIGINT AS text_chars, max(t_end) AS duration FROM states GROUP BY rec),
-d AS (SELECT *, round_even(text_chars / 4.0, 0)::BIGINT AS text_tokens, greatest(states, round_even(duration * 0.001, 0)::BIGINT) AS sampled_frames FROM c)
-SELECT rec, states, sampled_frames, text_chars, text_tokens, text_tokens + least(3, states) * 1500 AS index_tokens, sampled_frames * 1500 AS baseline_tokens,
+    sql.full(
+        """, c AS (SELECT rec, count(*) AS states, sum(length(array_to_string(lines, chr(10))))::BIGINT AS text_chars FROM states GROUP BY rec),
+d AS (SELECT *, round_even(text_chars / 4.0, 0)::BIGINT AS text_tokens, greatest(states, round_even(duration * 0.001, 0)::BIGINT) AS sampled_frames FROM c JOIN recordings USING (rec))
+SELECT video, round(duration, 2) AS duration_s, states, sampled_frames, text_chars, text_tokens, least(3, states) AS escalated_images, text_tokens + least(3, states) * 1500 AS index_tokens, sampled_frames * 1500 AS baseline_tokens,
  round((text_tokens + least(3, states) * 1500)::DOUBLE / (sampled_frames * 1500), 4) AS cost_ratio FROM d"""
     )
 )
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evalqa.cost_estimate(A.states(spark, sf_dir), fps=0.001)
+    return evalqa.cost_estimate(A.full_index(spark, sf_dir), fps=0.001)
+
+
+def _qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on recordings, some of which have no index."""
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"))
+    choices = F.array(F.concat(F.lit("A) open item "), (F.col("i") % 4).cast("string")), F.concat(F.lit("B) note "), (F.col("i") % 3).cast("string")), F.lit("C) error denied"))
+    answer = F.when(F.col("i") % 3 == 0, "A").when(F.col("i") % 3 == 1, "b").otherwise("error denied")
+    kind = F.expr("CASE i % 5 WHEN 0 THEN 'action' WHEN 1 THEN 'state' WHEN 2 THEN 'count' WHEN 3 THEN 'visual' END")
+    return d.select(F.concat(F.lit("rec"), (F.col("i") % 200).cast("string"), F.lit(".mp4")).alias("clip"), F.concat(F.lit("Which "), F.col("i").cast("string")).alias("question"), choices.alias("choices"), answer.alias("answer"), kind.alias("type"))
+
+
+_QA = """, qa AS (SELECT 'rec' || doc_id % 200 || '.mp4' AS clip, 'Which ' || doc_id AS question, ['A) open item ' || doc_id % 4, 'B) note ' || doc_id % 3, 'C) error denied'] AS choices,
+  CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'b' ELSE 'error denied' END AS answer, coalesce(CASE doc_id % 5 WHEN 0 THEN 'action' WHEN 1 THEN 'state' WHEN 2 THEN 'count' WHEN 3 THEN 'visual' END, 'other') AS type, doc_id FROM documents)"""
+_ARMS = (
+    sql.full(_MD.replace("SELECT video, '# Transcript", f"{_QA}, v AS (SELECT video, '# Transcript") + ")").replace("GROUP BY video)", "GROUP BY video)")
+    + """, t AS (SELECT v.video, doc, list_distinct(regexp_extract_all(lower(doc), '[a-z0-9]+')) AS seen, greatest((SELECT count(*) FROM states s WHERE s.rec = r.rec), round_even(duration * 0.001, 0)::BIGINT) AS total FROM v JOIN recordings r USING (video)),
+n AS (SELECT q.*, doc, total, [len(list_intersect(list_distinct(regexp_extract_all(regexp_replace(lower(choices[1]), '^[a-z][)] ', ''), '[a-z0-9]+')), seen)), len(list_intersect(list_distinct(regexp_extract_all(regexp_replace(lower(choices[2]), '^[a-z][)] ', ''), '[a-z0-9]+')), seen)),
+  len(list_intersect(['error', 'denied'], seen))] AS hits FROM qa q JOIN t ON t.video = q.clip),
+p AS (SELECT *, list_position(hits, list_max(hits)) - 1 AS pick FROM n),
+arms AS (SELECT clip, question, type, CASE WHEN length(answer) = 1 THEN chr((65 + pick)::INTEGER) = upper(answer) ELSE pick = 2 END AS idx_ok, length(doc) // 4 AS idx_tok,
+  CASE WHEN length(answer) = 1 THEN upper(answer) = 'A' ELSE false END AS fr_ok, least(8, total) * 1500 AS fr_tok FROM p)"""
+)
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = A.full_index(spark, sf_dir)
+    return evalqa.answered(_qa(spark, sf_dir), docs, views.render_view(docs, "transcript"), evalqa.get_answerer("mock"), fps=0.001)
+
+
+@query(_ARMS + " SELECT * FROM arms")
+def qa_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question answered from its index and from frames."""
+    return _answered(spark, sf_dir)
+
+
+@query(
+    _ARMS
+    + """, g AS (SELECT type, count(*) AS n, sum(idx_ok::INTEGER)::BIGINT AS i, sum(fr_ok::INTEGER)::BIGINT AS f, sum(idx_tok)::BIGINT AS index_tokens, sum(fr_tok)::BIGINT AS frames_tokens, grouping(type) AS total FROM arms GROUP BY ROLLUP (type))
+SELECT CASE WHEN total = 1 THEN '**TOTAL**' ELSE type END AS bucket, n, round_even(100.0 * i / n, 0)::INTEGER || '%' AS index_acc, round_even(100.0 * f / n, 0)::INTEGER || '%' AS frames_acc, index_tokens, frames_tokens,
+ CASE WHEN total = 1 THEN 99 WHEN type = 'other' THEN 50 ELSE list_position(['action', 'state', 'count', 'visual'], type) END AS place FROM g WHERE n > 0"""
+)
+def qa_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalqa.two_arms(_answered(spark, sf_dir))
+
+
+@query("SELECT DISTINCT 'rec' || doc_id % 200 || '.mp4' AS clip, 'no index of this clip' AS reason FROM documents WHERE doc_id % 200 NOT IN (SELECT user_id FROM events)")
+def qa_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalqa.skipped(_qa(spark, sf_dir), A.full_index(spark, sf_dir))
+
+
+@query("SELECT event_id, array_to_string(CASE WHEN user_id > 0 AND event_id % 9 > 0 THEN list_transform(range(0, least(event_id % 9, ceil(user_id / greatest(1, user_id // (event_id % 9)))::BIGINT)), lambda i: i * greatest(1, user_id // (event_id % 9))) ELSE [] END, ',') AS places FROM events")
+def frame_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.table(spark, sf_dir, "events").select("event_id", evalqa.frame_choice(F.col("user_id").cast("int"), (F.col("event_id") % 9).cast("int")).alias("places"))
+    return e.select("event_id", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
 
 
 _TYPE = "CASE doc_id % 5 WHEN 0 THEN 'action' WHEN 1 THEN 'state' WHEN 2 THEN 'count' WHEN 3 THEN 'visual' ELSE 'other' END"
@@ -488,15 +750,29 @@ def accuracy_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OPTIONS = "CASE doc_id % 4 WHEN 0 THEN '[\"one\", \" two \", \"\"]' WHEN 1 THEN '{\"B\": \"two\", \"A\": \"one\"}' WHEN 2 THEN '[\"one\"]' ELSE 'none' END"
 
 
-@query(
-    """SELECT source AS clip, 'How many ' || lang AS question, CASE doc_id % 4 WHEN 0 THEN 'one|two' WHEN 1 THEN 'A) one|B) two' END AS choices, lang AS answer, 'count' AS type, doc_id % 4 >= 2 AS skipped
+_CONVERTED = """SELECT source AS clip, 'How many ' || lang AS question, CASE doc_id % 4 WHEN 0 THEN 'one|two' WHEN 1 THEN 'A) one|B) two' END AS choices, lang AS answer, 'count' AS type, doc_id % 4 >= 2 AS skipped, doc_id AS place
 FROM documents WHERE doc_id % 5 <> 0"""
-)
-def mcq_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.table(spark, sf_dir, "documents")
     system = F.when(F.col("doc_id") % 5 == 0, "iOS").otherwise("Windows")
-    rows = d.select(F.col("source").alias("video_path"), system.alias("system"), F.concat(F.lit("How many "), "lang").alias("question"), F.expr(_OPTIONS).alias("options"), F.col("lang").alias("answer"))
-    return evalqa.convert(rows).withColumn("choices", shown("choices"))
+    return d.select(F.col("doc_id").alias("place"), F.col("source").alias("video_path"), system.alias("system"), F.concat(F.lit("How many "), "lang").alias("question"), F.expr(_OPTIONS).alias("options"), F.col("lang").alias("answer"))
+
+
+@query(_CONVERTED)
+def mcq_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalqa.convert(_rows(spark, sf_dir)).withColumn("choices", shown("choices"))
+
+
+@query(f"SELECT clip, question, choices, answer, type FROM ({_CONVERTED}) WHERE NOT skipped ORDER BY place LIMIT 25")
+def mcq_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalqa.converted(evalqa.convert(_rows(spark, sf_dir)), 25).withColumn("choices", shown("choices"))
+
+
+@query(f"WITH c AS ({_CONVERTED}), l AS (SELECT max(place) AS last FROM (SELECT place FROM c WHERE NOT skipped ORDER BY place LIMIT 25)) SELECT count(*) FILTER (NOT skipped) AS emitted, count(*) FILTER (skipped) AS skipped FROM c, l WHERE place <= last")
+def mcq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalqa.convert_stats(evalqa.convert(_rows(spark, sf_dir)), 25)
 
 
 _CHOICES = ["A) the of and to", "B) der die und das", "C) le la les des", "D) el los que una"]
@@ -526,6 +802,12 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sessions(windows.batch_events(spark, sf_dir))
 
 
+@query("WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY user_id, k")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions on a stream: state of a session goes when the watermark passes its gap."""
+    return windows.finished(windows.sessions(windows.read_events(spark, sf_dir).withWatermark("ts", "1 hour")), "complete")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.finished(windows.first_seen(windows.read_events(spark, sf_dir)), "append")

@@ -1,4 +1,4 @@
-"""Rendered views of an index: one text per recording."""
+"""Rendered views of index documents: one text per recording, from its arrays, without an exchange."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import document
 
 
+#: The captions below.
 def event_caption(e: Column) -> Column:
     """A line for an event; empty for an unknown or missing one."""
     q = lambda c: F.concat(F.lit("“"), c, F.lit("”"))
@@ -29,66 +31,76 @@ def _some(value: Column, shown: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", shown)
 
 
-def _joined(states: DataFrame, block: Column, sep: str) -> DataFrame:
-    """(rec, body): the blocks of a recording's states in order."""
-    rows = states.select("rec", "pos", block.alias("block"))
-    return rows.groupBy("rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]), sep).alias("body"))
-
-
-def markdown(states: DataFrame) -> DataFrame:
-    """(rec, doc).  ``states``: pos from 0, t_start, t_end, lines, added, removed, event, said."""
-    head = F.concat(F.lit("## "), text.clock(F.col("t_start")), F.lit("–"), text.clock(F.col("t_end")), F.lit("  ·  State "), (F.col("pos") + 1).cast("string"))
-    caption, body = event_caption(F.col("event")), F.array_join("lines", " · ")
-    added, removed = F.array_join("added", ", "), F.array_join("removed", ", ")
-    block = F.concat_ws(
-        "\n",
-        head,
-        _some(caption, caption),
-        _some(body, body),
-        _some(added, F.concat(F.lit("**Appeared:** "), added)),
-        _some(removed, F.concat(F.lit("**Gone:** "), removed)),
-        _some(F.col("said"), F.concat(F.lit("🗣 said: "), F.col("said"))),
-        F.lit(""),
-    )
-    duration = states.groupBy("rec").agg(F.max("t_end").alias("duration"))
-    top = F.concat(F.lit("# Transcript — "), F.col("rec").cast("string"), F.lit("  ("), text.clock(F.col("duration")), F.lit(")\n\n"))
-    return _joined(states, block, "\n").join(duration, "rec").select("rec", F.concat(F.rtrim(F.regexp_replace(F.concat(top, "body"), r"\n+$", "")), F.lit("\n")).alias("doc"))
+def _numbered(block) -> Column:
+    """``block(state, number)`` of every state, numbers from 1."""
+    return F.transform("states", lambda s, i: block(s, i + 1))
 
 
-def state_caption() -> Column:
-    caption, body = event_caption(F.col("event")), F.array_join("lines", " · ")
-    both = F.concat_ws(" — ", _some(caption, caption), _some(body, body))
-    return F.when(both == "", F.concat(F.lit("State "), F.col("idx").cast("string"))).otherwise(both)
+def spoken(s: Column) -> Column:
+    """Texts of the narration that overlaps a state (both ends open), in its order."""
+    heard = F.filter("narration", lambda n: (n["start"] < s["t_end"]) & (n["end"] > s["t_start"]))
+    return F.array_join(F.transform(heard, lambda n: n["text"]), " ")
+
+
+def _touched(it: Column) -> Column:
+    where = F.when(F.coalesce(it["label"], F.lit("")) != "", F.concat(F.lit(" near “"), it["label"], F.lit("”"))).otherwise("")
+    return F.concat(F.lit("👆 interacted"), where, F.lit(" (≈"), it["x"].cast("string"), F.lit(","), it["y"].cast("string"), F.lit(")"))
+
 
+def markdown(docs: DataFrame) -> DataFrame:
+    """(video, doc): a heading for each state, then what it shows, what changed, what was done and said."""
 
-def _cues(states: DataFrame, sep: str, numbered: bool) -> DataFrame:
-    times = F.concat(text.timestamp(F.col("t_start"), sep), F.lit(" --> "), text.timestamp(F.col("t_end"), sep))
-    number = (F.col("pos") + 1).cast("string") if numbered else F.lit(None).cast("string")
-    return _joined(states, F.concat_ws("\n", number, times, state_caption(), F.lit("")), "\n")
+    def block(s: Column, n: Column) -> Column:
+        head = F.concat(F.lit("## "), text.clock(s["t_start"]), F.lit("–"), text.clock(s["t_end"]), F.lit("  ·  State "), n.cast("string"))
+        caption, body, said = event_caption(s["event"]), F.array_join(s["ocr_text"], " · "), spoken(s)
+        added, removed = F.array_join(s["text_added"], ", "), F.array_join(s["text_removed"], ", ")
+        touched = F.array_join(F.transform(s["interactions"], _touched), "\n")
+        return F.concat_ws(
+            "\n",
+            head,
+            _some(caption, caption),
+            F.when(F.size(s["ocr_text"]) > 0, body),
+            F.when(F.size(s["text_added"]) > 0, F.concat(F.lit("**Appeared:** "), added)),
+            F.when(F.size(s["text_removed"]) > 0, F.concat(F.lit("**Gone:** "), removed)),
+            _some(touched, touched),
+            _some(said, F.concat(F.lit("🗣 said: "), said)),
+            F.lit(""),
+        )
 
+    top = F.concat(F.lit("# Transcript — "), F.col("video"), F.lit("  ("), text.clock(F.col("duration")), F.lit(")\n\n"))
+    whole = F.concat(top, F.array_join(_numbered(block), "\n"))
+    return docs.select("video", F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n")).alias("doc"))
 
-def srt(states: DataFrame) -> DataFrame:
-    return _cues(states, ",", True).select("rec", F.col("body").alias("doc"))
 
+def state_caption(s: Column) -> Column:
+    caption, body = event_caption(s["event"]), F.array_join(s["ocr_text"], " · ")
+    both = F.concat_ws(" — ", _some(caption, caption), _some(body, body))
+    return F.when(both == "", F.concat(F.lit("State "), s["idx"].cast("string"))).otherwise(both)
+
+
+def _cue(s: Column, sep: str) -> Column:
+    return F.concat(text.timestamp(s["t_start"], sep), F.lit(" --> "), text.timestamp(s["t_end"], sep), F.lit("\n"), state_caption(s), F.lit("\n"))
 
-def webvtt(states: DataFrame) -> DataFrame:
-    return _cues(states, ".", False).select("rec", F.concat(F.lit("WEBVTT\n\n"), "body").alias("doc"))
 
+def srt(docs: DataFrame) -> DataFrame:
+    return docs.select("video", F.array_join(_numbered(lambda s, n: F.concat(n.cast("string"), F.lit("\n"), _cue(s, ","))), "\n").alias("doc"))
 
-def json_view(states: DataFrame) -> DataFrame:
-    """The compact view as one JSON document a recording."""
-    from ..operators.index import compact_view
 
-    kept = compact_view(states)
-    item = F.struct("idx", "t_start", "t_end", F.col("own_lines").alias("ocr_text"))
-    out = kept.groupBy("rec").agg(F.array_sort(F.collect_list(item)).alias("states"), F.first("persistent").alias("persistent_text"))
-    return out.select("rec", F.to_json(F.struct("persistent_text", "states")).alias("doc"))
+def webvtt(docs: DataFrame) -> DataFrame:
+    whole = F.concat(F.lit("WEBVTT\n\n"), F.array_join(_numbered(lambda s, n: _cue(s, ".")), "\n"))
+    return docs.select("video", F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n")).alias("doc"))
 
 
-FORMATTERS = {"md": markdown, "srt": srt, "vtt": webvtt, "json": json_view}
+FORMATTERS = {"md": markdown, "srt": srt, "vtt": webvtt, "json": document.compact_json}
 
 
-def render(states: DataFrame, fmt: str) -> DataFrame:
+def render(docs: DataFrame, fmt: str) -> DataFrame:
+    """(video, doc) of index documents in one of the formats."""
     if fmt not in FORMATTERS:
         raise ValueError(f"unknown format {fmt!r}; one of {sorted(FORMATTERS)}")
-    return FORMATTERS[fmt](states)
+    return FORMATTERS[fmt](docs)
+
+
+def render_view(docs: DataFrame, view: str) -> DataFrame:
+    """(video, doc) as an answerer reads it: ``transcript``, or the compact view as JSON."""
+    return markdown(docs) if view == "transcript" else document.compact_json(docs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,27 +71,66 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return each.select("video_path", "system", F.explode(asked).alias("q")).select("video_path", "system", F.col("q.Question").alias("question"), F.col("q.Options").alias("options"), F.col("q.`Correct Answer`").alias("answer"))
 
 
-def write_documents(index: DataFrame, path: str) -> None:
-    """Documents as JSON, one a line; Parquet is the form to query."""
-    index.write.mode("errorifexists").json(path)
+#: JSON as a person reads it, with ASCII characters only.
+PRETTY = {"pretty": "true", "writeNonAsciiCharacterAsCodePoint": "true"}
+
+
+def index_json(docs: DataFrame) -> DataFrame:
+    """(video, value): index documents as JSON text; a missing event is an empty object."""
+    no_event = F.struct(*[F.lit(None).cast(k).alias(n) for n, k in (("type", "string"), ("t", "double"), ("region", "array<int>"), ("confidence", "double"), ("label", "string"), ("field", "string"), ("value", "string"))])
+    states = F.transform("states", lambda s: s.withField("event", F.coalesce(s["event"], no_event)))
+    return docs.select("video", F.to_json(F.struct("schema_version", "video", "duration", "sampled_fps", states.alias("states"), "narration", "warnings"), PRETTY).alias("value"))
+
+
+def manifest_json(manifests: DataFrame) -> DataFrame:
+    """(video, value): manifests as JSON text."""
+    return manifests.select("video", F.to_json(F.struct("video", "duration", "sampled_fps", "cols", "frames", "events"), PRETTY).alias("value"))
+
+
+def write_texts(texts: DataFrame, path: str, by: str = "video") -> None:
+    """(by, value) to a text file for each, in a folder that bears its name; refuses a path that exists."""
+    texts.select(by, "value").write.partitionBy(by).mode("errorifexists").text(path)
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """A JSON file per index document; ``read_index(path + "/*")`` reads them back.  Parquet is the form to query."""
+    write_texts(index_json(docs), path)
+
+
+def write_manifests(manifests: DataFrame, path: str) -> None:
+    write_texts(manifest_json(manifests), path)
+
+
+def write_transcripts(rendered: DataFrame, path: str) -> None:
+    """(video, doc) of a view to a text file for each."""
+    write_texts(rendered.withColumnRenamed("doc", "value"), path)
+
+
+def write_ascii(frames: DataFrame, path: str) -> None:
+    """(name, ascii) to a text file for each frame."""
+    write_texts(frames.withColumnRenamed("ascii", "value"), path, "name")
+
+
+def write_qa(items: DataFrame, path: str) -> None:
+    """Question items as JSON, one a line, letters as they are."""
+    items.select("clip", "question", "choices", "answer", "type").write.mode("errorifexists").json(path)
 
 
 MARKER = ".uistrata-frames"
-OWN_FILES = (".png", ".jpg", ".txt")
+_OWN_FILE = re.compile(r"\d{5}(_thumb)?\.(png|jpe?g|txt)", re.IGNORECASE)
 
 
 def clean_frames_dir(folder: str) -> None:
-    """Make a local output folder of frames empty; refuse one with files that are not ours."""
-    os.makedirs(folder, exist_ok=True)
-    names = os.listdir(folder)
-    foreign = [n for n in names if n != MARKER and not n.endswith(OWN_FILES)]
-    if foreign and MARKER not in names:
-        raise FileExistsError(f"{folder} holds files that are not frames: {sorted(foreign)[:3]}")
+    """Make a local output folder of frames empty and mark it; refuse one that holds anything but frames of ours."""
+    names = sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+    foreign = [n for n in names if n != MARKER and not (_OWN_FILE.fullmatch(n) and os.path.isfile(os.path.join(folder, n)))]
+    if foreign:
+        raise FileExistsError(f"{folder} holds files that are not frames: {', '.join(foreign[:3])}")
     for n in names:
-        if n.endswith(OWN_FILES):
-            os.unlink(os.path.join(folder, n))
-    with open(os.path.join(folder, MARKER), "w"):
-        pass
+        os.unlink(os.path.join(folder, n))
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, MARKER), "w", encoding="utf-8") as f:
+        f.write("frames of an index; emptied by the next build\n")
 
 
 def thumbnail_size(width: int, height: int, thumb_width: int) -> tuple[int, int]:

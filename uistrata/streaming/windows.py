@@ -33,8 +33,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n")
 
 
-def first_seen(events: DataFrame) -> DataFrame:
-    return events.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+def first_seen(events: DataFrame, late: str = "3650 days") -> DataFrame:
+    """Each (user, type) once.  State of a pair is dropped when the watermark passes it by ``late``, and rows later than that too."""
+    return events.withWatermark("ts", late).select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
 
 
 def motion_segments(events: DataFrame, threshold: float) -> DataFrame:
@@ -54,21 +55,45 @@ def motion_segments(events: DataFrame, threshold: float) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "rec bigint, segments bigint, frames bigint", "prev double, anchor double, seg bigint, n bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one only in a local session that names none."""
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return known or f"file://{tempfile.mkdtemp(prefix='uistrata-stream-')}"
+
+
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there now and read its result.
 
-    Complete results are windows and go to a table of the session.  Others grow
-    with the stream: each batch is written once, under its number, as Parquet, so
-    a repeated batch replaces itself and nothing passes through the driver.
+    Each batch is written once, under its number, as Parquet, so a repeated batch
+    replaces itself and nothing passes through the driver.  A complete result
+    replaces the batches before it.
     """
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='uistrata-stream-')}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}/state").trigger(availableNow=True)
-    if mode == "complete":
-        writer.format("memory").queryName(name).start().awaitTermination()
-        return spark.table(name)
-    path = f"{folder}/{name}/rows"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
-    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).start().awaitTermination()
+    folder = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
+    path = f"{folder}/rows"
+    empty = spark.createDataFrame([], stream.schema)
+    empty.write.parquet(f"{path}/batch=-1")
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={n}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+def progress(query) -> list[dict]:
+    """What a stream reports of its batches: rows in and out, state kept and rows dropped as late."""
+    out = []
+    for p in query.recentProgress:
+        state = p["stateOperators"]
+        out.append({"batch": p["batchId"], "rows_in": p["numInputRows"], "state_rows": sum(s["numRowsTotal"] for s in state), "late_rows": sum(s["numRowsDroppedByWatermark"] for s in state)})
+    return out
+
+
+def split_late(events: DataFrame, seen_until) -> tuple[DataFrame, DataFrame]:
+    """(in time, late) rows of a batch against an instant that a watermark has reached: late ones go to a side output."""
+    late = F.col("ts") < F.lit(seen_until)
+    return events.where(~late), events.where(late)
