@@ -78,6 +78,17 @@ def unpacked(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
     return df.select([F.col(f"{struct}.{quoted(c)}").alias(c) for c in columns])
 
 
+def carried(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc, text, *more): the columns of ``docs`` but the text as one struct, which Arrow functions pass on whole."""
+    others = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others, F.lit(0).alias(fresh("none", docs.columns))).alias("doc"), "text", *more)
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``carried`` documents as they were."""
+    return df.select([F.col("text") if c == "text" else F.col(f"doc.{quoted(c)}").alias(c) for c in columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -243,7 +243,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     net = fit(docs, ~held_out())
     if net is None:
         return docs.limit(0)
-    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(_accept(net), docs.schema)
+    rows = common.carried(docs.where(F.col("text").rlike(r"\p{L}")))
+    return common.restored(rows.mapInArrow(_accept(net), rows.schema), docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,10 +346,7 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, Sources]:
     sizes, plan = planned(docs)
     spark = docs.sparkSession
     plan_b = spark.sparkContext.broadcast(plan)
-    packed = docs.select(common.packed(docs).alias("doc"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"), *common.row_key())
-    # The text goes beside the other columns, not twice.
-    other = [c for c in docs.columns if c != "text"]
-    packed = packed.select(F.struct(*[F.col(f"doc.{common.quoted(c)}") for c in other]).alias("doc"), "source", "text", "k_id", "k_text")
+    packed = common.carried(docs, F.col("source").cast("string").alias("source"), *common.row_key())
     names = ["doc", "text", "k_id", "k_text", "s", "shard", "turn", "a"]
     kinds = [packed.schema["doc"].dataType, T.StringType(), *[T.LongType()] * 6]
     cut = packed.mapInArrow(_cut(plan_b), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
