@@ -90,7 +90,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "rec",
         (F.row_number().over(by) - 1).cast("bigint").alias("pos"),
-        ((us - F.min(us).over(W.partitionBy("rec"))) / 1e6).alias("t"),
+        (F.floor((us - F.min(us).over(W.partitionBy("rec"))) / 1000) / 1000.0).alias("t"),
         (F.abs(F.col("value") - F.lag("value").over(by)) / 500).alias("moved"),
         recording.reading_order(F.collect_list(box).over(by.rowsBetween(-5, 0)), F.lit(HEIGHT)).alias("boxes"),
         "kind",
@@ -134,7 +134,7 @@ def full_states(spark: SparkSession, sf_dir: str, options: recording.Options = F
 def full_index(spark: SparkSession, sf_dir: str, options: recording.Options = FULL) -> DataFrame:
     """A document per recording."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    lasts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec")).agg(((F.max(us) - F.min(us)) / 1e6).alias("duration"))
+    lasts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec")).agg((F.floor((F.max(us) - F.min(us)) / 1000) / 1000.0).alias("duration"))
     lasts = lasts.withColumn("video", F.concat(F.lit("rec"), F.col("rec").cast("string"), F.lit(".mp4")))
     return document.documents(full_states(spark, sf_dir, options), lasts, speech(spark, sf_dir), options.fps)
 

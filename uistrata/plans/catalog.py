@@ -266,7 +266,7 @@ _EVENTS = "(SELECT string_agg(event_type || ':' || c, ',' ORDER BY event_type) F
 
 @query(
     sql.full(
-        f"SELECT video, round(duration, 2) AS duration_s, 0.001::DOUBLE AS sampled_fps, (SELECT count(*) FROM states s WHERE s.rec = r.rec) AS states, (SELECT sum(len(lines))::BIGINT FROM states s WHERE s.rec = r.rec) AS ocr_lines, "
+        f"SELECT video, round(duration + 0.000001, 2) AS duration_s, 0.001::DOUBLE AS sampled_fps, (SELECT count(*) FROM states s WHERE s.rec = r.rec) AS states, (SELECT sum(len(lines))::BIGINT FROM states s WHERE s.rec = r.rec) AS ocr_lines, "
         f"coalesce({_EVENTS}, '') AS events, (SELECT count(*) FROM speech n WHERE n.rec = r.rec) AS narration_segments, 0::BIGINT AS warnings, coalesce((SELECT len(persistent) FROM shared p WHERE p.rec = r.rec), 0) AS persistent_ui_lines, "
         "(SELECT bool_or(salience <> 0) FROM states s WHERE s.rec = r.rec) AS has_curated_keyframes FROM recordings r"
     )
@@ -671,7 +671,7 @@ def curated_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.full(
         """, c AS (SELECT rec, count(*) AS states, sum(length(array_to_string(lines, chr(10))))::BIGINT AS text_chars FROM states GROUP BY rec),
 d AS (SELECT *, round_even(text_chars / 4.0, 0)::BIGINT AS text_tokens, greatest(states, round_even(duration * 0.001, 0)::BIGINT) AS sampled_frames FROM c JOIN recordings USING (rec))
-SELECT video, round(duration, 2) AS duration_s, states, sampled_frames, text_chars, text_tokens, least(3, states) AS escalated_images, text_tokens + least(3, states) * 1500 AS index_tokens, sampled_frames * 1500 AS baseline_tokens,
+SELECT video, round(duration + 0.000001, 2) AS duration_s, states, sampled_frames, text_chars, text_tokens, least(3, states) AS escalated_images, text_tokens + least(3, states) * 1500 AS index_tokens, sampled_frames * 1500 AS baseline_tokens,
  round((text_tokens + least(3, states) * 1500)::DOUBLE / (sampled_frames * 1500), 4) AS cost_ratio FROM d"""
     )
 )
@@ -785,7 +785,7 @@ SELECT doc_id, (list_position(n, list_max(n)) - 1)::INTEGER AS pick FROM n"""
 )
 def mock_answerer(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.table(spark, sf_dir, "documents")
-    answer = evalqa.get_answerer("mock")(F.lit("Which language?"), F.array(*map(F.lit, _CHOICES)), F.col("text"))
+    answer = evalqa.get_answerer("mock").answer(F.lit("Which language?"), F.array(*map(F.lit, _CHOICES)), F.col("text"))
     return d.select("doc_id", answer.cast("int").alias("pick"))
 
 
