@@ -146,26 +146,34 @@ class Gru:
         return self
 
     def states(self, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each step (steps, streams, HIDDEN) from tokens; END as input starts a document afresh."""
+        """States after each step (steps, streams, HIDDEN) from tokens; END as input starts a document afresh.
+
+        With ``keep`` also what the way back needs: the state before, both gates, the candidate, and the candidate's share of the state.
+        """
         steps, n = inputs.shape
-        xp = self.wx[inputs] + self.b
+        xp = self.wx[inputs]
+        xp += self.b
         live = (inputs != END).astype(np.float32)[:, :, None]
         out = np.empty((steps, n, HIDDEN), np.float32)
-        trace = []
+        trace = np.empty((5, steps, n, HIDDEN), np.float32) if keep else None
         for t in range(steps):
             h = h * live[t]
             hu = h @ self.u
-            gates = xp[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN]
+            gates = xp[t, :, : 2 * HIDDEN]
+            gates += hu[:, : 2 * HIDDEN]
             np.negative(gates, out=gates)
             np.exp(np.minimum(gates, 60, out=gates), out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            c = np.tanh(xp[t, :, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+            c = r * hu[:, 2 * HIDDEN :]
+            c += xp[t, :, 2 * HIDDEN :]
+            np.tanh(c, out=c)
             if keep:
-                trace.append((h, z, r, c, hu[:, 2 * HIDDEN :]))
-            h = c + z * (h - c)
-            out[t] = h
+                trace[0, t], trace[1, t], trace[2, t], trace[3, t], trace[4, t] = h, z, r, c, hu[:, 2 * HIDDEN :]
+            h = np.subtract(h, c, out=out[t])
+            h *= z
+            h += c
         return out, h, trace, live
 
     def log_p(self, s: np.ndarray, target: np.ndarray, grad: bool = False):
@@ -228,47 +236,55 @@ class Gru:
             d_out[some] = ds
             grads |= self._back(inputs, trace, live, d_out)
             # Each token weighs alike: a window with few streams left, the end of a long text, moves the model less.
-            # Rows of ``wx`` whose gradient is 0 stay as they are, and so does their memory.
-            used = {"wx": np.flatnonzero(np.bincount(inputs.reshape(-1), minlength=SHORT + 2))}
+            # Of ``wx`` only the rows that were read have a gradient.
+            rows = grads.pop("rows")
             for k, g in grads.items():
-                g = g[used.get(k, slice(None))] / (TRAIN_STREAMS * TRAIN_STEPS)
-                norm = float(np.sqrt((g * g).sum()))
+                at = rows if k == "wx" else slice(None)
+                g /= TRAIN_STREAMS * TRAIN_STEPS
+                norm = float(np.sqrt(np.vdot(g, g)))
                 if norm > CLIP:
                     g *= CLIP / norm
                 square = g * g
-                square += memory[k][used.get(k, slice(None))]
-                memory[k][used.get(k, slice(None))] = square
+                square += memory[k][at]
+                memory[k][at] = square
                 np.sqrt(square, out=square)
                 g *= RATE
                 g /= square
-                getattr(self, k)[used.get(k, slice(None))] -= g
+                getattr(self, k)[at] -= g
         return seen
 
     def _back(self, inputs, trace, live, d_out) -> dict:
-        h, z, r, c, hun = (np.stack(x) for x in zip(*trace))
-        by_z = (h - c) * z * (1 - z)
-        by_c = (1 - z) * (1 - c * c)
-        by_r = by_c * hun * r * (1 - r)
+        """Gradients through time; of ``wx`` for the rows in ``rows`` alone."""
+        h, z, r, c, hun = trace
+        by_z = h - c
+        by_z *= z
+        by_z *= 1 - z
+        by_c = c * c
+        np.subtract(1, by_c, out=by_c)
+        by_c *= 1 - z
         by_h = by_c * r
+        by_r = by_h * hun
+        by_r *= 1 - r
         g = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
         d = np.empty_like(d_out)
         dh = np.zeros_like(d_out[0])
         back = np.ascontiguousarray(self.u.T)
-        for t in range(len(trace) - 1, -1, -1):
+        for t in range(len(h) - 1, -1, -1):
             dh = np.add(dh, d_out[t], out=d[t])
             np.multiply(dh, by_z[t], out=g[t, :, :HIDDEN])
             np.multiply(dh, by_r[t], out=g[t, :, HIDDEN : 2 * HIDDEN])
             np.multiply(dh, by_h[t], out=g[t, :, 2 * HIDDEN :])
-            dh = (dh * z[t] + g[t] @ back) * live[t]
+            dh = dh * z[t]
+            dh += g[t] @ back
+            dh *= live[t]
         du = h.reshape(-1, HIDDEN).T @ g.reshape(-1, 3 * HIDDEN)
         # From here on ``g`` holds the gradients of the inputs' share: the candidate's without the reset gate.
         np.multiply(d, by_c, out=g[:, :, 2 * HIDDEN :])
-        dwx = np.zeros_like(self.wx)
         ids = inputs.reshape(-1)
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        dwx[ids[order[first]]] = np.add.reduceat(g.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-        return {"wx": dwx, "u": du, "b": g.sum(axis=(0, 1))}
+        dwx = np.add.reduceat(g.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        return {"rows": ids[order[first]], "wx": dwx, "u": du, "b": g.sum(axis=(0, 1))}
 
 
 def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]:
