@@ -153,3 +153,38 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     for push in history(docs):
         ledger.add(push)
     return ledger.report(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def _sql_kind(rank: int, kind: str, pattern: str, fits: str = "true", skip: str = "0") -> str:
+    """Spans of a kind: places add up from the pieces between matches; ``skip``: characters before the span that the match takes."""
+    p = pattern.replace("'", "''")
+    size = "list_sum(list_transform({}, lambda z: length(z)))"
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s + {skip} AS s, s + length(x) AS e
+  FROM (SELECT doc_id, unnest(m) AS x, unnest(list_transform(m, lambda x, i: {size.format("p[1:i]")} + coalesce({size.format("m[1:i - 1]")}, 0)))::BIGINT AS s
+        FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS p FROM t WHERE regexp_matches(text, '{p}'))) WHERE {fits}"""
+
+
+_SQL_ASSIGN = """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_SQL_JWT = r"(?:^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+_SQL_KINDS = [
+    _sql_kind(0, "assign", _SQL_ASSIGN, "length(regexp_extract(x, '" + _SQL_ASSIGN.replace("'", "''") + "', 2)) >= 12"),
+    _sql_kind(1, "access", "AKIA[A-Z0-9]+", "length(x) >= 18"),
+    _sql_kind(2, "hex", "[0-9a-f]{16,}"),
+    _sql_kind(3, "private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    _sql_kind(4, "jwt", _SQL_JWT, skip="CASE WHEN starts_with(x, 'eyJ') THEN 0 ELSE 1 END"),
+    _sql_kind(5, "forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    _sql_kind(6, "chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    _sql_kind(7, "map_key", "AIza[0-9A-Za-z_-]{35}"),
+    _sql_kind(8, "url_login", r"[a-z][a-z0-9+.-]{0,31}://[^\s/:@]+:[^\s/:@]+@[^\s/]+"),
+]
+#: White space is ASCII here, and a URL's scheme is the longest; texts with others differ in these kinds alone.
+ORACLE_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+every AS ({" UNION ALL ".join(_SQL_KINDS)}),
+found AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN found USING (doc_id)
+"""
