@@ -41,6 +41,8 @@ from . import common, kernels
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 1 << 19
+#: Bytes of text that are cut into chunks at once.
+SLICE = 1 << 19
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Entries of the chunk cache of a worker; when full, it keeps those seen often.
@@ -283,7 +285,7 @@ def _shards(path: str):
             return out
 
         for batch in batches:
-            for lo, hi in kernels.slices(batch.column("text")):
+            for lo, hi in kernels.slices(batch.column("text"), SLICE):
                 data, off = kernels.column_bytes(batch.column("text").slice(lo, hi - lo))
                 encoded = chunks.encode(data, off)
                 ids += batch.column("doc_id").slice(lo, hi - lo).to_pylist()
