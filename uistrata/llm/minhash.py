@@ -182,31 +182,38 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """(v, label) of the classes that have a link."""
+    """(v, label) of the classes that have a link, stored."""
     spark = docs.sparkSession
     involved = members.select("cid").distinct().join(classes.select("cid", "rep", "f1"), "cid")
     texts = docs.join(involved, F.coalesce("doc_id", F.lit(common.NO_ID)) == F.coalesce("rep", F.lit(common.NO_ID)))
     schema = f"cid bigint, shingles array<bigint>, {', '.join(f'{c} bigint' for c in ODD_COLS)}"
     sets = common.stored(texts.select("cid", "f1", "text").mapInArrow(_sets, schema).dropDuplicates(["cid"]), "sets")
     common.release(spark)
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    labels = spark.createDataFrame([], "v bigint, label bigint")
-    placed = _placed(members, labels)
+    none = spark.createDataFrame([], "v bigint, label bigint")
+    placed = _placed(members, none)
     state = placed.groupBy("key").agg(F.max(F.struct("score", *_ROW)).alias("lead"))
     pairs = placed.join(state, "key").where((F.col("cid") != F.col("lead.cid")) & _likely("", "lead."))
-    edges, labels = _grown(pairs.select("cid", F.col("lead.cid").alias("other")), sets, edges, labels)
+    edges = _links(pairs.select("cid", F.col("lead.cid").alias("other")), sets)
+    labels = components(edges) if edges.limit(1).count() else none
     placed = _placed(members, labels)
     state = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
     open_keys = state.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("key")
     apart = common.stored(placed.join(open_keys, "key", "left_semi").select("comp", *_ROW).distinct(), "apart")
     common.release(spark)
     if apart.limit(1).count():
-        edges, labels = _grown(_prefix_pairs(apart, sets), sets, edges, labels)
+        pairs, prefixes = _prefix_pairs(apart, sets)
+        more = _links(pairs, sets)
+        common.discard(prefixes)
+        if more.limit(1).count():
+            first, labels = labels, components(edges.unionByName(more))
+            common.discard(first)
+        common.discard(more)
+    common.discard(sets, members, edges, apart)
     return labels
 
 
-def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cid, other) of different components: every pair that is alike enough, and few others.
+def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, other) of different components: every pair that is alike enough, and few others; and the stored table that they come from.
 
     Shingles are put in order of their frequency in these sets, rarest first.  Of
     m shingles the larger set shows m - ceil(3m/4) + 1 and the smaller one
@@ -228,7 +235,7 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     room = 7 * F.least("a.rest", "b.rest") >= 3 * (F.col("a.m") + F.col("b.m"))
     smaller = F.struct("a.m", "a.cid") < F.struct("b.m", "b.cid")
     pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a.comp") != F.col("b.comp")) & smaller & room & _likely("a.", "b.") & _apart("a.", "b."))
-    return pairs.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))
+    return pairs.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other")), shown
 
 
 def _apart(a: str, b: str):
@@ -248,15 +255,13 @@ def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
 
 
-def _grown(pairs: DataFrame, sets: DataFrame, edges: DataFrame, labels: DataFrame):
-    """Verify pairs (cid, other), add their edges and label components anew."""
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (cid, other) that are links, each once, stored."""
     pairs = common.stored(pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), "pairs")
     found = common.stored(_verified(pairs, sets), "links")
+    common.discard(pairs)
     common.release(pairs.sparkSession)
-    if found.limit(1).count():
-        edges = edges.unionByName(found)
-        labels = components(edges)
-    return edges, labels
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -335,6 +335,7 @@ def planned(docs: DataFrame) -> tuple[DataFrame, Plan]:
         at = np.searchsorted(place[lo:hi], ends[:, i])
         there = at < hi - lo
         bounds[there, i] = key[lo:hi][at[there]]
+    common.discard(laid)
     return sizes, Plan(sources, bounds, cut_key, cut)
 
 
@@ -415,7 +416,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     document that is taken whole keeps its text.  ``n_chars`` follows the text.
     Rows of a shard lie together, in shuffled order.
     """
-    rows, _, _ = mixed(docs)
+    rows, sizes, _ = mixed(docs)
+    common.discard(sizes)  # the plan has all that the mix needs of them
 
     def column(c: str):
         if c == "text":

@@ -233,7 +233,7 @@ def _cut(full: int):
 
 
 def _repeated(rows: DataFrame, exact: bool) -> DataFrame:
-    """Rows (key, weight, hashes, checks, places) to (key, survivors): places of windows that repeat, in both hashes if ``exact``.
+    """Rows (key, weight, hashes, checks, places) to (key, survivors), stored: places of windows that repeat, in both hashes if ``exact``.
 
     A hash whose windows all have one check stands for it, so checks are only
     counted with the hashes and not joined; windows whose hash has several checks,
@@ -250,11 +250,13 @@ def _repeated(rows: DataFrame, exact: bool) -> DataFrame:
         apart = each.join(again.where("not one").select("h"), "h")
         both = apart.groupBy("h", "check").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "check")
         met = met.unionByName(apart.join(both, ["h", "check"]).select("k_id", "k_text", "at"))
-    return met.groupBy("k_id", "k_text").agg(F.collect_list("at").alias("survivors"))
+    alive = common.stored(met.groupBy("k_id", "k_text").agg(F.collect_list("at").alias("survivors")), "alive")
+    common.discard(again)
+    return alive
 
 
 def _copies(rows: DataFrame, full: int) -> DataFrame:
-    """(key, stands): documents with a whole copy, and whether a row stands for its group.
+    """(key, stands), stored: documents with a whole copy, and whether a row stands for its group.
 
     Groups are counted map-side first.  Heavy ones, ``HEAVY`` at most by their
     definition, are broadcast to the rows; the others take an ordinary join.
@@ -267,7 +269,9 @@ def _copies(rows: DataFrame, full: int) -> DataFrame:
     heavy, light = groups.where(F.col("n") >= least), groups.where(F.col("n") < least)
     marks = F.broadcast(heavy)
     met = long.join(marks, key).unionByName(long.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key))
-    return met.select("k_id", "k_text", F.struct("k_id", "k_text").eqNullSafe(F.col("one")).alias("stands")).distinct()
+    copies = common.stored(met.select("k_id", "k_text", F.struct("k_id", "k_text").eqNullSafe(F.col("one")).alias("stands")).distinct(), "copies")
+    common.discard(groups)
+    return copies
 
 
 def repeated_windows(docs: DataFrame, *, full: int = FULL, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
@@ -277,18 +281,20 @@ def repeated_windows(docs: DataFrame, *, full: int = FULL, levels: tuple[int, ..
     lists = "hashes array<bigint>, checks array<bigint>, places array<int>"
     rows = common.stored(keyed.mapInArrow(_first_level(levels[0], full), f"{_KEY}, n_words bigint, whole bigint, again bigint, {lists}"), "level")
     # Copies: one stands in for all, with weight two.
-    copies = common.stored(_copies(rows, full), "copies")
+    copies = _copies(rows, full)
     joined = rows.join(copies, ["k_id", "k_text"], "left").where("stands is null or stands")
     joined = joined.withColumn("weight", F.when(F.col("stands"), 2).otherwise(1))
     level = joined.select("k_id", "k_text", "weight", "hashes", "checks", "places", F.lit(None).cast("array<int>").alias("starts"))
     for size, longer in zip(levels, (*levels[1:], None)):
-        alive = common.stored(_repeated(level, size == full), "alive")
+        alive = _repeated(level, size == full)
         common.release(spark)
         if longer is None or not alive.limit(1).count():
             break
         info = alive.join(level.select("k_id", "k_text", "weight", "starts").distinct(), ["k_id", "k_text"])
         with_text = keyed.join(info, ["k_id", "k_text"])
         level = common.stored(with_text.mapInArrow(_next_level(size, longer, full), f"{_KEY}, weight int, starts array<int>, {lists}"), "level")
+        common.discard(rows, alive)  # what this level was made of
+        rows = level
         common.release(spark)
     return copies.select("k_id", "k_text").distinct().withColumn("all_gone", F.lit(True)), alive
 
