@@ -42,7 +42,7 @@ from . import common, kernels
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 1 << 19
 #: Bytes of text that are cut into chunks at once.
-SLICE = 1 << 19
+SLICE = 1 << 20
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Entries of the chunk cache of a worker; when full, it keeps those seen often.
@@ -115,8 +115,9 @@ class Chunks:
         #: Added tokens are found before the text is lower-cased, so their texts must not be.
         self.added = [kernels.LOWER[np.frombuffer(t["content"].encode(), np.uint8)].tobytes() for t in spec.get("added_tokens", [])]
         self.tokenizer, self.size = Tokenizer.from_file(path), size
-        self.index, self.ids, self.first = _Index(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.hits = np.zeros(0, np.int64)
+        #: Ids of all chunks one after the other, where each chunk's begin and how many it has; arrays grow by doubling.
+        self.index, self.ids, self.used = _Index(), np.zeros(1 << 16, np.uint32), 0
+        self.first, self.length, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def _fresh(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks.  Words of Latin-1 letters are one piece to the tokenizer, so its model takes them directly."""
@@ -136,16 +137,28 @@ class Chunks:
 
     def _shrink(self) -> None:
         """Keep chunks seen three times or more, then the counts anew."""
-        kept = np.flatnonzero(self.hits > 2)
+        n = len(self.index)
+        kept = np.flatnonzero(self.hits[:n] > 2)
         if len(kept) > self.size // 2:
             kept = np.sort(kept[np.argsort(-self.hits[kept], kind="stable")[: self.size // 2]])
         names = list(self.index)
-        length = np.diff(self.first)[kept]
-        self.ids = self.ids[kernels.ranges(self.first[kept], length)]
-        self.first = np.concatenate([[0], np.cumsum(length)])
-        self.index = _Index()
+        ids, length = self.ids[kernels.ranges(self.first[kept], self.length[kept])], self.length[kept]
+        self.index, self.used = _Index(), 0
         self.index.update((names[k], i) for i, k in enumerate(kept.tolist()))
-        self.hits = np.zeros(len(kept), np.int64)
+        self.hits[:] = 0
+        self._add(0, ids, length)
+
+    def _add(self, n: int, ids: np.ndarray, length: np.ndarray) -> None:
+        """Note the ids of the chunks from number n on."""
+        if len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        if len(self.first) < n + len(length):
+            more = max(len(self.first), len(length))
+            self.first, self.length, self.hits = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.first, self.length, self.hits))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[n : n + len(length)] = self.used + np.cumsum(length) - length
+        self.length[n : n + len(length)] = length
+        self.used += len(ids)
 
     def whole(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Numbers of the texts that go to the tokenizer as they are."""
@@ -177,13 +190,12 @@ class Chunks:
         del raw, chunks  # a third of what a slice takes
         if self.index.new:
             got = self._fresh([c.decode() for c in self.index.new])
+            n = len(self.index) - len(self.index.new)
             self.index.new.clear()
-            more = np.cumsum([len(x) for x in got]) + self.first[-1]
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32)])
-            self.first = np.concatenate([self.first, more])
-            self.hits = np.concatenate([self.hits, np.zeros(len(got), np.int64)])
-        self.hits += np.bincount(number, minlength=len(self.hits))
-        length = np.diff(self.first)[number]
+            self._add(n, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        seen = np.bincount(number)
+        self.hits[: len(seen)] += seen
+        length = self.length[number]
         flat = self.ids[kernels.ranges(self.first[number], length)]
         ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
         flat = np.insert(flat, ends, END_ID)
