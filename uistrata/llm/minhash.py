@@ -189,6 +189,15 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFram
     schema = f"cid bigint, shingles array<bigint>, {', '.join(f'{c} bigint' for c in ODD_COLS)}"
     sets = common.stored(texts.select("cid", "f1", "text").mapInArrow(_sets, schema).dropDuplicates(["cid"]), "sets")
     common.release(spark)
+    return linked_sets(members, sets)
+
+
+def linked_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(v, label), stored, of the classes that have a link; ``members`` (key, cid, m, s1, s2, score) and ``sets`` are spent.
+
+    ``sets``: stored (cid, shingles, odd sketch).  Links between members of one key are found.
+    """
+    spark = sets.sparkSession
     none = spark.createDataFrame([], "v bigint, label bigint")
     placed = _placed(members, none)
     state = placed.groupBy("key").agg(F.max(F.struct("score", *_ROW)).alias("lead"))

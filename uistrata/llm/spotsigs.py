@@ -7,7 +7,7 @@ hex; a text without any anchored chain takes a chain at every content word, and
 one too short for that its words as a whole.
 
 ``likeness`` is the Jaccard index of two fingerprints, pruned by their lengths
-where a threshold is asked for.  ``near_pairs`` partitions fingerprints by set
+where a threshold is asked for.  ``near_classes`` partitions fingerprints by set
 length, so only partitions whose lengths allow the threshold meet, and within
 them only the rarest signatures are looked up.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, kernels
+from . import common, kernels, minhash
 
 #: Common words that anchor chains.
 ANCHORS = (
@@ -212,30 +212,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, length bigint, sigs array<bigint>")
 
 
-def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
-    """(a, b, likeness): pairs of fingerprint classes that are alike, for rows of ``fingerprints``.
-
-    Equal fingerprints are one class, named by its smallest doc_id.  A class of
-    length m lies in partition floor(log m / log(1 / least)); alike sets lie in the
-    same or in neighbouring partitions.  Signatures are ordered rarest first; the
-    larger set shows its first m - ceil(least m) + 1, and so does the smaller.
+def _with_odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, sigs) with the odd sketch of each set."""
+    for batch in batches:
+        sigs = batch.column("sigs")
+        first = sigs.offsets.to_numpy().astype(np.int64)
+        values = sigs.values.to_numpy()[first[0] : first[-1]].astype(np.uint64) if len(first) else np.zeros(0, np.uint64)
+        bits = minhash.odd_sketches(values, first - first[0])
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), sigs, *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["cid", "shingles", *minhash.ODD_COLS])
+
+
+def near_classes(prints: DataFrame, percent: int = minhash.PERCENT) -> DataFrame:
+    """(doc_id, class_id) for rows of ``fingerprints``: the smallest doc_id that a chain of alike fingerprints reaches.
+
+    Equal fingerprints are one class.  A class of length m lies in the partition
+    floor(log m / log(100 / percent)) of lengths; alike sets lie in one partition
+    or in neighbours, so each class is looked up in its own and the next.  There,
+    signatures are ordered rarest first and each set shows its first
+    m - ceil(percent m / 100) + 1: alike sets show one in common.  Sets that show
+    a signature are compared with one leader, those still apart by the exact
+    prefix index, pruned by length and sketch before sets are read, so a family
+    of copies never makes all its pairs.  Empty fingerprints are classes of one.
     """
-    classes = prints.where("length > 0").groupBy("sigs", "length").agg(F.min("doc_id").alias("id"))
-    each = classes.select("id", "length", F.explode("sigs").alias("sig"))
+    if percent != minhash.PERCENT:
+        raise ValueError(f"sketches are made for {minhash.PERCENT} percent")
+    some = prints.where("length > 0")
+    classes = common.stored(some.groupBy("length", "sigs").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    sets = common.stored(classes.select("cid", "sigs").mapInArrow(_with_odd, f"cid bigint, shingles array<bigint>, {', '.join(f'{c} bigint' for c in minhash.ODD_COLS)}"), "sets")
+    each = classes.select("cid", F.col("length").alias("m"), F.explode("sigs").alias("sig"))
     ranked = each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
-    sets = ranked.groupBy("id", "length").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("o"))
-    zone = F.floor(F.log(F.col("length").cast("double")) / F.log(F.lit(1 / least)))
-    sets = sets.select("id", "length", F.transform("o", lambda x: x["sig"]).alias("s"), zone.alias("zone"))
-    show = F.col("length") - F.ceil(F.col("length") * least) + 1
-    shown = sets.select("id", "length", "zone", F.explode(F.slice("s", 1, show.cast("int"))).alias("sig"))
-    one = shown.select(F.col("id").alias("a"), F.col("length").alias("la"), "sig", F.explode(F.array(F.col("zone"), F.col("zone") + 1)).alias("zone"))
-    two = shown.select(F.col("id").alias("b"), F.col("length").alias("lb"), "sig", "zone")
-    order = F.struct("la", "a") < F.struct("lb", "b")
-    met = one.join(two, ["sig", "zone"]).where(order & (F.col("la") >= least * F.col("lb"))).select("a", "b").distinct()
-    full = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    full = full.withColumn("both", both).withColumn("likeness", F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")))
-    return full.where(F.col("likeness") >= least).select("a", "b", "likeness")
+    ranked = ranked.groupBy("cid", "m").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("o"))
+    show = (F.col("m") - F.ceil(F.col("m") * percent / 100.0) + 1).cast("int")
+    zone = F.floor(F.log(F.col("m").cast("double")) / F.log(F.lit(100.0 / percent)))
+    shown = ranked.select("cid", "m", zone.alias("zone"), F.explode(F.slice("o", 1, show)).alias("k")).where("k.df > 1")
+    rows = shown.select(F.explode(F.array("zone", F.col("zone") + 1)).alias("zone"), "cid", "m", "k.sig")
+    rows = rows.select(F.xxhash64("zone", "sig").alias("key"), "cid", "m", F.lit(0).cast("bigint").alias("s1"), F.lit(0).cast("bigint").alias("s2"))
+    labels = minhash.linked_sets(common.stored(minhash._met(rows), "buckets"), sets)
+    named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
+    by_print = named.join(least, "label").select(F.col("length").alias("l"), F.col("sigs").alias("s"), "class_id")
+    out = prints.join(by_print, (prints["length"] == by_print["l"]) & (prints["sigs"] == by_print["s"]), "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
