@@ -493,14 +493,59 @@ def test_spotsigs(spark, docs, rows, none, small):
     assert [r["n_chars"] for r in spotsigs.fingerprint_edits(one).collect()] == [20]
 
 
-def test_spotsigs_pairs(docs):
-    sets = {r["doc_id"]: frozenset(r["sigs"]) for r in spotsigs.fingerprints(docs).collect() if r["length"]}
-    name = {}
-    for i in sorted(sets):
-        name.setdefault(sets[i], i)
-    classes = {i: s for s, i in name.items()}
-    want = {frozenset((a, b)) for a in classes for b in classes if a < b and len(classes[a] & classes[b]) >= 0.75 * len(classes[a] | classes[b])}
-    assert {frozenset((r["a"], r["b"])) for r in spotsigs.near_pairs(spotsigs.fingerprints(docs)).collect()} == want and want
+def test_spotsigs_classes(spark, docs, none, small):
+    rng = random.Random(9)
+    family = [f"the w{i} x{i} y{i}" for i in range(60)]
+    rows = [(2000 + i, " ".join(f"the e{i} f{i} g{i}" if rng.random() < 0.1 else x for x in family)) for i in range(30)]
+    for df in (docs, small, spark.createDataFrame(rows, "doc_id bigint, text string")):
+        prints = spotsigs.fingerprints(df)
+        sets = {}
+        for r in prints.collect():
+            sets.setdefault(r["doc_id"], frozenset(r["sigs"]))
+        name = {i: i for i in sets}
+        links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+        moved = True
+        while moved:
+            moved = False
+            for a, b in links:
+                low = min(name[a], name[b])
+                if name[a] != low or name[b] != low:
+                    name[a] = name[b] = low
+                    moved = True
+        found = {r["doc_id"]: r["class_id"] for r in spotsigs.near_classes(prints).collect()}
+        assert found == name and links
+    assert spotsigs.near_classes(spotsigs.fingerprints(none)).count() == 0
+
+
+def test_spotsigs_signatures_written_out():
+    """Anchors and chains by plain loops: each anchored chain is one signature, and texts with the same chains have the same ones."""
+    anchors = set(spotsigs.ANCHORS)
+
+    def chains(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+        words = [lower(w) for w in words]
+        content = [(i, w) for i, w in enumerate(words) if w not in anchors]
+        found = set()
+        for i, w in enumerate(words):
+            after = [c for j, c in content if j > i]
+            if w in anchors and len(after) >= 3:
+                found.add((w, *after[:3]))
+        if not found:
+            plain = [c for _, c in content]
+            found = {tuple(plain[i : i + 3]) for i in range(len(plain) - 2)} or ({tuple(words)} if words else set())
+        return frozenset(found)
+
+    rng = random.Random(12)
+    words = ["the", "of", "und", "la", "alpha", "beta", "Gamma", "delta", "eps", "x1", "ünter"]
+    texts = ["", "the", "alpha", "alpha beta", "the alpha beta"] + [" ".join(rng.choices(words, k=rng.randrange(1, 14))) + rng.choice(["", ".", " !"]) for _ in range(300)]
+    sigs, first = spotsigs.signatures(pa.array(texts, pa.large_string()))
+    number = {}
+    for text, a, b in zip(texts, first, first[1:]):
+        want = chains(text)
+        own = frozenset(sigs[a:b].tolist())
+        assert len(own) == len(want), text
+        assert number.setdefault(want, own) == own
+    assert len(set(number.values())) == len(number)
 
 
 # ---- 7 packing
