@@ -430,6 +430,9 @@ def test_seams(spark, tmp_path):
     assert seams.write_keyframes(pictures, str(tmp_path)) == 1
     back = seams.read_pictures(spark, f"file://{tmp_path}/frames/*.png").first()
     assert (back["gray"], back["width"], back["height"]) == (list(range(12)), 4, 3)
+    small = seams.thumbnails(pictures, 4, 3, 2)
+    assert seams.write_keyframes(small, str(tmp_path)) == 1 and small.first()["name"] == "frames/00000_thumb.png"
+    assert seams.read_pictures(spark, f"file://{tmp_path}/frames/*_thumb.png").first()["gray"] == [4, 6]
 
 
 def test_tools_and_command_line(spark, tmp_path, capsys):

@@ -40,15 +40,21 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 
 def surplus(lines: Column, other: Column) -> Column:
-    """Lines beyond their number in ``other`` by normalised form: later duplicates first to go, order and text kept."""
-    own, against = normalize_lines(lines), normalize_lines(other)
+    """Lines beyond their number in ``other`` by normalised form: later duplicates first to go, order and text kept.
 
-    def keeps(line: Column, i: Column) -> Column:
-        norm = normalize_line(line)
-        seen = F.size(F.filter(F.slice(own, 1, i + 1), lambda z: z == norm))
-        return (norm != "") & (seen > F.size(F.filter(against, lambda z: z == norm)))
+    Both arrays are normalised once: a lambda over an array of one holds them.
+    """
+    count = lambda a, x: F.size(a) - F.size(F.array_remove(a, x))
 
-    return F.filter(lines, keeps)
+    def kept(both: Column) -> Column:
+        def beyond(line: Column, i: Column) -> Column:
+            norm = F.get(both["own"], i)
+            return (norm != "") & (count(F.slice(both["own"], 1, i + 1), norm) > count(both["against"], norm))
+
+        return F.filter(lines, beyond)
+
+    both = F.array(F.struct(normalize_lines(lines).alias("own"), normalize_lines(other).alias("against")))
+    return F.get(F.transform(both, kept), 0)
 
 
 def token_set(text: Column) -> Column:

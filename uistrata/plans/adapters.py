@@ -154,8 +154,3 @@ def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = e.withColumn("gray", F.transform(F.sequence(F.lit(0), F.lit(24 * 24 - 1)), pixel))
     return rows.withColumn("prev", F.lag("gray").over(W.partitionBy("rec").orderBy("vec_id")))
-
-
-def conversation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("rec"), F.col("turn").alias("pos"), F.split("text", "\n").alias("lines"), "role")

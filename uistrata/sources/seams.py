@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pixels
 from ..operators import recording
+from .documents import thumbnail_size
 
 _engines: dict = {}
 
@@ -114,6 +116,13 @@ def png(gray: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+def thumbnails(pictures: DataFrame, width: int, height: int, thumb_width: int = 320) -> DataFrame:
+    """(name, gray, width) of pictures of one size, shrunk by area to ``thumb_width``; names get _thumb before their ending."""
+    w, h = thumbnail_size(width, height, thumb_width)
+    name = F.regexp_replace("name", r"(\.[^.]*)$", "_thumb$1")
+    return pictures.select(name.alias("name"), pixels.shrunk(F.col("gray"), F.lit(width), F.lit(w), F.lit(h)).alias("gray"), F.lit(w).alias("width"))
+
+
 def write_keyframes(pictures: DataFrame, folder: str) -> int:
     """Write (name, gray, width) as PNG files into ``folder``, a path that all executors mount; the number written.
 
