@@ -16,6 +16,7 @@ MODULES = {
     "op8_gru_lm": "gru_lm",
     "op9_minhash": "minhash",
     "op10_exact_dedup": "exact_dedup",
+    "op11_url_filter": "url_filter",
     "op12_hard_negatives": "hard_negatives",
     "op13_resampling": "resampling",
 }
