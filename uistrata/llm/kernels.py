@@ -6,19 +6,19 @@ words.  All word definitions used by the operators separate on ASCII bytes
 only, which never occur inside a multi-byte UTF-8 sequence; splitting and
 ASCII lower-casing bytes is therefore the same as doing it on code points.
 
-Memory: bytes are hashed in segments of about ``SEGMENT`` bytes that end at a
-word boundary, so temporaries are bounded however long a document is.
+Memory: words are hashed ``CHUNK`` at a time, so temporaries beyond a few arrays of
+a document's words are bounded.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 19
 # Workers live on between tasks: what a batch took goes back to the system, not to a pool.
 pa.set_memory_pool(pa.system_memory_pool())
 _libc = ctypes.CDLL(None)
@@ -31,8 +31,6 @@ def tidy() -> None:
 
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 #: [^\x20\x09-\x0D]+ : everything but ASCII white space belongs to a word.
 BLANK = np.zeros(256, dtype=bool)
@@ -54,35 +52,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64))
-_pow = np.ones(1, dtype=U64)
-_inv = np.ones(1, dtype=U64)
+#: Bits of the first k bytes of a lane.
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+#: Bytes beyond which a word is hashed by itself; words hashed at once.
+LONG, CHUNK = 64, 1 << 17
+#: Seeds of two hashes that know nothing of each other.
+SEEDS = (0x9E3779B97F4A7C15, 0x3C79AC492BA7B653)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, SEGMENT + 65536)
-        _pow = np.full(size, _BASE & (2**64 - 1), dtype=U64)
-        _inv = np.full(size, _BASE_INV, dtype=U64)
-        _pow[0] = _inv[0] = 1
-        np.multiply.accumulate(_pow, out=_pow)
-        np.multiply.accumulate(_inv, out=_inv)
-    return _pow, _inv
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """64-bit hash of ``data[start:end]`` for every span: lanes of eight bytes, each mixed before the next; long spans by BLAKE2.
+
+    Every step is a bijection, so spans of one length up to eight bytes never
+    share a hash, and longer ones do no more often than random numbers.
+    """
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = np.empty(len(start), U64)
+    for lo in range(0, len(start), CHUNK):
+        s, size = start[lo : lo + CHUNK], (end - start)[lo : lo + CHUNK]
+        h = mix(size.astype(U64) ^ U64(seed))
+        some = np.arange(len(s))
+        for at in range(0, min(int(size.max()), LONG), 8):
+            some = some[size[some] > at] if at else some
+            h[some] = mix(h[some] ^ (lanes[s[some] + at] & _LANE[np.minimum(size[some] - at, 8)]))
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : s[i] + size[i]].tobytes(), digest_size=8, key=seed.to_bytes(8)).digest())
+        out[lo : lo + CHUNK] = h
+    return out
 
 
 class Words:
     """Words of a run of documents.
 
     ``start`` and ``end`` are byte offsets into ``data``, ``hash`` a 64-bit
-    hash of the (mapped) word, and ``first[i]:first[i + 1]`` the words of
-    document ``i``.
+    hash of the (mapped) word, ``again`` an independent one (or None), and
+    ``first[i]:first[i + 1]`` the words of document ``i``.
     """
 
-    __slots__ = ("data", "start", "end", "hash", "first")
+    __slots__ = ("data", "start", "end", "hash", "first", "again")
 
-    def __init__(self, data, start, end, hashes, first):
-        self.data, self.start, self.end, self.hash, self.first = data, start, end, hashes, first
+    def __init__(self, data, start, end, hashes, first, again=None):
+        self.data, self.start, self.end, self.hash, self.first, self.again = data, start, end, hashes, first, again
 
     @property
     def count(self) -> np.ndarray:
@@ -139,24 +149,12 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = BLANK) -> tu
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
-def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = BLANK, table: np.ndarray | None = None) -> Words:
-    """Words and their hashes; ``table`` maps bytes first (LOWER: ASCII lower case)."""
+def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = BLANK, table: np.ndarray | None = None, twice: bool = False) -> Words:
+    """Words and their hashes (a second one too if ``twice``); ``table`` maps bytes first (LOWER: ASCII lower case)."""
     start, end = word_spans(data, off, sep)
-    values = _BYTE if table is None else _BYTE[table]
-    out = np.empty(len(start), dtype=U64)
-    lo = 0
-    while lo < len(start):
-        base = int(start[lo])
-        hi = max(lo + 1, int(np.searchsorted(end, base + SEGMENT, side="right")))
-        stop = int(end[hi - 1])
-        power, inverse = _powers(stop - base + 1)
-        total = np.zeros(stop - base + 1, dtype=U64)
-        np.cumsum(values[data[base:stop]] * power[: stop - base], out=total[1:])
-        s, e = start[lo:hi] - base, end[lo:hi] - base
-        out[lo:hi] = (total[e] - total[s]) * inverse[s]
-        lo = hi
-    out = mix(out + (end - start).astype(U64))
-    return Words(data, start, end, out, np.searchsorted(start, off, side="left"))
+    mapped = data if table is None else table[data]
+    found = [span_hashes(mapped, start, end, seed) for seed in SEEDS[: 1 + twice]]
+    return Words(data, start, end, found[0], np.searchsorted(start, off, side="left"), found[1] if twice else None)
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -16,8 +16,9 @@ one row in a dozen words and loses nothing.
    adaptive execution may split, so one hot passage is no single task.
 3. Later levels read the text of documents with candidates only.
 4. Full windows are equal if 128 bits of their words are: the 64 that named the
-   candidates and 64 of a second chain over the words, so that 10^13 windows
-   hold no false pair (one in 10^12 such tables would).
+   candidates and 64 over a second hash of each word's bytes, which knows nothing
+   of the first, so that 10^13 windows hold no false pair (one in 10^12 such
+   tables would).
 5. Repeated full windows are merged to word ranges per document, and the kept
    words are written out.
 
@@ -73,18 +74,13 @@ def chosen(h: np.ndarray, size: int, starts: np.ndarray | None = None, full: int
     return parts, at if starts is None else at[starts]
 
 
-def second(h: np.ndarray) -> np.ndarray:
-    """Word hashes of the second chain."""
-    return kernels.mix(h ^ np.uint64(0x3C79AC492BA7B653))
-
-
 def whole_hash(h: np.ndarray) -> np.uint64:
     """One number for a sequence of word hashes."""
     return np.bitwise_xor.reduce(kernels.mix(h + kernels.mix(np.arange(len(h), dtype=np.uint64)))) if len(h) else np.uint64(0)
 
 
 def _words(column: pa.Array):
-    w = kernels.words(*kernels.column_bytes(column))
+    w = kernels.words(*kernels.column_bytes(column), twice=True)
     return w, w.first.tolist()
 
 
@@ -100,11 +96,11 @@ def _first_level(size: int, full: int):
                 for a, b in zip(first, first[1:]):
                     h = w.hash[a:b]
                     whole.append(whole_hash(h))
-                    again.append(whole_hash(second(h)))
+                    again.append(whole_hash(w.again[a:b]))
                     parts, at = chosen(h, size, None, full)
                     at = np.unique(at)
                     hashes.append(parts[at])
-                    checks.append(_checks(h, at, size, full))
+                    checks.append(_checks(w.again[a:b], at, size, full))
                     places.append(at)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -124,9 +120,9 @@ def _first_level(size: int, full: int):
     return run
 
 
-def _checks(h: np.ndarray, at: np.ndarray, size: int, full: int) -> np.ndarray:
-    """Hashes of the second chain of full windows; short ones need none."""
-    return kernels.window_hashes(second(h), full)[at] if size == full and len(at) else np.zeros(0, np.uint64)
+def _checks(again: np.ndarray, at: np.ndarray, size: int, full: int) -> np.ndarray:
+    """Hashes of full windows over the second hashes of their words; short ones need none."""
+    return kernels.window_hashes(again, full)[at] if size == full and len(at) else np.zeros(0, np.uint64)
 
 
 def _check_lists(checks: list[np.ndarray], ends: np.ndarray, size: int, full: int) -> pa.Array:
@@ -171,7 +167,7 @@ def _next_level(before: int, size: int, full: int):
                     parts, at = chosen(h, size, starts, full)
                     at = np.unique(at)
                     hashes.append(parts[at])
-                    checks.append(_checks(h, at, size, full))
+                    checks.append(_checks(w.again[a:b], at, size, full))
                     places.append(at)
                     spans.append(to_ranges(starts).astype(np.int32))
                 take = pa.array(np.arange(len(spans)))
