@@ -154,8 +154,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_text"), "text")
     signed = common.stored(docs.mapInArrow(_sign, _SIGN), "signatures")
     key = ["n_shingles", "f1", "f2"]
-    classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("s1", "s2", "bands")])
-    classes = common.stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), F.col("k_text").alias("rep_text"))).alias("r"), *[F.first(c).alias(c) for c in ("s1", "s2", "bands")])
+    classes = common.stored(classes.select("*", "r.rep", "r.rep_text").drop("r").withColumn("cid", F.monotonically_increasing_id()), "classes")
     rows = classes.select(F.explode("bands").alias("key"), "cid", F.col("n_shingles").alias("m"), "s1", "s2")
     members = common.stored(_met(rows), "buckets")
     common.release(docs.sparkSession)
@@ -184,8 +184,10 @@ def _met(rows: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """(v, label) of the classes that have a link, stored."""
     spark = docs.sparkSession
-    involved = members.select("cid").distinct().join(classes.select("cid", "rep", "f1"), "cid")
-    texts = docs.join(involved, F.coalesce("doc_id", F.lit(common.NO_ID)) == F.coalesce("rep", F.lit(common.NO_ID)))
+    involved = members.select("cid").distinct().join(classes.select("cid", "rep", "rep_text", "f1"), "cid")
+    # By id and text: rows of one id, null ones too, are as many as they are, not each with each.
+    same = [F.coalesce("doc_id", F.lit(common.NO_ID)) == F.coalesce("rep", F.lit(common.NO_ID)), F.col("k_text") == F.col("rep_text")]
+    texts = docs.join(involved, same)
     schema = f"cid bigint, shingles array<bigint>, {', '.join(f'{c} bigint' for c in ODD_COLS)}"
     sets = common.stored(texts.select("cid", "f1", "text").mapInArrow(_sets, schema).dropDuplicates(["cid"]), "sets")
     common.release(spark)
