@@ -9,8 +9,9 @@ with bounded errors, verify the edits and give the span.
 Work is map-side only: no shuffle, memory of a slice of a batch.
 
 Defined results: null text counts as empty; spans in code points of the text as
-it is; a text without findings has score 0 and empty labels; of notices that
-overlap the likelier stay, equally likely ones all do; repeated rows are rows;
+it is; a text without findings has score 0 and empty labels; notices that
+overlap or lie in one another all stay, but of those that exclude each other (by-nc
+and by-sa) the likelier do, equally likely ones all; repeated rows are rows;
 time grows with the length of a text and the number of its findings; an empty
 table gives an empty result; other columns, whatever their names, are ignored.
 """
@@ -52,6 +53,8 @@ NOTICES = (
     ("bsd 3-clause license", "bsd-3-clause"),
     ("all rights reserved", "proprietary"),
 )
+#: Notices of one group are the same words but for a few letters: a place is one of them only.
+EXCLUSIVE = {"cc-by-nc-4.0": "cc-by", "cc-by-sa-4.0": "cc-by"}
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
 _WORD = rb"[0-9a-z\x80-\xff]"
@@ -108,24 +111,35 @@ class Scanner:
     def fuzzy(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, likeness) of notices within their edits, in the folded text.
 
-        A notice gives way to a likelier one that it overlaps (by-nc to by-sa, say).
+        Of notices that exclude each other and overlap, the likelier stay.
         """
-        found = sorted((f for kept in self.matches(text) for f in kept), key=lambda f: (-f[3], f[0], f[1], f[2]))
-        starts, ends, out = [], [], []  # what likelier notices cover, as ranges apart from one another
-        for _, equal in groupby(found, key=lambda f: f[3]):
-            equal = list(equal)
-            for f in equal:
-                at = bisect.bisect_left(starts, f[1])
-                if not at or ends[at - 1] <= f[0]:
-                    out.append(f)
-            for a, b, *_ in equal:
-                lo, hi = bisect.bisect_left(ends, a), bisect.bisect_right(starts, b)
-                if lo < hi:
-                    a, b = min(a, starts[lo]), max(b, ends[hi - 1])
-                starts[lo:hi], ends[lo:hi] = [a], [b]
+        out, rivals = [], {}
+        for kept in self.matches(text):
+            for f in kept:
+                rivals.setdefault(EXCLUSIVE[f[2]], []).append(f) if f[2] in EXCLUSIVE else out.append(f)
+        for found in rivals.values():
+            out += likeliest(found)
         return sorted(out)
 
 
+def likeliest(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Spans that overlap no likelier one."""
+    found = sorted(found, key=lambda f: (-f[3], f[0], f[1], f[2]))
+    starts, ends, out = [], [], []  # what likelier notices cover, as ranges apart from one another
+    for _, equal in groupby(found, key=lambda f: f[3]):
+        equal = list(equal)
+        for f in equal:
+            at = bisect.bisect_left(starts, f[1])
+            if not at or ends[at - 1] <= f[0]:
+                out.append(f)
+        for a, b, *_ in equal:
+            lo, hi = bisect.bisect_left(ends, a), bisect.bisect_right(starts, b)
+            if lo < hi:
+                a, b = min(a, starts[lo]), max(b, ends[hi - 1])
+            starts[lo:hi], ends[lo:hi] = [a], [b]
+    return out
+
+
 _BLANK = re.compile(r"[\x00-\x20]+")
 
 
