@@ -6,7 +6,8 @@ A text is cut into windows all through (the last one is moved back to end with
 the text); its scores are the mean of its windows' probabilities.
 
 Training rows are a bounded sample (``PER_LANG`` documents a language, chosen
-by a hash of their content, ``PER_DOC`` windows of each); every document of the
+by a hash of their content, ``PER_DOC`` windows of each, ``MOST_TEXTS`` documents
+in all; more than ``MOST_LANGS`` languages raise); every document of the
 table is then predicted, whole.  Only the text is an input of a prediction.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0;
@@ -32,6 +33,8 @@ from . import common, kernels
 
 #: Bounds of the training sample.
 PER_LANG, PER_DOC = 400, 4
+#: Most languages, beyond which fitting raises, and most documents of the whole sample (100 MB of windows): with many languages each gives fewer.
+MOST_LANGS, MOST_TEXTS = 1024, 1 << 17
 #: Bytes of a window, size of an embedded byte, filters of each width.
 WINDOW, DEPTH, WIDTHS, FILTERS = 192, 6, (2, 3, 4), 8
 SPAN = max(WIDTHS)
@@ -176,16 +179,19 @@ def fit(docs: DataFrame, learn: Column) -> ByteNet | None:
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select(F.xxhash64("text").alias("h"), "lang", "text")
     # Distinct texts are counted, as only they are let in below; their hashes alone are shuffled.
-    sizes = {r["lang"]: r["count"] for r in rows.select("h", "lang").distinct().groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.select("h", "lang").distinct().groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    each = max(1, min(PER_LANG, MOST_TEXTS // len(sizes)))
     # A hash threshold for each language lets in about twice as many as are used; the least hashes are.
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2.0 * PER_LANG / n))])
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * each / n)) for lang, n in sizes.items()], "lang string, share double")
     part = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
     # Copies of one text count once, dropped map-side first: however many there are, no more rows than that reach the driver.
-    near = rows.where(part < F.element_at(share, F.col("lang"))).dropDuplicates(["h", "lang"])
+    near = rows.join(F.broadcast(shares), "lang").where(part < F.col("share")).drop("share").dropDuplicates(["h", "lang"])
     least = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
-    found = near.mapInArrow(_samples, "h bigint, lang string, x binary").withColumn("least", least).where(F.col("least") <= PER_LANG)
+    found = near.mapInArrow(_samples, "h bigint, lang string, x binary").withColumn("least", least).where(F.col("least") <= each)
     langs = sorted(sizes)
     sample = found.select("lang", "h", "x").toArrow().group_by(["lang", "h", "x"]).aggregate([])
     sample = sample.sort_by([(name, "ascending") for name in ("lang", "h", "x")])
