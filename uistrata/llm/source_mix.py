@@ -58,20 +58,17 @@ NEVER = np.uint64(2**64 - 1)
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
     """Target of each source: shares by weight, none above ``most`` sizes, what is over shared again."""
-    n = len(sizes)
-    weight = [weights[i % len(weights)] for i in range(n)]
-    out, open_, left = [0.0] * n, list(range(n)), share * sum(sizes)
-    while open_:
-        total = sum(weight[i] for i in open_)
-        over = [i for i in open_ if left * weight[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weight[i] / total
+    weight = [weights[i % len(weights)] for i in range(len(sizes))]
+    out, total, left = [0.0] * len(sizes), sum(weight), share * sum(sizes)
+    # Those with the least size for their weight meet their limit first; each that does leaves the others more.
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i] / weight[i])
+    for at, i in enumerate(order):
+        if left * weight[i] / total <= most * sizes[i]:
+            for j in order[at:]:
+                out[j] = left * weight[j] / total
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        out[i] = float(most * sizes[i])
+        left, total = left - out[i], total - weight[i]
     return out
 
 
