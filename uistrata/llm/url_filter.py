@@ -124,7 +124,7 @@ def _counts(*more: Column) -> list[Column]:
 
 
 def _level(state: DataFrame, depth: int) -> DataFrame:
-    """Urls one level further down: template, its counts and what is above it, and whether it goes on."""
+    """Urls one level further down, stored: template, its counts and what is above it, and whether it goes on."""
     segments = F.split(F.expr("substring(path, 2)"), "/")
     more = (F.col("path") != "") & (F.size(segments) > depth)
     state = state.withColumn("seg", F.when(more, F.get(segments, F.lit(depth))))
@@ -139,14 +139,18 @@ def _level(state: DataFrame, depth: int) -> DataFrame:
     names = named.withColumn("name", F.when(plain, F.col("name")).otherwise(F.col("kind"))).groupBy(*_NODE, "name").agg(*_counts())
     found = names.groupBy(*_NODE).applyInPandas(_branches, "name string, to string, n bigint, bad bigint, good bigint, host string, template string")
     entry = F.struct("name", F.struct("to", F.col("n"), F.col("bad"), F.col("good")))
-    ways = found.groupBy(*_NODE).agg(F.map_from_entries(F.collect_list(entry)).alias("ways"))
+    # Stored, so that its size is known before the urls would be shuffled: those of a common host stay where they are if it is small.
+    ways = common.stored(found.groupBy(*_NODE).agg(F.map_from_entries(F.collect_list(entry)).alias("ways")), f"ways-{depth}")
     at = F.coalesce(*[F.try_element_at("ways", F.coalesce(c, F.lit(""))) for c in ("own", "ended", "kind")])
     moved = state.join(ways, _NODE).withColumn("at", at)
     above = (F.col("node_bad") + F.lit(M) * F.col("above")) / (F.col("node_n") + F.lit(M))
-    return moved.select(
+    out = moved.select(
         "host", "path", "n", "bad", "good", F.col("at.to").alias("template"), F.col("at.n").alias("node_n"), F.col("at.bad").alias("node_bad"), F.col("at.good").alias("node_good"), above.alias("above"),
         (F.col("seg").isNotNull() & (F.col("at.n") >= EXPAND) & F.lit(depth + 1 < DEPTH)).alias("live"),
     )
+    out = common.stored(out, f"level-{depth}")
+    common.discard(ways)
+    return out
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -157,7 +161,7 @@ def templates(urls: DataFrame) -> DataFrame:
     state = urls.join(hosts, "host").select("host", "path", "n", "bad", "good", F.lit("").alias("template"), "node_n", "node_bad", "node_good", F.lit(share).alias("above"), F.lit(True).alias("live"))
     leaves, depth = [], 0
     while True:
-        level = common.stored(_level(state, depth), f"level-{depth}")
+        level = _level(state, depth)
         purity = (F.col("node_bad") + F.lit(M) * F.col("above")) / (F.col("node_bad") + F.col("node_good") + F.lit(M))
         leaves.append(level)
         if not level.where("live").limit(1).count():
