@@ -84,6 +84,39 @@ def test_words_and_windows():
         assert len(h) == len(runs) and len(set(zip(runs, h.tolist()))) == len(set(runs)) == len(set(h.tolist()))
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("size", [8, 16, 64, 65, 1024, 4096])
+def test_words_that_polynomials_confuse(spark, size):
+    """A Thue-Morse word and the one with its letters swapped: equal by a polynomial modulo 2^64, and not here."""
+    one, two = thue_morse(size), thue_morse(size, "b", "a")
+    w = kernels.words(*kernels.column_bytes(pa.array([one, two, one])), twice=True)
+    for h in (w.hash, w.again):
+        assert h[0] == h[2] != h[1]
+    assert not set(w.hash.tolist()) & set(w.again.tolist())
+
+
+def test_confusing_words_in_windows_shingles_and_counts(spark):
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    words = [f"w{i}" for i in range(34)]
+    rows = [(0, " ".join([*words, one])), (1, " ".join([*words, two])), (2, " ".join(["head", *words[:20], two]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {0: 0, 1: 0, 2: 0}
+    short = spark.createDataFrame([(0, one), (1, two), (2, one)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(short).collect()} == {0: 0, 1: 1, 2: 0}
+    parts = list(gru_lm._count(iter([pa.RecordBatch.from_pydict({"text": [f"{one} {two} {one}"]})])))
+    assert sorted(parts[0].column("n").to_pylist()) == [1, 2]
+
+
+def test_second_hash_bears_random_words():
+    rng = random.Random(9)
+    texts = sorted({"".join(rng.choices("ab", k=rng.randint(1, 90))) for _ in range(20_000)})
+    w = kernels.words(*kernels.column_bytes(pa.array(texts)), twice=True)
+    assert len(set(w.hash.tolist())) == len(set(w.again.tolist())) == len(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 35), (35, 40)]
     found = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
@@ -305,8 +338,24 @@ def test_likelier_notices_win_and_time_grows_with_findings():
     rng = random.Random(1)
     found = [(a, a + rng.randint(1, 9), f"x{i}", rng.choice([0.5, 0.7, 0.9, 1.0])) for i, a in enumerate(rng.choices(range(300), k=200))]
     want = sorted(f for f in found if not any(g[3] > f[3] and g[0] < f[1] and f[0] < g[1] for g in found))
+    assert sorted(license_scan.likeliest(found)) == want
     scanner.matches = lambda text: [found]
-    assert scanner.fuzzy("") == want
+    assert scanner.fuzzy("") == sorted(found)  # none of them excludes another
+
+
+def test_nested_notices_stay():
+    """All notices within their edits, whatever they lie in: only those that exclude each other give way."""
+    scanner, rng = license_scan.Scanner(), random.Random(8)
+    assert [f[2] for f in scanner.fuzzy("licensed under the gnu general public license, versoin 3")] == ["gpl-notice", "gpl-3.0"]
+    for _ in range(60):
+        (one, _), (two, _) = rng.sample(license_scan.NOTICES, 2)
+        text = list(one[: rng.randint(len(one) // 2, len(one))] + two)
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(len(text))] = rng.choice("abc ")
+        text = license_scan._BLANK.sub(" ", "".join(text))
+        want = {label for notice, label in license_scan.NOTICES if edit_distance_within(notice, text) <= license_scan.pieces(notice)[0]}
+        found = {f[2] for f in scanner.fuzzy(text)}
+        assert found <= want and want - found <= set(license_scan.EXCLUSIVE), text
 
 
 def test_spans_are_places_of_the_text(spark):
@@ -338,6 +387,79 @@ def test_sample_of_few_texts_with_many_copies(spark, monkeypatch):
     assert len(kept) == 303 and min(kept.values()) == 1
 
 
+def test_sample_of_many_labels_is_bounded(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(language_id.ByteNet, "train", lambda self, x, y: kept.append(np.bincount(y)) or self)
+    monkeypatch.setattr(language_id, "MOST_TEXTS", 800)
+    rows = [(i, f"word number {i}", f"x{i % 20}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    language_id.fit(docs, language_id.F.lit(True))
+    assert kept[0].tolist() == [40] * 20
+    monkeypatch.setattr(language_id, "MOST_LANGS", 19)
+    with pytest.raises(ValueError, match="more than 19 languages"):
+        language_id.fit(docs, language_id.F.lit(True))
+
+
+def forward(net, text):
+    """Probabilities of one text by loops: every window, every filter, every place."""
+    data, size = text.encode(), language_id.WINDOW
+    starts = [min(i * size, max(len(data) - size, 0)) for i in range(max(1, -(-len(data) // size)))]
+    total = np.zeros(len(net.langs))
+    for a in starts:
+        window = data[a : a + size].ljust(size, b" ")
+        e, best = [net.embed[b].astype(np.float64) for b in window], np.full(len(net.bias), -np.inf)
+        for at in range(size - language_id.SPAN + 1):
+            best = np.maximum(best, np.concatenate(e[at : at + language_id.SPAN]) @ net.kernel)
+        z = np.maximum(best + net.bias, 0) @ net.out + net.out_bias
+        total += np.exp(z) / np.exp(z).sum()
+    return total / len(starts)
+
+
+def test_predictions_window_by_window(small):
+    net = language_id.fit(small, ~language_id.held_out())
+    out = {r["doc_id"]: r for r in language_id.identify(small, net).collect()}
+    for r in small.where("length(text) < 1500").limit(40).collect():
+        if re.search(r"[^\W\d_]", r["text"] or ""):
+            p = forward(net, r["text"])
+            assert out[r["doc_id"]]["lang_pred"] == net.langs[int(p.argmax())] and abs(out[r["doc_id"]]["score"] - p.max()) < 1e-4
+
+
+def test_targets_of_many_sources():
+    rng = random.Random(2)
+    for n in (1, 2, 7, 300):
+        sizes = [rng.choice([0, 1, 5, 10**6, rng.randint(1, 10**9)]) for _ in range(n)]
+        got, weight = source_mix.targets(sizes), [(5, 2, 1)[i % 3] for i in range(n)]
+        open_, want, left = set(range(n)), [0.0] * n, 1.5 * sum(sizes)
+        while open_:  # round by round
+            total = sum(weight[i] for i in open_)
+            over = {i for i in open_ if left * weight[i] / total > 2 * sizes[i]}
+            for i in over or open_:
+                want[i] = 2.0 * sizes[i] if over else left * weight[i] / total
+            if not over:
+                break
+            left, open_ = left - sum(want[i] for i in over), open_ - over
+        assert got == pytest.approx(want, rel=1e-12)
+    began = time.time()
+    source_mix.targets([rng.randint(1, 10**6) for _ in range(100_000)])
+    assert time.time() - began < 2
+
+
+def test_near_rows_of_one_id_take_no_more_than_rows_of_many(spark):
+    """Null ids: each row meets its own text only.  Links are those of the same rows under ids of their own."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], "tail"])]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    null = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")
+    began = time.time()
+    assert minhash.drop_near(own).count() == 600
+    first, began = time.time() - began, time.time()
+    kept = minhash.drop_near(null).collect()
+    assert len(kept) == 600 and time.time() - began < 2 * first + 10
+
+
 def test_language(docs, rows, none, small):
     net = language_id.fit(small, ~language_id.held_out())
     truth = {r["doc_id"]: r["lang"] for r in small.collect()}
