@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,21 +128,108 @@ def _labels(mask: np.ndarray) -> np.ndarray:
         label = step
 
 
+def cursor_between(prev: np.ndarray, cur: np.ndarray) -> tuple[int, int] | None:
+    """Centre (x, y) of the largest small 8-connected part of changed pixels, the first of equals; None without one."""
+    changed = np.abs(cur - prev) > PIXEL_DELTA
+    if not changed.any():
+        return None
+    label = _labels(changed)
+    names, area = np.unique(label[label >= 0], return_counts=True)
+    fits = np.flatnonzero((area >= LEAST_AREA) & (area <= MOST_AREA * label.size))
+    if not len(fits):
+        return None
+    y, x = np.nonzero(label == names[fits[np.argmax(area[fits])]])
+    return int(x.mean()), int(y.mean())
+
+
 def _cursor(prev: pd.Series, cur: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Centre of the largest small 8-connected part of changed pixels, the first of equals."""
-    out = []
-    for a, b in zip(_frames(prev, width), _frames(cur, width)):
-        label = _labels(np.abs(b - a) > PIXEL_DELTA)
-        names, area = np.unique(label[label >= 0], return_counts=True)
-        fits = np.flatnonzero((area >= LEAST_AREA) & (area <= MOST_AREA * label.size))
-        if len(fits):
-            y, x = np.nonzero(label == names[fits[np.argmax(area[fits])]])
-            out.append((int(x.mean()), int(y.mean())))
-        else:
-            out.append((None, None))
+    out = [cursor_between(a, b) or (None, None) for a, b in zip(_frames(prev, width), _frames(cur, width))]
     return pd.DataFrame(out, columns=["x", "y"]).astype("Int32")
 
 
+#: Kernels of three, five and seven, in parts of one.
+_SMALL_KERNELS = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625), 7: (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)}
+
+
+def gaussian_kernel(size: int) -> np.ndarray:
+    """Weights of an odd number of neighbours: the deviation follows from the size."""
+    if size in _SMALL_KERNELS:
+        return np.array(_SMALL_KERNELS[size])
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    w = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
+    return w / w.sum()
+
+
+def _mirrored(n: int, reach: int) -> np.ndarray:
+    """Places -reach .. n + reach - 1, mirrored at the first and the last one, which are not repeated."""
+    if n == 1:
+        return np.zeros(2 * reach + 1, np.int64)
+    at = np.abs(np.arange(-reach, n + reach)) % (2 * n - 2)
+    return np.where(at < n, at, 2 * n - 2 - at)
+
+
+def blur_boxes(frame: np.ndarray, boxes) -> np.ndarray:
+    """``frame`` with each box [x, y, w, h] blurred in turn, by itself: no pixel outside is read or changed."""
+    out = frame.copy()
+    height, width = frame.shape
+    for x, y, w, h in boxes:
+        x0, y0, x1, y1 = max(0, x), max(0, y), min(width, x + w), min(height, y + h)
+        if x1 <= x0 or y1 <= y0:
+            continue
+        size = max(3, min(y1 - y0, x1 - x0) // 2 * 2 + 1)
+        kernel, reach, part = gaussian_kernel(size), size // 2, out[y0:y1, x0:x1].astype(np.float64)
+        # One axis, then the other: a sum of shifted rows, so a box costs its pixels times its kernel's side.
+        for _ in range(2):
+            rows = part[_mirrored(part.shape[0], reach)]
+            part = sum(k * rows[i : i + part.shape[0]] for i, k in enumerate(kernel)).T
+        out[y0:y1, x0:x1] = np.floor(part + 0.5)
+    return out
+
+
+def _blurred(gray: pd.Series, width: pd.Series, boxes: pd.Series) -> pd.Series:
+    return pd.Series([blur_boxes(np.asarray(g, np.int32).reshape(-1, int(w)), [[int(v) for v in b] for b in found]).reshape(-1) if len(found) else g for g, w, found in zip(gray, width, boxes)])
+
+
+def blurred(gray: Column, width: Column, boxes: Column) -> Column:
+    """The picture with all ``boxes`` (array<array<int>>, clamped to it) blurred, one after the other."""
+    return F.pandas_udf(_blurred, "array<int>")(gray, width, boxes)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, first, is null) of a list column, without a Python object for each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)]), null
+
+
+def _compared(prev: pa.Array, cur: pa.Array) -> pa.Array:
+    (a, at_a, no_a), (b, at_b, no_b) = _lists(prev), _lists(cur)
+    score, alike = np.zeros(len(no_a)), np.zeros(len(no_a))
+    for i in np.flatnonzero(~no_a & ~no_b).tolist():
+        x, y = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
+        score[i] = float(np.abs(x - y).mean()) / 255.0 if len(x) == len(y) and len(x) else 1.0
+        alike[i] = _correlation(np.bincount(x * BINS // 256, minlength=BINS).astype(float), np.bincount(y * BINS // 256, minlength=BINS).astype(float), len(x) == len(y) and bool((x == y).all()))
+    none = no_a | no_b
+    return pa.StructArray.from_arrays([pa.array(score, mask=none), pa.array(alike, mask=none)], ["score", "similarity"])
+
+
+def _correlation(a: np.ndarray, b: np.ndarray, same: bool) -> float:
+    if same or (a == b).all():
+        return 1.0
+    n = len(a)
+    va, vb = (a * a).sum() - a.sum() ** 2 / n, (b * b).sum() - b.sum() ** 2 / n
+    return 0.0 if va <= 0 or vb <= 0 else max(0.0, float(((a * b).sum() - a.sum() * b.sum() / n) / np.sqrt(va * vb)))
+
+
+def compared(prev: Column, cur: Column) -> Column:
+    """struct(score, similarity) of two pictures: mean absolute difference and histogram correlation, one pass over the pixels.
+
+    NULL beside a missing picture; pictures of different size differ wholly.
+    """
+    return F.arrow_udf(_compared, "struct<score:double,similarity:double>")(prev, cur)
+
+
 def edge_magnitude(gray: Column, width: Column) -> Column:
     return F.pandas_udf(_edge, "array<int>")(gray, width)
 

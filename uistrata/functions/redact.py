@@ -53,7 +53,7 @@ def _looks_secret(token: Column) -> Column:
 
 def secret_tokens(line: Column) -> Column:
     """White-space separated tokens that look like credentials."""
-    return F.filter(F.regexp_extract_all(line, F.lit(r"(?U)\S+"), F.lit(0)), _looks_secret)
+    return F.filter(F.regexp_extract_all(line, F.lit(rf"(?U)\S{{{LEAST_LENGTH},}}"), F.lit(0)), _looks_secret)
 
 
 def _matches(line: Column, pattern: str, rank: int, kind: str) -> Column:
@@ -77,7 +77,8 @@ def find_secrets(line: Column) -> Column:
     for rank, (kind, pattern) in enumerate(PATTERNS):
         found = _matches(line, f"(?U){pattern}", rank, kind)
         every.append(F.filter(found, lambda m: luhn_ok(m["text"])) if kind == "credit_card" else found)
-    every.append(F.filter(_matches(line, r"(?U)\S+", len(PATTERNS), "secret"), lambda m: _looks_secret(m["text"])))
+    # Tokens too short to be a credential are no matches, so a long line of words costs one scan.
+    every.append(F.filter(_matches(line, rf"(?U)\S{{{LEAST_LENGTH},}}", len(PATTERNS), "secret"), lambda m: _looks_secret(m["text"])))
     start = F.struct(F.lit(0).alias("last"), F.array().cast(_SPAN).alias("out"))
 
     def step(a: Column, m: Column) -> Column:

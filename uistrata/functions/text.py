@@ -39,22 +39,42 @@ def text_similarity(a: Column, b: Column) -> Column:
     return similarity_of_sets(line_set(a), line_set(b))
 
 
+def _numbered(norms: Column) -> Column:
+    """struct(x, nth) of each value in sorted order with its place ``i``: equal values are numbered in their order.
+
+    Runs of equal values are as many numbers as they are long, so nothing is
+    counted value by value: the cost is that of a sort.
+    """
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda z, j: F.when((j == 0) | (F.get(s, j - 1)["x"] != z["x"]), j)), lambda j: j.isNotNull())
+        held = F.array(heads)
+        nth = F.flatten(F.flatten(F.transform(held, lambda h: F.transform(h, lambda j, k: F.sequence(F.lit(0), F.coalesce(F.get(h, k + 1), F.size(s)) - j - 1)))))
+        return F.zip_with(s, nth, lambda z, n: F.struct(z["x"].alias("x"), n.alias("nth"), z["i"].alias("i")))
+
+    held = F.array(F.array_sort(F.transform(norms, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+    return F.flatten(F.transform(held, runs))
+
+
 def surplus(lines: Column, other: Column) -> Column:
     """Lines beyond their number in ``other`` by normalised form: later duplicates first to go, order and text kept.
 
-    Both arrays are normalised once: a lambda over an array of one holds them.
+    Equal lines are numbered on both sides and the sides are sorted together; a
+    line that has its like stands right behind it.  A few sorts, however many lines.
     """
-    count = lambda a, x: F.size(a) - F.size(F.array_remove(a, x))
+    sided = lambda a, k: F.transform(_numbered(normalize_lines(a)), lambda z: F.struct(z["x"].alias("x"), z["nth"].alias("nth"), F.lit(k).alias("side"), z["i"].alias("i")))
 
     def kept(both: Column) -> Column:
-        def beyond(line: Column, i: Column) -> Column:
-            norm = F.get(both["own"], i)
-            return (norm != "") & (count(F.slice(both["own"], 1, i + 1), norm) > count(both["against"], norm))
+        def beyond(z: Column, j: Column) -> Column:
+            before = F.get(both, j - 1)
+            paired = F.coalesce((before["x"] == z["x"]) & (before["nth"] == z["nth"]), F.lit(False))
+            return F.when((z["side"] == 1) & (z["x"] != "") & ~paired, z["i"])
 
-        return F.filter(lines, beyond)
+        return F.filter(F.transform(both, beyond), lambda i: i.isNotNull())
 
-    both = F.array(F.struct(normalize_lines(lines).alias("own"), normalize_lines(other).alias("against")))
-    return F.get(F.transform(both, kept), 0)
+    held = F.array(F.array_sort(F.concat(sided(other, 0), sided(lines, 1))))
+    places = F.array_sort(F.flatten(F.transform(held, kept)))
+    return F.when(lines.isNotNull() & other.isNotNull(), F.transform(places, lambda i: F.get(lines, i)))
 
 
 def token_set(text: Column) -> Column:

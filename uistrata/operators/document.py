@@ -15,10 +15,11 @@ SCHEMA_VERSION = 2
 _EVENT = "struct<type:string,t:double,region:array<int>,confidence:double,label:string,field:string,value:string>"
 
 
-def documents(states: DataFrame, recordings: DataFrame, narration: DataFrame | None = None, fps: float = 2.0) -> DataFrame:
+def documents(states: DataFrame, recordings: DataFrame, narration: DataFrame | None = None, fps: float = 2.0, warned: DataFrame | None = None) -> DataFrame:
     """(rec, schema_version, video, duration, sampled_fps, states, narration, warnings).
 
     ``recordings``: rec, video, duration.  ``narration``: rec, n, start, end, text.
+    ``warned``: rec, warnings.
     A document lasts as long as its recording, or to its last state if that is later.
     """
     one = F.struct(
@@ -43,6 +44,10 @@ def documents(states: DataFrame, recordings: DataFrame, narration: DataFrame | N
         told = narration.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("n", "start", "end", "text"))).alias("told"))
         out = out.join(told, "rec", "left")
         spoken = F.coalesce(F.transform("told", lambda n: F.struct(n["start"].alias("start"), n["end"].alias("end"), n["text"].alias("text"))), spoken)
+    told_of = F.array().cast("array<string>")
+    if warned is not None:
+        out = out.join(warned.select("rec", F.col("warnings").alias("warned")), "rec", "left")
+        told_of = F.coalesce("warned", told_of)
     return out.select(
         "rec",
         F.lit(SCHEMA_VERSION).alias("schema_version"),
@@ -51,7 +56,7 @@ def documents(states: DataFrame, recordings: DataFrame, narration: DataFrame | N
         F.lit(float(fps)).alias("sampled_fps"),
         F.transform("s", lambda s: s.dropFields("pos")).alias("states"),
         spoken.alias("narration"),
-        F.array().cast("array<string>").alias("warnings"),
+        told_of.alias("warnings"),
     )
 
 

@@ -109,15 +109,22 @@ def corners_to_box(points: Column) -> Column:
     return F.array(x.cast("int"), y.cast("int"), side(F.array_max(xs), x), side(F.array_max(ys), y))
 
 
-def build(frames: DataFrame, options: Options = Options(), cursor: DataFrame | None = None, width: int = 0, height: int = 0, picture=None) -> DataFrame:
+def build(frames: DataFrame, options: Options = Options(), cursor: DataFrame | None = None, width: int = 0, height: int = 0, picture=None, with_gray: bool = False) -> DataFrame:
     """(rec, pos, idx, t_start, t_end, thumbnail, keyframe, lines, added, removed, boxes, interaction, event, salience).
 
-    ``picture``: gray array of a keyframe from the columns of its frame (the
-    column ``gray`` where there is one): read for keyframes alone.
-    ``interaction`` and ``event`` are NULL where there is none.
+    ``picture``: gray array of a frame from its columns (the column ``gray`` where
+    there is one): read for keyframes alone, and for all frames if the cursor is
+    to be found in them, which it is where interactions are asked for and no
+    ``cursor`` is given.  Text that is masked is blurred in its keyframe, so
+    regions, sharpness and files are those of what may be seen.
+    ``interaction`` and ``event`` are NULL where there is none; ``with_gray`` adds
+    the keyframes' pictures.
     """
     o = options
     has_boxes = "boxes" in frames.columns
+    has_gray = bool(width and height) and (picture is not None or "gray" in frames.columns)  # without a size there are no pictures
+    if o.interactions and cursor is None and not has_gray:
+        raise ValueError("interactions need cursor positions, or pictures with a size to find the cursor in")
     if o.needs_boxes and not has_boxes and (o.boxes or o.interactions or o.events):
         raise ValueError("boxes, interactions and events need frames with boxes")
     f = frames
@@ -127,21 +134,30 @@ def build(frames: DataFrame, options: Options = Options(), cursor: DataFrame | N
         f = f.where(F.col("pos") < o.max_frames)
     others = [c for c in f.columns if c not in ("rec", "pos", "t", "moved", "lines")]
     f = f.withColumn("shot", F.struct(*others, F.lit(0).alias("none")))
+    if o.interactions and cursor is None:
+        cursor = sequence.tracked_cursor(f.select("rec", "pos", "t", (picture(F.col("shot")) if picture is not None else F.col("gray")).alias("gray")), width)
     segments = sequence.settled(sequence.segment_by_motion(f, o.change_threshold, "gray"), ("shot",)) if o.fast else sequence.segment_by_text(f, o.text_threshold, o.motion_epsilon, ("shot",))
     empty = F.array().cast("array<struct<text:string,box:array<int>>>")
     boxes = F.transform("shot.boxes", lambda b: F.struct(b["text"].alias("text"), b["box"].cast("array<int>").alias("box"))) if has_boxes else empty
     segments = segments.withColumn("boxes", boxes)
     if o.needs_boxes and has_boxes:
         segments = segments.withColumn("lines", F.transform("boxes", lambda b: b["text"]))
+    hidden = F.array().cast("array<array<int>>")
     if o.redact:
-        segments = segments.withColumn("lines", redact.masked_lines(F.col("lines")))
-        segments = segments.withColumn("boxes", F.zip_with("boxes", "lines", lambda b, x: F.struct(x.alias("text"), b["box"].alias("box")))) if has_boxes else segments
+        segments = segments.withColumn("masked", redact.masked_lines(F.col("lines")))
+        if has_boxes:
+            hidden = F.transform(F.filter("boxes", lambda b, i: F.get(F.col("masked"), i) != F.get(F.col("lines"), i)), lambda b: b["box"]) if o.needs_boxes else hidden
+            segments = segments.withColumn("hidden", hidden)
+            segments = segments.withColumn("boxes", F.zip_with("boxes", "masked", lambda b, x: F.struct(x.alias("text"), b["box"].alias("box"))))
+        segments = segments.withColumn("lines", F.col("masked")).drop("masked")
     states = sequence.with_diffs(sequence.merge_near(segments, o.dedupe_threshold))
     states = states.withColumns({"t_start": F.round("t_start", 3), "t_end": F.round("t_end", 3)})
-    gray = picture(F.col("shot")) if picture is not None else F.col("shot.gray") if "gray" in frames.columns else None
-    gray = gray if width and height else None  # without a size there are no regions
-    if gray is not None:
-        states = states.withColumn("gray", gray)
+    gray = None
+    if has_gray:
+        gray = picture(F.col("shot")) if picture is not None else F.col("shot.gray")
+        states = states.withColumn("gray", gray.cast("array<int>"))
+        if "hidden" in states.columns:
+            states = states.withColumn("gray", pixels.blurred(F.col("gray"), F.lit(width), F.col("hidden")))
     none = F.lit(None).cast("struct<t:double,x:int,y:int,label:string>")
     if o.interactions and cursor is not None:
         states = index.with_cursor(states, cursor).withColumn("at", events.hotspot(F.col("xs"), F.col("ys")))
@@ -162,7 +178,28 @@ def build(frames: DataFrame, options: Options = Options(), cursor: DataFrame | N
     ext = o.keyframe_format.lower().lstrip(".")
     states = states.withColumns({"keyframe": F.concat(name, F.lit(f".{ext}")), "thumbnail": F.concat(name, F.lit(f"_thumb.{ext}"))})
     shown = F.col("boxes") if o.boxes else empty
-    return states.select("rec", "pos", "idx", "t_start", "t_end", "thumbnail", "keyframe", "lines", "added", "removed", shown.alias("boxes"), "interaction", "event", "salience")
+    more = ["gray"] if with_gray and has_gray else []
+    return states.select("rec", "pos", "idx", "t_start", "t_end", "thumbnail", "keyframe", "lines", "added", "removed", shown.alias("boxes"), "interaction", "event", "salience", *more)
+
+
+def until_failure(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames before the first that could not be decoded, notes (rec, pos, note)); ``frames``: rec, pos, failed."""
+    first = frames.where("failed").groupBy("rec").agg(F.min("pos").alias("stop"))
+    kept = frames.join(first, "rec", "left").where("stop is null or pos < stop").drop("stop", "failed")
+    said = F.concat(F.lit("decoding stopped early at frame "), F.col("stop").cast("string"))
+    return kept, first.select("rec", F.col("stop").alias("pos"), said.alias("note"))
+
+
+def warnings(notes: DataFrame) -> DataFrame:
+    """(rec, warnings): each distinct note of a recording once, by its first frame, with how often it was made.
+
+    Equal notes are counted map-side, so a recording whose every frame failed in
+    one way has one warning.
+    """
+    each = notes.where("note is not null").groupBy("rec", "note").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    said = F.when(F.col("n") > 1, F.concat("note", F.lit(" ("), F.col("n").cast("string"), F.lit(" frames, the first "), F.col("pos").cast("string"), F.lit(")"))).otherwise(F.col("note"))
+    rows = each.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("all"))
+    return rows.select("rec", F.transform("all", lambda z: z["said"]).alias("warnings"))
 
 
 def with_events(states: DataFrame, width: int, height: int, delta: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text
+from ..functions import pixels, text
 
 
 def sampled(frames: DataFrame, native_fps: float, sample_fps: float, limit: int | None = None) -> DataFrame:
@@ -105,6 +105,57 @@ def segment_by_motion(frames: DataFrame, threshold: float = 0.04, column: str =
     return frames.repartition("rec").sortWithinPartitions("rec", "pos").mapInArrow(run, schema)
 
 
+#: Frames of a recording that follow the cursor together.
+CURSOR_FRAMES = 2048
+
+
+def with_chunks(frames: DataFrame, size: int) -> DataFrame:
+    """``frames`` (rec, pos) with ``chunk`` and ``lead``: runs of ``size`` places, each led by the last frame of the run before.
+
+    So a pass that looks one frame back needs no whole recording in one task.  A
+    frame that leads a run stands twice; which ones do is known from numbers alone.
+    """
+    placed = frames.withColumn("chunk", F.floor(F.col("pos") / size).cast("bigint"))
+    ends = placed.groupBy("rec", "chunk").agg(F.max("pos").alias("pos"))
+    after = F.lead("chunk").over(W.partitionBy("rec").orderBy("chunk"))
+    ends = ends.withColumn("next", after).where("next is not null").select("rec", "pos", "next")
+    runs = F.array(F.struct("chunk", F.lit(False).alias("lead")), F.struct(F.col("next").alias("chunk"), F.lit(True).alias("lead")))
+    own = F.array(F.struct("chunk", F.lit(False).alias("lead")))
+    both = placed.join(ends, ["rec", "pos"], "left").withColumn("run", F.explode(F.when(F.col("next").isNull(), own).otherwise(runs)))
+    return both.withColumns({"chunk": F.col("run.chunk"), "lead": F.col("run.lead")}).drop("run", "next")
+
+
+def tracked_cursor(frames: DataFrame, width: int, size: int = CURSOR_FRAMES) -> DataFrame:
+    """(rec, t, x, y): where each frame's picture shows the cursor against the one before, if it does.
+
+    ``frames``: rec, pos, t, gray (NULL where a frame has no picture: it is passed
+    over).  A pass over sorted batches that carries the last picture; recordings
+    are cut into runs, so a long one is many tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, prev = None, None
+        for batch in batches:
+            at, xs, ys = [], [], []
+            recs, chunks, leads, grays = batch.column("rec").to_pylist(), batch.column("chunk").to_pylist(), batch.column("lead").to_pylist(), batch.column("gray")
+            for i, own in enumerate(zip(recs, chunks)):
+                if own != key:
+                    key, prev = own, None
+                cur = np.asarray(grays[i].values, np.int16).reshape(-1, width)
+                if prev is not None and not leads[i] and prev.shape == cur.shape and (spot := pixels.cursor_between(prev, cur)):
+                    at.append(i)
+                    xs.append(spot[0])
+                    ys.append(spot[1])
+                prev = cur
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("rec"), rows.column("t"), pa.array(xs, pa.int32()), pa.array(ys, pa.int32())], ["rec", "t", "x", "y"])
+
+    kind = frames.schema["rec"].dataType.simpleString()
+    shown = frames.where("gray is not null").select("rec", "pos", F.col("t").cast("double").alias("t"), "gray")
+    cut = with_chunks(shown, size)
+    return cut.repartition("rec", "chunk").sortWithinPartitions("rec", "chunk", "pos").mapInArrow(run, f"rec {kind}, t double, x int, y int")
+
+
 def settled(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(rec, seg, t_start, t_end, lines, keyframe, *keep) of frames with ``seg``; text and ``keep`` are the last frame's."""
     end = F.max_by(F.struct("pos", "lines", *keep), "pos")

@@ -68,8 +68,8 @@ FULL = recording.Options(fps=0.001, text_threshold=0.8, motion_epsilon=0.05, ded
 _CARD = "4111 1111 1111 1111"
 
 
-def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec, pos, t, moved, boxes, kind, k, value: six boxes of text a frame, in reading order, of the last six rows."""
+def shots(spark: SparkSession, sf_dir: str, place: F.Column | None = None, height: int = HEIGHT) -> DataFrame:
+    """rec, pos, t, moved, boxes, kind, k, value: six boxes of text a frame, in reading order, of the last six rows; ``place``: a box by ``k``."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), "event_id", "ts", F.col("event_type").alias("kind"), "value", (F.col("event_id") % 97).alias("k"))
     by = W.partitionBy("rec").orderBy("ts", "event_id")
     us, k = F.unix_micros(F.col("ts").cast("timestamp")), F.col("k")
@@ -86,13 +86,14 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 0, joined("Error ", k % 6, " denied"))
         .otherwise(joined("Note ", k % 3))
     )
-    box = F.struct(said.alias("text"), F.array(k * 3 % 8, k * 5 % 8, 1 + k % 3, 1 + k % 2).cast("array<int>").alias("box"))
+    place = F.array(k * 3 % 8, k * 5 % 8, 1 + k % 3, 1 + k % 2).cast("array<int>") if place is None else place
+    box = F.struct(said.alias("text"), place.alias("box"))
     return e.select(
         "rec",
         (F.row_number().over(by) - 1).cast("bigint").alias("pos"),
         (F.floor((us - F.min(us).over(W.partitionBy("rec"))) / 1000) / 1000.0).alias("t"),
         (F.abs(F.col("value") - F.lag("value").over(by)) / 500).alias("moved"),
-        recording.reading_order(F.collect_list(box).over(by.rowsBetween(-5, 0)), F.lit(HEIGHT)).alias("boxes"),
+        recording.reading_order(F.collect_list(box).over(by.rowsBetween(-5, 0)), F.lit(height)).alias("boxes"),
         "kind",
         "k",
         "value",
@@ -126,9 +127,37 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("rec", F.col("pos").alias("n"), F.round("t", 3).alias("start"), F.round(F.col("t") + 60, 3).alias("end"), redact.masked(said).alias("text"))
 
 
-def full_states(spark: SparkSession, sf_dir: str, options: recording.Options = FULL) -> DataFrame:
+def full_states(spark: SparkSession, sf_dir: str, options: recording.Options = FULL, with_gray: bool = False) -> DataFrame:
     shown = shots(spark, sf_dir).withColumn("owner", F.col("rec"))
-    return recording.build(shown, options, cursor(spark, sf_dir), WIDTH, HEIGHT, lambda s: picture(s["owner"], s["kind"], s["k"]))
+    return recording.build(shown, options, cursor(spark, sf_dir), WIDTH, HEIGHT, lambda s: picture(s["owner"], s["kind"], s["k"]), with_gray)
+
+
+#: Side of the larger screens.
+SCREEN = 24
+
+
+def screen(kind: F.Column, k: F.Column) -> F.Column:
+    """Gray array of 24 x 24: on the right a panel whose brightness tells the kind, on the left a cursor of 2 x 2."""
+    panel = F.when(kind == "view", 220).when(kind == "click", 60).when(kind == "signup", 100).when(kind == "purchase", 140).when(kind == "error", 180).otherwise(20)
+
+    def pixel(i: F.Column) -> F.Column:
+        x, y = i % SCREEN, F.floor(i / SCREEN)
+        lit = (x - k * 5 % 10).isin(0, 1) & (y - k * 7 % 22).isin(0, 1)
+        return F.when(x >= 12, panel + y).when(lit, 255).otherwise(10).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SCREEN * SCREEN - 1)), pixel)
+
+
+def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, pos, t, moved, boxes, kind, k: the recordings on larger screens, whose only trace of a cursor is in their pictures."""
+    k = F.col("k")
+    box = F.array(k * 3 % 21, k * 5 % 23, 1 + k % 5, 2 + k % 4).cast("array<int>")
+    return shots(spark, sf_dir, box, SCREEN)
+
+
+def screen_states(spark: SparkSession, sf_dir: str, with_gray: bool = False) -> DataFrame:
+    """The index of recordings made from their pictures and texts alone."""
+    return recording.build(screens(spark, sf_dir), FULL, None, SCREEN, SCREEN, lambda s: screen(s["kind"], s["k"]), with_gray)
 
 
 def full_index(spark: SparkSession, sf_dir: str, options: recording.Options = FULL) -> DataFrame:

@@ -190,10 +190,7 @@ _STATE = (
 )
 
 
-@query(sql.full(_STATE))
-def ui_state_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole build: text masked, states merged, interactions, typed events, sharpness and salience."""
-    s = A.full_states(spark, sf_dir)
+def _state_rows(s: DataFrame) -> DataFrame:
     return s.select(
         "rec",
         "pos",
@@ -218,6 +215,31 @@ def ui_state_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(sql.full(_STATE))
+def ui_state_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build: text masked, states merged, interactions, typed events, sharpness and salience."""
+    return _state_rows(A.full_states(spark, sf_dir))
+
+
+@query(sql.screens(_STATE))
+def pictured_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The build from pictures and texts alone: the cursor is found in the pictures, masked text is blurred in them."""
+    return _state_rows(A.screen_states(spark, sf_dir))
+
+
+@query(sql.screens("SELECT rec, t, x::INTEGER AS x, y::INTEGER AS y FROM points"))
+def tracked_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each frame shows the cursor against the one before: a pass that carries the last picture."""
+    f = A.screens(spark, sf_dir)
+    return sequence.tracked_cursor(f.select("rec", "pos", "t", A.screen(F.col("kind"), F.col("k")).alias("gray")), A.SCREEN)
+
+
+@query(sql.screens("SELECT rec, idx, array_to_string(gray, ',') AS gray FROM states"))
+def blurred_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyframes with every box of masked text blurred, and no pixel beside them changed."""
+    return A.screen_states(spark, sf_dir, with_gray=True).select("rec", "idx", F.array_join(F.col("gray").cast("array<string>"), ",").alias("gray"))
+
+
 @query(sql.full("SELECT rec, idx, b.i - 1 AS n, b.box['text'] AS text, b.box['x'] || ',' || b.box['y'] || ',' || b.box['w'] || ',' || b.box['h'] AS box FROM (SELECT rec, idx, unnest(list_transform(boxes, lambda b, i: {'i': i, 'box': b})) AS b FROM states)"))
 def state_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of masked text in reading order."""
@@ -228,13 +250,9 @@ def state_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.full("SELECT rec, idx, round(sharp + 0.0001, 3) AS sharpness, change FROM states"))
 def state_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpness of each state's keyframe beside its change of text."""
-    f = A.shots(spark, sf_dir).withColumn("owner", F.col("rec"))
-    plain = A.full_states(spark, sf_dir).select("rec", "idx", "keyframe", (F.size("added") + F.size("removed")).cast("double").alias("change"))
-    lines = F.transform("boxes", lambda b: b["text"])
-    segs = sequence.segment_by_text(f.withColumn("lines", lines), A.FULL.text_threshold, A.FULL.motion_epsilon, ("owner", "kind", "k"))
-    sharp = pixels.sharpness(A.picture(F.col("owner"), F.col("kind"), F.col("k")), F.lit(A.WIDTH))
-    sharp = segs.select("rec", F.col("seg").alias("idx"), F.round(sharp + 0.0001, 3).alias("sharpness"))
-    return plain.join(sharp, ["rec", "idx"]).select("rec", "idx", "sharpness", "change")
+    s = A.full_states(spark, sf_dir, with_gray=True)
+    sharp = F.round(pixels.sharpness(F.col("gray"), F.lit(A.WIDTH)) + 0.0001, 3)
+    return s.select("rec", "idx", sharp.alias("sharpness"), (F.size("added") + F.size("removed")).cast("double").alias("change"))
 
 
 # ---- queries on the index
@@ -563,7 +581,8 @@ SELECT doc_id, n, string_agg(substr(line, since + 1, s - since) || '[REDACTED:'
     )
 )
 def redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _lines(spark, sf_dir).withColumn("spans", redact.find_secrets(F.col("line"))).where(redact.has_secret(F.col("spans")))
+    # Out of a generator, spans are computed once: no filter on them goes below it.
+    found = _lines(spark, sf_dir).select("doc_id", "n", "line", F.explode(F.array(redact.find_secrets(F.col("line")))).alias("spans")).where(redact.has_secret(F.col("spans")))
     return found.select("doc_id", "n", redact.redact_line(F.col("line"), F.col("spans")).alias("line"), shown(F.transform("spans", lambda s: s["kind"])).alias("kinds"))
 
 

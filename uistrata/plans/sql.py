@@ -142,14 +142,33 @@ read AS (
   SELECT * EXCLUDE given, list_transform(list_sort(list_transform(given, lambda b, i: {'y': b['y'], 'x': b['x'], 'i': i, 'text': b['text'], 'w': b['w'], 'h': b['h']})), lambda b: {'text': b['text'], 'x': b['x'], 'y': b['y'], 'w': b['w'], 'h': b['h']}) AS boxes FROM shots),
 shown AS (SELECT *, list_transform(boxes, lambda b: b['text']) AS lines FROM read)"""
 
-FULL = f"""{SHOTS},
+def _blur(side: int) -> str:
+    """The picture ``raw`` with the boxes ``hidden`` blurred one after the other, each by itself, its borders mirrored; sides under six."""
+    fold = lambda at, n: f"(CASE WHEN {n} = 1 THEN 0 WHEN {at} < 0 THEN -({at}) WHEN {at} >= {n} THEN 2 * {n} - 2 - ({at}) ELSE {at} END)"
+    x0, y0, x1, y1 = "greatest(0, b['x'])", "greatest(0, b['y'])", f"least({side}, b['x'] + b['w'])", f"least({side}, b['y'] + b['h'])"
+    kernel = f"(CASE WHEN least({x1} - {x0}, {y1} - {y0}) < 4 THEN [0.25, 0.5, 0.25]::DOUBLE[] ELSE [0.0625, 0.25, 0.375, 0.25, 0.0625]::DOUBLE[] END)"
+    n = f"len({kernel})"
+    dx, dy = f"(i % {side} - {x0} + j % {n} - {n} // 2)", f"(i // {side} - {y0} + j // {n} - {n} // 2)"
+    value = f"a['g'][1 + ({y0} + {fold(dy, f'({y1} - {y0})')}) * {side} + {x0} + {fold(dx, f'({x1} - {x0})')}]"
+    one = f"floor(list_sum(list_transform(range(0, {n} * {n}), lambda j: {kernel}[j % {n} + 1] * {kernel}[j // {n} + 1] * {value})) + 0.5)::INTEGER"
+    inside = f"i % {side} >= {x0} AND i % {side} < {x1} AND i // {side} >= {y0} AND i // {side} < {y1}"
+    none = "'x': 0, 'y': 0, 'w': 0, 'h': 0"
+    boxes = "list_transform(hidden, lambda b: {'g': []::INTEGER[], 'x': b['x'], 'y': b['y'], 'w': b['w'], 'h': b['h']})"
+    turn = f"{{'g': list_transform(range(0, {side * side}), lambda i: CASE WHEN {inside} THEN {one} ELSE a['g'][i + 1] END), {none}}}"
+    return f"CASE WHEN len(hidden) = 0 THEN raw ELSE list_reduce(list_prepend({{'g': raw, {none}}}, {boxes}), lambda a, b: {turn})['g'] END"
+
+
+def index_sql(shots: str, side: int, drawn: str, points: str) -> str:
+    """All tables of a whole index: ``shots`` ends in shown (rec, pos, t, moved, kind, k, boxes, lines), ``drawn`` gives each state's raw picture, ``points`` (rec, t, x, y)."""
+    n, cells = side, side * side
+    return f"""{shots},
 seen AS (SELECT *, (pos = 0 OR coalesce(moved, 0) >= 0.05) AS seen FROM shown),
 prevs AS (SELECT *, lag(lines) OVER (PARTITION BY rec, seen ORDER BY pos) AS before FROM seen),
 splits AS (SELECT *, CASE WHEN seen AND before IS NOT NULL AND {sim('before', 'lines')} < 0.8 THEN 1 ELSE 0 END AS split FROM prevs),
 segged AS (SELECT *, (sum(split) OVER (PARTITION BY rec ORDER BY pos))::BIGINT AS seg FROM splits),
 segments AS (
   SELECT rec, seg, min(t) AS t_start, max(t) AS t_end, arg_max(kind, pos) AS kind, arg_max(k, pos) AS k,
-         list_transform(arg_max(boxes, pos), lambda b: {{'text': {masked("b['text']")}, 'x': b['x'], 'y': b['y'], 'w': b['w'], 'h': b['h']}}) AS boxes
+         list_transform(arg_max(boxes, pos), lambda b: {{'text': {masked("b['text']")}, 'hit': {masked("b['text']")} <> b['text'], 'x': b['x'], 'y': b['y'], 'w': b['w'], 'h': b['h']}}) AS boxes
   FROM segged GROUP BY rec, seg),
 numbered AS (SELECT *, list_transform(boxes, lambda b: b['text']) AS lines, row_number() OVER (PARTITION BY rec ORDER BY seg) AS n FROM segments),
 fold AS (
@@ -161,16 +180,16 @@ fold AS (
 merged AS (
   SELECT f.rec, f.pos, s.seg AS idx, round(s.t_start, 3) AS t_start, round(f.t_end, 3) AS t_end, s.kind, s.k, s.boxes, s.lines
   FROM (SELECT rec, pos, any_value(keep) AS keep, max(t_end) AS t_end FROM fold GROUP BY rec, pos) f JOIN numbered s ON s.rec = f.rec AND s.n = f.keep),
-drawn AS (SELECT *, {_WIDE} AS wide, {_HIGH} AS high, CASE WHEN kind = 'view' THEN 0 ELSE k % 8 END AS x0, CASE WHEN kind = 'view' THEN 0 ELSE k // 8 % 8 END AS y0 FROM merged),
-pictured AS (SELECT *, list_transform(range(0, 64), lambda i: {_PIXEL}) AS gray FROM drawn),
+{drawn},
+pictured AS (SELECT *, {_blur(side)} AS gray FROM (SELECT *, list_filter(boxes, lambda b: b['hit']) AS hidden FROM drawn)),
 lagged AS (SELECT *, coalesce(lag(lines) OVER w, []) AS prev_lines, lag(gray) OVER w AS prev FROM pictured WINDOW w AS (PARTITION BY rec ORDER BY pos)),
-diffed AS (SELECT *, {surplus('lines', 'prev_lines')} AS added, {surplus('prev_lines', 'lines')} AS removed, list_filter(range(0, 64), lambda i: abs(gray[i + 1] - prev[i + 1]) > 25) AS hit FROM lagged),
+diffed AS (SELECT *, {surplus('lines', 'prev_lines')} AS added, {surplus('prev_lines', 'lines')} AS removed, list_filter(range(0, {cells}), lambda i: abs(gray[i + 1] - prev[i + 1]) > 25) AS hit FROM lagged),
 bound AS (
-  SELECT *, list_min(list_transform(hit, lambda i: i % 8)) AS bx, list_max(list_transform(hit, lambda i: i % 8)) AS cx, list_min(list_transform(hit, lambda i: i // 8)) AS by_, list_max(list_transform(hit, lambda i: i // 8)) AS cy FROM diffed),
+  SELECT *, list_min(list_transform(hit, lambda i: i % {n})) AS bx, list_max(list_transform(hit, lambda i: i % {n})) AS cx, list_min(list_transform(hit, lambda i: i // {n})) AS by_, list_max(list_transform(hit, lambda i: i // {n})) AS cy FROM diffed),
 shaped AS (
-  SELECT *, CASE WHEN prev IS NULL OR len(hit) = 0 THEN NULL WHEN len(hit) / 64.0 >= 0.45 THEN 'full' WHEN (cy - by_ + 1) / 8.0 >= 0.5 AND (cx - bx + 1) / 8.0 >= 0.5 THEN 'band' WHEN len(hit) / 64.0 <= 0.08 THEN 'local' ELSE 'overlay' END AS shape,
+  SELECT *, CASE WHEN prev IS NULL OR len(hit) = 0 THEN NULL WHEN len(hit) / {cells}.0 >= 0.45 THEN 'full' WHEN (cy - by_ + 1) / {n}.0 >= 0.5 AND (cx - bx + 1) / {n}.0 >= 0.5 THEN 'band' WHEN len(hit) / {cells}.0 <= 0.08 THEN 'local' ELSE 'overlay' END AS shape,
          CASE WHEN prev IS NULL OR len(hit) = 0 THEN '0,0,0,0' ELSE bx || ',' || by_ || ',' || (cx - bx + 1) || ',' || (cy - by_ + 1) END AS region FROM bound),
-points AS (SELECT rec, t, k % 8 AS x, k // 3 % 8 AS y FROM shots WHERE kind IN ('click', 'purchase')),
+{points},
 inside AS (
   SELECT s.rec, s.idx, list(p.x ORDER BY p.t DESC, p.x DESC, p.y DESC)[1:5] AS xs, list(p.y ORDER BY p.t DESC, p.x DESC, p.y DESC)[1:5] AS ys
   FROM merged s JOIN points p ON p.rec = s.rec AND p.t >= s.t_start AND p.t <= s.t_end GROUP BY 1, 2),
@@ -181,7 +200,7 @@ labelled AS (
          list_transform(prev_lines, lambda l: {norm('l')}) AS known
   FROM touched),
 fielded AS (
-  SELECT *, CASE WHEN px IS NOT NULL AND sqrt(near['d']) <= 0.15 * sqrt(128.0) THEN near['text'] END AS label,
+  SELECT *, CASE WHEN px IS NOT NULL AND sqrt(near['d']) <= 0.15 * sqrt({2 * cells}.0) THEN near['text'] END AS label,
          list_min(list_filter(list_transform(boxes, lambda b, i: CASE WHEN i <> goal['i'] AND list_contains(known, {norm("b['text']")}) AND b['y'] <= goal['b']['y'] + goal['b']['h']
            THEN {{'d': (b['x'] - goal['b']['x']) * (b['x'] - goal['b']['x']) + (b['y'] - goal['b']['y']) * (b['y'] - goal['b']['y']), 'i': i, 'text': b['text']}} END), lambda z: z IS NOT NULL))['text'] AS field
   FROM labelled),
@@ -194,8 +213,8 @@ kinds AS (
   SELECT *, CASE WHEN pos = 0 THEN NULL WHEN error_line IS NOT NULL THEN 'error' WHEN coalesce(shape, '') = 'full' OR gone >= 0.6 THEN 'navigate' WHEN shape = 'overlay' AND len(added) > 0 THEN 'open_dialog'
     WHEN shape = 'band' THEN 'scroll' WHEN len(added) > 0 AND coalesce(field, '') <> '' THEN 'type' WHEN px IS NOT NULL AND (shape IS NULL OR shape = 'local') THEN 'click'
     WHEN len(added) > 0 OR len(removed) > 0 OR shape = 'local' THEN 'edit' END AS event_type,
-    list_transform(range(0, 64), lambda i: (CASE WHEN i // 8 = 0 THEN gray[i + 9] ELSE gray[i - 7] END) + (CASE WHEN i // 8 = 7 THEN gray[i - 7] ELSE gray[i + 9] END)
-      + (CASE WHEN i % 8 = 0 THEN gray[i + 2] ELSE gray[i] END) + (CASE WHEN i % 8 = 7 THEN gray[i] ELSE gray[i + 2] END) - 4 * gray[i + 1]) AS edges,
+    list_transform(range(0, {cells}), lambda i: (CASE WHEN i // {n} = 0 THEN gray[i + 1 + {n}] ELSE gray[i + 1 - {n}] END) + (CASE WHEN i // {n} = {n - 1} THEN gray[i + 1 - {n}] ELSE gray[i + 1 + {n}] END)
+      + (CASE WHEN i % {n} = 0 THEN gray[i + 2] ELSE gray[i] END) + (CASE WHEN i % {n} = {n - 1} THEN gray[i] ELSE gray[i + 2] END) - 4 * gray[i + 1]) AS edges,
     (len(added) + len(removed))::DOUBLE AS change
   FROM typed),
 scored AS (
@@ -220,10 +239,33 @@ speech AS (SELECT rec, pos AS n, round(t, 3) AS start_t, round(t + 60, 3) AS end
 recordings AS (SELECT rec, 'rec' || rec || '.mp4' AS video, round(greatest(max(t), max(last)), 3) AS duration FROM shots JOIN (SELECT rec, max(t_end) AS last FROM states GROUP BY rec) USING (rec) GROUP BY rec)"""
 
 
+FULL = index_sql(
+    SHOTS,
+    8,
+    f"placed AS (SELECT *, {_WIDE} AS wide, {_HIGH} AS high, CASE WHEN kind = 'view' THEN 0 ELSE k % 8 END AS x0, CASE WHEN kind = 'view' THEN 0 ELSE k // 8 % 8 END AS y0 FROM merged), drawn AS (SELECT *, list_transform(range(0, 64), lambda i: {_PIXEL}) AS raw FROM placed)",
+    "points AS (SELECT rec, t, k % 8 AS x, k // 3 % 8 AS y FROM shots WHERE kind IN ('click', 'purchase'))",
+)
+
+#: The same recordings on screens of 24 x 24: a panel whose brightness tells the kind, and a cursor of 2 x 2 beside it.
+_PANEL = "CASE kind WHEN 'view' THEN 220 WHEN 'click' THEN 60 WHEN 'signup' THEN 100 WHEN 'purchase' THEN 140 WHEN 'error' THEN 180 ELSE 20 END"
+SCREENS = index_sql(
+    SHOTS.replace("'x': (k * 3 % 8)::INTEGER, 'y': (k * 5 % 8)::INTEGER, 'w': (1 + k % 3)::INTEGER, 'h': (1 + k % 2)::INTEGER", "'x': (k * 3 % 21)::INTEGER, 'y': (k * 5 % 23)::INTEGER, 'w': (1 + k % 5)::INTEGER, 'h': (2 + k % 4)::INTEGER"),
+    24,
+    f"drawn AS (SELECT *, list_transform(range(0, 576), lambda i: CASE WHEN i % 24 >= 12 THEN {_PANEL} + i // 24 WHEN i % 24 - k * 5 % 10 IN (0, 1) AND i // 24 - k * 7 % 22 IN (0, 1) THEN 255 ELSE 10 END) AS raw FROM merged)",
+    # Two squares of 2 x 2 change where the cursor was and is, if they do not touch; the upper one, or the left one, is found.
+    """went AS (SELECT rec, pos, t, k * 5 % 10 AS cx, k * 7 % 22 AS cy, lag(k * 5 % 10) OVER w AS ox, lag(k * 7 % 22) OVER w AS oy FROM shots WINDOW w AS (PARTITION BY rec ORDER BY pos)),
+points AS (SELECT rec, t, CASE WHEN (oy, ox) < (cy, cx) THEN ox ELSE cx END AS x, CASE WHEN (oy, ox) < (cy, cx) THEN oy ELSE cy END AS y FROM went WHERE greatest(abs(cx - ox), abs(cy - oy)) >= 3)""",
+)
+
+
 def full(select: str) -> str:
     return f"WITH RECURSIVE {FULL} {select}"
 
 
+def screens(select: str) -> str:
+    return f"WITH RECURSIVE {SCREENS} {select}"
+
+
 FULL_CAPTION = """CASE event_type WHEN 'click' THEN CASE WHEN event_label IS NOT NULL THEN '👆 Clicked “' || event_label || '”' ELSE '👆 Clicked' END
   WHEN 'type' THEN '⌨ Typed “' || event_value || '”' || CASE WHEN event_field IS NOT NULL THEN ' into ' || event_field ELSE '' END
   WHEN 'navigate' THEN CASE WHEN event_value IS NOT NULL THEN '➡ Navigated to ' || event_value ELSE '➡ Navigated' END

@@ -6,8 +6,6 @@ frame or recording gives an empty result and a note, never the end of a build.
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pictures as files
 from ..functions import pixels
 from ..operators import recording
 from .documents import thumbnail_size
@@ -90,6 +89,17 @@ def captured(spark: SparkSession, grab: Callable[[int], np.ndarray], seconds: fl
     return spark.createDataFrame(rows, "pos bigint, t double, gray array<int>, width int, height int")
 
 
+def recorded(spark: SparkSession, grab: Callable[[int], np.ndarray], seconds: float, fps: float, path: str, rec: str = "capture", at_once: int = 64) -> int:
+    """Append what a device shows to a table of frames at ``path``, ``at_once`` pictures at a time; the number of frames."""
+    recording.positive("seconds", seconds)
+    total = max(1, round(seconds * recording.positive("fps", fps)))
+    for start in range(0, total, at_once):
+        part = captured(spark, lambda n, start=start: grab(start + n), min(at_once, total - start) / fps, fps)
+        pos = (F.col("pos") + start).alias("pos")
+        part.select(F.lit(rec).alias("rec"), pos, ((F.col("pos") + start) / fps).alias("t"), "gray", "width", "height").write.mode("append").parquet(path)
+    return total
+
+
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     """(path, gray, width, height) of picture files; undecodable ones are left out."""
     image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
@@ -105,17 +115,6 @@ def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     return image.select(F.col("origin").alias("path"), gray("data", "nChannels").alias("gray"), "width", "height")
 
 
-def png(gray: np.ndarray) -> bytes:
-    """A gray picture (height x width, bytes) as a PNG file."""
-
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-    height, width = gray.shape
-    rows = np.concatenate([np.zeros((height, 1), np.uint8), gray.astype(np.uint8)], axis=1)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
-
-
 def thumbnails(pictures: DataFrame, width: int, height: int, thumb_width: int = 320) -> DataFrame:
     """(name, gray, width) of pictures of one size, shrunk by area to ``thumb_width``; names get _thumb before their ending."""
     w, h = thumbnail_size(width, height, thumb_width)
@@ -136,7 +135,7 @@ def write_keyframes(pictures: DataFrame, folder: str) -> int:
                 path = os.path.join(folder, name)
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 with open(f"{path}.part", "wb") as f:
-                    f.write(png(np.asarray(g, np.uint8).reshape(-1, int(w))))
+                    f.write(files.png(np.asarray(g, np.uint8).reshape(-1, int(w))))
                 os.replace(f"{path}.part", path)
             yield pd.DataFrame({"n": [len(part)]})
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..sources.stores import shared_dir
+
 
 def batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -55,14 +56,6 @@ def motion_segments(events: DataFrame, threshold: float) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "rec bigint, segments bigint, frames bigint", "prev double, anchor double, seg bigint, n bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only in a local session that names none."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return known or f"file://{tempfile.mkdtemp(prefix='uistrata-stream-')}"
-
-
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there now and read its result.
 
