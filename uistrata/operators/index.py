@@ -68,10 +68,36 @@ def curated(states: DataFrame, budget: int) -> DataFrame:
     return rows.select("rec", F.explode(F.transform(picks, lambda i: F.get(F.col("all"), i))).alias("s")).select("rec", "s.pos", "s.idx", "s.t_start", "s.salience")
 
 
+def overlapping(states: DataFrame, narration: DataFrame) -> DataFrame:
+    """(rec, idx, n, text) for every narration that overlaps a state, both ends open.
+
+    The states of a recording do not overlap one another, so those that a
+    narration meets follow one another: from the first that ends after its start
+    to the last that begins before its end.  One sweep over all ends of both
+    counts where these are, and only pairs that meet are made: the cost is that of
+    a sort and of the result, not of states times narrations.
+    """
+    by = W.partitionBy("rec")
+    numbered = states.select("rec", "idx", "t_start", "t_end").withColumn("at", F.row_number().over(by.orderBy("t_start", "t_end", "idx")) - 1)
+
+    def mark(t: str | Column, order: int, begun: int = 0, ended: int = 0, first: bool = False, last: bool = False) -> Column:
+        return F.struct(F.col(t).cast("double").alias("t") if isinstance(t, str) else t, F.lit(order).alias("order"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"), F.lit(first).alias("first"), F.lit(last).alias("last"))
+
+    # At one time: a narration ends before a state begins, and a state ends before a narration begins.
+    edges = numbered.select("rec", F.explode(F.array(mark("t_start", 1, begun=1), mark("t_end", 2, ended=1))).alias("m"))
+    told = narration.select("rec", "n", "start", "end", "text").withColumn("said", F.monotonically_increasing_id())
+    asked = told.select("rec", "said", "n", "text", F.explode(F.array(mark("end", 0, last=True), mark("start", 3, first=True))).alias("m"))
+    line = edges.unionByName(asked, allowMissingColumns=True).select("rec", "said", "n", "text", "m.*")
+    so_far = by.orderBy("t", "order").rowsBetween(W.unboundedPreceding, 0)
+    line = line.withColumns({"begun": F.sum("begun").over(so_far), "ended": F.sum("ended").over(so_far)}).where("said is not null")
+    spans = line.groupBy("rec", "said").agg(F.max(F.when(F.col("first"), F.col("ended"))).alias("lo"), F.max(F.when(F.col("last"), F.col("begun"))).alias("hi"), F.first("n").alias("n"), F.first("text").alias("text"))
+    met = spans.where("lo < hi").select("rec", "n", "text", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("at"))
+    return met.join(numbered.select("rec", "at", "idx"), ["rec", "at"]).select("rec", "idx", "n", "text")
+
+
 def narration_of(states: DataFrame, narration: DataFrame) -> DataFrame:
-    """(rec, idx, said): texts of narration that overlaps a state (both ends open), in narration order; hashed on rec."""
-    met = states.select("rec", "idx", "t_start", "t_end").join(narration, "rec").where("start < t_end and end > t_start")
-    return met.groupBy("rec", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("said"))
+    """(rec, idx, said): texts of narration that overlaps a state, in narration order."""
+    return overlapping(states, narration).groupBy("rec", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("said"))
 
 
 def with_cursor(states: DataFrame, cursor: DataFrame) -> DataFrame:

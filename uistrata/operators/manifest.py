@@ -30,10 +30,9 @@ def scored(frames: DataFrame, sensitivity: float = SENSITIVITY) -> DataFrame:
     """
     by = W.partitionBy("rec").orderBy("pos")
     f = frames.withColumn("prev", F.lag("gray").over(by))
-    f = f.withColumns({"before": pixels.histogram(F.col("prev")), "now": pixels.histogram(F.col("gray"))})  # each counted once
-    first = F.col("prev").isNull()
-    score = F.round(F.when(first, 0.0).otherwise(pixels.motion_score(F.col("prev"), F.col("gray"))), 4)
-    alike = F.when(first, 1.0).otherwise(pixels.histogram_similarity(F.col("before"), F.col("now")))
+    f = f.select("rec", "pos", "t", pixels.compared(F.col("prev"), F.col("gray")).alias("c"))  # one pass over the pixels
+    first = F.col("c.score").isNull()
+    score, alike = F.round(F.when(first, 0.0).otherwise(F.col("c.score")), 4), F.when(first, 1.0).otherwise(F.col("c.similarity"))
     name = F.concat(F.lit("frames/"), F.lpad(F.col("pos").cast("string"), 5, "0"))
     f = f.select("rec", "pos", F.round("t", 3).alias("t"), score.alias("score"), alike.alias("similarity"))
     return f.withColumns({"event": F.col("score") >= sensitivity, "ascii": F.concat(name, F.lit(".txt")), "png": F.concat(name, F.lit(".png"))})

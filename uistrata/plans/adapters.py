@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels, redact
 from ..operators import document, events, index, recording, sequence
+from ..sources import stores
 
 WIDTH = HEIGHT = 8
 PIXELS_DELTA = 80
@@ -168,6 +169,12 @@ def full_index(spark: SparkSession, sf_dir: str, options: recording.Options = FU
     return document.documents(full_states(spark, sf_dir, options), lasts, speech(spark, sf_dir), options.fps)
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``full_index`` written once a session for a state of the events' files: views and reports read the fields that they ask for."""
+    key = ("index", stores.state_of_files(spark, f"{sf_dir}/events.parquet"), repr(FULL))
+    return stores.kept(spark, key, lambda: full_index(spark, sf_dir))
+
+
 def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, vec_id, gray and the gray before, 24 x 24: three bright patches, of which small ones may be a cursor."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("rec"), "vec_id")

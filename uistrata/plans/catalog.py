@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels, redact, text
 from ..operators import document, events, index, manifest, recording, sequence
-from ..streaming import windows
+from ..streaming import segments, windows
 from . import adapters as A
 from . import evalqa, sql, views
 
@@ -290,7 +290,7 @@ _EVENTS = "(SELECT string_agg(event_type || ':' || c, ',' ORDER BY event_type) F
     )
 )
 def summarize_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = document.summarize(A.full_index(spark, sf_dir))
+    out = document.summarize(A.stored_index(spark, sf_dir))
     counts = F.array_join(F.transform(F.map_entries("events"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
     return out.withColumns({"events": counts, **{c: F.col(c).cast("bigint") for c in ("states", "ocr_lines", "narration_segments", "warnings", "persistent_ui_lines")}})
 
@@ -298,7 +298,7 @@ def summarize_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.full("SELECT video, idx, t_start, t_end, event_type AS event, array_to_string(list_filter(lines, lambda l: contains(lower(l), 'open')), '|') AS matches FROM states JOIN recordings USING (rec) WHERE len(list_filter(lines, lambda l: contains(lower(l), 'open'))) > 0 AND t_end >= 1000 AND t_start <= 1500000 AND event_type = 'edit'"))
 def search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All filters at once, on documents."""
-    return document.search(A.full_index(spark, sf_dir), "OPEN", 1000.0, 1500000.0, "edit").withColumn("matches", shown("matches"))
+    return document.search(A.stored_index(spark, sf_dir), "OPEN", 1000.0, 1500000.0, "edit").withColumn("matches", shown("matches"))
 
 
 @query(sql.states("SELECT rec, event_type, count(*) AS n FROM states WHERE event_type IS NOT NULL GROUP BY 1, 2"))
@@ -308,13 +308,13 @@ def event_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.full("SELECT video, array_to_string(coalesce(persistent, []), '|') AS persistent FROM recordings LEFT JOIN shared USING (rec)"))
 def persistent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.full_index(spark, sf_dir).select("video", shown(document.persistent(F.col("states"))).alias("persistent"))
+    return A.stored_index(spark, sf_dir).select("video", shown(document.persistent(F.col("states"))).alias("persistent"))
 
 
 @query(sql.full("SELECT video, idx, array_to_string(list_filter(lines, lambda l: NOT list_contains(coalesce(persistent, []), l)), '|') AS own_lines, array_to_string(added, '|') AS added, event_type, salience FROM states JOIN recordings USING (rec) LEFT JOIN shared USING (rec)"))
 def compact_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States as the compact view has them, with the differences that it drops by default."""
-    each = document.compact(A.full_index(spark, sf_dir), drop_diffs=False).select("video", F.explode("view.states").alias("s"))
+    each = document.compact(A.stored_index(spark, sf_dir), drop_diffs=False).select("video", F.explode("view.states").alias("s"))
     return each.select("video", "s.idx", shown("s.ocr_text").alias("own_lines"), shown("s.text_added").alias("added"), F.col("s.event.type").alias("event_type"), "s.salience")
 
 
@@ -387,8 +387,8 @@ SELECT rec, vec_id, round(CASE WHEN a = b THEN 1.0 WHEN va <= 0 OR vb <= 0 THEN
     )
 )
 def histogram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = A.gray(spark, sf_dir).where("prev is not null").select("rec", "vec_id", pixels.histogram(F.col("prev")).alias("a"), pixels.histogram(F.col("gray")).alias("b"))
-    return g.select("rec", "vec_id", F.round(pixels.histogram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    g = A.gray(spark, sf_dir).where("prev is not null").select("rec", "vec_id", pixels.compared(F.col("prev"), F.col("gray")).alias("c"))
+    return g.select("rec", "vec_id", F.round("c.similarity", 6).alias("similarity"))
 
 
 @query(
@@ -630,17 +630,17 @@ SELECT video, '# Transcript — ' || video || '  (' || {sql.clock('any_value(dur
 
 @query(sql.full(_MD))
 def transcript_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.render(A.full_index(spark, sf_dir), "md")
+    return views.render(A.stored_index(spark, sf_dir), "md")
 
 
 @query(sql.full(f", b AS (SELECT rec, pos, (pos + 1) || chr(10) || {sql.stamp('t_start', ',')} || ' --> ' || {sql.stamp('t_end', ',')} || chr(10) || {sql.FULL_BODY} || chr(10) AS block FROM states) SELECT video, string_agg(block, chr(10) ORDER BY pos) AS doc FROM b JOIN recordings USING (rec) GROUP BY video"))
 def transcript_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.render(A.full_index(spark, sf_dir), "srt")
+    return views.render(A.stored_index(spark, sf_dir), "srt")
 
 
 @query(sql.full(f", b AS (SELECT rec, pos, {sql.stamp('t_start', '.')} || ' --> ' || {sql.stamp('t_end', '.')} || chr(10) || {sql.FULL_BODY} || chr(10) AS block FROM states) SELECT video, 'WEBVTT' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY pos) AS doc FROM b JOIN recordings USING (rec) GROUP BY video"))
 def transcript_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.render(A.full_index(spark, sf_dir), "vtt")
+    return views.render(A.stored_index(spark, sf_dir), "vtt")
 
 
 def _json_field(name: str, value: str) -> str:
@@ -663,7 +663,7 @@ FROM b JOIN recordings USING (rec) LEFT JOIN n USING (rec) LEFT JOIN shared p US
 
 @query(sql.full(_JSON))
 def transcript_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = views.render(A.full_index(spark, sf_dir), "json")
+    out = views.render(A.stored_index(spark, sf_dir), "json")
     # A number as its shortest decimal, without an exponent: texts compare by value.
     return out.withColumn("doc", F.regexp_replace("doc", r'"sampled_fps":1\.0E-3', '"sampled_fps":0.001'))
 
@@ -681,7 +681,7 @@ SELECT video, string_agg(idx || '@' || t_start || ':' || keyframe || '=' || sali
 @query(sql.full(_CURATED))
 def curated_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyframes that a compact view names under a budget."""
-    out = document.compact(A.full_index(spark, sf_dir), keyframe_budget=3)
+    out = document.compact(A.stored_index(spark, sf_dir), keyframe_budget=3)
     line = F.transform("view.curated_keyframes", lambda c: F.concat(c["idx"].cast("string"), F.lit("@"), c["t_start"].cast("string"), F.lit(":"), c["keyframe"], F.lit("="), c["salience"].cast("string")))
     return out.select("video", F.array_join(line, " ").alias("curated"))
 
@@ -695,7 +695,7 @@ SELECT video, round(duration + 0.000001, 2) AS duration_s, states, sampled_frame
     )
 )
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evalqa.cost_estimate(A.full_index(spark, sf_dir), fps=0.001)
+    return evalqa.cost_estimate(A.stored_index(spark, sf_dir), fps=0.001)
 
 
 def _qa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -721,7 +721,7 @@ arms AS (SELECT clip, question, type, CASE WHEN length(answer) = 1 THEN chr((65
 
 
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.full_index(spark, sf_dir)
+    docs = A.stored_index(spark, sf_dir)
     return evalqa.answered(_qa(spark, sf_dir), docs, views.render_view(docs, "transcript"), evalqa.get_answerer("mock"), fps=0.001)
 
 
@@ -743,7 +743,7 @@ def qa_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT 'rec' || doc_id % 200 || '.mp4' AS clip, 'no index of this clip' AS reason FROM documents WHERE doc_id % 200 NOT IN (SELECT user_id FROM events)")
 def qa_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evalqa.skipped(_qa(spark, sf_dir), A.full_index(spark, sf_dir))
+    return evalqa.skipped(_qa(spark, sf_dir), A.stored_index(spark, sf_dir))
 
 
 @query("SELECT event_id, array_to_string(CASE WHEN user_id > 0 AND event_id % 9 > 0 THEN list_transform(range(0, least(event_id % 9, ceil(user_id / greatest(1, user_id // (event_id % 9)))::BIGINT)), lambda i: i * greatest(1, user_id // (event_id % 9))) ELSE [] END, ',') AS places FROM events")
@@ -794,6 +794,17 @@ def mcq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalqa.convert_stats(evalqa.convert(_rows(spark, sf_dir)), 25)
 
 
+@query("SELECT doc_id, q.question AS question, q.options AS options, q.answer AS answer FROM (SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN [{'question': 'How many ' || lang, 'options': '[\"1\", \"2\"]', 'answer': 'A'}] WHEN 1 THEN [{'question': 'What ' || source, 'options': '{\"a\": \"x\"}', 'answer': 'x'}, {'question': 'Which ' || lang, 'options': NULL, 'answer': NULL}] END) AS q FROM documents)")
+def questions_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of rows by a table function in SQL: none, one or several for each."""
+    evalqa.register_questions(spark)
+    A.table(spark, sf_dir, "documents").createOrReplaceTempView("question_rows")
+    made = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN to_json(named_struct('Question', concat('How many ', lang), 'Options', array('1', '2'), 'Correct Answer', 'A'))
+      WHEN 1 THEN concat('[', to_json(named_struct('Question', concat('What ', source), 'Options', map('a', 'x'), 'Correct Answer', 'x')), ',', to_json(named_struct('Question', concat('Which ', lang))), ', 7]')
+      WHEN 2 THEN 'no json' END AS mcqa FROM question_rows"""
+    return spark.sql(f"SELECT r.doc_id, q.question, q.options, q.answer FROM ({made}) r, LATERAL questions_of(r.mcqa) q")
+
+
 _CHOICES = ["A) the of and to", "B) der die und das", "C) le la les des", "D) el los que una"]
 
 
@@ -837,6 +848,28 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.finished(windows.motion_segments(windows.read_events(spark, sf_dir), 120.0), "update").groupBy("rec").agg(F.max("segments").alias("segments"), F.max("frames").alias("frames"))
 
 
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with the instant of each."""
+    return A.frames(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.lit(1.5e15) + F.round(F.col("t") * 1e6)).cast("bigint")))
+
+
+_YEARS = 3650 * 86_400.0
+
+
+@query(sql.segments("SELECT rec, idx, t_start, t_end, lines, keyframe FROM (SELECT rec, seg AS idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines, keyframe FROM segments)"))
+def stream_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments by text of frames that arrive out of order, in several queries that go on where the last one ended."""
+    out = segments.run_states(_timed(spark, sf_dir), threshold=A.SPLIT, motion=A.MOTION, merge=None, slices=2, slot_seconds=3600.0, idle_seconds=_YEARS)
+    return out.select("rec", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"), "keyframe")
+
+
+@query(sql.states("SELECT rec, pos, idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines, keyframe FROM states"))
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, each segment held against the last state kept: near duplicates extend it."""
+    out = segments.run_states(_timed(spark, sf_dir), threshold=A.SPLIT, motion=A.MOTION, merge=A.MERGE, slices=2, slot_seconds=3600.0, idle_seconds=_YEARS)
+    return out.select("rec", "pos", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"), "keyframe")
+
+
 # ---- extras on the generic tables, beyond the UI-state engine
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions import text
 
@@ -147,3 +151,22 @@ def convert_stats(rows: DataFrame, limit: int | None = None) -> DataFrame:
         last = rows.where(~F.col("skipped")).orderBy("place").limit(limit).agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
         rows = rows.join(F.broadcast(last), (F.col("n") < limit) | (F.col("place") <= F.col("last")))  # one row
     return rows.agg(F.count_if(~F.col("skipped")).alias("emitted"), F.count_if("skipped").alias("skipped"))
+
+
+class Questions:
+    """A row of a question set to its questions: one object, a list of them, or none at all."""
+
+    def eval(self, mcqa: str) -> Iterator[tuple[str | None, str | None, str | None]]:
+        try:
+            found = json.loads(mcqa) if mcqa else None
+        except ValueError:
+            return
+        for q in found if isinstance(found, list) else [found]:
+            if isinstance(q, dict):
+                options = q.get("Options")
+                yield q.get("Question"), options if options is None or isinstance(options, str) else json.dumps(options, ensure_ascii=False), q.get("Correct Answer")
+
+
+def register_questions(spark: SparkSession, name: str = "questions_of") -> None:
+    """A table function for SQL: ``SELECT ... FROM rows, LATERAL questions_of(rows.mcqa)``."""
+    spark.udtf.register(name, udtf(Questions, returnType="question string, options string, answer string", useArrow=False))

@@ -10,9 +10,11 @@ file:, hdfs:, s3:), so no folder needs to be mounted.
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,7 +26,10 @@ STAGING = "_staging-"
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """(file system, path in it)."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), posixpath.abspath(path))
+    local = re.sub("^file:(//)?(?=/)", "", path)
+    if "://" in local:
+        return fs.FileSystem.from_uri(quote(local, safe="/:@?=&%"))
+    return fs.LocalFileSystem(), posixpath.abspath(local)
 
 
 def checked_name(name: str) -> str:

@@ -34,8 +34,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n")
 
 
-def first_seen(events: DataFrame, late: str = "3650 days") -> DataFrame:
-    """Each (user, type) once.  State of a pair is dropped when the watermark passes it by ``late``, and rows later than that too."""
+def first_seen(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Each (user, type) once for as long as its state lives.
+
+    A pair's state goes when the watermark, ``late`` behind the latest row, has
+    passed it by ``late``; a pair that comes again afterwards is new, and rows
+    behind the watermark are dropped.  Within one batch a pair is told once.
+    """
     return events.withWatermark("ts", late).select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
 
 
