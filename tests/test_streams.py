@@ -15,7 +15,7 @@ from uistrata.functions import redact, text
 from uistrata.operators import index, sequence
 from uistrata.plans import evalqa
 from uistrata.sources import datasource, documents
-from uistrata.streaming import segments, windows
+from uistrata.streaming import incremental, segments, windows
 
 T0 = datetime.datetime(2024, 1, 1)
 FRAMES = "rec string, pos bigint, t double, ts timestamp, lines array<string>, moved double"
@@ -207,3 +207,46 @@ def test_long_arrays_and_lines_take_time_in_proportion(spark):
     began = time.time()
     assert words.select(F.size(redact.find_secrets(F.col("line")))).first()[0] == 1
     assert time.time() - began < 3
+
+
+@pytest.mark.parametrize("merge", [None, 0.5])
+def test_two_halves_give_the_whole(spark, tmp_path, merge):
+    rows = frame_rows("x", 90, 11) + frame_rows("y", 20, 12) + frame_rows("z", 1, 13)
+    grown = incremental.GrowingStates(spark, f"file://{tmp_path}/g", 0.8, 0.1, merge)
+    with pytest.raises(ValueError, match="no frames"):
+        grown.states()
+    frame = lambda some: spark.createDataFrame(some, FRAMES).repartition(3)
+    for n, (lo, hi) in enumerate(((0, 15), (15, 16), (16, 60), (60, 99))):
+        grown.append(n, frame([r for r in rows if lo <= r[1] < hi]))
+        so_far = frame([r for r in rows if r[1] < hi])
+        assert sorted(map(tuple, grown.states().collect())) == sorted(map(tuple, by_batch(so_far, merge).collect()))
+        if n == 2:
+            grown.append(n, frame([r for r in rows if lo <= r[1] < hi]))  # a batch that is run again
+    with pytest.raises(ValueError, match="batch 1 comes after batch 3"):
+        grown.append(1, frame(rows[:1]))
+
+
+def plain_merge(rows, threshold):
+    norm = lambda lines: {" ".join("".join(c if c.isascii() and c.isalnum() else " " for c in s.lower()).split()) for s in lines} - {""}
+    out, last = [], {}
+    for rec, seg, t_start, t_end, lines in sorted(rows):
+        now = norm(lines)
+        if rec in last and (1.0 if not now and not last[rec][0] else len(now & last[rec][0]) / len(now | last[rec][0])) >= threshold:
+            last[rec][1][3] = t_end
+        else:
+            last[rec] = (now, [rec, seg, t_start, t_end, lines, last[rec][1][5] + 1 if rec in last else 0])
+            out.append(last[rec][1])
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 10_000])
+def test_merge_over_batches_of_any_size(spark, size):
+    rng = random.Random(size)
+    rows = [(rec, i, float(i), i + 0.5, [rng.choice("abc ") for _ in range(rng.randint(0, 3))]) for rec in ("u", "v", "w") for i in range(rng.choice([1, 40, 90]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        df = spark.createDataFrame(rows, "rec string, seg int, t_start double, t_end double, lines array<string>").repartition(4)
+        got = [(r["rec"], r["idx"], r["t_start"], r["t_end"], r["lines"], r["pos"]) for r in sequence.merge_near(df, 0.6).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == plain_merge(rows, 0.6)

@@ -47,28 +47,46 @@ def _jaccard(a: frozenset, b: frozenset) -> float:
 def merge_near(segments: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Segments like the last *kept* one extend it: what is kept depends on what was kept.
 
-    A step over the segments of a recording in their order; takes time in
-    proportion to them.  Returns the columns of ``segments``, with ``seg`` as
-    ``idx`` and ``pos``, the number of a kept one.
+    A pass over sorted batches that carries one segment, the last that was kept
+    and may still grow, so a recording of any length takes the memory of a batch.
+    Returns the columns of ``segments``, with ``seg`` as ``idx`` and ``pos``, the
+    number of a kept one.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seg")
-        kept, ends, last = [], [], None
-        for i, (own, end) in enumerate(zip(table.column("line_set").to_pylist(), table.column("t_end").to_pylist())):
-            own = frozenset(own)
-            if last is not None and _jaccard(last, own) >= threshold:
-                ends[-1] = end
-            else:
+    def made(rows: pa.RecordBatch, ends: list[float], places: list[int]) -> pa.RecordBatch:
+        at = rows.schema.get_field_index("t_end")
+        columns = [pa.array(ends, pa.float64()) if i == at else c for i, c in enumerate(rows.columns)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.int64())], [*rows.schema.names, "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, last, number, held, held_end = None, None, -1, None, 0.0
+        for batch in batches:
+            rows = batch.drop_columns(["line_set"])
+            kept, ends, places = [], [], []
+            for i, (own, lines, end) in enumerate(zip(batch.column("rec").to_pylist(), batch.column("line_set").to_pylist(), batch.column("t_end").to_pylist())):
+                lines, new = frozenset(lines or ()), own != rec or number < 0
+                if not new and _jaccard(last, lines) >= threshold:
+                    if kept:
+                        ends[-1] = end
+                    else:
+                        held_end = end
+                    continue
+                rec, last, number = own, lines, 0 if new else number + 1
                 kept.append(i)
                 ends.append(end)
-                last = own
-        out = table.take(pa.array(kept, pa.int64())).drop_columns(["line_set"])
-        out = out.set_column(out.schema.get_field_index("t_end"), "t_end", pa.array(ends, pa.float64()))
-        return out.append_column("pos", pa.array(range(len(kept)), pa.int64()))
+                places.append(number)
+            if kept:
+                if held is not None:
+                    yield made(held[0], [held_end], [held[1]])
+                if len(kept) > 1:
+                    yield made(rows.take(pa.array(kept[:-1], pa.int64())), ends[:-1], places[:-1])
+                held, held_end = (rows.slice(kept[-1], 1), places[-1]), ends[-1]
+        if held is not None:
+            yield made(held[0], [held_end], [held[1]])
 
     schema = T.StructType([*segments.schema, T.StructField("pos", T.LongType())])
-    out = segments.withColumn("line_set", text.line_set(F.col("lines"))).groupBy("rec").applyInArrow(run, schema)
+    rows = segments.withColumn("line_set", text.line_set(F.col("lines")))
+    out = rows.repartition("rec").sortWithinPartitions("rec", "seg").mapInArrow(run, schema)
     return out.withColumnRenamed("seg", "idx")
 
 

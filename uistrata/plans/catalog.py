@@ -6,13 +6,16 @@ are shown as text or single columns so that results compare by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pixels, redact, text
 from ..operators import document, events, index, manifest, recording, sequence
-from ..streaming import segments, windows
+from ..sources import stores
+from ..streaming import incremental, segments, windows
 from . import adapters as A
 from . import evalqa, sql, views
 
@@ -870,6 +873,16 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rec", "pos", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"), "keyframe")
 
 
+@query(sql.states("SELECT rec, pos, idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines, keyframe FROM states"))
+def grown_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of recordings whose frames were appended in three parts: only what the new ones change is made."""
+    f = A.frames(spark, sf_dir).select("rec", "pos", "t", "lines", "moved")
+    grown = incremental.GrowingStates(spark, f"{stores.shared_dir(spark)}/grown_{uuid.uuid4().hex}", A.SPLIT, A.MOTION, A.MERGE)
+    for n, part in enumerate(("pos < 20", "pos >= 20 and pos < 45", "pos >= 45")):
+        grown.append(n, f.where(part))
+    return grown.states().select("rec", "pos", "idx", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), shown("lines").alias("lines"), "keyframe")
+
+
 # ---- extras on the generic tables, beyond the UI-state engine
 
 
