@@ -161,12 +161,18 @@ def screen_states(spark: SparkSession, sf_dir: str, with_gray: bool = False) ->
     return recording.build(screens(spark, sf_dir), FULL, None, SCREEN, SCREEN, lambda s: screen(s["kind"], s["k"]), with_gray)
 
 
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, pos, note: what readers had to say of some frames."""
+    said = F.when(F.col("k") % 31 == 0, "text reading failed: blurred").when(F.col("k") % 47 == 1, "low light")
+    return shots(spark, sf_dir).select("rec", "pos", said.alias("note"))
+
+
 def full_index(spark: SparkSession, sf_dir: str, options: recording.Options = FULL) -> DataFrame:
     """A document per recording."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     lasts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec")).agg((F.floor((F.max(us) - F.min(us)) / 1000) / 1000.0).alias("duration"))
     lasts = lasts.withColumn("video", F.concat(F.lit("rec"), F.col("rec").cast("string"), F.lit(".mp4")))
-    return document.documents(full_states(spark, sf_dir, options), lasts, speech(spark, sf_dir), options.fps)
+    return document.documents(full_states(spark, sf_dir, options), lasts, speech(spark, sf_dir), options.fps, recording.warnings(notes(spark, sf_dir)))
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:

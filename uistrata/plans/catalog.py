@@ -288,7 +288,7 @@ _EVENTS = "(SELECT string_agg(event_type || ':' || c, ',' ORDER BY event_type) F
 @query(
     sql.full(
         f"SELECT video, round(duration + 0.000001, 2) AS duration_s, 0.001::DOUBLE AS sampled_fps, (SELECT count(*) FROM states s WHERE s.rec = r.rec) AS states, (SELECT sum(len(lines))::BIGINT FROM states s WHERE s.rec = r.rec) AS ocr_lines, "
-        f"coalesce({_EVENTS}, '') AS events, (SELECT count(*) FROM speech n WHERE n.rec = r.rec) AS narration_segments, 0::BIGINT AS warnings, coalesce((SELECT len(persistent) FROM shared p WHERE p.rec = r.rec), 0) AS persistent_ui_lines, "
+        f"coalesce({_EVENTS}, '') AS events, (SELECT count(*) FROM speech n WHERE n.rec = r.rec) AS narration_segments, (SELECT count(*) FROM noted w WHERE w.rec = r.rec) AS warnings, coalesce((SELECT len(persistent) FROM shared p WHERE p.rec = r.rec), 0) AS persistent_ui_lines, "
         "(SELECT bool_or(salience <> 0) FROM states s WHERE s.rec = r.rec) AS has_curated_keyframes FROM recordings r"
     )
 )
@@ -298,6 +298,12 @@ def summarize_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"events": counts, **{c: F.col(c).cast("bigint") for c in ("states", "ocr_lines", "narration_segments", "warnings", "persistent_ui_lines")}})
 
 
+@query(sql.full("SELECT video, coalesce((SELECT string_agg(note || CASE WHEN n > 1 THEN ' (' || n || ' frames, the first ' || first || ')' ELSE '' END, '|' ORDER BY first) FROM noted w WHERE w.rec = r.rec), '') AS warnings FROM recordings r"))
+def index_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers had to say of a recording's frames: each note once, in the order of its first frame."""
+    return A.stored_index(spark, sf_dir).select("video", shown("warnings").alias("warnings"))
+
+
 @query(sql.full("SELECT video, idx, t_start, t_end, event_type AS event, array_to_string(list_filter(lines, lambda l: contains(lower(l), 'open')), '|') AS matches FROM states JOIN recordings USING (rec) WHERE len(list_filter(lines, lambda l: contains(lower(l), 'open'))) > 0 AND t_end >= 1000 AND t_start <= 1500000 AND event_type = 'edit'"))
 def search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All filters at once, on documents."""
@@ -658,10 +664,11 @@ _JSON = f""", e AS (
 b AS (
   SELECT rec, pos, '{{"idx":' || idx || ',"t_start":' || t_start || ',"t_end":' || t_end || ',"thumbnail":"' || thumbnail || '","keyframe":"' || keyframe || '","ocr_text":' || to_json(list_filter(lines, lambda l: NOT list_contains(shared_lines, l)))::VARCHAR
       || ',"event":{{' || event || '}},"salience":' || salience || '}}' AS block FROM e),
+w AS (SELECT rec, string_agg('"' || note || CASE WHEN n > 1 THEN ' (' || n || ' frames, the first ' || first || ')' ELSE '' END || '"', ',' ORDER BY first) AS said FROM noted GROUP BY rec),
 n AS (SELECT rec, string_agg('{{"start":' || start_t || ',"end":' || end_t || ',"text":"' || text || '"}}', ',' ORDER BY n) AS told FROM speech GROUP BY rec)
-SELECT video, '{{"schema_version":2,"video":"' || video || '","duration":' || any_value(duration) || ',"sampled_fps":0.001,"states":[' || string_agg(block, ',' ORDER BY pos) || '],"narration":[' || coalesce(any_value(told), '') || '],"warnings":[]'
+SELECT video, '{{"schema_version":2,"video":"' || video || '","duration":' || any_value(duration) || ',"sampled_fps":0.001,"states":[' || string_agg(block, ',' ORDER BY pos) || '],"narration":[' || coalesce(any_value(told), '') || '],"warnings":[' || coalesce(any_value(w.said), '') || ']'
   || coalesce(',"persistent_ui":' || any_value(CASE WHEN len(p.persistent) > 0 THEN to_json(p.persistent)::VARCHAR END), '') || '}}' AS doc
-FROM b JOIN recordings USING (rec) LEFT JOIN n USING (rec) LEFT JOIN shared p USING (rec) GROUP BY video"""
+FROM b JOIN recordings USING (rec) LEFT JOIN n USING (rec) LEFT JOIN w USING (rec) LEFT JOIN shared p USING (rec) GROUP BY video"""
 
 
 @query(sql.full(_JSON))

@@ -236,6 +236,7 @@ shared AS (
   FROM (SELECT rec, line, count(*) AS c FROM (SELECT rec, unnest(list_distinct(lines)) AS line FROM states) GROUP BY rec, line) JOIN totals USING (rec)
   WHERE c = n AND n > 1 GROUP BY rec),
 speech AS (SELECT rec, pos AS n, round(t, 3) AS start_t, round(t + 60, 3) AS end_t, 'step ' || k || ' of [REDACTED:email]' AS text FROM shots WHERE kind = 'error'),
+noted AS (SELECT rec, note, count(*) AS n, min(pos) AS first FROM (SELECT rec, pos, CASE WHEN k % 31 = 0 THEN 'text reading failed: blurred' WHEN k % 47 = 1 THEN 'low light' END AS note FROM shots) WHERE note IS NOT NULL GROUP BY rec, note),
 recordings AS (SELECT rec, 'rec' || rec || '.mp4' AS video, round(greatest(max(t), max(last)), 3) AS duration FROM shots JOIN (SELECT rec, max(t_end) AS last FROM states GROUP BY rec) USING (rec) GROUP BY rec)"""
 
 
