@@ -853,11 +853,6 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.finished(windows.first_seen(windows.read_events(spark, sf_dir)), "append")
 
 
-@query(_SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, max(seg) + 1 AS segments, count(*) AS frames FROM walk GROUP BY rec"))
-def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.finished(windows.motion_segments(windows.read_events(spark, sf_dir), 120.0), "update").groupBy("rec").agg(F.max("segments").alias("segments"), F.max("frames").alias("frames"))
-
-
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with the instant of each."""
     return A.frames(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.lit(1.5e15) + F.round(F.col("t") * 1e6)).cast("bigint")))
@@ -866,6 +861,25 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _YEARS = 3650 * 86_400.0
 
 
+def _motion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _timed(spark, sf_dir).withColumn("moved", F.col("value"))
+    return segments.run_states(frames, rules=segments.MotionSegmenter(120.0), slices=2, slot_seconds=3600.0, idle_seconds=_YEARS)
+
+
+@query(_SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, max(seg) + 1 AS segments, count(*) AS frames FROM walk GROUP BY rec"))
+def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments by motion that a stream gave, and frames, a row for each recording."""
+    return _motion_states(spark, sf_dir).groupBy("rec").agg(F.count(F.lit(1)).alias("segments"), (F.max("keyframe") + 1).alias("frames"))
+
+
+@query(_SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, seg, min(pos) AS first_pos, max(pos) AS keyframe FROM walk GROUP BY rec, seg").replace("SELECT rec, seg, min(pos) AS first_pos", "SELECT rec, seg::BIGINT AS seg, min(pos) AS first_pos"))
+def stream_motion_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments by motion themselves, each by its first and last frame."""
+    s = _motion_states(spark, sf_dir).select("rec", F.col("idx").alias("seg"), "keyframe")
+    before = F.lag("keyframe").over(W.partitionBy("rec").orderBy("seg"))
+    return s.select("rec", "seg", F.coalesce(before + 1, F.lit(0)).cast("bigint").alias("first_pos"), "keyframe")
+
+
 @query(sql.segments("SELECT rec, idx, t_start, t_end, lines, keyframe FROM (SELECT rec, seg AS idx, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, array_to_string(lines, '|') AS lines, keyframe FROM segments)"))
 def stream_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments by text of frames that arrive out of order, in several queries that go on where the last one ended."""

@@ -15,6 +15,7 @@ idle time is a new one; NULL lines are none.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..sources.stores import shared_dir
 
 _FRAME = "struct<pos:bigint,t:double,at:bigint,lines:array<string>,moved:double>"
-#: The segment that goes on: its number, times, text, keyframe; the text seen last; the kept state that it may join.
-_OPEN = "seg bigint, t_start double, t_end double, lines array<string>, keyframe bigint, before array<string>, has_before boolean"
+#: The segment that goes on: its number, times, text, keyframe, and as JSON what the rules remember; the kept state that it may join.
+_OPEN = "seg bigint, t_start double, t_end double, lines array<string>, keyframe bigint, memory string"
 _KEPT = "pos bigint, idx bigint, t_start double, t_end double, lines array<string>, keyframe bigint"
 STATES = "rec {rec}, pos bigint, idx bigint, t_start double, t_end double, lines array<string>, keyframe bigint"
 _OTHER = re.compile("[^0-9a-z]+")
@@ -51,16 +52,16 @@ class Segmenter:
         self.threshold, self.motion, self.merge = threshold, motion, merge
 
     def frame(self, now: tuple | None, pos: int, t: float, lines: list, moved: float | None) -> tuple[tuple, tuple | None]:
-        """(segment that goes on, segment that ended or None)."""
+        """(segment that goes on, segment that ended or None).  Remembered: the text of the last frame that moved."""
         seen = pos == 0 or (moved is not None and moved >= self.motion)
         if now is None:
-            return (0, t, t, lines if seen else None, pos, lines if seen else [], seen), None
-        seg, t_start, t_end, text, keyframe, before, has_before = now
-        split = seen and has_before and likeness(line_set(before), line_set(lines)) < self.threshold
-        before, has_before = (lines, True) if seen else (before, has_before)
+            return (0, t, t, lines if seen else None, pos, lines if seen else None), None
+        seg, t_start, t_end, text, keyframe, before = now
+        split = seen and before is not None and likeness(line_set(before), line_set(lines)) < self.threshold
+        before = lines if seen else before
         if split:
-            return (seg + 1, t, t, lines, pos, before, has_before), (seg, t_start, t_end, text, keyframe)
-        return (seg, min(t_start, t), max(t_end, t), lines if seen else text, max(keyframe, pos), before, has_before), None
+            return (seg + 1, t, t, lines, pos, before), (seg, t_start, t_end, text, keyframe)
+        return (seg, min(t_start, t), max(t_end, t), lines if seen else text, max(keyframe, pos), before), None
 
     def ended(self, kept: tuple | None, segment: tuple) -> tuple[tuple, tuple | None]:
         """(kept state, state to emit or None) once a segment has ended."""
@@ -72,9 +73,22 @@ class Segmenter:
         return (kept[0] + 1, seg, t_start, t_end, lines, keyframe), kept
 
 
-def _ms(value) -> int:
-    """A timer's time: numbers, or instants as Spark hands them over."""
-    return int(value.timestamp() * 1000) if hasattr(value, "timestamp") else int(value)
+class MotionSegmenter(Segmenter):
+    """Splits by a number's change against the frame before, or its drift against the segment's first one, as ``segment_by_motion`` has it.
+
+    The number comes where text rules have how far a frame moved.  Remembered: the last number, and the segment's first.
+    """
+
+    def __init__(self, threshold: float):
+        super().__init__(threshold, 0.0, None)
+
+    def frame(self, now: tuple | None, pos: int, t: float, lines: list, value: float) -> tuple[tuple, tuple | None]:
+        if now is None:
+            return (0, t, t, lines, pos, [value, value]), None
+        seg, t_start, t_end, text, keyframe, (prev, anchor) = now
+        if abs(value - prev) >= self.threshold or abs(value - anchor) >= self.threshold:
+            return (seg + 1, t, t, lines, pos, [value, value]), (seg, t_start, t_end, text, keyframe)
+        return (seg, min(t_start, t), max(t_end, t), lines, max(keyframe, pos), [value, anchor]), None
 
 
 class StatesOfStream(StatefulProcessor):
@@ -103,7 +117,8 @@ class StatesOfStream(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark, out = timerValues.getCurrentWatermarkInMs(), []
-        now = tuple(self.open.get()) if self.open.exists() else None
+        now = self.open.get() if self.open.exists() else None
+        now = (*now[:5], json.loads(now[5])) if now else None
         kept = tuple(self.kept.get()) if self.kept.exists() else None
         last = self.last.get()[0] if self.last.exists() else None
         for slot in sorted(s[0] for s in self.waiting.keys()):
@@ -123,7 +138,7 @@ class StatesOfStream(StatefulProcessor):
             for state in (self.open, self.kept, self.last):
                 state.clear()
         elif last is not None:
-            self.open.update(now)
+            self.open.update((*now[:5], json.dumps(now[5])))
             self.last.update((last,))
             if kept:
                 self.kept.update(kept)
@@ -140,14 +155,15 @@ class StatesOfStream(StatefulProcessor):
         return None, None
 
 
-def states_of_stream(frames: DataFrame, threshold: float = 0.8, motion: float = 0.003, merge: float | None = 0.95, late: str = "1 minute", slot_seconds: float = 60.0, idle_seconds: float = 3600.0) -> DataFrame:
+def states_of_stream(frames: DataFrame, threshold: float = 0.8, motion: float = 0.003, merge: float | None = 0.95, late: str = "1 minute", slot_seconds: float = 60.0, idle_seconds: float = 3600.0, rules: Segmenter | None = None) -> DataFrame:
     """(rec, pos, idx, t_start, t_end, lines, keyframe) of a stream of frames (rec, pos, t, ts, lines, moved).
 
-    ``merge=None`` gives every segment.  ``late``: how far behind the latest frame one may come.
+    ``merge=None`` gives every segment.  ``late``: how far behind the latest frame
+    one may come.  ``rules``: others than those for text.
     """
     rec = frames.schema["rec"].dataType.simpleString()
     rows = frames.withWatermark("ts", late).select("rec", "pos", F.col("t").cast("double").alias("t"), "ts", F.unix_millis("ts").alias("at"), "lines", F.col("moved").cast("double").alias("moved"))
-    processor = StatesOfStream(Segmenter(threshold, motion, merge), int(slot_seconds * 1000), int(idle_seconds * 1000))
+    processor = StatesOfStream(rules or Segmenter(threshold, motion, merge), int(slot_seconds * 1000), int(idle_seconds * 1000))
     return rows.groupBy("rec").transformWithStateInPandas(processor, STATES.format(rec=rec), "Append", "EventTime")
 
 

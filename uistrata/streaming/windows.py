@@ -1,13 +1,11 @@
-"""Structured Streaming forms: windows, sessions, dedupe, stateful segmentation."""
+"""Structured Streaming forms: windows, sessions, dedupe, late rows; ``segments`` has the states of recordings."""
 
 from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..sources.stores import shared_dir
 
@@ -44,23 +42,6 @@ def first_seen(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
 
 
-def motion_segments(events: DataFrame, threshold: float) -> DataFrame:
-    """(rec, segments, frames) so far, with the last value and the anchor of each recording as state."""
-
-    def step(key, batches, state):
-        prev, anchor, seg, n = state.get if state.exists else (None, None, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for x in rows["value"]:
-            if prev is not None and (abs(x - prev) >= threshold or abs(x - anchor) >= threshold):
-                seg, anchor = seg + 1, x
-            anchor = x if anchor is None else anchor
-            prev, n = x, n + 1
-        state.update((float(prev), float(anchor), seg, n))
-        yield pd.DataFrame({"rec": [key[0]], "segments": [seg + 1], "frames": [n]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "rec bigint, segments bigint, frames bigint", "prev double, anchor double, seg bigint, n bigint", "update", GroupStateTimeout.NoTimeout)
-
-
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there now and read its result.
 
