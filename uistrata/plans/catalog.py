@@ -6,6 +6,7 @@ are shown as text or single columns so that results compare by value.
 
 from __future__ import annotations
 
+import importlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,27 +19,16 @@ from ..sources import stores
 from ..streaming import incremental, segments, windows
 from . import adapters as A
 from . import evalqa, sql, views
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(check: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if check:
-            _SQL[f.__name__] = check
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, query
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    importlib.import_module(f"{__package__}.files")
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    importlib.import_module(f"{__package__}.files")
+    return dict(SQL)
 
 
 def shown(c) -> F.Column:
@@ -866,13 +856,13 @@ def _motion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.run_states(frames, rules=segments.MotionSegmenter(120.0), slices=2, slot_seconds=3600.0, idle_seconds=_YEARS)
 
 
-@query(_SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, max(seg) + 1 AS segments, count(*) AS frames FROM walk GROUP BY rec"))
+@query(SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, max(seg) + 1 AS segments, count(*) AS frames FROM walk GROUP BY rec"))
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments by motion that a stream gave, and frames, a row for each recording."""
     return _motion_states(spark, sf_dir).groupBy("rec").agg(F.count(F.lit(1)).alias("segments"), (F.max("keyframe") + 1).alias("frames"))
 
 
-@query(_SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, seg, min(pos) AS first_pos, max(pos) AS keyframe FROM walk GROUP BY rec, seg").replace("SELECT rec, seg, min(pos) AS first_pos", "SELECT rec, seg::BIGINT AS seg, min(pos) AS first_pos"))
+@query(SQL["segment_stream"].replace("SELECT rec, pos, seg FROM walk", "SELECT rec, seg, min(pos) AS first_pos, max(pos) AS keyframe FROM walk GROUP BY rec, seg").replace("SELECT rec, seg, min(pos) AS first_pos", "SELECT rec, seg::BIGINT AS seg, min(pos) AS first_pos"))
 def stream_motion_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments by motion themselves, each by its first and last frame."""
     s = _motion_states(spark, sf_dir).select("rec", F.col("idx").alias("seg"), "keyframe")

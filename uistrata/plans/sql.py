@@ -240,12 +240,9 @@ noted AS (SELECT rec, note, count(*) AS n, min(pos) AS first FROM (SELECT rec, p
 recordings AS (SELECT rec, 'rec' || rec || '.mp4' AS video, round(greatest(max(t), max(last)), 3) AS duration FROM shots JOIN (SELECT rec, max(t_end) AS last FROM states GROUP BY rec) USING (rec) GROUP BY rec)"""
 
 
-FULL = index_sql(
-    SHOTS,
-    8,
-    f"placed AS (SELECT *, {_WIDE} AS wide, {_HIGH} AS high, CASE WHEN kind = 'view' THEN 0 ELSE k % 8 END AS x0, CASE WHEN kind = 'view' THEN 0 ELSE k // 8 % 8 END AS y0 FROM merged), drawn AS (SELECT *, list_transform(range(0, 64), lambda i: {_PIXEL}) AS raw FROM placed)",
-    "points AS (SELECT rec, t, k % 8 AS x, k // 3 % 8 AS y FROM shots WHERE kind IN ('click', 'purchase'))",
-)
+PLACED = f"placed AS (SELECT *, {_WIDE} AS wide, {_HIGH} AS high, CASE WHEN kind = 'view' THEN 0 ELSE k % 8 END AS x0, CASE WHEN kind = 'view' THEN 0 ELSE k // 8 % 8 END AS y0 FROM merged), drawn AS (SELECT *, list_transform(range(0, 64), lambda i: {_PIXEL}) AS raw FROM placed)"
+POINTS = "points AS (SELECT rec, t, k % 8 AS x, k // 3 % 8 AS y FROM shots WHERE kind IN ('click', 'purchase'))"
+FULL = index_sql(SHOTS, 8, PLACED, POINTS)
 
 #: The same recordings on screens of 24 x 24: a panel whose brightness tells the kind, and a cursor of 2 x 2 beside it.
 _PANEL = "CASE kind WHEN 'view' THEN 220 WHEN 'click' THEN 60 WHEN 'signup' THEN 100 WHEN 'purchase' THEN 140 WHEN 'error' THEN 180 ELSE 20 END"
