@@ -288,7 +288,9 @@ def planned(docs: DataFrame) -> tuple[DataFrame, Plan]:
     sources = Sources([r["source"] for r in found], [r["n"] for r in found])
     n = len(sources.names)
     blocks = sizes.where("size > 0").mapInArrow(_blocks(broadcast(sources)), "s bigint, key bigint, words bigint")
-    dealt = blocks.repartitionByRange(common.partitions(spark), "s", "key").sortWithinPartitions("s", "key").withColumn("task", F.spark_partition_id())
+    # Repeated rows have keys in common: a number of each row lets a range end among them.
+    apart = blocks.withColumn("copy", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("int"))
+    dealt = apart.repartitionByRange(common.partitions(spark), "s", "key", "copy").drop("copy").sortWithinPartitions("s", "key").withColumn("task", F.spark_partition_id())
     laid = common.stored(dealt.mapInArrow(_running, _LAID), "laid")
     sums = sorted(tuple(r) for r in laid.groupBy("s", "task").agg(F.count(F.lit(1)), F.sum("words")).collect())  # tasks + sources rows at most
     keys, draws, words, total = [], [], [], {}
