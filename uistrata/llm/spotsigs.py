@@ -165,24 +165,34 @@ def fingerprint_edits(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
     """Fingerprints of every text, of its edited text, and their likeness."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("*", F.coalesce("doc_id", F.lit(common.NO_ID)).alias("at"))
+    rows = rows.select("*", F.coalesce("doc_id", F.lit(common.NO_ID)).alias("at"), F.xxhash64("text").alias("h"))
     total = rows.select("at").count()
     n = max(1, min(-(-total // rows_per_range), 100_000))
+    size = -(-total // n)
     # Bounds of the ranges, from above; range i holds bounds[i - 1] >= at > bounds[i] (descending).
-    cuts = sorted(set(rows.approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n)), reverse=True) if n > 1 and total else []
-    cuts = [int(x) for x in cuts]
-    rows = rows.withColumn("part", _range_of(cuts))
-    firsts = {r["part"]: r["first"] for r in rows.groupBy("part").agg(F.max("at").alias("first")).collect()}  # a row per range
+    cuts = set(rows.approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n)) if n > 1 and total else set()
+    # An id with the rows of several ranges is a range of its own, cut further by the hash of the text; there are n such ids at most.
+    hot = {r["at"]: -(-r["count"] // size) for r in rows.groupBy("at").count().where(F.col("count") > 2 * size).collect()} if n > 1 else {}
+    cuts = sorted({*map(int, cuts), *hot, *(at - 1 for at in hot if at != common.NO_ID)}, reverse=True)
+    if hot:
+        known = F.broadcast(spark.createDataFrame(sorted(hot.items()), "at bigint, pieces bigint"))
+        rows = rows.join(known, "at", "left")
+        piece = F.coalesce(F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("pieces")), F.lit(0))
+    else:
+        piece = F.lit(0)
+    rows = rows.withColumn("part", _range_of(cuts).cast("bigint") * (1 << 32) + piece).drop("pieces")
+    first = F.max(F.struct("at", F.bitwise_not("h").alias("back"))).alias("first")
+    firsts = {r["part"]: (r["first"]["at"], ~r["first"]["back"]) for r in rows.groupBy("part").agg(first).collect()}  # a row per range
     parts = sorted(firsts)
     if not parts:
         return rows.select("doc_id").mapInArrow(_edited, _RESULT)
     # Who else needs the first row of a range: the range before it; the very first one closes the ring.
-    needed = [(firsts[p], before) for p, before in zip(parts, [parts[-1], *parts[:-1]])]
-    lookup = F.broadcast(spark.createDataFrame(needed, "at bigint, before int"))
-    tails = rows.join(lookup, "at").select(F.col("before").alias("part"), F.lit(1).alias("tail"), "at", "doc_id", "text")
-    own = rows.select("part", F.lit(0).alias("tail"), "at", "doc_id", "text")
+    needed = [(*firsts[p], before) for p, before in zip(parts, [parts[-1], *parts[:-1]])]
+    lookup = F.broadcast(spark.createDataFrame(needed, "at bigint, h bigint, before bigint"))
+    tails = rows.join(lookup, ["at", "h"]).select(F.col("before").alias("part"), F.lit(1).alias("tail"), "at", "h", "doc_id", "text")
+    own = rows.select("part", F.lit(0).alias("tail"), "at", "h", "doc_id", "text")
     dealt = own.unionByName(tails).repartition(common.partitions(spark), "part")
-    ordered = dealt.sortWithinPartitions("part", "tail", F.desc("at"), F.xxhash64("text"))
+    ordered = dealt.sortWithinPartitions("part", "tail", F.desc("at"), "h")
     return ordered.select("part", "doc_id", F.col("tail").cast("boolean").alias("tail"), "text").mapInArrow(_edited, _RESULT)
 
 
