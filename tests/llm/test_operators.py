@@ -992,6 +992,56 @@ def test_misra_gries_keeps_frequent():
 # ---- null ids
 
 
+def hot_rows(spark, share=10):
+    """A table of which a ``share``-th are rows of one id with texts of their own, and as many are one row repeated."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(30)) for _ in range(3000)]
+    rows = [(None if i % share == 0 else 5 if i % share == 1 else i, texts[1] if i % share == 1 else t, "en", "s") for i, t in enumerate(texts)]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4)
+
+
+def largest(df, column):
+    """Rows of the largest and of all groups of ``column``."""
+    counts = [r["count"] for r in df.groupBy(column).count().collect()]
+    return max(counts), sum(counts)
+
+
+def test_edits_of_rows_of_one_id(spark):
+    """Rows of one id are several ranges, in the order of their texts' hashes; each row's next one is as in one list."""
+    rows, df = hot_rows(spark)
+    hashed = {r["text"]: r["h"] for r in df.select("text", spotsigs.F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = []
+    for (i, t, *_), (_, x, *_) in zip(order, [*order[1:], order[0]]):
+        half = len(t) // 2
+        want.append((str(i), hashlib.sha256((t[: len(t) - half] + x[:half]).encode()).hexdigest()))
+    got = [(str(r["doc_id"]), r["edited_sha256"]) for r in spotsigs.fingerprint_edits(df, 50).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_blocks_of_repeated_rows_are_dealt_apart(spark):
+    """A tenth of the rows are one row: its blocks, all of one key, are not one task's."""
+    rows, df = hot_rows(spark)
+    tasks = []
+    real = source_mix.common.stored
+
+    def stored(table, name):
+        out = real(table, name)
+        if name == "laid":
+            tasks.append(largest(out, "task"))
+        return out
+
+    source_mix.common.stored = stored
+    try:
+        report = source_mix.mix_report(df).collect()
+    finally:
+        source_mix.common.stored = real
+    most, every = tasks[0]
+    assert most < every / 8 * 1.6
+    taken = sum(r["taken"] for r in report)
+    assert abs(taken - report[0]["target"]) <= 300 and all(r["taken"] <= 2 * r["size"] for r in report)
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "other")], "doc_id bigint, text string").selectExpr("*", "cast(null as string) lang", "cast(null as string) source")
     assert minhash.near_duplicates(df).count() == exact_dedup.exact_groups(df).count() == substring_dedup.remove_repeats(df).count() == 4
