@@ -43,14 +43,29 @@ def histogram_similarity(a: Column, b: Column) -> Column:
 
 
 def changed_region(prev: Column, cur: Column, width: Column, height: Column, delta: int = PIXEL_DELTA) -> Column:
-    """struct(box [x, y, w, h], coverage, shape), NULL without a change or with frames of different size."""
-    at = F.filter(F.transform(F.zip_with(prev, cur, lambda a, b: F.abs(a.cast("int") - b.cast("int")) > delta), lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
-    xs, ys = F.transform(at, lambda i: i % width), F.transform(at, lambda i: F.floor(i / width).cast("int"))
-    x0, y0 = F.array_min(xs), F.array_min(ys)
-    w, h = F.array_max(xs) - x0 + 1, F.array_max(ys) - y0 + 1
-    coverage = F.size(at) / F.size(cur)
-    box = F.array(x0, y0, w, h)
-    return F.when((F.size(prev) == F.size(cur)) & (F.size(at) > 0), F.struct(box.alias("box"), F.round(coverage, 4).alias("coverage"), region_shape(coverage, w / width, h / height).alias("shape")))
+    """struct(box [x, y, w, h], coverage, shape), NULL without a change or with frames of different size.
+
+    The box and the number of changed pixels come from one pass in an Arrow function; what they are called is an expression.
+    """
+
+    def run(before: pa.Array, now: pa.Array, widths: pa.Array) -> pa.Array:
+        (a, at_a, no_a), (b, at_b, no_b) = _lists(before), _lists(now)
+        out = []
+        for i, w in enumerate(widths.to_pylist()):
+            x, y = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
+            hit = np.flatnonzero(np.abs(x - y) > delta) if len(x) == len(y) and not (no_a[i] or no_b[i]) else ()
+            if not len(hit):
+                out.append(None)
+                continue
+            xs, y0, y1 = hit % w, int(hit[0]) // w, int(hit[-1]) // w
+            x0, x1 = int(xs.min()), int(xs.max())
+            out.append({"box": [x0, y0, x1 - x0 + 1, y1 - y0 + 1], "hits": len(hit)})
+        return pa.array(out, pa.struct([("box", pa.list_(pa.int32())), ("hits", pa.int32())]))
+
+    found = F.arrow_udf(run, "struct<box:array<int>,hits:int>")(prev, cur, width)
+    coverage = found["hits"] / F.size(cur)
+    shape = region_shape(coverage, found["box"][2] / width, found["box"][3] / height)
+    return F.when(found.isNotNull(), F.struct(found["box"].alias("box"), F.round(coverage, 4).alias("coverage"), shape.alias("shape")))
 
 
 def region_shape(coverage: Column, w_share: Column, h_share: Column) -> Column:
