@@ -41,7 +41,7 @@ def index_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.format("uiindex").mode("append").save(path)
     s = documents.states_of(spark.read.format("uiindex").load(path))
     at = F.get("interactions", 0)
-    return s.select("video", F.col("pos").cast("bigint").alias("pos"), "idx", "t_start", "t_end", "keyframe", _shown("ocr_text").alias("lines"), _shown("text_added").alias("added"), at["x"].cast("bigint").alias("x"), at["label"].alias("label"), F.col("event.type").alias("event_type"), F.col("event.field").alias("event_field"), "salience")
+    return s.select("video", F.col("pos").cast("bigint").alias("pos"), F.col("idx").cast("bigint").alias("idx"), "t_start", "t_end", "keyframe", _shown("ocr_text").alias("lines"), _shown("text_added").alias("added"), at["x"].cast("bigint").alias("x"), at["label"].alias("label"), F.col("event.type").alias("event_type"), F.col("event.field").alias("event_field"), "salience")
 
 
 @query(SQL["manifest_documents"])
