@@ -191,7 +191,10 @@ def fingerprint_edits(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
     lookup = F.broadcast(spark.createDataFrame(needed, "at bigint, h bigint, before bigint"))
     tails = rows.join(lookup, ["at", "h"]).select(F.col("before").alias("part"), F.lit(1).alias("tail"), "at", "h", "doc_id", "text")
     own = rows.select("part", F.lit(0).alias("tail"), "at", "h", "doc_id", "text")
-    dealt = own.unionByName(tails).repartition(common.partitions(spark), "part")
+    # Ranges are dealt to tasks in turn, not by hash, so that tasks get as many each.
+    n = common.partitions(spark)
+    turn = F.pmod(F.shiftright("part", 32) + F.col("part").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(n)).cast("int")
+    dealt = own.unionByName(tails).repartitionById(n, turn)
     ordered = dealt.sortWithinPartitions("part", "tail", F.desc("at"), "h")
     return ordered.select("part", "doc_id", F.col("tail").cast("boolean").alias("tail"), "text").mapInArrow(_edited, _RESULT)
 
