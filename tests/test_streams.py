@@ -250,3 +250,115 @@ def test_merge_over_batches_of_any_size(spark, size):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(got) == plain_merge(rows, 0.6)
+
+
+class Touched:
+    """Stands in for the state of one recording: counts how often it is read or written."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return _Value(self, name)
+
+    def getMapState(self, name, key, value):
+        return _Map(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class _Value:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.values.get(self.name)
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.values[self.name] = tuple(value)
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.values.pop(self.name, None)
+
+
+class _Map:
+    def __init__(self, store, name):
+        self.store, self.held = store, store.values.setdefault(name, {})
+
+    def keys(self):
+        self.store.calls += 1
+        return list(self.held)
+
+    def exists(self):
+        self.store.calls += 1
+        return bool(self.held)
+
+    def containsKey(self, key):
+        self.store.calls += 1
+        return tuple(key) in self.held
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.held[tuple(key)]
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.held[tuple(key)] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        del self.held[tuple(key)]
+
+
+@pytest.mark.parametrize("run", [4096, 7])
+def test_state_of_a_recording_is_touched_by_batches_not_by_slots(monkeypatch, run):
+    import pandas as pd
+
+    monkeypatch.setattr(segments, "RUN", run, raising=False)
+    rng, rules = random.Random(5), segments.Segmenter(0.8, 0.0, 0.95)
+    frames = [(i, float(i), i * 90_000, rng.sample(["a", "b", "c"], 2), 1.0) for i in range(200)]
+    processor, store = segments.StatesOfStream(rules, 60_000, 3_600_000), Touched()
+    processor.init(store)
+    shown, out = sorted(frames, key=lambda f: f[2] + rng.randrange(900_000)), []
+
+    class Mark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    def passed(mark):
+        while due := sorted(t for t in store.timers if t <= mark):
+            for t in due:
+                out.extend(r for df in processor.handleExpiredTimer((1,), Mark(mark), None) for r in df.itertuples(index=False))
+                store.timers.discard(t)
+
+    for i in range(0, 200, 50):
+        part = pd.DataFrame([f for f in shown[i : i + 50]], columns=["pos", "t", "at", "lines", "moved"])
+        list(processor.handleInputRows((1,), iter([part]), None))
+        passed(max(f[2] for f in shown[: i + 50]) - 900_000)
+    passed(10**12)
+
+    now, kept, want = None, None, []
+    for pos, t, _, lines, moved in frames:
+        now, segment = rules.frame(now, pos, t, lines, moved)
+        if segment:
+            kept, state = rules.ended(kept, segment)
+            want += [state] if state else []
+    kept, state = rules.ended(kept, now[:5])
+    want += [s for s in (state, kept) if s]
+    assert [(r[1], r[2], r[3], r[4], list(r[5]), r[6]) for r in out] == [(*s[:4], list(s[4]), s[5]) for s in want]
+    assert not store.values.get("waiting") and store.calls < (100 if run > 1000 else 400)

@@ -1,9 +1,11 @@
 """States of a recording from a stream of its frames: segmentation by text and merging of near duplicates, in event time.
 
-Frames may come in any order within the watermark.  They wait in a map of time
-slots; when the watermark passes a slot's end, a timer takes its frames in order
-through the segmenter, whose few values are a state of their own, so what is held
-in memory is one slot of one recording.  A state is emitted when the next one
+Frames may come in any order within the watermark.  They wait as sorted runs of
+``RUN`` frames at most, by the time slot of the first; when the watermark passes
+that slot's end, the recording's one timer takes the frames of all slots that are
+over in order through the segmenter, whose few values are a state of their own,
+so what is held in memory is the runs that overlap in time, and state is touched a
+few times a batch and recording, not for every slot.  A state is emitted when the next one
 begins, or when the recording has been idle for ``idle``, which ends it and drops
 all that was kept of it.  State lives in RocksDB and is checkpointed: a query
 that starts again goes on where it was.
@@ -18,8 +20,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +33,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..sources.stores import shared_dir
 
 _FRAME = "struct<pos:bigint,t:double,at:bigint,lines:array<string>,moved:double>"
-#: The segment that goes on: its number, times, text, keyframe, and as JSON what the rules remember; the kept state that it may join.
-_OPEN = "seg bigint, t_start double, t_end double, lines array<string>, keyframe bigint, memory string"
-_KEPT = "pos bigint, idx bigint, t_start double, t_end double, lines array<string>, keyframe bigint"
+#: As JSON: the segment that goes on (its number, times, text, keyframe, what the rules remember), the kept state that it may join, the last frame's instant.
+_GOING = "now string"
+#: Frames that wait as one value, at most.
+RUN = 4096
 STATES = "rec {rec}, pos bigint, idx bigint, t_start double, t_end double, lines array<string>, keyframe bigint"
 _OTHER = re.compile("[^0-9a-z]+")
 
 
+@lru_cache(1 << 14)
+def _normalized(line: str) -> str:
+    return _OTHER.sub(" ", line.lower()).strip(" ")
+
+
 def line_set(lines) -> frozenset:
     """Distinct normalised lines that are not blank, as ``text.line_set`` has them."""
-    return frozenset(x for x in (_OTHER.sub(" ", s.lower()).strip(" ") for s in lines) if x)
+    return frozenset(x for x in map(_normalized, lines) if x)
+
+
+def _in_order(frame: tuple) -> tuple:
+    return frame[2], frame[0]
 
 
 def likeness(a: frozenset, b: frozenset) -> float:
@@ -97,34 +111,38 @@ class StatesOfStream(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot bigint", f"frames array<{_FRAME}>")
-        self.open = handle.getValueState("open", _OPEN)
-        self.kept = handle.getValueState("kept", _KEPT)
-        self.last = handle.getValueState("last", "at bigint")
+        self.waiting = handle.getMapState("waiting", "first bigint, n bigint", f"frames array<{_FRAME}>")
+        self.going = handle.getValueState("going", _GOING)
+        self.due = handle.getValueState("due", "at bigint, runs bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due, runs = self.due.get() or (None, 0)
+        first = None
         for part in rows:
-            part = part[part["pos"].notna() & part["t"].notna()]
-            part = part.assign(slot=part["at"] // self.slot_ms)
-            for slot, some in part.groupby("slot"):
-                slot = int(slot)
-                frames = [(int(p), float(t), int(at), [] if x is None else [str(s) for s in x], None if pd.isna(m) else float(m)) for p, t, at, x, m in zip(some["pos"], some["t"], some["at"], some["lines"], some["moved"])]
-                if self.waiting.containsKey((slot,)):
-                    frames = [*map(tuple, self.waiting.getValue((slot,))[0]), *frames]
-                self.waiting.updateValue((slot,), (frames,))
-                self.handle.registerTimer((slot + 1) * self.slot_ms)
+            columns = [part[c].tolist() for c in ("at", "pos", "t", "lines", "moved")]
+            frames = [(int(p), float(t), int(at), [] if x is None else [str(s) for s in x], None if pd.isna(m) else float(m)) for at, p, t, x, m in zip(*columns) if not (pd.isna(p) or pd.isna(t))]
+            frames.sort(key=_in_order)
+            for i in range(0, len(frames), RUN):
+                slot = self._slot(frames[i])
+                self.waiting.updateValue((slot, runs), (frames[i : i + RUN],))
+                first, runs = slot if first is None else min(first, slot), runs + 1
+        if first is not None:
+            self._wake(due, (first + 1) * self.slot_ms, runs)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark, out = timerValues.getCurrentWatermarkInMs(), []
-        now = self.open.get() if self.open.exists() else None
-        now = (*now[:5], json.loads(now[5])) if now else None
-        kept = tuple(self.kept.get()) if self.kept.exists() else None
-        last = self.last.get()[0] if self.last.exists() else None
-        for slot in sorted(s[0] for s in self.waiting.keys()):
-            if (slot + 1) * self.slot_ms > mark:
-                break
-            for pos, t, at, lines, moved in sorted(map(tuple, self.waiting.getValue((slot,))[0]), key=lambda f: (f[2], f[0])):
+        going, (_, runs) = self.going.get(), self.due.get()
+        now, kept, last = json.loads(going[0]) if going else (None, None, None)
+        # Runs in the order of their first slots: frames before the next one's first are taken, so what is held is runs that overlap.
+        heads, held = sorted(tuple(k) for k in self.waiting.keys()), []
+        over = [h for h in heads if (h[0] + 1) * self.slot_ms <= mark]
+        for i, head in enumerate(over):
+            held = sorted([*held, *map(tuple, self.waiting.getValue(head)[0])], key=_in_order)
+            self.waiting.removeKey(head)
+            stop = over[i + 1][0] if i + 1 < len(over) else mark // self.slot_ms
+            ready = bisect_left(held, stop, key=self._slot)
+            for pos, t, at, lines, moved in held[:ready]:
                 if last is not None and at - last >= self.idle_ms:
                     kept, now = self._end(kept, now, out)
                 now, segment = self.rules.frame(now, pos, t, list(lines), moved)
@@ -132,20 +150,35 @@ class StatesOfStream(StatefulProcessor):
                     kept, state = self.rules.ended(kept, segment)
                     out += [state] if state else []
                 last = at
-            self.waiting.removeKey((slot,))
-        if last is not None and last + self.idle_ms <= mark and not self.waiting.exists():
+            held = held[ready:]
+        rest = [h[0] for h in heads[len(over) :]]
+        for i in range(0, len(held), RUN):
+            rest.append(self._slot(held[i]))
+            self.waiting.updateValue((rest[-1], runs), (held[i : i + RUN],))
+            runs += 1
+        if last is not None and last + self.idle_ms <= mark and not rest:
             kept, now = self._end(kept, now, out)
-            for state in (self.open, self.kept, self.last):
-                state.clear()
-        elif last is not None:
-            self.open.update((*now[:5], json.dumps(now[5])))
-            self.last.update((last,))
-            if kept:
-                self.kept.update(kept)
-            self.handle.registerTimer(last + self.idle_ms)
+            self.going.clear()
+            self.due.clear()
+        elif rest or last is not None:
+            if last is not None:
+                self.going.update((json.dumps([now, kept, last]),))
+            self._wake(None, (min(rest) + 1) * self.slot_ms if rest else last + self.idle_ms, runs)
         if out:
             yield pd.DataFrame([(key[0], *s) for s in out], columns=["rec", "pos", "idx", "t_start", "t_end", "lines", "keyframe"])
 
+    def _slot(self, frame: tuple) -> int:
+        return frame[2] // self.slot_ms
+
+    def _wake(self, due: int | None, at: int, runs: int) -> None:
+        """One timer a recording, the earliest: ``due`` is the one that it has."""
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            due = at
+        self.due.update((due, runs))
+
     def _end(self, kept, now, out: list) -> tuple[None, None]:
         """The recording is over: what went on is emitted."""
         if now:
