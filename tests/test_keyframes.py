@@ -245,3 +245,32 @@ def test_warnings_and_failures(spark):
     recs = spark.createDataFrame([("a", "a.mp4", 1.0)], "rec string, video string, duration double")
     assert document.documents(states, recs, warned=recording.warnings(notes)).first()["warnings"] == ["bad (2 frames, the first 2)", "odd"]
     assert document.documents(states, recs).first()["warnings"] == []
+
+
+def test_cursors_of_many_pictures_are_found_in_one_pass(monkeypatch):
+    rng, passes = np.random.default_rng(3), []
+    prev = np.zeros((64, 20, 30), np.int16)
+    cur = np.where(rng.random(prev.shape) < 0.12, 200, 0).astype(np.int16)
+    cur[0] = 0
+    whole = pixels._labels_of
+    monkeypatch.setattr(pixels, "_labels_of", lambda m: passes.append(1) or whole(m))
+    got = pixels.cursors_between(prev, cur)
+    assert len(passes) == 1
+    for a, b, spot in zip(prev, cur, got):
+        left, parts = {(int(y), int(x)) for y, x in zip(*np.nonzero(np.abs(b - a) > 25))}, []
+        for cell in sorted(left):
+            if cell not in left:
+                continue
+            part, todo = [], [cell]
+            left.discard(cell)
+            while todo:
+                y, x = todo.pop()
+                part.append((y, x))
+                for z in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if z in left:
+                        left.discard(z)
+                        todo.append(z)
+            parts.append(part)
+        small = [p for p in parts if 4 <= len(p) <= 6]
+        best = max(small, key=len) if small else None
+        assert spot == (best and (int(np.mean([x for _, x in best])), int(np.mean([y for y, _ in best]))))
