@@ -516,3 +516,16 @@ def test_accuracy(spark):
     assert out == [("state", 2, "50%"), ("count", 1, "100%"), ("odd", 1, "0%"), ("**TOTAL**", 4, "50%")]
     answer = evalqa.get_answerer("none such").answer
     assert one(spark, x=answer(F.lit("q"), arr("A) cat", "B) dog"), F.lit("the dog ran"))) == 1 and one(spark, x=answer(F.lit("q"), arr("a", "b"), F.lit(" "))) == 0
+
+
+def test_lines_that_states_share_are_found_once_a_document(spark):
+    import re
+
+    from uistrata.operators import document
+
+    state = "struct<idx:int,t_start:double,t_end:double,thumbnail:string,keyframe:string,ocr_text:array<string>,event:struct<type:string,t:double,region:array<int>,confidence:double,label:string,field:string,value:string>,salience:double>"
+    docs = spark.createDataFrame([(2, "v", 1.0, 1.0, [(i, 0.0, 1.0, "", "", ["menu", f"l{i}"], None, 0.0) for i in range(3)], [], [])], f"schema_version int, video string, duration double, sampled_fps double, states array<{state}>, narration array<string>, warnings array<string>")
+    each = document.compact(docs).select(F.explode("view.states").alias("s")).select("s.ocr_text")
+    assert [r[0] for r in each.collect()] == [["l0"], ["l1"], ["l2"]]
+    plan = each._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and not re.search(r"array_contains\((?!lambda|namedlambda)", plan)
