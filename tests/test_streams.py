@@ -362,3 +362,22 @@ def test_state_of_a_recording_is_touched_by_batches_not_by_slots(monkeypatch, ru
     want += [s for s in (state, kept) if s]
     assert [(r[1], r[2], r[3], r[4], list(r[5]), r[6]) for r in out] == [(*s[:4], list(s[4]), s[5]) for s in want]
     assert not store.values.get("waiting") and store.calls < (100 if run > 1000 else 400)
+
+
+def test_documents_of_a_batch_are_made_one_at_a_time(tmp_path):
+    import pyarrow as pa
+
+    class Rows:
+        def __init__(self, rows):
+            self.rows, self.num_rows = rows, rows.num_rows
+
+        def slice(self, start, n):
+            return Rows(self.rows.slice(start, n))
+
+        def to_pylist(self):
+            assert self.num_rows == 1
+            return self.rows.to_pylist()
+
+    writer = datasource.IndexWriter(str(tmp_path))
+    writer.commit([writer.write(iter([Rows(pa.RecordBatch.from_pylist([{"video": f"v{i}", "states": [{"idx": 0}]} for i in range(5)]))]))])
+    assert [json.loads((tmp_path / f"v{i}" / "index.json").read_text())["video"] for i in range(5)] == [f"v{i}" for i in range(5)]

@@ -115,7 +115,8 @@ class IndexWriter(FilesWriter):
     def write(self, batches: Iterator[pa.RecordBatch]):
         def files() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for i in range(batch.num_rows):  # one document at a time: a batch may have thousands
+                    row = batch.slice(i, 1).to_pylist()[0]
                     name = row["video"].replace("/", "_").replace("\\", "_")
                     yield pa.RecordBatch.from_pydict({"name": [f"{name}/index.json"], "content": [document_text(row)]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
 
