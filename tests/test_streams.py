@@ -381,3 +381,33 @@ def test_documents_of_a_batch_are_made_one_at_a_time(tmp_path):
     writer = datasource.IndexWriter(str(tmp_path))
     writer.commit([writer.write(iter([Rows(pa.RecordBatch.from_pylist([{"video": f"v{i}", "states": [{"idx": 0}]} for i in range(5)]))]))])
     assert [json.loads((tmp_path / f"v{i}" / "index.json").read_text())["video"] for i in range(5)] == [f"v{i}" for i in range(5)]
+
+
+def test_a_folder_of_files_is_made_once(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from uistrata.sources import sinks
+
+    real, made = sinks.filesystem, []
+
+    class Store:
+        def __init__(self, store):
+            self.store = store
+
+        def create_dir(self, path, recursive=True):
+            made.append(path)
+            self.store.create_dir(path, recursive=recursive)
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+    def counted(path):
+        store, root = real(path)
+        return Store(store), root
+
+    monkeypatch.setattr(sinks, "filesystem", counted)
+    writer = sinks.FilesWriter(str(tmp_path))
+    rows = pa.RecordBatch.from_pylist([{"name": f"r/frames/{i}.png", "content": b"%d" % i} for i in range(20)])
+    writer.commit([writer.write(iter([rows]))])
+    assert sorted(p.name for p in (tmp_path / "r" / "frames").iterdir()) == sorted(f"{i}.png" for i in range(20))
+    assert [p.name for p in tmp_path.iterdir()] == ["r"] and len(made) == 2

@@ -100,9 +100,16 @@ def recorded(spark: SparkSession, grab: Callable[[int], np.ndarray], seconds: fl
     return total
 
 
-def read_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """(path, gray, width, height) of picture files; undecodable ones are left out."""
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def read_pictures(spark: SparkSession, path: str, below: str | None = None) -> DataFrame:
+    """(path, gray, width, height) of picture files; undecodable ones are left out.
+
+    ``below``: names (``*.png``) of files at any depth below ``path``, whose folders
+    are listed by tasks; a pattern in ``path`` is matched by the driver alone.
+    """
+    source = spark.read.format("image").option("dropInvalid", True)
+    if below:
+        source = source.option("recursiveFileLookup", True).option("pathGlobFilter", below)
+    image = source.load(path).select("image.*")
 
     @F.pandas_udf("array<int>")
     def gray(data: pd.Series, channels: pd.Series) -> pd.Series:

@@ -13,6 +13,7 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 STAGING = "_staging-"
+#: Files that the driver moves at a time.
+MOVERS = 16
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -54,11 +57,13 @@ class FilesWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = filesystem(self.path)
-        folder, names = f"{self.staging}/{uuid.uuid4().hex}", []
+        folder, names, made = f"{self.staging}/{uuid.uuid4().hex}", [], None
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
                 target = f"{root}/{folder}/{checked_name(name)}"
-                store.create_dir(posixpath.dirname(target), recursive=True)
+                if posixpath.dirname(target) != made:
+                    made = posixpath.dirname(target)
+                    store.create_dir(made, recursive=True)
                 with store.open_output_stream(target) as out:
                     out.write(content.as_buffer() if content.is_valid else b"")
                 names.append(name)
@@ -73,10 +78,10 @@ class FilesWriter(DataSourceArrowWriter):
                     self.abort(messages)
                     raise ValueError(f"two files of one name: {name}")
                 seen.add(name)
-        for m in messages:
-            for name in m.names if m else []:
-                store.create_dir(posixpath.dirname(f"{root}/{name}"), recursive=True)
-                store.move(f"{root}/{m.folder}/{name}", f"{root}/{name}")
+        moves = [(f"{root}/{m.folder}/{name}", f"{root}/{name}") for m in messages if m for name in m.names]
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda folder: store.create_dir(folder, recursive=True), {posixpath.dirname(to) for _, to in moves}))
+            list(pool.map(lambda move: store.move(*move), moves))
         self._clear(store, root)
 
     def abort(self, messages: list[Written | None]) -> None:
