@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,24 @@ def test_cursors_of_many_pictures_are_found_in_one_pass(monkeypatch):
         small = [p for p in parts if 4 <= len(p) <= 6]
         best = max(small, key=len) if small else None
         assert spot == (best and (int(np.mean([x for _, x in best])), int(np.mean([y for y, _ in best]))))
+
+
+def test_pictures_of_a_batch_are_worked_on_together(monkeypatch):
+    """Equal boxes of a batch are one blur, pictures of one size one sharpness; each as if it were alone."""
+    rng, calls = np.random.default_rng(4), []
+    grays = [rng.integers(0, 256, w * h).astype(np.int32) for w, h in [(8, 8)] * 500 + [(5, 9), (1, 4), (6, 1)]]
+    widths = [8] * 500 + [5, 1, 6]
+    boxes = [[[1, 2, 4, 3], [0, 0, 3, 5]]] * 500 + [[[-2, -2, 9, 9], [1, 1, 2, 2]], [[0, 0, 1, 4]], []]
+    want = [pixels.blur_boxes(g.reshape(-1, w), b).reshape(-1).tolist() for g, w, b in zip(grays, widths, boxes)]
+    lists, wide = pa.array([g.tolist() for g in grays], pa.list_(pa.int32())), pa.array(widths, pa.int32())
+    kernel = pixels.gaussian_kernel
+    monkeypatch.setattr(pixels, "gaussian_kernel", lambda size: calls.append(size) or kernel(size))
+    assert pixels._blurred(lists, wide, pa.array(boxes, pa.list_(pa.list_(pa.int32())))).to_pylist() == want
+    assert len(calls) < 10
+
+    def alone(g: np.ndarray, w: int) -> float:
+        f = g.reshape(-1, w).astype(float)
+        p = np.pad(f, 1, mode="reflect" if min(f.shape) > 1 else "edge")
+        return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * f).var())
+
+    assert pixels._sharpness(lists, wide).to_pylist() == [alone(g, w) for g, w in zip(grays, widths)]
