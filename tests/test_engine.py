@@ -585,3 +585,23 @@ def test_a_line_is_searched_for_the_kinds_that_it_may_have(spark):
     plain = spark.range(200_000).select(F.concat(F.lit("Open item "), F.col("id") % 4, F.lit(" of page "), F.col("id")).alias("x"))
     plan = plain.select(redact.masked(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Contains(") + plan.count("contains(") + plan.count("Contains") > 8
+
+
+def test_narration_is_heard_without_comparing_every_pair(spark, docs):
+    """Narration in any order, and a long recording in the time of a sort."""
+    random.seed(9)
+    state = "struct<t_start:double,t_end:double>"
+    schema = f"k int, states array<{state}>, narration array<struct<start:double,end:double,text:string>>"
+    rows = []
+    for k in range(30):
+        cuts = sorted(float(random.randrange(60)) for _ in range(2 * random.randrange(8)))
+        said = [(float(a), float(a + random.randrange(20)), f"s{j}") for j, a in enumerate(random.randrange(60) for _ in range(random.randrange(9)))]
+        rows.append((k, list(zip(cuts[::2], cuts[1::2])), said))
+    for k, states, said, heard in views.with_heard(spark.createDataFrame(rows, schema)).collect():
+        assert heard == [" ".join(x for a, b, x in said if a < s["t_end"] and b > s["t_start"]) for s in states]
+    n, at = 20_000, lambda i, d: i.cast("double") + d
+    each = F.sequence(F.lit(0), F.lit(n - 1))
+    long = spark.range(1).select(F.transform(each, lambda i: F.struct(at(i, 0).alias("t_start"), at(i, 1).alias("t_end"))).alias("states"), F.transform(each, lambda i: F.struct(at(i, 0.25).alias("start"), at(i, 0.5).alias("end"), i.cast("string").alias("text"))).alias("narration"))
+    start = time.time()
+    row = views.with_heard(long).select(F.get("heard", n - 1), F.size("heard")).first()
+    assert tuple(row) == (str(n - 1), n) and time.time() - start < 20

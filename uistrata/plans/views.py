@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,44 @@ def _numbered(block) -> Column:
     return F.transform("states", lambda s, i: block(s, i + 1))
 
 
-def spoken(s: Column) -> Column:
-    """Texts of the narration that overlaps a state (both ends open), in its order."""
-    heard = F.filter("narration", lambda n: (n["start"] < s["t_end"]) & (n["end"] > s["t_start"]))
-    return F.array_join(F.transform(heard, lambda n: n["text"]), " ")
+def _heard(starts: pa.Array, ends: pa.Array, begun: pa.Array, ended: pa.Array) -> pa.Array:
+    """Of each document, the places of the narration that each state overlaps (both ends open), in its order.
+
+    Narration is sorted by its start.  What a state hears lies between the first
+    whose end, or an end before it, is late enough and the last that begins in
+    time: two searches a state and what lies between, not every pair.
+    """
+    t0, t1, n0, n1 = (_numbers(c) for c in (starts, ends, begun, ended))
+    found, sizes = [], []
+    for s0, s1, a, b in zip(t0, t1, n0, n1):
+        b = np.where(np.isnan(b), -np.inf, b)
+        order = np.argsort(a, kind="stable")
+        lo, hi = np.searchsorted(np.maximum.accumulate(b[order]), s0, "right"), np.searchsorted(a[order], np.where(np.isnan(s1), -np.inf, s1), "left")
+        many = np.maximum(hi - lo, 0)
+        own = np.repeat(np.arange(len(s0)), many)
+        at = order[np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        late = b[at] > s0[own]
+        own, at = own[late], at[late]
+        found.append(at[np.lexsort((at, own))])
+        sizes.append(np.bincount(own, minlength=len(s0)))
+    each = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, []]))]).astype(np.int32)
+    docs = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(each), pa.array(np.concatenate([*found, []]).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(docs), places)
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    """The numbers of each row of a list column, NaN for NULL."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(size)[:-1]) if len(size) else []
+
+
+def with_heard(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``heard``: for each state the texts of the narration that overlaps it."""
+    times = [F.col(c).cast("array<double>") for c in ("states.t_start", "states.t_end", "narration.start", "narration.end")]
+    places = docs.withColumn("heard", F.arrow_udf(_heard, "array<array<int>>")(*times))
+    return places.withColumn("heard", F.transform("heard", lambda p: F.array_join(F.transform(p, lambda i: F.get(F.col("narration"), i)["text"]), " ")))
 
 
 def _touched(it: Column) -> Column:
@@ -52,7 +88,7 @@ def markdown(docs: DataFrame) -> DataFrame:
 
     def block(s: Column, n: Column) -> Column:
         head = F.concat(F.lit("## "), text.clock(s["t_start"]), F.lit("–"), text.clock(s["t_end"]), F.lit("  ·  State "), n.cast("string"))
-        caption, body, said = event_caption(s["event"]), F.array_join(s["ocr_text"], " · "), spoken(s)
+        caption, body, said = event_caption(s["event"]), F.array_join(s["ocr_text"], " · "), F.get(F.col("heard"), n - 1)
         added, removed = F.array_join(s["text_added"], ", "), F.array_join(s["text_removed"], ", ")
         touched = F.array_join(F.transform(s["interactions"], _touched), "\n")
         return F.concat_ws(
@@ -69,7 +105,7 @@ def markdown(docs: DataFrame) -> DataFrame:
 
     top = F.concat(F.lit("# Transcript — "), F.col("video"), F.lit("  ("), text.clock(F.col("duration")), F.lit(")\n\n"))
     whole = F.concat(top, F.array_join(_numbered(block), "\n"))
-    return docs.select("video", F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n")).alias("doc"))
+    return with_heard(docs).select("video", F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n")).alias("doc"))
 
 
 def state_caption(s: Column) -> Column:
