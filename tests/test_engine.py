@@ -605,3 +605,14 @@ def test_narration_is_heard_without_comparing_every_pair(spark, docs):
     start = time.time()
     row = views.with_heard(long).select(F.get("heard", n - 1), F.size("heard")).first()
     assert tuple(row) == (str(n - 1), n) and time.time() - start < 20
+
+
+def test_views_are_read_once_a_clip(spark):
+    """The tokens of a view are made beside it, before the join with its questions."""
+    docs = spark.createDataFrame([("v", 3.0, [1, 2])], "video string, duration double, states array<int>")
+    qa = spark.createDataFrame([("v", f"q{i}", ["a cat", "b dog"], "B", "state") for i in range(3)], "clip string, question string, choices array<string>, answer string, type string")
+    views_of = spark.createDataFrame([("v", "The dog ran")], "video string, doc string")
+    rows = evalqa.answered(qa, docs, views_of, evalqa.get_answerer("mock"))
+    assert [(r["idx_ok"], r["idx_tok"]) for r in rows.collect()] == [(True, 2)] * 3
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(lower(doc" in plan[plan.index("Join") :] and "regexp_extract_all(lower(doc" not in plan[: plan.index("Join")]

@@ -39,9 +39,17 @@ def cost_estimate(docs: DataFrame, fps: float = 1.0, escalate: int = 3, per_imag
 
 def mock_answer(question: Column, choices: Column, view: Column) -> Column:
     """Number of the choice that shares most tokens with the view; the first of equals, and the first one where there is no text."""
-    seen = text.token_set(view)
+    return F.when(F.coalesce(F.trim(view), F.lit("")) == "", 0).otherwise(_most_shared(choices, text.token_set(view)))
+
+
+def _most_shared(choices: Column, tokens: Column) -> Column:
+    """Number of the choice that shares most tokens; they are held in an array of one, so they are made once, not for every choice."""
+    return F.get(F.transform(F.array(tokens), lambda seen: _best(choices, seen)), 0)
+
+
+def _best(choices: Column, seen: Column) -> Column:
     scored = F.transform(choices, lambda c, i: F.struct(F.size(F.array_intersect(text.token_set(text.strip_choice_label(c)), seen)).alias("n"), (-i).alias("back")))
-    return F.when(F.coalesce(F.trim(view), F.lit("")) == "", 0).otherwise(F.coalesce(-F.array_max(scored)["back"], F.lit(0)))
+    return F.coalesce(-F.array_max(scored)["back"], F.lit(0))
 
 
 class Answerer:
@@ -52,12 +60,29 @@ class Answerer:
     def answer(self, question: Column, choices: Column, view: Column) -> Column:
         return mock_answer(question, choices, view)
 
+    def read(self, view: Column) -> Column:
+        """What ``answer_read`` needs of a clip's view: made once a clip, not for each of its questions."""
+        return view
+
+    def answer_read(self, question: Column, choices: Column, read: Column) -> Column:
+        return self.answer(question, choices, read)
+
     def answer_frames(self, question: Column, choices: Column, frames: Column) -> Column:
         return mock_answer(question, choices, F.lit(None).cast("string"))
 
 
+class MockAnswerer(Answerer):
+    """The mock answerer, which needs the tokens of a view alone."""
+
+    def read(self, view: Column) -> Column:
+        return text.token_set(view)
+
+    def answer_read(self, question: Column, choices: Column, read: Column) -> Column:
+        return _most_shared(choices, read)
+
+
 #: Answerers by name; those that need a model or a key are registered by who has them.
-ANSWERERS: dict[str, type[Answerer]] = {"mock": Answerer}
+ANSWERERS: dict[str, type[Answerer]] = {"mock": MockAnswerer}
 
 
 def get_answerer(name: str) -> Answerer:
@@ -65,7 +90,7 @@ def get_answerer(name: str) -> Answerer:
     try:
         return ANSWERERS[name]()
     except Exception:  # a missing package or key must not end an evaluation
-        return Answerer()
+        return MockAnswerer()
 
 
 def frame_choice(total: Column, n: Column) -> Column:
@@ -82,13 +107,15 @@ def answered(qa: DataFrame, docs: DataFrame, views: DataFrame, answerer: Answere
     recording, and the join may be skewed to a clip of many questions: the planner picks its form, nothing is forced.
     """
     total = F.greatest(F.size("states").cast("bigint"), F.bround(F.col("duration") * fps).cast("bigint"))
-    known = docs.select("video", total.alias("total")).join(views, "video")
+    # What is read of a clip goes with its row through the join, and the view itself stays behind it.
+    read = views.select("video", answerer.read(F.col("doc")).alias("read"), text.token_estimate(F.col("doc"), False).alias("idx_tok"))
+    known = docs.select("video", total.alias("total")).join(read, "video")
     rows = qa.join(known, qa["clip"] == known["video"])
     n = F.least(F.lit(frames).cast("bigint"), F.col("total")).cast("int")
-    pick = answerer.answer(F.col("question"), F.col("choices"), F.col("doc"))
+    rows = rows.withColumn("pick", answerer.answer_read(F.col("question"), F.col("choices"), F.col("read")))
     other = answerer.answer_frames(F.col("question"), F.col("choices"), frame_choice(F.col("total").cast("int"), n))
     ok = lambda p: text.is_correct(p, F.col("choices"), F.col("answer"))
-    return rows.select("clip", "question", F.coalesce("type", F.lit("other")).alias("type"), ok(pick).alias("idx_ok"), text.token_estimate(F.col("doc"), False).alias("idx_tok"), ok(other).alias("fr_ok"), (n * per_image).cast("bigint").alias("fr_tok"))
+    return rows.select("clip", "question", F.coalesce("type", F.lit("other")).alias("type"), ok(F.col("pick")).alias("idx_ok"), "idx_tok", ok(other).alias("fr_ok"), (n * per_image).cast("bigint").alias("fr_tok"))
 
 
 def skipped(qa: DataFrame, docs: DataFrame) -> DataFrame:
