@@ -801,6 +801,21 @@ def test_replicas_are_averaged_by_tokens():
         assert np.frombuffer(b["w"][0].as_py(), np.float32) == pytest.approx(np.average(w[lo:hi], axis=0, weights=n[lo:hi]), rel=1e-5)
 
 
+def test_replicas_learn_side_by_side_as_alone():
+    rng = np.random.default_rng(8)
+    counts = np.sort(rng.integers(1, 99, 3000))[::-1].copy()
+    lexicon = gru_lm.Lexicon(np.arange(3000, dtype=np.uint64), counts, int(counts.sum()), 3000, 50)
+    words = lambda n: np.append(rng.zipf(1.3, n) % (gru_lm.SHORT + 1), gru_lm.END).astype("<u2")
+    docs = [[words(n) for n in sizes] for sizes in ([3, 400, 70] * 20, [900], [0, 0], [], [40] * 33)]
+    alone, beside = ([gru_lm.Gru(lexicon) for _ in docs] for _ in range(2))
+    seen = [m.train(d) for m, d in zip(alone, docs)]
+    assert gru_lm.train(beside, docs) == seen == [sum(map(len, d)) for d in docs]
+    for one, two in zip(alone, beside):
+        assert np.frombuffer(two.pack(), np.float32) == pytest.approx(np.frombuffer(one.pack(), np.float32), rel=1e-2, abs=2e-3)
+    fresh = gru_lm.Gru(lexicon).pack()
+    assert [m.pack() == fresh for m in beside] == [False, False, False, True, False]
+
+
 def test_windows_take_a_long_text_beside_short_ones():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, gru_lm.SHORT, n).astype("<u2") for n in (900_000, *[5] * 255)]

@@ -20,6 +20,8 @@ gradients too, are averaged by their tokens, in order, over a tree of ``FAN`` to
 number of training tokens alone, so the model is a function of the rows, however
 they are laid out.
 
+Replicas of a task go side by side: one call of numpy serves a step of all.
+
 Scoring.  Whole documents run through parallel streams in windows; the state is
 carried across windows to the document's end.
 
@@ -32,6 +34,7 @@ of equal count rank by hash; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 from collections.abc import Iterator
@@ -55,9 +58,13 @@ ROUNDS = 16
 REPLICA_TOKENS, MOST_REPLICAS, FAN = 1 << 17, 8192, 16
 STREAMS, STEPS, TRAIN_STREAMS, TRAIN_STEPS = 256, 64, 32, 32
 RATE, CLIP, SEED = 0.2, 5.0, 11
+#: Most replicas that learn side by side in a task; rows of an id that are added one by one; steps whose inputs are read at once.
+TOGETHER, LAYERS, BLOCK = 16, 8, 8
 SLICE = 6 << 20
 #: Tokens that a replica deals to its streams at once, beyond the last document.
 SLICE_TOKENS = 1 << 20
+#: Tokens scored at once, beyond the last document.
+SCORE_TOKENS = 1 << 22
 LN10 = math.log(10)
 
 
@@ -150,67 +157,19 @@ class Gru:
 
         With ``keep`` also what the way back needs: the state before, both gates, the candidate, and the candidate's share of the state.
         """
-        steps, n = inputs.shape
-        xp = self.wx[inputs]
-        xp += self.b
-        live = (inputs != END).astype(np.float32)[:, :, None]
-        out = np.empty((steps, n, HIDDEN), np.float32)
-        trace = np.empty((5, steps, n, HIDDEN), np.float32) if keep else None
-        for t in range(steps):
-            h = h * live[t]
-            hu = h @ self.u
-            gates = xp[t, :, : 2 * HIDDEN]
-            gates += hu[:, : 2 * HIDDEN]
-            np.negative(gates, out=gates)
-            np.exp(np.minimum(gates, 60, out=gates), out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            c = r * hu[:, 2 * HIDDEN :]
-            c += xp[t, :, 2 * HIDDEN :]
-            np.tanh(c, out=c)
-            if keep:
-                trace[0, t], trace[1, t], trace[2, t], trace[3, t], trace[4, t] = h, z, r, c, hu[:, 2 * HIDDEN :]
-            h = np.subtract(h, c, out=out[t])
-            h *= z
-            h += c
-        return out, h, trace, live
+        out, h, trace, live = Replicas([self]).states(inputs[:, None], h[None], keep)
+        return out[:, 0], h[0], trace, live
 
     def log_p(self, s: np.ndarray, target: np.ndarray, grad: bool = False):
         """ln p of targets (ids) given states; with ``grad`` also the gradients of the negative sum."""
-        kind = np.where(target < SHORT, target // CLASS, target - SHORT + CLASSES)
-        logits = s @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        rows = np.arange(len(target))
-        out = logits[rows, kind] - np.log(total)
-        grads = None
-        if grad:
-            p /= total[:, None]
-            p[rows, kind] -= 1
-            grads = {"wc": s.T @ p, "bc": p.sum(axis=0), "wo": np.zeros_like(self.wo), "bo": np.zeros_like(self.bo)}
-            ds = p @ self.wc.T
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c, (a, b) in enumerate(zip(ends, ends[1:])):
-            if a == b:
-                continue
-            at = order[a:b]
-            x = s[at]
-            q = x @ self.wo[c] + self.bo[c]
-            q -= q.max(axis=1, keepdims=True)
-            e = np.exp(q)
-            t = e.sum(axis=1)
-            word, r = target[at] - c * CLASS, np.arange(len(at))
-            out[at] += q[r, word] - np.log(t)
-            if grad:
-                e /= t[:, None]
-                e[r, word] -= 1
-                grads["wo"][c] = x.T @ e
-                grads["bo"][c] = e.sum(axis=0)
-                ds[at] += e @ self.wo[c].T
-        return (out, grads, ds) if grad else out
+        out, grads, ds = Replicas([self]).log_p(s, target, np.zeros(len(target), np.int64), 1.0 if grad else None)
+        if not grad:
+            return out
+        classes = grads.pop("classes")
+        for k in ("wo", "bo"):
+            whole = np.zeros_like(getattr(self, k))
+            whole[classes], grads[k] = grads[k], whole
+        return out, {k: g if k in ("wo", "bo") else g[0] for k, g in grads.items()}, ds
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """ln p of whole documents (ids, END last): of words short-listed, tail class and end."""
@@ -218,73 +177,310 @@ class Gru:
         for inputs, target, owner, h in windows(docs, STREAMS, STEPS):
             s, last, _, _ = self.states(inputs, h["h"])
             h["h"] = last
-            some = owner >= 0
-            total += np.bincount(owner[some], weights=self.log_p(s[some], target[some]), minlength=len(docs))
+            some = np.flatnonzero(owner >= 0)
+            p = self.log_p(s.reshape(-1, HIDDEN).take(some, axis=0), target.reshape(-1)[some])
+            total += np.bincount(owner.reshape(-1)[some], weights=p, minlength=len(docs))
         return total
 
     def train(self, docs: list[np.ndarray]) -> int:
         """Adagrad over the documents once."""
-        seen, memory = 0, self.memory
-        for inputs, target, owner, h in windows(docs, TRAIN_STREAMS, TRAIN_STEPS):
-            s, last, trace, live = self.states(inputs, h["h"], keep=True)
-            h["h"] = last
-            some = owner >= 0
-            n = int(some.sum())
-            seen += n
-            _, grads, ds = self.log_p(s[some], target[some], grad=True)
-            d_out = np.zeros_like(s)
-            d_out[some] = ds
-            grads |= self._back(inputs, trace, live, d_out)
-            # Each token weighs alike: a window with few streams left, the end of a long text, moves the model less.
-            # Of ``wx`` only the rows that were read have a gradient.
-            rows = grads.pop("rows")
-            for k, g in grads.items():
-                at = rows if k == "wx" else slice(None)
-                g /= TRAIN_STREAMS * TRAIN_STEPS
-                norm = float(np.sqrt(np.vdot(g, g)))
-                if norm > CLIP:
-                    g *= CLIP / norm
-                square = g * g
-                square += memory[k][at]
-                memory[k][at] = square
-                np.sqrt(square, out=square)
-                g *= RATE
-                g /= square
-                getattr(self, k)[at] -= g
-        return seen
+        return train([self], [docs])[0]
 
     def _back(self, inputs, trace, live, d_out) -> dict:
         """Gradients through time; of ``wx`` for the rows in ``rows`` alone."""
+        grads = Replicas([self]).back(inputs[:, None], trace, live, d_out[:, None])
+        return {k: g if k in ("rows", "wx") else g[0] for k, g in grads.items()}
+
+
+class Replicas:
+    """Models as stacks (models, ...), which the models then share.
+
+    A step of one replica is little work for a call, so that replicas go side by
+    side; each is computed from its own rows alone.
+    """
+
+    def __init__(self, models: list[Gru]):
+        self.n, self.w, self.memory = len(models), {}, {}
+        for k in Gru.NAMES if models else ():
+            found = [getattr(m, k) for m in models]
+            self.w[k] = found[0][None] if self.n == 1 else np.stack(found)
+            found = [m.memory[k] for m in models]
+            self.memory[k] = found[0][None] if self.n == 1 else np.stack(found)
+            for i, m in enumerate(models):
+                setattr(m, k, self.w[k][i])
+                m.memory[k] = self.memory[k][i]
+
+    def first(self, n: int) -> Replicas:
+        """The first ``n``, of the same arrays."""
+        some = copy.copy(self)
+        some.n, some.w, some.memory = n, {k: x[:n] for k, x in self.w.items()}, {k: x[:n] for k, x in self.memory.items()}
+        return some
+
+    def rows(self, inputs: np.ndarray) -> np.ndarray:
+        """Places of tokens (steps, models, streams) in the rows of all ``wx``."""
+        return inputs + (np.arange(self.n) * (SHORT + 2))[:, None]
+
+    def states(self, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
+        """``Gru.states`` of all: inputs (steps, models, streams), states (steps, models, streams, HIDDEN)."""
+        steps, m, n = inputs.shape
+        # Gates are 1 / (1 + exp(-x)) and the candidate 2 / (1 + exp(-2 x)) - 1: all shares of x are kept negative.
+        u, b, wx, rows = -self.w["u"], -self.w["b"][:, None], self.w["wx"].reshape(-1, 3 * HIDDEN), self.rows(inputs)
+        x = np.empty((steps if keep else BLOCK, 3, m, n, HIDDEN), np.float32)
+        live = inputs != END
+        whole = live.all(axis=(1, 2)).tolist()
+        live = live.astype(np.float32)[..., None]
+        out = np.empty((steps, m, n, HIDDEN), np.float32)
+        before, hun, c = (np.empty_like(out) for _ in range(3)) if keep else [np.empty((1, m, n, HIDDEN), np.float32)] * 3
+        share = np.empty((m, n, 3 * HIDDEN), np.float32)
+        shares = _gates(share)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                here = t if keep else t % BLOCK
+                if t % BLOCK == 0:
+                    for k, read in enumerate(_gates(wx.take(rows[t : t + BLOCK], axis=0))):
+                        np.subtract(_gates(b)[k], read, out=x[here : here + len(read), k])
+                if not whole[t]:
+                    h = h * live[t]
+                np.matmul(h, u, out=share)
+                gates, new, ct = x[here, :2], out[t], c[t if keep else 0]
+                gates[0] += shares[0]
+                gates[1] += shares[1]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                if keep:
+                    before[t], hun[t] = h, shares[2]
+                np.multiply(gates[1], shares[2], out=ct)
+                ct += x[here, 2]
+                ct += ct
+                np.exp(ct, out=ct)
+                ct += 1
+                np.divide(2, ct, out=ct)
+                ct -= 1
+                np.subtract(h, ct, out=new)
+                new *= gates[0]
+                new += ct
+                h = new
+        return out, h, (before, x[:, 0], x[:, 1], c, hun) if keep else None, live
+
+    def log_p(self, s: np.ndarray, target: np.ndarray, model: np.ndarray, scale: float | None = None):
+        """ln p of targets (ids) given states, in order of their models; with ``scale`` also the gradients of the negative sum, times it.
+
+        Of ``wo`` and ``bo`` there are gradients for the classes in ``classes`` alone, counted over all models.
+        """
+        kind = np.where(target < SHORT, target // CLASS, target - SHORT + CLASSES)
+        every = np.arange(len(target))
+        bounds = np.searchsorted(model, np.arange(self.n + 1)).tolist()
+        spans = list(zip(range(self.n), bounds, bounds[1:]))
+        p = np.empty((CLASSES + 2, len(target)), np.float32)
+        for i, a, b in spans:
+            np.add(np.matmul(self.w["wc"][i].T, s[a:b].T), self.w["bc"][i][:, None], out=p[:, a:b])
+        if _steep(p):
+            p -= p.max(axis=0)
+        out = p[kind, every]
+        np.exp(p, out=p)
+        total = p.sum(axis=0)
+        out -= np.log(total)
+        grads = ds = None
+        if scale:
+            p *= np.float32(scale) / total
+            p[kind, every] -= scale
+            grads, ds = {"wc": np.empty_like(self.w["wc"]), "bc": np.empty_like(self.w["bc"])}, np.empty_like(s)
+            for i, a, b in spans:
+                grads["wc"][i], grads["bc"][i] = np.matmul(p[:, a:b], s[a:b]).T, p[:, a:b].sum(axis=1)
+                np.matmul(p[:, a:b].T, self.w["wc"][i].T, out=ds[a:b])
+        # Words of a class stand together, classes of about as many side by side; zeros fill them up.
+        short = np.flatnonzero(target < SHORT)
+        classes, tiers, order, place, size = _tiers((model * CLASSES + kind)[short])
+        short = short[order]
+        word = np.zeros(size, np.int64)
+        word[place] = target[short] % CLASS
+        # A column of ones takes the biases through the same products.
+        x = np.zeros((size, HIDDEN + 1), np.float32)
+        x[place, :HIDDEN], x[place, HIDDEN] = s.take(short, axis=0), 1
+        w = np.empty((len(classes), HIDDEN + 1, CLASS), np.float32)
+        w[:, :HIDDEN] = self.w["wo"].reshape(-1, HIDDEN, CLASS).take(classes, axis=0)
+        w[:, HIDDEN] = self.w["bo"].reshape(-1, CLASS).take(classes, axis=0)
+        e = np.empty((size, CLASS), np.float32)
+        for k, i, j, a, b in tiers:
+            np.matmul(x[a:b].reshape(-1, k, HIDDEN + 1), w[i:j], out=e[a:b].reshape(-1, k, CLASS))
+        if _steep(e):
+            e -= e.max(axis=1, keepdims=True)
+        every = np.arange(size)
+        mine = e[every, word]
+        np.exp(e, out=e)
+        total = e @ np.ones(CLASS, np.float32)
+        mine -= np.log(total)
+        out[short] += mine[place]
+        if scale:
+            e *= (np.float32(scale) / total)[:, None]
+            e[every, word] -= scale
+            dw, dx = np.empty_like(w), np.empty((size, HIDDEN), np.float32)
+            for k, i, j, a, b in tiers:
+                those = e[a:b].reshape(-1, k, CLASS)
+                np.matmul(x[a:b].reshape(-1, k, HIDDEN + 1).swapaxes(1, 2), those, out=dw[i:j])
+                np.matmul(those, w[i:j, :HIDDEN].swapaxes(1, 2), out=dx[a:b].reshape(-1, k, HIDDEN))
+            ds[short] += dx.take(place, axis=0)
+            grads |= {"classes": classes, "wo": dw[:, :HIDDEN].copy(), "bo": dw[:, HIDDEN]}
+        return out, grads, ds
+
+    def back(self, inputs, trace, live, d_out) -> dict:
+        """Gradients through time; of ``wx`` for the rows in ``rows`` alone, counted over all models. ``d_out`` is overwritten."""
         h, z, r, c, hun = trace
-        by_z = h - c
-        by_z *= z
-        by_z *= 1 - z
-        by_c = c * c
-        np.subtract(1, by_c, out=by_c)
-        by_c *= 1 - z
-        by_h = by_c * r
-        by_r = by_h * hun
-        by_r *= 1 - r
-        g = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-        d = np.empty_like(d_out)
-        dh = np.zeros_like(d_out[0])
-        back = np.ascontiguousarray(self.u.T)
-        for t in range(len(h) - 1, -1, -1):
-            dh = np.add(dh, d_out[t], out=d[t])
-            np.multiply(dh, by_z[t], out=g[t, :, :HIDDEN])
-            np.multiply(dh, by_r[t], out=g[t, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(dh, by_h[t], out=g[t, :, 2 * HIDDEN :])
-            dh = dh * z[t]
-            dh += g[t] @ back
-            dh *= live[t]
-        du = h.reshape(-1, HIDDEN).T @ g.reshape(-1, 3 * HIDDEN)
-        # From here on ``g`` holds the gradients of the inputs' share: the candidate's without the reset gate.
-        np.multiply(d, by_c, out=g[:, :, 2 * HIDDEN :])
-        ids = inputs.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        dwx = np.add.reduceat(g.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-        return {"rows": ids[order[first]], "wx": dwx, "u": du, "b": g.sum(axis=(0, 1))}
+        steps, m, n = inputs.shape
+        g = np.empty((m, steps, n, 3 * HIDDEN), np.float32)
+        gates = g.reshape(m, steps, n, 3, HIDDEN)
+        by_c = np.empty_like(c)
+        u = np.ascontiguousarray(self.w["u"].swapaxes(1, 2))
+        whole = (live > 0).all(axis=(1, 2, 3)).tolist()
+        dh = np.zeros((m, n, HIDDEN), np.float32)
+        one, by_z, by_r, by_h, share = (np.empty_like(dh) for _ in range(5))
+        for t in range(steps - 1, -1, -1):
+            d, by, zt, rt, ct = d_out[t], by_c[t], z[t], r[t], c[t]
+            np.subtract(1, zt, out=one)
+            np.subtract(h[t], ct, out=by_z)
+            by_z *= zt
+            by_z *= one
+            np.multiply(ct, ct, out=by)
+            np.subtract(1, by, out=by)
+            by *= one
+            np.multiply(by, rt, out=by_h)
+            np.multiply(by_h, hun[t], out=by_r)
+            by_r *= np.subtract(rt, 1, out=one)  # ``hun`` is kept negative
+            d += dh
+            by *= d
+            for k, by_gate in enumerate((by_z, by_r, by_h)):
+                np.multiply(by_gate, d, out=gates[:, t, :, k])
+            np.multiply(d, zt, out=dh)
+            dh += np.matmul(g[:, t], u, out=share)
+            if not whole[t]:
+                dh *= live[t]
+        rows = g.reshape(m, steps * n, 3 * HIDDEN)
+        du = np.matmul(np.ascontiguousarray(h.swapaxes(0, 1)).reshape(m, -1, HIDDEN).swapaxes(1, 2), rows)
+        gates[:, :, :, 2] = by_c.swapaxes(0, 1)  # The inputs' share of the candidate has no reset gate.
+        db = np.matmul(np.ones((1, steps * n), np.float32), rows)[:, 0]
+        ids, dwx = _sums(self.rows(inputs).swapaxes(0, 1).reshape(-1), rows.reshape(-1, 3 * HIDDEN))
+        return {"rows": ids, "wx": dwx, "u": du, "b": db}
+
+    def step(self, grads: dict) -> None:
+        """One step of Adagrad for each model; a row of ``wx``, or a class, without a gradient stays."""
+        rows, classes = grads.pop("rows"), grads.pop("classes")
+        for k, g in grads.items():
+            if not len(g):  # no word of a class was read
+                continue
+            at, each = (rows, SHORT + 2) if k == "wx" else (classes, CLASSES) if k in ("wo", "bo") else (None, 1)
+            model = np.arange(self.n) if at is None else at // each
+            shape = (-1, *g.shape[1:])
+            w, memory = self.w[k].reshape(shape), self.memory[k].reshape(shape)
+            square = g * g
+            sums = square.reshape(len(g), -1) @ np.ones(g[0].size, np.float32)
+            norm = np.sqrt(np.bincount(model, weights=sums, minlength=self.n))
+            if norm.max() > CLIP:
+                cut = (CLIP / np.maximum(norm, CLIP)).astype(np.float32)[model].reshape(-1, *[1] * (g.ndim - 1))
+                g *= cut
+                square *= cut * cut
+            if at is None:
+                memory += square
+                np.sqrt(memory, out=square)
+            else:
+                square += memory.take(at, axis=0)
+                memory[at] = square
+                np.sqrt(square, out=square)
+            g *= RATE
+            g /= square
+            if at is None:
+                w -= g
+            else:
+                w[at] = np.subtract(w.take(at, axis=0), g, out=g)
+
+
+def _steep(logits: np.ndarray) -> bool:
+    """Whether exp of these could leave the range of its type."""
+    return logits.size > 0 and max(logits.max(), -logits.min()) > 60
+
+
+def _gates(x: np.ndarray) -> list[np.ndarray]:
+    """Views of what belongs to update, reset and candidate along the last axis."""
+    return [x[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(3)]
+
+
+def _tiers(kind: np.ndarray) -> tuple:
+    """Rows by class, at places that let few products do all classes.
+
+    Gives the classes, runs of them (places of each, classes from and to, places from and to), the order of the
+    rows, their places, and the number of places.  A class of up to 64 rows has a power of two of places, 8 at
+    least; a larger one as many as rows.
+    """
+    count = np.bincount(kind)
+    classes = np.flatnonzero(count)
+    size = count[classes]
+    size = np.where(size > 64, size, _POWERS[np.minimum(size, 64)])
+    by = np.argsort(size, kind="stable")
+    classes, size = classes[by], size[by]
+    ends = np.cumsum(size)
+    place = np.zeros(len(count), np.int64)
+    place[classes] = ends - size
+    order = np.argsort(kind, kind="stable")
+    first = np.cumsum(count) - count
+    kind = kind[order]
+    place = place[kind] + np.arange(len(kind)) - first[kind]
+    cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(size)] if len(size) else [0]
+    ends = [0, *ends.tolist()]
+    return classes, [(int(size[i]), i, j, ends[i], ends[j]) for i, j in zip(cuts, cuts[1:])], order, place, ends[-1]
+
+
+#: Places of a class by its rows.
+_POWERS = np.array([max(8, 1 << (n - 1).bit_length()) if n else 0 for n in range(65)])
+
+
+def _sums(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, sums of their rows of ``g``)."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
+    ids, g = ids[order], g.take(order, axis=0)
+    first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+    count = np.concatenate([first[1:], [len(ids)]]) - first
+    # Frequent ids are sums over runs; of all others, every one's first row is added, then every one's second, ...
+    by = np.argsort(-np.minimum(count, LAYERS + 1), kind="stable")
+    first, count = first[by], count[by]
+    out = g.take(first, axis=0)
+    many, *more = [int((count > k).sum()) for k in (LAYERS, *range(1, LAYERS))]
+    one = np.ones(len(ids), g.dtype)
+    for i, (a, k) in enumerate(zip(first[:many].tolist(), count[:many].tolist())):
+        out[i] = one[:k] @ g[a : a + k]
+    for k, n in enumerate(more, 1):
+        if n > many:
+            out[many:n] += g.take(first[many:n] + k, axis=0)
+    return ids[first], out
+
+
+def train(models: list[Gru], docs: list[list[np.ndarray]]) -> list[int]:
+    """Adagrad over each model's own documents once, side by side; the tokens each has learnt from."""
+    seen = [sum(map(len, d)) for d in docs]
+    # Models with the most windows first: those at work are always the first ones.
+    runs = [windows(d, TRAIN_STREAMS, TRAIN_STEPS) for d in docs]
+    now = [next(run, None) for run in runs]
+    by = sorted((i for i, w in enumerate(now) if w), key=lambda i: -now[i][3]["longest"])
+    stack, now = Replicas([models[i] for i in by]), [now[i] for i in by]
+    while now:
+        m, steps, n = len(now), *(max(w[0].shape[k] for w in now) for k in range(2))
+        inputs, target = np.full((steps, m, n), END, np.int64), np.full((steps, m, n), END, np.int64)
+        some, h = np.zeros((m, steps, n), bool), np.zeros((m, n, HIDDEN), np.float32)
+        for j, (i, t, owner, state) in enumerate(now):
+            a, b = i.shape
+            inputs[:a, j, :b], target[:a, j, :b], some[j, :a, :b], h[j, :b] = i, t, owner >= 0, state["h"]
+        part = stack if m == stack.n else stack.first(m)
+        s, last, trace, live = part.states(inputs, h, keep=True)
+        for j, w in enumerate(now):
+            w[3]["h"] = last[j, : w[0].shape[1]]
+        model, t, lane = np.nonzero(some)
+        at = (t * m + model) * n + lane
+        # Each token weighs alike: a window with few streams left, the end of a long text, moves the model less.
+        _, grads, ds = part.log_p(s.reshape(-1, HIDDEN).take(at, axis=0), target.reshape(-1)[at], model, 1 / (TRAIN_STREAMS * TRAIN_STEPS))
+        d_out = np.zeros_like(s)
+        d_out.reshape(-1, HIDDEN)[at] = ds
+        part.step(grads | part.back(inputs, trace, live, d_out))
+        now = [w for i in by[:m] if (w := next(runs[i], None))]
+    return seen
 
 
 def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]:
@@ -292,7 +488,7 @@ def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]
 
     Yields (inputs, targets, owner, state): inputs are the tokens before, END at a
     document's start; owner is -1 where a stream has ended; ``state["h"]`` is
-    carried by the caller.  Takes the tokens once, and a window at a time.
+    carried by the caller, ``state["longest"]`` counts the tokens of the longest stream.  Takes the tokens once, and a window at a time.
     """
     if not docs:
         return
@@ -308,7 +504,7 @@ def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]
     order = [d for lane in lanes for d in lane]
     flat = np.concatenate([docs[d] for d in order])
     whose = np.repeat(np.array(order, np.int32), [len(docs[d]) for d in order])
-    state = {"h": np.zeros((len(lanes), HIDDEN), np.float32)}
+    state = {"h": np.zeros((len(lanes), HIDDEN), np.float32), "longest": int(size[0])}
     before = np.full(len(lanes), END, np.int64)
     for a in range(0, int(size[0]), steps):
         n = int((size > a).sum())
@@ -322,52 +518,68 @@ def windows(docs: list[np.ndarray], streams: int, steps: int) -> Iterator[tuple]
         yield inputs, target, owner, state
 
 
-def _ids(w: kernels.Words, lexicon: Lexicon):
-    """(ids of each document with END last, counts of all words or -1)."""
-    count, rank = lexicon.lookup(w.hash)
-    ids = np.where((rank >= 0) & (rank < SHORT), rank, TAIL)
-    first = w.first.tolist()
-    return [np.append(ids[a:b], END) for a, b in zip(first, first[1:])], count
-
-
 def _encode(lexicon):
-    """(key, text) to (key, ids): token numbers, END last, two bytes each."""
+    """(doc_id, held_out, key, text) to token numbers, END last, two bytes each, and all of a row's results that need no model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
             for lo, hi in kernels.slices(batch.column("text"), SLICE):
-                docs, _ = _ids(_words(batch.column("text").slice(lo, hi - lo)), lex)
-                raw = [d.astype("<u2").tobytes() for d in docs]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(raw, pa.binary())], ["key", "ids"])
+                part = batch.slice(lo, hi - lo)
+                w = _words(part.column("text"))
+                n, doc, (count, rank) = len(part), w.doc(), lex.lookup(w.hash)
+                known, short = count >= 0, (rank >= 0) & (rank < SHORT)
+                tail = known & ~short
+                ids = np.insert(np.where(short, rank, TAIL).astype("<u2"), w.first[1:], END)
+                rare = np.flatnonzero(~known)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(k) for k in ("doc_id", "held_out", "key")),
+                        _lists(ids, w.first + np.arange(n + 1)),
+                        pa.array(w.count + 1),
+                        pa.array(np.bincount(doc[known], minlength=n) + int(lex.docs > 0)),
+                        pa.array(np.bincount(doc[known], weights=lex.base(count[known]), minlength=n) + lex.base(lex.docs)),
+                        pa.array(np.bincount(doc[tail], weights=np.log10((count[tail] + 0.5) / lex.tail), minlength=n).astype(np.float64)),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, w.first).astype(np.int32)), pa.array(w.hash[rare].view(np.int64))),
+                    ],
+                    _TOKEN_COLUMNS,
+                )
 
     return run
 
 
+_TOKENS = "doc_id bigint, held_out boolean, key bigint, ids binary, n_tokens bigint, n_known bigint, base_score double, tail double, rare array<bigint>"
+_TOKEN_COLUMNS = [column.split()[0] for column in _TOKENS.split(", ")]
+
+
+def _lists(ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of two-byte numbers as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * 2).astype(np.int32)), pa.py_buffer(ids)])
+
+
 def _train(lexicon, weights):
-    """(replica, ids), sorted, to a row (replica, weights, tokens) for each replica."""
+    """(replica, ids), sorted, to a row (replica, weights, tokens) for each replica of a task; its replicas learn side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, now, docs, held = lexicon.value, None, [], 0
+        lex, models, seen, docs, held = lexicon.value, {}, {}, {}, 0
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([model.pack()], pa.binary()), pa.array([seen], pa.int64())], ["replica", "w", "n"])
+        def learn() -> None:
+            for replica, n in zip(docs, train([models[r] for r in docs], list(docs.values()))):
+                seen[replica] += n
+            docs.clear()
 
         for batch in batches:
             for replica, ids in zip(batch.column("replica").to_pylist(), batch.column("ids")):
-                if replica != now or held >= SLICE_TOKENS:
-                    if docs:
-                        seen += model.train(docs)
-                    docs, held = [], 0
-                if replica != now:
-                    if now is not None:
-                        yield row()
-                    now, model, seen = replica, Gru(lex).unpack(weights.value), 0
-                docs.append(np.frombuffer(ids.as_buffer(), "<u2"))
-                held += len(docs[-1])
-        if now is not None:
-            seen += model.train(docs) if docs else 0
-            yield row()
+                if replica not in models:
+                    models[replica], seen[replica], held = Gru(lex).unpack(weights.value), 0, 0
+                elif held >= SLICE_TOKENS:
+                    learn()
+                    held = 0
+                docs.setdefault(replica, []).append(np.frombuffer(ids.as_buffer(), "<u2"))
+                held += len(docs[replica][-1])
+        learn()
+        for replica, model in models.items():
+            yield pa.RecordBatch.from_arrays([pa.array([replica], pa.int64()), pa.array([model.pack()], pa.binary()), pa.array([seen[replica]], pa.int64())], ["replica", "w", "n"])
 
     return run
 
@@ -419,20 +631,36 @@ def replicas_of(tokens: int) -> int:
     return max(1, min(MOST_REPLICAS, -(-tokens // (ROUNDS * REPLICA_TOKENS))))
 
 
+def tokens_of(docs: DataFrame, lexicon) -> DataFrame:
+    """The stored table of all rows as token numbers, with the round (-1: held out) and the replica that learn from each."""
+    replicas = replicas_of(lexicon.value.n)
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(common.NO_ID)), F.coalesce("text", F.lit("")), F.lit(SEED))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), key.alias("key"), "text").mapInArrow(_encode(lexicon), _TOKENS)
+    place = F.pmod("key", F.lit(ROUNDS * replicas))
+    turn = F.when(F.col("held_out"), -1).otherwise(place % ROUNDS).cast("int")
+    ids = ids.withColumns({"turn": turn, "replica": F.floor(place / ROUNDS).cast("bigint")})
+    return common.stored(ids.sortWithinPartitions("turn"), "tokens")  # in runs of a round, which its scan finds by their statistics
+
+
 def fit(docs: DataFrame, lexicon) -> Gru:
+    """The model of all training documents."""
+    ids = tokens_of(docs, lexicon)
+    model = fit_tokens(ids, lexicon)
+    common.discard(ids)
+    return model
+
+
+def fit_tokens(ids: DataFrame, lexicon) -> Gru:
     """Rounds of replica training and averaging over all training documents."""
-    spark = docs.sparkSession
+    spark = ids.sparkSession
     model = Gru(lexicon.value)
     replicas = replicas_of(lexicon.value.n)
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(common.NO_ID)), F.coalesce("text", F.lit("")), F.lit(SEED))
-    ids = docs.where(~held_out()).select(key.alias("key"), "text").mapInArrow(_encode(lexicon), "key bigint, ids binary")
-    place = F.pmod("key", F.lit(ROUNDS * replicas))
-    ids = ids.select((place % ROUNDS).cast("int").alias("turn"), F.floor(place / ROUNDS).cast("bigint").alias("replica"), "key", "ids")
-    ids = common.stored(ids.sortWithinPartitions("turn"), "tokens")  # in runs of a round, which its scan finds by their statistics
+    together = min(TOGETHER, -(-replicas // 12))  # a dozen tasks first
     common.release(spark)
     for i in range(ROUNDS):
         weights = spark.sparkContext.broadcast(model.pack())
-        part = ids.where(F.col("turn") == i).select("replica", "key", "ids").repartitionById(replicas, F.col("replica").cast("int"))
+        task = F.floor(F.col("replica") / together).cast("int")
+        part = ids.where(F.col("turn") == i).select("replica", "key", "ids").repartitionById(-(-replicas // together), task)
         rows = part.sortWithinPartitions("replica", "key").select("replica", "ids").mapInArrow(_train(lexicon, weights), _REPLICA)
         n = replicas
         while n > FAN // 2:
@@ -444,41 +672,24 @@ def fit(docs: DataFrame, lexicon) -> Gru:
             total = sum(n for _, _, n in parts)
             model.unpack(sum(np.frombuffer(w, np.float32).astype(np.float64) * (n / total) for _, w, n in parts))
         weights.unpersist()
-    common.discard(ids)
     return model
 
 
 def _score(lexicon, weights):
+    """(..., ids) to the score of all but rare words, in the place of the ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon.value
-        model = Gru(lex).unpack(weights.value)
+        model = Gru(lexicon.value).unpack(weights.value)
         for batch in batches:
-            for lo, hi in kernels.slices(batch.column("text"), SLICE):
+            ends = np.cumsum(batch.column("n_tokens").to_numpy())
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SCORE_TOKENS, side="right")))
                 part = batch.slice(lo, hi - lo)
-                w = _words(part.column("text"))
-                docs, count = _ids(w, lex)
-                n = len(docs)
-                doc = w.doc()
-                known = count >= 0
-                short = np.concatenate([d[:-1] < SHORT for d in docs]) if n else np.zeros(0, bool)
-                base = np.bincount(doc[known], weights=lex.base(count[known]), minlength=n) + lex.base(lex.docs)
-                score = model.score(docs) / LN10
-                tail = known & ~short
-                score += np.bincount(doc[tail], weights=np.log10((count[tail] + 0.5) / lex.tail), minlength=n)
-                rare = np.flatnonzero(~known)
-                ends = np.searchsorted(rare, w.first).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("held_out"),
-                        pa.array(w.count + 1),
-                        pa.array(np.bincount(doc[known], minlength=n) + int(lex.docs > 0)),
-                        pa.array(base),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(w.hash[rare].view(np.int64))),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
+                lo = hi
+                score = model.score([np.frombuffer(ids.as_buffer(), "<u2") for ids in part.column("ids")]) / LN10
+                yield part.set_column(part.schema.get_field_index("ids"), "score", pa.array(score + part.column("tail").to_numpy())).drop_columns(["tail"])
+            kernels.tidy()
 
     return run
 
@@ -489,10 +700,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lex, counts = lexicon_of(docs)
     lexicon = spark.sparkContext.broadcast(lex)
-    weights = spark.sparkContext.broadcast(fit(docs, lexicon).pack())
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_score(lexicon, weights), schema)
+    tokens = tokens_of(docs, lexicon)
+    weights = spark.sparkContext.broadcast(fit_tokens(tokens, lexicon).pack())
+    schema = "doc_id bigint, held_out boolean, score double, n_tokens bigint, n_known bigint, base_score double, rare array<bigint>"
+    rows = tokens.select("doc_id", "held_out", "ids", "n_tokens", "n_known", "base_score", "tail", "rare").mapInArrow(_score(lexicon, weights), schema)
     rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    common.discard(tokens)
     common.release(spark)
     # Rare words: their counts by hash, a partial sum per document and task.
     c = F.coalesce("c", F.lit(0))
