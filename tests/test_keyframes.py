@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 import random
 
 import numpy as np
@@ -296,3 +297,103 @@ def test_pictures_of_a_batch_are_worked_on_together(monkeypatch):
         return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * f).var())
 
     assert pixels._sharpness(lists, wide).to_pylist() == [alone(g, w) for g, w in zip(grays, widths)]
+
+
+def test_many_files_of_a_folder_are_one_name_for_the_driver(tmp_path, monkeypatch):
+    """Messages of tasks and moves go by folders; shared ones are merged, and no file of one name is written twice."""
+    real, moves = sinks.filesystem, []
+
+    class Store:
+        def __init__(self, store):
+            self.store = store
+
+        def move(self, a, b):
+            moves.append(b)
+            self.store.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+    monkeypatch.setattr(sinks, "filesystem", lambda path: (Store(real(path)[0]), real(path)[1]))
+
+    def job(*tasks):
+        writer = sinks.FilesWriter(str(tmp_path / "out"))
+        return writer, [writer.write(iter([pa.RecordBatch.from_pydict({"name": names, "content": [n.encode() for n in names]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))])) for names in tasks]
+
+    shown = lambda: sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file())
+    first, second = [f"r/frames/{i}.png" for i in range(5000)], [f"s/frames/{i}.png" for i in range(5000)]
+    writer, messages = job(first, second)
+    assert sum(len(pickle.dumps(m)) for m in messages) < 2000
+    writer.commit(messages)
+    assert len(moves) == 2 and shown() == sorted(first + second)
+    writer, messages = job(["r/a", "r/deep/x", "t"], ["r/b", "r/frames/0.png"])
+    writer.commit(messages)
+    assert shown() == sorted([*first, *second, "r/a", "r/deep/x", "t", "r/b"])
+    writer, messages = job(["u/deep/x"], ["fine", "u/deep/x"])
+    with pytest.raises(ValueError, match="two files of one name: u/deep/x"):
+        writer.commit(messages)
+    assert "fine" not in shown() and not [p for p in shown() if p.startswith(("u", "_"))]
+
+
+def test_pictures_below_a_path_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    gray = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    for rec in ("1", "2/deep", "_hidden", ".dot"):
+        for i in range(3):
+            (tmp_path / rec / "frames").mkdir(parents=True, exist_ok=True)
+            (tmp_path / rec / "frames" / f"{i}.png").write_bytes(pictures.png(gray + i))
+    (tmp_path / "1" / "bad.png").write_bytes(b"no picture")
+    (tmp_path / "1" / "other.txt").write_bytes(b"text")
+    (tmp_path / "top.png").write_bytes(pictures.png(gray))
+    monkeypatch.setattr(type(spark), "read", property(lambda _: pytest.fail("the driver lists the files")))
+    rows = seams.read_pictures(spark, f"file://{tmp_path}", "*.png").collect()
+    got = {r["path"].removeprefix(f"file://{tmp_path}/"): (r["gray"], r["width"], r["height"]) for r in rows}
+    assert got == {f"{rec}/frames/{i}.png": ((gray + i).reshape(-1).tolist(), 4, 3) for rec in ("1", "2/deep") for i in range(3)} | {"top.png": (gray.reshape(-1).tolist(), 4, 3)}
+
+
+def plain_png(values, depth, color, laced=False, filters=(0, 1, 2, 3, 4), palette=b""):
+    """A PNG file of samples (height x width x samples), each row under the next filter, by loops."""
+    import struct
+    import zlib
+
+    height, width, n = values.shape
+    step, body, at = max(1, n * depth // 8), b"", 0
+    passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if laced else ((0, 0, 1, 1),)
+    for x, y, dx, dy in passes:
+        part, above = values[y::dy, x::dx], None
+        for row in part if part.shape[1] else []:
+            bits = "".join(f"{int(v):0{depth}b}" for v in row.reshape(-1))
+            line = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+            above, kind, coded = above or bytes(len(line)), filters[at % len(filters)], []
+            for i, v in enumerate(line):
+                a, b, c = (line[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
+                near = min((abs(a + b - c - q), k, q) for k, q in enumerate((a, b, c)))[2]
+                coded.append((v - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+            body, above, at = body + bytes([kind, *coded]), line, at + 1
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    packed = zlib.compress(body)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, color, 0, 0, int(laced))) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", packed[:7]) + chunk(b"IDAT", packed[7:]) + chunk(b"IEND", b"")
+
+
+def test_png_files_of_any_kind(spark, tmp_path):
+    """Each kind against its samples; those of 8 bits and palettes against Spark's own reader as well."""
+    rng, own = np.random.default_rng(8), {}
+    weighed = lambda rgb: np.rint(rgb @ [0.299, 0.587, 0.114])
+    for color, n, depths in ((0, 1, (1, 2, 4, 8, 16)), (2, 3, (8, 16)), (3, 1, (1, 2, 4, 8)), (4, 2, (8, 16)), (6, 4, (8, 16))):
+        for depth in depths:
+            for laced in (False, True):
+                v = rng.integers(0, 2**depth, (11, 13, n))
+                palette = rng.integers(0, 256, (2**depth, 3)) if color == 3 else None
+                data = plain_png(v, depth, color, laced, palette=b"" if palette is None else palette.astype(np.uint8).tobytes())
+                scaled = np.rint(v * (255 / (2**depth - 1)))
+                want = weighed(palette[v[:, :, 0]]) if color == 3 else scaled[:, :, 0] if n < 3 else weighed(scaled[:, :, :3])
+                assert (pictures.unpng(data) == want).all(), (color, depth, laced)
+                if depth == 8:
+                    name = f"{color}-{depth}-{laced}.png"
+                    (tmp_path / name).write_bytes(data)
+                    own[name] = want.reshape(-1).tolist()
+    back = {r["path"].rsplit("/", 1)[1]: r["gray"] for r in seams.read_pictures(spark, f"file://{tmp_path}").collect()}
+    assert back == own
+    good = pictures.png(np.ones((4, 4)))
+    for bad in (b"", good[:8], good[:40], good.replace(b"IDAT", b"IDOT")):
+        with pytest.raises(ValueError):
+            pictures.unpng(bad)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import pictures as files
 from ..functions import pixels
 from ..operators import recording
+from . import sinks
 from .documents import thumbnail_size
 
 _engines: dict = {}
@@ -100,12 +101,23 @@ def recorded(spark: SparkSession, grab: Callable[[int], np.ndarray], seconds: fl
     return total
 
 
+def _of_png(path: str, content: bytes) -> tuple | None:
+    try:
+        gray = files.unpng(content)
+    except (ValueError, IndexError):
+        return None
+    return path, gray.reshape(-1), gray.shape[1], gray.shape[0]
+
+
 def read_pictures(spark: SparkSession, path: str, below: str | None = None) -> DataFrame:
     """(path, gray, width, height) of picture files; undecodable ones are left out.
 
-    ``below``: names (``*.png``) of files at any depth below ``path``, whose folders
-    are listed by tasks; a pattern in ``path`` is matched by the driver alone.
+    ``below``: names (``*.png``) of files at any depth below ``path``.  PNG files
+    are then listed and read by tasks, however many there are; the list of others,
+    and what a pattern in ``path`` finds, is held by the driver.
     """
+    if below and below.endswith(".png"):
+        return sinks.read_below(spark, path, below, _of_png, "path string, gray array<int>, width int, height int")
     source = spark.read.format("image").option("dropInvalid", True)
     if below:
         source = source.option("recursiveFileLookup", True).option("pathGlobFilter", below)
