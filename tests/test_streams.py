@@ -424,3 +424,48 @@ def test_an_append_is_one_pass_over_sorted_batches(spark, tmp_path):
     assert grown.states().count() == 40_000 and took < 15
     grown.append(2, frames.limit(0))
     assert grown.states().count() == 40_000
+
+
+def test_short_recordings_share_the_calls_of_state():
+    """A group of recordings costs state some calls a batch, whatever their number; each has the states that it has alone."""
+    import pandas as pd
+
+    rng, rules = random.Random(9), segments.Segmenter(0.8, 0.0, 0.95)
+    frames = [(f"r{r}", i, float(i), i * 90_000 + r, rng.sample(["a", "b", "c"], 2), 1.0) for r in range(300) for i in range(20 if r % 3 else 60)]
+
+    class Mark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    def run(frames):
+        processor, store, out = segments.StatesOfStream(rules, 60_000, 3_600_000), Touched(), []
+        processor.init(store)
+        shown = sorted(frames, key=lambda f: f[3])
+        for i in range(4):
+            part = shown[i * len(shown) // 4 : (i + 1) * len(shown) // 4]
+            list(processor.handleInputRows((7,), iter([pd.DataFrame(part, columns=["rec", "pos", "t", "at", "lines", "moved"])]), None))
+            mark = 10**12 if i == 3 else max(f[3] for f in part) - 900_000
+            while due := sorted(t for t in store.timers if t <= mark):
+                for t in due:
+                    out += [tuple(r)[:5] + (tuple(r[5]), r[6]) for df in processor.handleExpiredTimer((7,), Mark(mark), None) for r in df.itertuples(index=False)]
+                    store.timers.discard(t)
+        assert not store.values["waiting"] and not store.timers and not store.values.get("going")
+        return sorted(out), store.calls
+
+    rng.shuffle(frames)
+    got, calls = run(frames)
+    assert got == sorted(s for r in range(300) for s in run([f for f in frames if f[0] == f"r{r}"])[0]) and calls < 100
+
+
+def test_recordings_of_a_stream_keep_their_names(spark, tmp_path):
+    """Names beyond a double's whole numbers, NULL beside others, and more recordings than groups."""
+    schema = FRAMES.replace("rec string", "rec bigint")
+    names = [2**53 + i for i in range(5)] + [-1, None]
+    rows = [(n, *r[1:]) for n in names for r in frame_rows("", 12, abs(n or 3) % 97)]
+    frames = spark.createDataFrame(rows, schema)
+    got = segments.run_states(frames, 2, 120, threshold=0.8, motion=0.1, merge=None, slot_seconds=20.0, idle_seconds=1e6, groups=3)
+    assert got.schema["rec"].dataType.simpleString() == "bigint"
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in by_batch(frames, None).select(*got.columns).collect())

@@ -1,14 +1,16 @@
 """States of a recording from a stream of its frames: segmentation by text and merging of near duplicates, in event time.
 
-Frames may come in any order within the watermark.  They wait as sorted runs of
-``RUN`` frames at most, by the time slot of the first; when the watermark passes
-that slot's end, the recording's one timer takes the frames of all slots that are
-over in order through the segmenter, whose few values are a state of their own,
-so what is held in memory is the runs that overlap in time, and state is touched a
-few times a batch and recording, not for every slot.  A state is emitted when the next one
-begins, or when the recording has been idle for ``idle``, which ends it and drops
-all that was kept of it.  State lives in RocksDB and is checkpointed: a query
-that starts again goes on where it was.
+Recordings are dealt to a fixed number of groups by a hash of their names; a group
+is what state and timers are kept for, so that many short recordings cost their
+frames and not a call of state each.  Frames may come in any order within the
+watermark.  They wait as sorted runs of ``RUN`` frames at most, by the time slot
+of the first; when the watermark passes that slot's end, the group's one timer
+takes the frames of all slots that are over in order through the segmenter, whose
+few values for each recording are a state of their own, so what is held in memory
+is the runs that overlap in time.  A state is emitted when the next one begins, or
+when the recording has been idle for ``idle`` and the slot in which that was is
+over, which ends it and drops all that was kept of it.  State lives in RocksDB and
+is checkpointed: a query that starts again goes on where it was.
 
 Defined results: a frame later than the watermark is dropped, and counted by
 Spark; frames of one time go by their place; a recording that goes on after its
@@ -17,13 +19,15 @@ idle time is a new one; NULL lines are none.
 
 from __future__ import annotations
 
-import json
+import pickle
 import re
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +36,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.stores import shared_dir
 
-_FRAME = "struct<pos:bigint,t:double,at:bigint,lines:array<string>,moved:double>"
-#: As JSON: the segment that goes on (its number, times, text, keyframe, what the rules remember), the kept state that it may join, the last frame's instant.
-_GOING = "now string"
-#: Frames that wait as one value, at most.
-RUN = 4096
+#: Frames that wait as one value, at most; as many times that are sorted together when they come.
+RUN, SORTED = 4096, 16
+#: Rows of a batch that is emitted, at most about.
+ROWS = 8192
+#: Groups of recordings; a table of more than so many frames a group has more of them.
+GROUPS, GROUP_FRAMES = 1024, 16_384
 STATES = "rec {rec}, pos bigint, idx bigint, t_start double, t_end double, lines array<string>, keyframe bigint"
 _OTHER = re.compile("[^0-9a-z]+")
 
@@ -51,8 +56,8 @@ def line_set(lines) -> frozenset:
     return frozenset(x for x in map(_normalized, lines) if x)
 
 
-def _in_order(frame: tuple) -> tuple:
-    return frame[2], frame[0]
+#: Frames (instant, place, recording, t, lines, moved) in time, those of one instant by their place.
+_in_order = itemgetter(0, 1)
 
 
 def likeness(a: frozenset, b: frozenset) -> float:
@@ -106,72 +111,109 @@ class MotionSegmenter(Segmenter):
 
 
 class StatesOfStream(StatefulProcessor):
+    """A key is a group of recordings, each frame's in ``rec``; without that column the key is the recording."""
+
     def __init__(self, rules: Segmenter, slot_ms: int, idle_ms: int):
         self.rules, self.slot_ms, self.idle_ms = rules, slot_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "first bigint, n bigint", f"frames array<{_FRAME}>")
-        self.going = handle.getValueState("going", _GOING)
+        # Values are pickled here: one string of bytes crosses to the JVM, not a row for every frame.
+        self.waiting = handle.getMapState("waiting", "first bigint, n bigint", "frames binary")
+        # By recording: the segment that goes on (its number, times, text, keyframe, what the rules remember), the kept state that it may join, the last frame's instant.
+        self.going = handle.getValueState("going", "now binary")
         self.due = handle.getValueState("due", "at bigint, runs bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due, runs = self.due.get() or (None, 0)
-        first = None
-        for part in rows:
-            columns = [part[c].tolist() for c in ("at", "pos", "t", "lines", "moved")]
-            frames = [(int(p), float(t), int(at), [] if x is None else [str(s) for s in x], None if pd.isna(m) else float(m)) for at, p, t, x, m in zip(*columns) if not (pd.isna(p) or pd.isna(t))]
-            frames.sort(key=_in_order)
-            for i in range(0, len(frames), RUN):
-                slot = self._slot(frames[i])
-                self.waiting.updateValue((slot, runs), (frames[i : i + RUN],))
+        first, frames = None, self._frames(key, rows)
+        while some := list(islice(frames, SORTED * RUN)):
+            some.sort(key=_in_order)
+            for i in range(0, len(some), RUN):
+                slot = self._slot(some[i])
+                self._wait(slot, runs, some[i : i + RUN])
                 first, runs = slot if first is None else min(first, slot), runs + 1
         if first is not None:
             self._wake(due, (first + 1) * self.slot_ms, runs)
         yield from ()
 
+    def _frames(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """Frames as tuples; equal texts and names are one object."""
+        texts, names = {}, {}
+        for part in rows:
+            recs = part["rec"].tolist() if "rec" in part else [key[0]] * len(part)
+            for at, p, rec, t, x, m in zip(part["at"].tolist(), part["pos"].tolist(), recs, part["t"].tolist(), part["lines"].tolist(), part["moved"].tolist()):
+                if p is None or t is None or p != p or t != t:
+                    continue
+                if len(texts) > RUN:
+                    texts.clear()
+                lines = () if x is None else tuple(map(str, x))
+                yield int(at), int(p), names.setdefault(rec, rec), float(t), texts.setdefault(lines, lines), None if m is None or m != m else float(m)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark, out = timerValues.getCurrentWatermarkInMs(), []
         going, (_, runs) = self.going.get(), self.due.get()
-        now, kept, last = json.loads(going[0]) if going else (None, None, None)
+        going = pickle.loads(going[0]) if going else {}
         # Runs in the order of their first slots: frames before the next one's first are taken, so what is held is runs that overlap.
         heads, held = sorted(tuple(k) for k in self.waiting.keys()), []
-        over = [h for h in heads if (h[0] + 1) * self.slot_ms <= mark]
+        over, slots = [h for h in heads if (h[0] + 1) * self.slot_ms <= mark], mark // self.slot_ms
         for i, head in enumerate(over):
-            held = sorted([*held, *map(tuple, self.waiting.getValue(head)[0])], key=_in_order)
+            held = [*held, *pickle.loads(bytes(self.waiting.getValue(head)[0]))]
             self.waiting.removeKey(head)
-            stop = over[i + 1][0] if i + 1 < len(over) else mark // self.slot_ms
+            stop = over[i + 1][0] if i + 1 < len(over) else slots
+            if stop == head[0]:
+                continue  # the next run begins in the same slot
+            held.sort(key=_in_order)
             ready = bisect_left(held, stop, key=self._slot)
-            for pos, t, at, lines, moved in held[:ready]:
+            for at, pos, rec, t, lines, moved in held[:ready]:
+                now, kept, last = going.get(rec, (None, None, None))
                 if last is not None and at - last >= self.idle_ms:
-                    kept, now = self._end(kept, now, out)
-                now, segment = self.rules.frame(now, pos, t, list(lines), moved)
+                    kept, now = self._end(rec, kept, now, out)
+                now, segment = self.rules.frame(now, pos, t, lines, moved)
                 if segment:
                     kept, state = self.rules.ended(kept, segment)
-                    out += [state] if state else []
-                last = at
+                    out += [(rec, *state)] if state else []
+                going[rec] = now, kept, at
             held = held[ready:]
+            if len(out) >= ROWS:
+                yield self._rows(out)
+                out = []
         rest = [h[0] for h in heads[len(over) :]]
         for i in range(0, len(held), RUN):
             rest.append(self._slot(held[i]))
-            self.waiting.updateValue((rest[-1], runs), (held[i : i + RUN],))
+            self._wait(rest[-1], runs, held[i : i + RUN])
             runs += 1
-        if last is not None and last + self.idle_ms <= mark and not rest:
-            kept, now = self._end(kept, now, out)
+        # Every frame before the mark's slot was taken: what waits or may come is no earlier than that, and a recording idle until then has ended.
+        for rec, (now, kept, last) in list(going.items()):
+            if last + self.idle_ms <= slots * self.slot_ms:
+                self._end(rec, kept, now, out)
+                del going[rec]
+        if going:
+            self.going.update((pickle.dumps(going, pickle.HIGHEST_PROTOCOL),))
+        else:
             self.going.clear()
+        wakes = [(min(rest) + 1) * self.slot_ms] if rest else []
+        if going:
+            idle = min(last for _, _, last in going.values()) + self.idle_ms
+            wakes.append(-(-idle // self.slot_ms) * self.slot_ms)
+        if wakes:
+            self._wake(None, min(wakes), runs)
+        else:
             self.due.clear()
-        elif rest or last is not None:
-            if last is not None:
-                self.going.update((json.dumps([now, kept, last]),))
-            self._wake(None, (min(rest) + 1) * self.slot_ms if rest else last + self.idle_ms, runs)
         if out:
-            yield pd.DataFrame([(key[0], *s) for s in out], columns=["rec", "pos", "idx", "t_start", "t_end", "lines", "keyframe"])
+            yield self._rows(out)
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["rec", "pos", "idx", "t_start", "t_end", "lines", "keyframe"])
 
     def _slot(self, frame: tuple) -> int:
-        return frame[2] // self.slot_ms
+        return frame[0] // self.slot_ms
+
+    def _wait(self, slot: int, n: int, frames: list[tuple]) -> None:
+        self.waiting.updateValue((slot, n), (pickle.dumps(frames, pickle.HIGHEST_PROTOCOL),))
 
     def _wake(self, due: int | None, at: int, runs: int) -> None:
-        """One timer a recording, the earliest: ``due`` is the one that it has."""
+        """One timer a group, the earliest: ``due`` is the one that it has."""
         if due is None or at < due:
             if due is not None:
                 self.handle.deleteTimer(due)
@@ -179,25 +221,30 @@ class StatesOfStream(StatefulProcessor):
             due = at
         self.due.update((due, runs))
 
-    def _end(self, kept, now, out: list) -> tuple[None, None]:
+    def _end(self, rec, kept, now, out: list) -> tuple[None, None]:
         """The recording is over: what went on is emitted."""
         if now:
             kept, state = self.rules.ended(kept, now[:5])
-            out += [state] if state else []
-        out += [kept] if kept else []
+            out += [(rec, *state)] if state else []
+        out += [(rec, *kept)] if kept else []
         return None, None
 
 
-def states_of_stream(frames: DataFrame, threshold: float = 0.8, motion: float = 0.003, merge: float | None = 0.95, late: str = "1 minute", slot_seconds: float = 60.0, idle_seconds: float = 3600.0, rules: Segmenter | None = None) -> DataFrame:
+def states_of_stream(frames: DataFrame, threshold: float = 0.8, motion: float = 0.003, merge: float | None = 0.95, late: str = "1 minute", slot_seconds: float = 60.0, idle_seconds: float = 3600.0, rules: Segmenter | None = None, groups: int = GROUPS) -> DataFrame:
     """(rec, pos, idx, t_start, t_end, lines, keyframe) of a stream of frames (rec, pos, t, ts, lines, moved).
 
     ``merge=None`` gives every segment.  ``late``: how far behind the latest frame
-    one may come.  ``rules``: others than those for text.
+    one may come.  ``rules``: others than those for text.  ``groups``: among how
+    many keys of state recordings are dealt; it stays as it is for a checkpoint.
+    A recording's name is of a type that a string can be cast to.
     """
-    rec = frames.schema["rec"].dataType.simpleString()
-    rows = frames.withWatermark("ts", late).select("rec", "pos", F.col("t").cast("double").alias("t"), "ts", F.unix_millis("ts").alias("at"), "lines", F.col("moved").cast("double").alias("moved"))
+    kind = frames.schema["rec"].dataType.simpleString()
+    group = F.when(F.col("rec").isNotNull(), F.pmod(F.xxhash64("rec"), F.lit(groups))).otherwise(-1).alias("group")
+    rec = F.col("rec").cast("string").alias("rec")
+    rows = frames.withWatermark("ts", late).select(group, rec, "pos", F.col("t").cast("double").alias("t"), "ts", F.unix_millis("ts").alias("at"), "lines", F.col("moved").cast("double").alias("moved"))
     processor = StatesOfStream(rules or Segmenter(threshold, motion, merge), int(slot_seconds * 1000), int(idle_seconds * 1000))
-    return rows.groupBy("rec").transformWithStateInPandas(processor, STATES.format(rec=rec), "Append", "EventTime")
+    states = rows.groupBy("group").transformWithStateInPandas(processor, STATES.format(rec="string"), "Append", "EventTime")
+    return states.withColumn("rec", F.col("rec").cast(kind))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -218,41 +265,41 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
-def arriving(frames: DataFrame, folder: str, slices: int = 4, jitter_seconds: int = 86_400, end: str = "2100-01-01") -> list[str]:
-    """The frames (rec, pos, t, ts, lines, moved) of a table as folders, one after the other, in an order of arrival that is not theirs.
+def arriving(frames: DataFrame, folder: str, slices: int = 4, jitter_seconds: int = 86_400, end: str = "2100-01-01") -> tuple[int, list[DataFrame]]:
+    """The number of frames (rec, pos, t, ts, lines, moved) of a table, and slices of them, one after the other, in an order of arrival that is not theirs.
 
     A frame comes up to ``jitter_seconds`` after its time, by a hash of it.  The
-    last folder holds one frame at ``end``, of no recording: it lets all others end.
+    last slice holds one frame at ``end``, of no recording: it lets all others end.
+    The frames are made once, in ``folder``.
     """
-    columns = ["rec", "pos", "t", "ts", "lines", "moved"]
-    dealt = frames.select(*columns, (F.unix_millis("ts") + F.pmod(F.xxhash64("rec", "pos"), F.lit(jitter_seconds * 1000))).alias("arrives"))
-    cuts = dealt.approxQuantile("arrives", [i / slices for i in range(1, slices)], 0.01)
+    columns, spark = ["rec", "pos", "t", "ts", "lines", "moved"], frames.sparkSession
+    frames.select(*columns, (F.unix_millis("ts") + F.pmod(F.xxhash64("rec", "pos"), F.lit(jitter_seconds * 1000))).alias("arrives")).write.parquet(folder)
+    dealt = spark.read.schema(frames.select(*columns).schema.add("arrives", "long")).parquet(folder)
     turn = F.lit(0)
-    for c in cuts:
+    for c in dealt.approxQuantile("arrives", [i / slices for i in range(1, slices)], 0.01):
         turn = turn + (F.col("arrives") > c).cast("int")
-    dealt.withColumn("turn", turn).drop("arrives").write.partitionBy("turn").parquet(folder)
     last = {"ts": F.lit(end), "lines": F.array()}
-    closing = frames.sparkSession.range(1).select(*[last.get(c, F.lit(None)).cast(frames.schema[c].dataType).alias(c) for c in columns])
-    closing.write.parquet(f"{folder}/turn={slices}")
-    return [f"{folder}/turn={i}" for i in range(slices + 1)]
+    closing = spark.range(1).select(*[last.get(c, F.lit(None)).cast(frames.schema[c].dataType).alias(c) for c in columns])
+    return dealt.count(), [*[dealt.where(turn == i).select(*columns) for i in range(slices)], closing]
 
 
 def run_states(frames: DataFrame, slices: int = 4, jitter_seconds: int = 86_400, **options) -> DataFrame:
-    """``states_of_stream`` run over a table's frames as they arrive: a query for each folder, each going on where the last one ended."""
+    """``states_of_stream`` run over a table's frames as they arrive: a query for each slice, each going on where the last one ended."""
     spark, folder = frames.sparkSession, f"{shared_dir(frames.sparkSession)}/arriving_{uuid.uuid4().hex}"
     schema = frames.select("rec", "pos", "t", "ts", "lines", "moved").schema
     incoming = f"{folder}/in"
     spark.createDataFrame([], schema).write.parquet(f"{incoming}/none")
     stream = spark.readStream.schema(schema).parquet(f"{incoming}/*")
-    states = states_of_stream(stream, late=f"{jitter_seconds} seconds", **options)
+    n, parts = arriving(frames, f"{folder}/dealt", slices, jitter_seconds)
+    states = states_of_stream(stream, late=f"{jitter_seconds} seconds", **{"groups": max(GROUPS, n // GROUP_FRAMES)} | options)
     spark.createDataFrame([], states.schema).write.parquet(f"{folder}/out/batch=-1")
 
     def write(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
     with rocksdb(spark):
-        for i, path in enumerate(arriving(frames, f"{folder}/dealt", slices, jitter_seconds)):
-            spark.read.schema(schema).parquet(path).coalesce(4).write.parquet(f"{incoming}/{i}")
+        for i, part in enumerate(parts):
+            part.write.parquet(f"{incoming}/{i}")
             query = states.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write)
             query.start().awaitTermination()
     return spark.read.schema(states.schema).parquet(f"{folder}/out").select(*states.columns)
