@@ -17,7 +17,7 @@ from uistrata import tools
 from uistrata.functions import pictures, pixels
 from uistrata.operators import document, recording, sequence
 from uistrata.plans import adapters
-from uistrata.sources import seams, sinks
+from uistrata.sources import documents, seams, sinks
 
 SIDE = 24
 
@@ -397,3 +397,17 @@ def test_png_files_of_any_kind(spark, tmp_path):
     for bad in (b"", good[:8], good[:40], good.replace(b"IDAT", b"IDOT")):
         with pytest.raises(ValueError):
             pictures.unpng(bad)
+
+
+def test_texts_are_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """A file for each row, whatever its name, without a partitioned write or a pattern that the driver matches."""
+    names = ["rec1.mp4", "a/b", "é ü", "50%", "x+y", "a=b:c*[1]{2}", "same", "same", "..", 'q"\\']
+    texts = spark.createDataFrame([(n, f"of {n}\nand more\n") for n in names], "video string, doc string").repartition(3)
+    out = f"file://{tmp_path}/out"
+    monkeypatch.setattr(type(spark), "read", property(lambda _: pytest.fail("the driver lists the files")))
+    documents.write_transcripts(texts, out)
+    back = documents.read_texts(spark, out).select(documents.name_of(F.col("path")), "value").collect()
+    assert sorted(map(tuple, back)) == sorted((n, f"of {n}\nand more\n\n") for n in names)
+    assert (tmp_path / "out" / "video=a%2Fb").is_dir()
+    with pytest.raises(Exception, match="already exists"):
+        documents.write_transcripts(texts, out)

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
+
 SCHEMA_VERSION = 2
 _STATE = (
     "idx int, t_start double, t_end double, thumbnail string, keyframe string, ocr_text array<string>, text_added array<string>, text_removed array<string>, "
@@ -87,9 +91,36 @@ def manifest_json(manifests: DataFrame) -> DataFrame:
     return manifests.select("video", F.to_json(F.struct("video", "duration", "sampled_fps", "cols", "frames", "events"), PRETTY).alias("value"))
 
 
+#: What a folder's name has as %XX, as in Spark's own partitioned writers.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def _folders(values: pa.Array) -> pa.Array:
+    return pa.array([_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else "__HIVE_DEFAULT_PARTITION__" for v in values.to_pylist()], pa.string())
+
+
 def write_texts(texts: DataFrame, path: str, by: str = "video") -> None:
     """(by, value) to a text file for each, in a folder that bears its name; refuses a path that exists."""
-    texts.select(by, "value").write.partitionBy(by).mode("errorifexists").text(path)
+    store, root = sinks.filesystem(path)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{path} already exists")
+    folder = F.concat(F.lit(f"{by}="), F.arrow_udf(_folders, "string")(F.col(by).cast("string")))
+    name = F.concat(folder, F.lit("/part-"), F.uuid(), F.lit(".txt"))
+    sinks.write_files(texts.select(name.alias("name"), F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).cast("binary").alias("content")), path)
+
+
+def _of_text(path: str, content: bytes) -> tuple:
+    return path, content.decode("utf-8", "replace")
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of the whole text files (``*.txt``) at any depth below a path, listed and read by tasks."""
+    return sinks.read_below(spark, path, "*.txt", _of_text, "path string, value string")
+
+
+def name_of(path: Column, by: str = "video") -> Column:
+    """What ``write_texts`` wrote a file for, by the file's path."""
+    return F.url_decode(F.regexp_replace(F.regexp_extract(path, f"/{by}=([^/]*)/", 1), r"\+", "%2B"))
 
 
 def write_index(docs: DataFrame, path: str) -> None:
